@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate
+from driftwarden.llm import decontaminate, neardup
 from driftwarden.llm.common import table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -40,9 +40,28 @@ FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
 """
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+    return found.select(F.col("id").alias("doc_id"), F.col("nd_shingles").alias("n_shingles"), F.col("nd_component").alias("component_id"), F.col("nd_kept").alias("kept"))
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+sym AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach AS (SELECT x, y FROM sym UNION SELECT r.x, s.y FROM reach r JOIN sym s ON r.y = s.x),
+c AS (SELECT x AS doc_id, least(x, min(y)) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op6_decontaminate": op6_decontaminate}
+    return {"op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_near_duplicates": OP7_SQL}
