@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, neardup
-from driftwarden.llm.common import table
+from driftwarden.llm import decontaminate, langid, neardup
+from driftwarden.llm.common import held_out, table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~held_out())
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), F.col("li_lang").alias("lang_pred"), F.col("li_score").alias("score"), F.col("li_entropy").alias("bits_per_symbol"), F.col("li_rejected").alias("rejected"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -60,7 +67,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates}
+    return {"op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
