@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, langid, neardup, packing
+from driftwarden.llm import decontaminate, langid, licenses, neardup, packing
 from driftwarden.llm.common import held_out, table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -77,8 +77,25 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    labels = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.concat(*cols))), ",")
+    best = F.coalesce(F.array_max("ls_notices.likeness"), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        F.col("ls_words").alias("n_words"),
+        F.size("ls_base").cast("long").alias("n_base"),
+        F.array_min("ls_base.word").alias("first_word"),
+        F.array_max("ls_base.word").alias("last_word"),
+        labels("ls_base.label").alias("base_labels"),
+        labels("ls_base.label", "ls_notices.label").alias("labels"),
+        F.when(F.size("ls_base") > 0, 1.0).otherwise(best).alias("score"),
+        F.array_join(F.transform("ls_notices", lambda x: F.concat_ws(":", x["label"], x["first"], x["last"], x["edits"])), ",").alias("notices"),
+    )
+
+
 def queries() -> dict:
-    return {"op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates}
+    return {"op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
