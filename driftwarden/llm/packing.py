@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from driftwarden.llm.common import cut, mix64, slices, strings
 BUCKETS = 4096  # of the hashed document vector
 DIMENSIONS, DIGITS = 3, 13
 HASH_DIGITS = 62 - DIMENSIONS * DIGITS
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+ENCODED_AT_ONCE = 20_000
 RANGE_ROWS = 20_000
 RANGE_TOKENS = 16_000_000
 
@@ -39,7 +41,7 @@ _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-
 
 
 class Encoder:
-    """Text to token ids as little-endian 16-bit bytes."""
+    """Text to token ids as little-endian 16-bit bytes. It remembers words, so keep one a process (``encoder``)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,7 +50,16 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the tokenizer does not split: one call for all, parted by its word numbers."""
+        both = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(both.ids, "<u2").tobytes()
+        cuts = [0, *(2 * (np.flatnonzero(np.diff(both.word_ids)) + 1)).tolist(), len(ids)]
+        if len(cuts) != len(words) + 1:
+            return self._whole(words)
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -57,8 +68,10 @@ class Encoder:
         new = set().union(*split).difference(self.known) if split else set()
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, set().union(*split)
-        new = list(new)
-        self.known.update(zip(new, self._whole(new), strict=True))
+        fresh = list(new)
+        for k in range(0, len(fresh), ENCODED_AT_ONCE):
+            some = fresh[k : k + ENCODED_AT_ONCE]
+            self.known.update(zip(some, self._words(some), strict=True))
         for i, words in zip(plain, split, strict=True):
             out[i] = b"".join(map(self.known.__getitem__, words))
         rest = [i for i, x in enumerate(out) if x is None]
@@ -67,6 +80,11 @@ class Encoder:
         return out
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def projection(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.Philox(seed)).standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
 
@@ -113,11 +131,11 @@ def tokenized(docs: DataFrame, id: str, text: str, tokenizer: str, separator: in
     """(id, ids, tokens, c0, c1, c2): the ids with the separator as 16-bit bytes, and the coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, plane = Encoder(tokenizer), projection(seed)
+        plane = projection(seed)
         for b in batches:
             col = strings(b["text"])
             for s, e in slices(col):
-                ids = [x + int(separator).to_bytes(2, "little") for x in encoder.encode(col[s:e].to_pylist())]
+                ids = [x + int(separator).to_bytes(2, "little") for x in encoder(tokenizer).encode(col[s:e].to_pylist())]
                 places = np.array([coordinates(np.frombuffer(x, "<u2"), plane) for x in ids], np.float64)
                 tokens = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
                 yield pa.RecordBatch.from_arrays([b["id"].slice(s, e - s), pa.array(ids, pa.binary()), pa.array(tokens), *(pa.array(places[:, k]) for k in range(DIMENSIONS))], ["id", "ids", "tokens", "c0", "c1", "c2"])
@@ -156,9 +174,11 @@ def placed(rows: DataFrame, curve: Curve, bounds: list[int], columns: list[str])
     return chosen.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns) + ", place long, part long")
 
 
-def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", capacity: int = 2048, separator: int = 1, range_rows: int = RANGE_ROWS, max_ranges: int = 50_000, seed: int = 11) -> DataFrame:
-    """Pieces (id, start, ids, tokens, sequence_id, offset): ``ids`` as unsigned 16-bit little-endian bytes.
+def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", capacity: int = 2048, separator: int = 1, range_rows: int = RANGE_ROWS, max_ranges: int = 50_000, with_ids: bool = True, seed: int = 11) -> DataFrame:
+    """Pieces (id, start, length, ids_crc32, tokens, sequence_id, offset, ids).
 
+    ``ids`` are unsigned 16-bit little-endian bytes (left out if ``with_ids`` is false); ``ids_crc32`` is that of
+    the same ids as unsigned little-endian 32-bit numbers; ``tokens`` counts the whole document's.
     ``range_rows`` and ``max_ranges`` only size the tasks; the sequences are the same stream for any of them.
     """
     rows = cut(tokenized(docs, id, text, tokenizer, separator, seed), "tokens")
@@ -183,22 +203,10 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
                 done, n = 0, len(ids) // 2
                 while done < n:
                     size = min(n - done, capacity - at % capacity)
-                    out.append((doc, done, ids[2 * done : 2 * (done + size)], n, at // capacity, at % capacity))
+                    piece = ids[2 * done : 2 * (done + size)]
+                    out.append((doc, done, size, zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4").tobytes()), n, at // capacity, at % capacity, piece))
                     done, at = done + size, at + size
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            names = ["id", "start", "ids", "tokens", "sequence_id", "offset"]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
-
-    return laid.mapInArrow(run, "id long, start long, ids binary, tokens long, sequence_id long, offset long")
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """Adds ``length`` and ``ids_crc32`` over the ids as unsigned little-endian 32-bit numbers; drops ``ids``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b["ids"].to_pylist()]
-            length = [len(x) // 2 for x in b["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["id"], b["start"], pa.array(length, pa.int64()), pa.array(crc, pa.int64()), b["tokens"], b["sequence_id"], b["offset"]], ["id", "start", "length", "ids_crc32", "tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if name == "ids" else pa.int64()) for k, name in enumerate(names)], names)
 
-    return pieces.mapInArrow(run, "id long, start long, length long, ids_crc32 long, tokens long, sequence_id long, offset long")
+    names = ["id", "start", "length", "ids_crc32", "tokens", "sequence_id", "offset", *["ids"] * with_ids]
+    return laid.mapInArrow(run, ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in names))

@@ -19,8 +19,8 @@ def word_tokenizer() -> str:
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer())
-    return packing.with_crc(pieces).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer(), with_ids=False)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
