@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, langid, licenses, neardup, packing, pii
+from driftwarden.llm import decontaminate, langid, licenses, neardup, packing, pii, substrings
 from driftwarden.llm.common import held_out, table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,6 +87,24 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substrings.repeats(docs)
+    spans = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ","), F.lit(""))
+    removed = F.coalesce(F.aggregate("sd_removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("long"))
+    sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    return sizes.join(found, sizes["doc_id"].eqNullSafe(found["id"]), "left").select(
+        "doc_id",
+        "n_chars",
+        F.col("id").isNotNull().alias("repeated"),
+        F.coalesce("sd_chunks", F.lit(0).cast("long")).alias("n_repeated_chunks"),
+        removed.alias("removed_chars"),
+        spans("sd_repeated").alias("repeated_spans"),
+        spans("sd_removed").alias("removed_spans"),
+        F.coalesce("sd_first", F.array().cast("array<long>")).alias("first_doc_ids"),
+    )
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     labels = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.concat(*cols))), ",")
@@ -105,7 +123,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op10_licenses": op10_licenses}
+    return {"op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
