@@ -58,6 +58,22 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def wanted_only(df: DataFrame, key: str, ids: DataFrame, words: int = 1 << 17) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` may be in ``ids`` (one long column), so that a join moves little else.
+
+    The ids set bits of a map of 64 * ``words`` bits, which is broadcast: its size is fixed (2 MB by default).
+    With very many ids more rows pass than need to; a join must follow.
+    """
+    place = lambda c: F.xxhash64(F.lit(3), c)
+    word = lambda c: F.pmod(F.shiftright(place(c), 6), F.lit(words))
+    bit = lambda c: F.pmod(place(c), F.lit(64)).cast("int")
+    own = F.col(ids.columns[0])
+    one = F.lit(1).cast("long")
+    table = ids.groupBy(word(own).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, bit(own))).alias("_bits"))
+    found = df.join(F.broadcast(table), word(F.col(key)) == F.col("_word"))
+    return found.where(F.call_function("shiftright", F.col("_bits"), bit(F.col(key))).bitwiseAND(one) == 1).select(*df.columns)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id's text is divisible by 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
