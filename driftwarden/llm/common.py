@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 ARROW_BATCH_BYTES = 16 << 20
-LOCAL_CHECKPOINTS = "/tmp/driftwarden-checkpoints"
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, langid, licenses, neardup, packing, pii, substrings
+from driftwarden.llm import decontaminate, imatch, langid, licenses, neardup, packing, pii, substrings
 from driftwarden.llm.common import held_out, table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -123,7 +127,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses}
+    return {"op3_fingerprints": op3_fingerprints, "op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
