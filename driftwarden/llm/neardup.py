@@ -6,10 +6,13 @@ key joins two of them, so n collections serve n(n-1)/2 tables (14 x 2 minhashes
 one of the 14 agrees: 1.6e-5.
 
 Texts with equal sets form one class before any pairing, so exact copies never meet each other. In a
-bucket of up to ``small`` classes all pairs are candidates; in a larger one each class is paired
-with ``hubs`` members. After the confirmed links are joined into components, larger buckets that still
-hold several components are finished exactly: every class outside the bucket's largest component is
-paired with all classes of other components whose set sizes allow the similarity. Nothing is capped.
+bucket of up to ``small`` classes all pairs are candidates. Larger buckets are families: each has a pivot,
+the shingles that most of up to ``PIVOTS`` central members hold, and a hub, the member most like the pivot.
+All members are compared with the hub. Those that are then still outside the hub's component may link
+elsewhere, and a bound finds all such partners without pairing the family: for sets x and y to reach the
+similarity they need t(x, y) common shingles; at most |x and pivot| of them lie in the pivot, so the others
+are common shingles outside it. Such pairs are joined on the rarest of these; pairs that could do without
+any are listed by size. Nothing is capped.
 
 Defined cases: null and empty texts have no set and link with nothing; fewer words than a shingle form
 one shingle; rows with a null id stay alone and are kept; rows that share an id count as one
@@ -27,10 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import SPACED_WORDS, Words, cut, mix64, slices, strings, utf8
+from driftwarden.llm.common import SPACED_WORDS, Words, cut, mix64, slices, strings, utf8, wanted_only
 from driftwarden.llm.components import components
 
 CHUNK = 256
+PIVOTS = 31
 _ROLL = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -90,23 +94,15 @@ def digests(docs: DataFrame, id: str, text: str, size: int, collections: int, wi
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def _priority(ids: np.ndarray) -> np.ndarray:
-    return mix64(ids.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-
-
-def bucket_rows(key: int, ids: np.ndarray, small: int, hubs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket as (bucket, a, b); a large bucket also gives its members as (key, id, id)."""
-    n = len(ids)
-    if n <= small:
-        a, b = np.triu_indices(n, 1)
+def bucket_rows(key: int, ids: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of a small bucket as (0, a, b); the members of a larger one as (key, id, id)."""
+    if len(ids) <= small:
+        a, b = np.triu_indices(len(ids), 1)
         return np.zeros(len(a), np.int64), ids[a], ids[b]
-    order = ids[np.argsort(_priority(ids), kind="stable")]
-    pairs = [(np.full(n - k - 1, order[k]), order[k + 1 :]) for k in range(hubs)]
-    a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
-    return np.concatenate([np.zeros(len(a), np.int64), np.full(n, key or 1)]), np.concatenate([a, ids]), np.concatenate([b, ids])
+    return np.full(len(ids), key or 1), ids, ids
 
 
-def pair_up(rows: DataFrame, small: int, hubs: int) -> DataFrame:
+def pair_up(rows: DataFrame, small: int) -> DataFrame:
     """(key, id) rows -> (bucket, a, b): pairs with bucket 0, members of large buckets with the bucket's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,98 +122,164 @@ def pair_up(rows: DataFrame, small: int, hubs: int) -> DataFrame:
             several = np.flatnonzero(np.diff(edges) > 1)
             done += [(keys[edges[i]], ids[edges[i] : edges[i + 1]]) for i in several[(several >= begin) & (several < len(edges) - 2)].tolist()]
             last, held = keys[-1], [ids[edges[-2] :]]
-            yield from _pairs(done, small, hubs)
+            yield from _pairs(done, small)
         if held:
-            yield from _pairs([(last, np.concatenate(held))], small, hubs)
+            yield from _pairs([(last, np.concatenate(held))], small)
 
     return rows.mapInArrow(run, "bucket long, a long, b long")
 
 
-def _pairs(buckets: list, small: int, hubs: int) -> Iterator[pa.RecordBatch]:
-    made = [bucket_rows(int(key), np.unique(ids), small, hubs) for key, ids in buckets if len(ids) > 1]
+def _pairs(buckets: list, small: int) -> Iterator[pa.RecordBatch]:
+    made = [bucket_rows(int(key), np.unique(ids), small) for key, ids in buckets if len(ids) > 1]
     if made:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[k] for m in made])) for k in range(3)], ["bucket", "a", "b"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose full sets have ``100 * both >= percent * either``.
-
-    Texts are brought to the pair's first member in chunks of at most about ``CHUNK`` partners, so a
-    member with very many partners is spread over many tasks.
-    """
-    pairs = pairs.select("a", "b", (F.xxhash64("b") % 65536).alias("h"))
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
-    pairs = pairs.join(chunks, "a").select("a", "b", F.pmod("h", "chunks").alias("salt"))
-    roles = pairs.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("role")).union(pairs.select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("role")).distinct())
-    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    sides = texts.join(roles, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, firsts = None, []
-        for b in batches:
-            found: list[tuple[int, int]] = []
-            a, salt, role, other = (b[c].to_pylist() for c in ("a", "salt", "role", "id"))
-            for s, _, rows in sets(strings(b["text"]), size):
-                for i, row in enumerate(rows, s):
-                    if (a[i], salt[i]) != where:
-                        where, firsts = (a[i], salt[i]), []
-                    if role[i] == 0:
-                        firsts.append(row)
-                    elif any(similar(x, row, percent) for x in firsts):
-                        found.append((a[i], other[i]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return sides.mapInArrow(run, "a long, b long")
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays without repeats."""
+    if not len(x) or not len(y):
+        return 0
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return int((x[at] == y).sum())
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    both = int((x[at] == y).sum())
+    both = common(x, y)
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def rest_of_large(members: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within large buckets, so that none of their links is lost.
+def families(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(family, id) members of large buckets and (family, id) of up to ``PIVOTS`` central ones.
+
+    A member is the more central, the larger its buckets are together; a bucket belongs to the family of
+    its most central member. All are aggregates with partial results, whatever the size of a bucket.
+    """
+    rows = large.select("bucket", F.col("a").alias("id"))
+    sized = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
+    ranked = cut(rows.join(sized.groupBy("id").agg(F.sum("m").alias("central")), "id"), "ranked")
+    best = lambda: F.max(F.struct("central", (-F.col("id")).alias("id")))
+    hub = ranked.groupBy("bucket").agg((-best()["id"]).alias("family"))
+    members = cut(ranked.join(hub, "bucket").select("family", "id", "central").distinct(), "members")
+    chosen = members.groupBy("family", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg((-best()["id"]).alias("id"))
+    return members.select("family", "id"), chosen.select("family", "id")
+
+
+def pivot_and_hub(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, int, np.ndarray]:
+    """The shingles of at least half of the sets, and the id and set most like them."""
+    values, count = np.unique(np.concatenate([x for _, x in rows]), return_counts=True)
+    pivot = values[2 * count >= len(rows)]
+    shared = [(common(pivot, x) / (len(pivot) + len(x) - common(pivot, x)), -i) for i, x in rows]
+    at = max(range(len(rows)), key=shared.__getitem__)
+    return pivot, *rows[at]
+
+
+def compare(pairs: DataFrame, members: DataFrame | None, chosen: DataFrame | None, docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """Full sets side by side: (kind, family, id, hub, linked, n, inner, outer).
+
+    Kind 0 has the pairs (a, b) that reach the similarity, as hub and id. Kind 1 has every member against hub and
+    pivot of its family: ``n`` is its set's size, ``inner`` how much of it the pivot holds, ``outer`` its
+    other shingles. Only texts that are needed move, once for both. The partners of one member and the
+    members of one family are dealt in chunks of about ``CHUNK``, each with what it is compared with.
+    """
+    parts = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    chunks = lambda df, c: df.groupBy(c).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.select("a", "b").join(chunks(pairs, "a"), "a").select(F.col("a").alias("family"), "b", parts("b", F.col("chunks")).alias("salt"))
+    role = lambda df, kind, c, r: df.select(F.col(c).alias("id"), F.lit(kind).alias("kind"), "family", "salt", F.lit(r).alias("role"))
+    roles = role(dealt, 0, "b", 1).union(role(dealt, 0, "family", 0).distinct())
+    if members is not None:
+        count = chunks(members, "family")
+        roles = roles.union(role(members.join(count, "family").withColumn("salt", parts("id", F.col("chunks"))), 1, "id", 1))
+        roles = roles.union(role(chosen.join(count, "family").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), 1, "id", 0))
+    roles = cut(roles, "roles")
+    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    sides = wanted_only(texts, "id", roles.select("id")).join(roles.hint("merge"), "id")
+    sides = sides.repartition("kind", "family", "salt").sortWithinPartitions("kind", "family", "salt", "role", "id", "text")
 
-    Only buckets with several components come here; all but the largest component of each are spread over
-    the others. Pairs whose set sizes rule the similarity out are not made.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, firsts, pivot, hub, best = None, [], None, None, None
+        for b in batches:
+            out: list[tuple] = []
+            kind, family, salt, role, ids = (b[c].to_pylist() for c in ("kind", "family", "salt", "role", "id"))
+            for s, _, rows in sets(strings(b["text"]), size):
+                for i, row in enumerate(rows, s):
+                    if (kind[i], family[i], salt[i]) != where:
+                        where, firsts, pivot = (kind[i], family[i], salt[i]), [], None
+                    if role[i] == 0:
+                        firsts.append((ids[i], row))
+                    elif kind[i] == 0:
+                        if any(similar(x, row, percent) for _, x in firsts):
+                            out.append((0, family[i], ids[i], family[i], True, len(row), 0, None))
+                    else:
+                        if pivot is None:
+                            pivot, hub, best = pivot_and_hub(firsts)
+                        outer = np.setdiff1d(row, pivot, assume_unique=True)
+                        out.append((1, family[i], ids[i], hub, similar(best, row, percent), len(row), len(row) - len(outer), outer.view(np.int64)))
+            if out:
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["kind", "family", "id", "hub", "linked", "n", "inner", "outer"])
+
+    return sides.mapInArrow(run, "kind int, family long, id long, hub long, linked boolean, n long, inner long, outer array<long>")
+
+
+def rest_of_families(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members in different components that may reach the similarity, where one is outside the hub's.
+
+    With p = percent: x and y need ceil(p (|x| + |y|) / (100 + p)) common shingles. ``reach`` is the size that a
+    partner of x may have for the pivot alone to hold so many.
     """
-    rows = members.select("bucket", F.col("a").alias("id")).join(labels, "id", "left").join(sizes, "id")
-    rows = rows.select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    per = rows.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    top = per.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.component").alias("top"))
-    rows = cut(rows.join(top, "bucket"), "rest")
-    left = rows.where("component <> top").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = rows.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "top")
-    near = f"cx <> cy and (cy = top or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
-    return left.join(right, "bucket").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, collections: int = 14, width: int = 2, small: int = 6, hubs: int = 2, seed: int = 7) -> DataFrame:
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    rows = rows.join(of("id"), "id", "left").join(of("hub"), "hub", "left")
+    rows = rows.select("family", "id", "n", "inner", "outer", F.coalesce("id_component", "id").alias("component"), (F.coalesce("id_component", "id") != F.coalesce("hub_component", "hub")).alias("apart"))
+    rows = rows.withColumn("reach", F.floor((100 + percent) * F.col("inner") / percent) - F.col("n"))
+    least = rows.groupBy("family").agg(F.min("n").alias("least"), F.max("apart").alias("any")).where("any").select("family", "least")
+    rows = cut(rows.join(least, "family"), "rest")
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    side = lambda df, v, *more: df.select("family", *more, F.col("id").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("n", "inner", "reach", "component", "apart")))
+    sized = f"component_x <> component_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    without = side(rows.where("apart and reach >= least"), "x").join(side(rows.where("reach >= least"), "y"), "family").where(f"{sized} and n_y <= reach_x and n_x <= reach_y").select(*pair)
+    # Common shingles outside the pivot: x needs at least ``need`` of them with any partner that it needs some with.
+    smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+    need = F.greatest(F.lit(1), F.ceil(percent * (F.col("n") + smallest) / (100 + percent)) - F.col("inner"))
+    spread = rows.withColumn("need", need).withColumn("shingle", F.explode("outer"))
+    counts = spread.groupBy("family", "shingle").agg(F.count("*").alias("c"), F.max("apart").alias("any"))
+    spread = spread.drop("outer").join(counts.where("c > 1 and any").drop("any"), ["family", "shingle"])
+    spread = cut(spread, "outer")
+    # Of a set's outer shingles the most frequent ``need`` - 1 may be left out: it has to share one of the rest.
+    top = spread.where("apart").groupBy("family", "id").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("held"), F.first("need").alias("need"), F.first("n").alias("n"), F.first("inner").alias("inner"))
+    # The shingles that nobody shares come first of all, being the rarest.
+    alone = F.col("n") - F.col("inner") - F.size("held")
+    prefix = top.withColumn("take", F.greatest(F.lit(0), F.col("n") - F.col("inner") - F.col("need") + 1 - alone).cast("int")).where("take > 0")
+    prefix = prefix.select("family", "id", F.explode(F.slice("held", F.lit(1), F.col("take"))).alias("s")).select("family", "id", F.col("s.shingle").alias("shingle"))
+    x = side(spread.join(prefix, ["family", "id", "shingle"]), "x", "shingle")
+    within = x.join(side(spread, "y", "shingle"), ["family", "shingle"]).where(sized).select(*pair)
+    return without.union(within).distinct()
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, collections: int = 14, width: int = 2, small: int = 6, seed: int = 7) -> DataFrame:
     """(id, nd_shingles, nd_component, nd_kept) for each row of ``docs``."""
     marked = cut(digests(docs, id, text, shingle, collections, width, seed), "sets")
     full = marked.where("n > 0 and id is not null")
-    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("vid"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("vid"), F.first("keys").alias("keys"))
     reps = cut(classes, "classes")
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("keys")[i], F.col("keys")[j]) for t, (i, j) in enumerate(combinations(range(collections), 2))])
     keyed = reps.select(F.explode(tables).alias("key"), F.col("vid").alias("id")).repartition("key").sortWithinPartitions("key")
-    met = cut(pair_up(keyed, small, hubs), "pairs")
-    pairs = cut(met.where("bucket = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().where("a <> b"), "candidates")
-    links = cut(confirm(pairs, docs, id, text, shingle, percent), "links")
+    met = cut(pair_up(keyed, small), "pairs")
+    pairs = cut(met.where("bucket = 0 and a <> b").select("a", "b").distinct(), "candidates")
+    large = met.where("bucket <> 0")
+    crowded = not large.isEmpty()
+    compared = cut(compare(pairs, *(families(large) if crowded else (None, None)), docs, id, text, shingle, percent), "compared")
     # Rows that share an id are one document: the classes of one id are tied without a comparison.
-    ties = full.join(reps.select("d1", "d2", "vid"), ["d1", "d2"]).where("id <> vid").select(F.col("vid").alias("a"), F.col("id").alias("b")).distinct()
-    many = full.select("id", "d1", "d2").distinct().groupBy("id").count().where("count > 1").select(F.col("id").alias("b"))
-    links = cut(links.union(ties.join(many, "b").select("a", "b")), "links")
+    many = full.select("id", "d1", "d2").distinct().groupBy("id").count().where("count > 1").select("id")
+    ties = full.join(many, "id").join(reps.select("d1", "d2", "vid"), ["d1", "d2"]).where("id <> vid").select(F.col("vid").alias("a"), F.col("id").alias("b")).distinct()
+    link = [F.col("hub").alias("a"), F.col("id").alias("b")]
+    links = cut(compared.where("linked and id <> hub").select(*link).union(ties), "links")
     labels = components(links)
-    large = met.where("bucket <> 0")
-    if not large.isEmpty():
-        sizes = reps.groupBy(F.col("vid").alias("id")).agg(F.max("n").alias("n"))
-        more = cut(rest_of_large(large, labels, sizes, percent).join(pairs, ["a", "b"], "left_anti"), "more")
+    if crowded:
+        more = cut(rest_of_families(compared.where("kind = 1"), labels, percent).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
-            found = cut(confirm(more, docs, id, text, shingle, percent), "found")
+            found = cut(compare(more, None, None, docs, id, text, shingle, percent).select(*link), "found")
             if not found.isEmpty():
                 labels = components(links.union(found))
     whole = reps.join(labels.withColumnRenamed("id", "vid"), "vid", "left").select("d1", "d2", F.coalesce("component", "vid").alias("component"))
