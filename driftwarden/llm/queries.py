@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, imatch, langid, licenses, neardup, packing, pii, substrings
+from driftwarden.llm import decontaminate, imatch, langid, licenses, neardup, packing, pii, substrings, toxicity
 from driftwarden.llm.common import held_out, table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out())
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("tx_score").alias("score"),
+        (F.col("tx_score") >= 0.5).cast("int").alias("predicted"),
+        F.size("tx_matches").cast("long").alias("n_matches"),
+        F.size(F.filter("tx_matches", lambda m: m["edits"] > 0)).cast("long").alias("n_misspelled"),
+    )
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
@@ -127,7 +141,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_fingerprints": op3_fingerprints, "op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses}
+    return {"op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
