@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, imatch, langid, licenses, neardup, packing, pii, substrings, toxicity
+from driftwarden.llm import decontaminate, html, imatch, langid, licenses, neardup, packing, pii, substrings, toxicity
 from driftwarden.llm.common import held_out, table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    lines = F.size(F.filter(F.split("ht_text", "\n"), lambda x: x != ""))
+    return found.select("page_id", "url", F.col("ht_title").alias("title"), F.col("ht_text").alias("text"), F.char_length("ht_text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out())
@@ -141,7 +147,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses}
+    return {"op1_html": op1_html, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
