@@ -26,14 +26,14 @@ PLAN = T.StructType(
     ]
 )
 
-# Rows a fault lasts and, by sensor, the range of its size.
-DURATION = {"spike": (1, 3), "drift": (36, 144), "frozen": (36, 144), "offset": (36, 144), "noise": (36, 144), "missing": (6, 36), "multivariate_inconsistency": (36, 144)}
+# Rows a fault lasts (least, most) and, by sensor, the range of its size.
+DURATION = {"spike": (1, 3), "drift": (36, 144), "frozen": (36, 144), "offset": (18, 72), "noise": (18, 72), "missing": (3, 36), "multivariate_inconsistency": (12, 48)}
 MAGNITUDE = {
-    "spike": {"temperature": (10.0, 20.0), "pressure": (15.0, 30.0), "humidity": (20.0, 40.0)},
-    "drift": {"temperature": (3.0, 8.0), "pressure": (5.0, 15.0), "humidity": (10.0, 25.0)},
-    "offset": {"temperature": (5.0, 12.0), "pressure": (8.0, 20.0), "humidity": (15.0, 35.0)},
-    "noise": {"temperature": (2.0, 2.0), "pressure": (3.0, 3.0), "humidity": (5.0, 5.0)},
-    "multivariate_inconsistency": {"temperature": (8.0, 15.0), "pressure": (10.0, 25.0), "humidity": (20.0, 40.0)},
+    "spike": {"temperature": (3.0, 6.0), "pressure": (10.0, 30.0), "humidity": (15.0, 30.0)},
+    "drift": {"temperature": (4.0, 10.0), "pressure": (15.0, 40.0), "humidity": (20.0, 40.0)},
+    "offset": {"temperature": (3.0, 8.0), "pressure": (10.0, 25.0), "humidity": (15.0, 35.0)},
+    "noise": {"temperature": (1.5, 1.5), "pressure": (4.0, 4.0), "humidity": (10.0, 10.0)},
+    "multivariate_inconsistency": {"temperature": (5.0, 10.0), "pressure": (20.0, 40.0), "humidity": (30.0, 50.0)},
 }
 
 
