@@ -139,11 +139,11 @@ class IsolationForest:
         todo = [(0, x, 0)]
         while todo:
             node, rows, level = todo.pop()
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            usable = np.flatnonzero(high > low)
-            if level >= limit or len(rows) <= 1 or not len(usable):
+            usable = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
+            if level >= limit or not len(usable):
                 depth[node] = level + path_normaliser(len(rows))
                 continue
+            low, high = rows.min(axis=0), rows.max(axis=0)
             k = int(rng.choice(usable))
             at = float(rng.uniform(low[k], high[k]))
             feature[node], cut[node], left[node] = k, at, len(feature)

@@ -27,6 +27,7 @@ def in_day() -> Window:
 
 def with_previous(df: DataFrame, columns: list[str]) -> DataFrame:
     """``prev_<c>`` for each column: its value in the station's row before, however long ago; needs ``with_chunk``."""
+    df = df.drop("prev_us", *(f"prev_{c}" for c in columns))
     row = F.struct("us", *columns)
     last = df.groupBy(*DAY).agg(F.max_by(row, "us").alias("last"))
     before = last.select(*DAY, F.lag("last").over(Window.partitionBy("station_id").orderBy("chunk")).alias("_before"))

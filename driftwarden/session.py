@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "driftwarden", **settings: str) -> SparkSession:
@@ -16,3 +18,13 @@ def build(app: str = "driftwarden", **settings: str) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is set."""
     return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+
+
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, where several branches go on from it.
+
+    The branches then read one table instead of each repeating the plan, and a lost executor costs a read.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/driftwarden/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
