@@ -122,8 +122,9 @@ class Model:
         self.languages = sorted(counts)
         self.alphabet = len({c for words in counts.values() for w in words for c in w}) + 2
         fitted = [fit_language(counts[x], self.alphabet) for x in self.languages]
-        self.grams = [union([f[0][k] for f in fitted], -1) for k in range(ORDER)]
-        self.contexts = [union([f[1][k] for f in fitted], 1) for k in range(ORDER)]
+        orders = range(ORDER if fitted else 0)
+        self.grams = [union([f[0][k] for f in fitted], -1) for k in orders]
+        self.contexts = [union([f[1][k] for f in fitted], 1) for k in orders]
         self.median = np.zeros(len(fitted))
         self.limit = np.full(len(fitted), np.inf)
         self.remembered: dict[str, int] = {}

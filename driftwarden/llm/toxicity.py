@@ -54,6 +54,7 @@ class Automaton:
         self.word_at: dict[int, int] = {}
         self.stem_at: dict[int, int] = {}
         self.fuzzy: set[int] = set()  # nodes on the way to a word that may be misspelled
+        self.loose_end: set[int] = set()
         for entries, ends, loose in ((words, self.word_at, True), (stems, self.stem_at, False)):
             for text, number in entries.items():
                 node, path = 0, [0]
@@ -65,7 +66,7 @@ class Automaton:
                 ends[node] = number
                 if loose and len(text) >= FUZZY_LENGTH:
                     self.fuzzy.update(path)
-        self.loose_end = {n for n in self.word_at if n in self.fuzzy}
+                    self.loose_end.add(node)
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -185,7 +186,7 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, id: str, text: st
     """(text, toxic) of the labelled rows that the fit uses; the ids, at most ``sample_rows``, are broadcast."""
     usable = labels.where(learn & F.col("toxic").isNotNull()).groupBy(id).agg(F.max("toxic").alias("toxic"))
     some = usable.orderBy(rank_hash(seed, id), id).limit(sample_rows)
-    return cut(docs.join(F.broadcast(some), id).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "labelled")
+    return cut(docs.select(id, text).join(F.broadcast(some), id).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "labelled")
 
 
 def lexicon(rows: DataFrame, entries: int, least: int) -> list[tuple[str, bool, float]]:
