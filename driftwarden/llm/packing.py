@@ -6,7 +6,7 @@ of id), so equal keys are spread over ranges, and every range is laid end to end
 tokens before it. The stream is cut every ``capacity`` tokens: only the last sequence is padded.
 
 Tokens are found word by word as the tokenizer's own splitting gives them, each distinct word being
-encoded once by the tokenizer; texts with characters outside the plain Latin set go to it whole.
+encoded once by the tokenizer's model; texts with characters outside the plain Latin set go to it whole.
 
 Defined cases: null and empty texts are one token, the separator; rows that share an id are packed one
 after the other, each with its own offsets; no documents give no sequences.
@@ -29,10 +29,10 @@ from driftwarden.llm.common import cut, mix64, slices, strings
 BUCKETS = 4096  # of the hashed document vector
 DIMENSIONS, DIGITS = 3, 13
 HASH_DIGITS = 62 - DIMENSIONS * DIGITS
-REMEMBERED = 400_000
-ENCODED_AT_ONCE = 20_000
+REMEMBERED = 600_000
 RANGE_ROWS = 20_000
-RANGE_TOKENS = 16_000_000
+RANGE_TOKENS = 8_000_000
+WEIGHT = 1024
 
 #: Outside these characters, words are not split here.
 _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
@@ -40,6 +40,14 @@ _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
+def byte_letters() -> dict[int, str]:
+    """Characters of the plain set as the letters that byte-level vocabularies have for their UTF-8 bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
 class Encoder:
     """Text to token ids as little-endian 16-bit bytes. It remembers words, so keep one a process (``encoder``)."""
 
@@ -47,31 +55,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = byte_letters()
+        self.pairs = [k.to_bytes(2, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that the tokenizer does not split: one call for all, parted by its word numbers."""
-        both = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(both.ids, "<u2").tobytes()
-        cuts = [0, *(2 * (np.flatnonzero(np.diff(both.word_ids)) + 1)).tolist(), len(ids)]
-        if len(cuts) != len(words) + 1:
-            return self._whole(words)
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        """Ids of single words: the tokenizer's own merges, without its splitting and offsets."""
+        merge, letters, pairs = self.tokenizer.model.tokenize, self.letters, self.pairs
+        return [b"".join([pairs[t.id] for t in merge(w.translate(letters))]) for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if not _PLAIN.search(t) and "<|" not in t]
         split = [_SPLIT.findall(texts[i].lower()) for i in plain]
-        new = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, set().union(*split)
-        fresh = list(new)
-        for k in range(0, len(fresh), ENCODED_AT_ONCE):
-            some = fresh[k : k + ENCODED_AT_ONCE]
-            self.known.update(zip(some, self._words(some), strict=True))
+        words = set().union(*split)
+        fresh = list(words.difference(self.known))
+        if len(self.known) + len(fresh) > REMEMBERED:  # what is in use stays
+            self.known = {w: self.known[w] for w in words.intersection(self.known)}
+        self.known.update(zip(fresh, self._words(fresh), strict=True))
         for i, words in zip(plain, split, strict=True):
             out[i] = b"".join(map(self.known.__getitem__, words))
         rest = [i for i, x in enumerate(out) if x is None]
@@ -186,7 +190,8 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     curve, size, total = Curve(stats), stats[-2], stats[-1] or 0
     ranges = min(max(1, -(-size // range_rows), -(-total // RANGE_TOKENS)), max_ranges)
     cuts = [k / ranges for k in range(1, ranges)]
-    small = placed(rows, curve, [], ["tokens"])
+    # Ranges of about equal token counts: a place counts once and again for every WEIGHT tokens.
+    small = placed(rows, curve, [], ["tokens"]).select(F.explode(F.array_repeat("place", (F.col("tokens") / WEIGHT).cast("int") + 1)).alias("place"))
     bounds = sorted(set(small.agg(F.percentile_approx("place", cuts, 100 * ranges)).first()[0] or [])) if cuts else []
     own = placed(rows, curve, bounds, ["tokens"]).groupBy("part").agg(F.sum("tokens").alias("own"))
     before = own.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
