@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwarden.operators.timeline import islands, with_chunk, with_previous
+from driftwarden.operators.timeline import DAY, islands, with_chunk, with_following, with_previous
 from driftwarden.schema import MINUTE_US, SENSORS
 
 KEY = ["station_id", "ts"]
@@ -115,12 +115,16 @@ def clean_segments(df: DataFrame, n: int) -> DataFrame:
 
 
 def safe_starts(df: DataFrame, n: int) -> DataFrame:
-    """Rows where a fault of ``n`` rows may begin: the span is within 30 minutes of n - 1 steps, nothing is missing."""
-    w = Window.partitionBy("station_id").orderBy("us")
+    """Rows where a fault of ``n`` rows may begin: the span is within 30 minutes of n - 1 steps, nothing is missing.
+
+    The last row of such a span lies at most that far ahead, so a day needs no more of the next one.
+    """
+    span, slack = (n - 1) * 10 * MINUTE_US, 30 * MINUTE_US
+    w = Window.partitionBy(*DAY).orderBy("us")
     any_missing = F.greatest(*(F.col(s).isNull().cast("int") for s in SENSORS))
-    rows = with_chunk(df).select("*", F.lead("us", n - 1).over(w).alias("end_us"), F.sum(any_missing).over(w.rowsBetween(0, n - 1)).alias("missing"))
-    off = F.abs(F.col("end_us") - F.col("us") - (n - 1) * 10 * MINUTE_US)
-    return rows.where((F.col("missing") == 0) & (off <= 30 * MINUTE_US)).select("station_id", "ts")
+    rows = with_following(with_chunk(df), span + slack)
+    rows = rows.select("*", F.lead("us", n - 1).over(w).alias("end_us"), F.sum(any_missing).over(w.rowsBetween(0, n - 1)).alias("missing"))
+    return rows.where(~F.col("_halo") & (F.col("missing") == 0) & (F.abs(F.col("end_us") - F.col("us") - span) <= slack)).select("station_id", "ts")
 
 
 def correlations(df: DataFrame) -> DataFrame:

@@ -69,6 +69,18 @@ def run_counts(df: DataFrame, counters: dict[str, tuple[Column, Column]]) -> Dat
     return joined.select(*df.columns, *(total(n).cast("int").alias(n) for n in names))
 
 
-def islands(df: DataFrame, change: Column, order: str = "us") -> DataFrame:
-    """Adds ``island``, the number of changes up to the row within its station; for reports on one pass."""
-    return df.withColumn("island", F.sum(change.cast("int")).over(Window.partitionBy("station_id").orderBy(order)))
+def islands(df: DataFrame, change: Column) -> DataFrame:
+    """Adds ``island``, the number of changes up to the row within its station; needs ``with_chunk``."""
+    rows = df.withColumn("_change", change.cast("long"))
+    days = rows.groupBy(*DAY).agg(F.sum("_change").alias("t"))
+    v = Window.partitionBy("station_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(*DAY, F.coalesce(F.sum("t").over(v), F.lit(0)).alias("_before"))
+    return rows.withColumn("_own", F.sum("_change").over(in_day())).join(before, DAY).select(*df.columns, (F.col("_own") + F.col("_before")).alias("island"))
+
+
+def with_following(df: DataFrame, ahead_us: int, chunk_us: int = CHUNK_US) -> DataFrame:
+    """Rows of each day and, with ``_halo`` true, those of the next day's first ``ahead_us`` (at most a day)."""
+    early = F.col("us") % chunk_us <= ahead_us
+    own, halo = F.struct(F.col("chunk").alias("c"), F.lit(False).alias("h")), F.struct((F.col("chunk") - 1).alias("c"), F.lit(True).alias("h"))
+    spread = df.withColumn("_to", F.explode(F.when(early, F.array(own, halo)).otherwise(F.array(own))))
+    return spread.withColumn("chunk", F.col("_to.c")).withColumn("_halo", F.col("_to.h")).drop("_to")
