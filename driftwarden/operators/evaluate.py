@@ -121,3 +121,14 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts and shares of each value; the total is one row, joined by broadcast."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(df.agg(F.count("*").alias("total"))), F.lit(True)).select(column, "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def first_per_type(df: DataFrame) -> DataFrame:
+    """The earliest row of each fault type (the smallest station on ties), by an aggregate and a join back."""
+    first = df.groupBy("anomaly_type").agg(F.min(F.struct("ts", "station_id")).alias("first")).select("anomaly_type", "first.*")
+    return df.join(first, ["anomaly_type", "station_id", "ts"])
+
+
+def flag_share(df: DataFrame, part: Column, predicted: list[str]) -> DataFrame:
+    """Percent of flagged rows of each part (such as development and the rest), a column a predictor."""
+    return df.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), *((F.avg(F.col(c).cast("double")) * 100.0).alias(f"{c}_pct") for c in predicted))

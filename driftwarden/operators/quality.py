@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwarden.operators.timeline import DAY, islands, with_chunk, with_following, with_previous
+from driftwarden.operators.timeline import DAY, islands, row_numbers, with_chunk, with_following, with_previous
 from driftwarden.schema import MINUTE_US, SENSORS
 
 KEY = ["station_id", "ts"]
@@ -140,12 +140,19 @@ def first_days(df: DataFrame, days: int = 7) -> DataFrame:
 
 def around(df: DataFrame, marks: DataFrame, k: int) -> DataFrame:
     """Rows at most ``k`` places from a marked row (station_id, ts), with their distance."""
-    w = Window.partitionBy("station_id").orderBy("ts")
-    numbered = df.withColumn("row", F.row_number().over(w))
+    numbered = row_numbers(with_chunk(df)).drop("us", "chunk")
     at = numbered.join(marks, KEY, "left_semi").select("station_id", F.col("ts").alias("mark_ts"), F.explode(F.sequence(F.col("row") - k, F.col("row") + k)).alias("row"), F.col("row").alias("mark_row"))
     return numbered.join(at, ["station_id", "row"]).withColumn("distance", F.col("row") - F.col("mark_row")).drop("mark_row", "row")
 
 
+def continuous_subset(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` consecutive rows of each station from a start that the seed chooses (all rows of a shorter station)."""
+    numbered = row_numbers(with_chunk(df))
+    sizes = numbered.groupBy("station_id").agg(F.max("row").alias("size"))
+    start = F.pmod(F.xxhash64(F.lit(seed), "station_id"), F.greatest(F.col("size") - n + 1, F.lit(1))) + 1
+    return numbered.join(F.broadcast(sizes.select("station_id", start.alias("start"))), "station_id").where((F.col("row") >= F.col("start")) & (F.col("row") < F.col("start") + n)).select(*df.columns)
+
+
 def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows by a seeded hash of their key: the same ones in any run."""
     return df.orderBy(F.xxhash64(F.lit(seed), "station_id", "ts"), "station_id", "ts").limit(n)
@@ -155,3 +162,28 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 5
     """Counts in ``bins`` equal steps from ``low`` to ``high``; outer bins (0 and bins + 1) hold the rest."""
     bin = F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(bins))
     return df.where(F.col(column).isNotNull()).groupBy(bin.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def null_accounting(df: DataFrame, columns: list[str], warm_up_minutes: int = 360) -> DataFrame:
+    """Per column: missing values, those with a missing sensor in the row, of the rest those in a station's first hours."""
+    start = df.groupBy("station_id").agg(F.min("ts").alias("_start"))
+    rows = df.join(F.broadcast(start), "station_id")
+    raw = F.greatest(*(F.col(s).isNull().cast("int") for s in SENSORS)) == 1
+    warm = F.col("ts") <= F.col("_start") + F.expr(f"INTERVAL {int(warm_up_minutes)} MINUTES")
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("gone")) for c in columns))).alias("x"), raw.alias("raw"), warm.alias("warm"))
+    gone = F.col("x.gone")
+    return long.groupBy(F.col("x.column").alias("column")).agg(F.count_if(gone).alias("missing"), F.count_if(gone & F.col("raw")).alias("expected"), F.count_if(gone & ~F.col("raw") & F.col("warm")).alias("warm_up"), F.count_if(gone & ~F.col("raw") & ~F.col("warm")).alias("unexpected"))
+
+
+def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column its deviation and whether it never varies."""
+    row = df.agg(*(F.stddev_samp(c).alias(c) for c in columns))
+    long = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("std")) for c in columns))).alias("x")).select("x.*")
+    return long.withColumn("constant", F.coalesce(F.col("std") == 0, F.lit(True)))
+
+
+def integrity(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows, repeated keys, missing and infinite values among ``columns``."""
+    keys = df.groupBy(*KEY).agg(F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in columns), *(F.count_if(F.abs(F.col(c)) == float("inf")).alias(f"i_{c}") for c in columns))
+    total = lambda prefix: sum((F.sum(f"{prefix}_{c}") for c in columns[1:]), F.sum(f"{prefix}_{columns[0]}"))
+    return keys.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("repeated_keys"), total("m").alias("missing"), total("i").alias("infinite"))

@@ -69,6 +69,11 @@ def run_counts(df: DataFrame, counters: dict[str, tuple[Column, Column]]) -> Dat
     return joined.select(*df.columns, *(total(n).cast("int").alias(n) for n in names))
 
 
+def row_numbers(df: DataFrame, name: str = "row") -> DataFrame:
+    """Adds the row's place within its station, from 1; needs ``with_chunk``."""
+    return run_counts(df, {name: (F.lit(False), F.lit(True))})
+
+
 def islands(df: DataFrame, change: Column) -> DataFrame:
     """Adds ``island``, the number of changes up to the row within its station; needs ``with_chunk``."""
     rows = df.withColumn("_change", change.cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from driftwarden.operators.fusion import SEVERITY, V1_TEXTS, V2_TEXTS, WEIGHTS
 from driftwarden.operators.health import CHECK_CONNECTION, PENALTY, STATUS
-from driftwarden.plans.queries import EVIDENCE_V1, EVIDENCE_V2, FAMILIES, FAULTS, FUSED_V1, FUSED_V2, SHARES, digits_of
+from driftwarden.plans.queries import ACCOUNTED, EVIDENCE_V1, EVIDENCE_V2, FAMILIES, FAULTS, FUSED_V1, FUSED_V2, SHARES, digits_of
 from driftwarden.schema import SENSORS, SHORT, WINDOWS_MIN
 
 W = "PARTITION BY station_id ORDER BY ts"
@@ -258,6 +258,12 @@ ORACLE: dict[str, str] = {
     "event_timeline": X2 + f"SELECT {KEY}, place, fault_type_hint, severity FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY ts DESC) AS place FROM v2 WHERE anomaly_flag) WHERE place <= 20",
     "corrections": of_obs(f"SELECT {KEY}, {r(*(f'{s}_correction' for s in SENSORS))} FROM (SELECT *, count(*) OVER c AS held, {each(_median_held)} FROM obs WINDOW c AS ({W} RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW)) WHERE held >= 3"),
     "anti_overlap": on(PLAN) + ", nw AS (SELECT DISTINCT station_id, date_trunc('day', ts)::TIMESTAMP AS start_ts, date_trunc('day', ts)::TIMESTAMP + INTERVAL 3 HOUR AS end_ts FROM obs) SELECT station_id, start_ts, end_ts FROM nw WHERE NOT EXISTS (SELECT 1 FROM plan p WHERE p.station_id = nw.station_id AND p.start_ts <= nw.end_ts AND p.end_ts >= nw.start_ts)",
+    "null_accounting": on(base("obs"), rolled("b", (60, 360))) + f", y AS (SELECT *, {DISAGREE} AS multivariate_z_disagreement, any_sensor_missing = 1 AS raw, ts <= min(ts) OVER (PARTITION BY station_id) + INTERVAL 360 MINUTE AS warm FROM z) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS missing, count(*) FILTER ({c} IS NULL AND raw) AS expected, count(*) FILTER ({c} IS NULL AND NOT raw AND warm) AS warm_up, count(*) FILTER ({c} IS NULL AND NOT raw AND NOT warm) AS unexpected FROM y" for c in ACCOUNTED),
+    "constant_columns": FEATS + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {q(f'stddev_samp({x})')} AS std, coalesce(stddev_samp({x}) = 0, true) AS constant FROM b" for c, x in (("fixed", "1.0"), ("humidity", "humidity"), ("temperature_delta_1", "temperature_delta_1"))),
+    "integrity": on(REPEATS) + f"SELECT count(*) AS rows, count(*) - count(DISTINCT (station_id, ts)) AS repeated_keys, CAST({' + '.join(f'count(*) FILTER ({s} IS NULL)' for s in SENSORS)} AS BIGINT) AS missing, 0::BIGINT AS infinite FROM w",
+    "first_per_type": L + f"SELECT anomaly_type, {KEY}, {r(*SENSORS)} FROM (SELECT *, row_number() OVER (PARTITION BY anomaly_type ORDER BY ts, station_id) AS rn FROM lab) WHERE rn = 1",
+    "version_change": on(LABELLED, V1, V2.replace(SCORED + ",", "")) + f", a AS (SELECT {COUNTS.replace('predicted', 'p1')} FROM (SELECT *, CASE WHEN hybrid_anomaly_score > 0.5 THEN 1 ELSE 0 END AS p1 FROM v1)), c AS (SELECT {COUNTS} FROM v2) SELECT {q('CASE WHEN a.fp = 0 THEN 0.0 ELSE (a.fp - c.fp) / nullif(a.fp, 0)::DOUBLE END * 100.0')} AS fp_reduction_pct, {q('CASE WHEN c.tp + c.fn = 0 THEN 0.0 ELSE c.tp / nullif(c.tp + c.fn, 0)::DOUBLE END - CASE WHEN a.tp + a.fn = 0 THEN 0.0 ELSE a.tp / nullif(a.tp + a.fn, 0)::DOUBLE END')} AS recall_change FROM a, c",
+    "dev_share": X2 + f", y AS (SELECT *, CASE WHEN statistical_score > 10.0 THEN 1 ELSE 0 END AS st FROM v2) SELECT CASE WHEN ts < TIMESTAMP '2024-01-02 00:00:00' THEN 'development' ELSE 'rest' END AS part, count(*) AS rows, {q('avg(predicted) * 100.0')} AS predicted_pct, {q('avg(st) * 100.0')} AS statistical_pct, {q('avg(greatest(predicted, st)) * 100.0')} AS any_pct FROM y GROUP BY 1",
     "left_join_features": on(LABELLED, base("obs")) + f"SELECT CAST(l.station_id AS BIGINT) AS station_id, l.ts, l.anomaly_id, {', '.join(q(f'b.{s}_rate_per_hour') + f' AS {s}_rate_per_hour' for s in SENSORS)} FROM lab l LEFT JOIN b ON l.station_id = b.station_id AND l.ts = b.ts WHERE l.is_anomaly = 1",
     "table_diff": L + f"SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, {each(lambda s: f'count(*) FILTER (NOT coalesce(abs(l.{s} - o.{s}) <= 1e-8 + 1e-5 * abs(o.{s}), l.{s} IS NULL AND o.{s} IS NULL)) AS {s}')} FROM lab l JOIN obs o ON l.station_id = o.station_id AND l.ts = o.ts",
 }

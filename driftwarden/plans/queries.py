@@ -220,6 +220,21 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(spark, f"{sf_dir}/events.parquet")
 
 
+def both_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second fusion changes against the first at its threshold."""
+    rows = labelled(spark, sf_dir)
+    one = evaluate.rates(evaluate.confusion(v1(rows, 0.5), predicted="hybrid_prediction"))
+    two = evaluate.rates(evaluate.confusion(v2(rows).withColumn("predicted", F.col("anomaly_flag").cast("int"))))
+    return tidy(evaluate.compared(one, two))
+
+
+def dev_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.when(F.col("ts") < F.expr("timestamp_ntz'2024-01-02 00:00:00'"), "development").otherwise("rest")
+    rows = judged(spark, sf_dir).withColumn("statistical", (F.col("statistical_score") > 10.0).cast("int")).withColumn("any", F.greatest("predicted", "statistical"))
+    return tidy(evaluate.flag_share(rows, part, ["predicted", "statistical", "any"]))
+
+
+ACCOUNTED = ("temperature_delta_1", "humidity_rate_per_hour", "pressure_roll_mean_60m", "temperature_roll_std_60m", "humidity_roll_z_60m", "multivariate_z_disagreement", "temperature_roll_mean_360m")
 FUSED_V1 = ("base_score", "contextual_consistency", "suppression_factor", "hybrid_anomaly_score", "v1_confidence", "hybrid_prediction", "v1_primary_evidence")
 FUSED_V2 = ("sudden_event_score", "persistent_fault_score", "communication_score", "context_factor", "final_anomaly_score", "anomaly_confidence", "anomaly_flag", "candidate_fault_family")
 EVIDENCE_V1 = ("e1_temporal", "e1_statistical", "e1_multivariate", "e1_stability", "e1_missing", "e1_model")
@@ -295,6 +310,14 @@ QUERIES: dict[str, Query] = {
     "event_timeline": event_timeline,
     "corrections": lambda s, d: corrected(with_chunk(obs(s, d))),
     "anti_overlap": anti_overlap,
+    "null_accounting": lambda s, d: tidy(quality.null_accounting(scored_features(obs(s, d)), list(ACCOUNTED))),
+    "constant_columns": lambda s, d: tidy(quality.constant_columns(base(obs(s, d)).withColumn("fixed", F.lit(1.0)), ["fixed", "humidity", "temperature_delta_1"])),
+    "integrity": lambda s, d: tidy(quality.integrity(with_repeats(s, d), list(SENSORS))),
+    "first_per_type": lambda s, d: tidy(evaluate.first_per_type(labelled(s, d)).select("anomaly_type", *KEYS, *SENSORS)),
+    "version_change": both_versions,
+    "dev_share": dev_share,
+    "exact_sample": lambda s, d: quality.sample(obs(s, d), 100),
+    "continuous_subset": lambda s, d: quality.continuous_subset(obs(s, d), 100),
     "left_join_features": left_join_features,
     "table_diff": table_diff,
     "inject_noise": noise,
