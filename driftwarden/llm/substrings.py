@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from driftwarden.llm.common import hash_spans, mix64, slices, strings, utf8, wanted_only
 
-MIN, MAX = 24, 192
-END_MASK = np.uint16(0xF800)  # five upper bits of a 16-bit hash: one end in 32 places
+MIN, MAX = 20, 128
+END_MASK = np.uint16(0xF000)  # four upper bits of a 16-bit hash: one end in 16 places
 _GEAR = np.random.Generator(np.random.Philox(424242)).integers(0, 1 << 16, 256, dtype=np.uint16)
 _OTHER = np.random.Generator(np.random.Philox(434343)).permutation(256).astype(np.uint8)
 
@@ -109,7 +109,7 @@ def runs(rows: list[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b - a >= min_run]
 
 
-def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 100) -> DataFrame:
+def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 80) -> DataFrame:
     """(id, sd_chunks, sd_repeated, sd_removed, sd_first): documents with a repeated run.
 
     ``sd_repeated`` and ``sd_removed`` are arrays of (start, end) in code points, ``sd_first`` the smallest ids
@@ -149,7 +149,7 @@ def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pairs(2), pairs(3), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], ["id", "sd_chunks", "sd_repeated", "sd_removed", "sd_first"])
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 100) -> DataFrame:
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 80) -> DataFrame:
     """``docs`` with the removed runs cut out of their texts."""
     found = repeats(docs, id, text, min_run).where(F.size("sd_removed") > 0).select("id", "sd_removed")
     edges = F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.transform("sd_removed", lambda x: F.array(x["start"], x["end"]))), F.array(F.char_length(F.col(text)).cast("long")))
