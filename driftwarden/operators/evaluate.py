@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwarden.functions.columns import quantiles
+
 
 def confusion(df: DataFrame, label: str = "is_anomaly", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
     y, p = F.col(label) == 1, F.col(predicted) == 1
@@ -75,9 +77,12 @@ def type_recall(df: DataFrame, predicted: str = "predicted") -> DataFrame:
     return df.where("is_anomaly = 1").groupBy("anomaly_type").agg(F.count("*").alias("rows"), F.sum(predicted).alias("flagged"), F.avg(F.col(predicted).cast("double")).alias("recall"))
 
 
-def type_distribution(df: DataFrame, score: str) -> DataFrame:
-    """Per fault type: rows, mean, median, 5th, 95th and 99th percentile and maximum of a score."""
-    q = F.percentile(score, F.array(*(F.lit(x) for x in (0.05, 0.5, 0.95, 0.99))))
+def type_distribution(df: DataFrame, score: str, exact: bool = True) -> DataFrame:
+    """Per fault type: rows, mean, median, 5th, 95th and 99th percentile and maximum of a score.
+
+    Set ``exact`` false where a type has more distinct scores than fit in a task.
+    """
+    q = quantiles(score, (0.05, 0.5, 0.95, 0.99), exact)
     out = df.groupBy("anomaly_type").agg(F.count("*").alias("rows"), F.avg(score).alias("mean"), q.alias("q"), F.max(score).alias("max"))
     return out.select("anomaly_type", "rows", "mean", *(F.col("q")[k].alias(n) for k, n in enumerate(("p05", "median", "p95", "p99"))), "max")
 
@@ -104,10 +109,10 @@ def pivot_family(df: DataFrame, families: list[str], predicted: str = "predicted
     return df.where((F.col("is_anomaly") == 1) & (F.col(predicted) == 1)).groupBy("anomaly_type").pivot("candidate_fault_family", families).count().fillna(0)
 
 
-def saturation(df: DataFrame, score: str, label: str = "is_anomaly") -> DataFrame:
+def saturation(df: DataFrame, score: str, label: str = "is_anomaly", exact: bool = True) -> DataFrame:
     """Minimum, upper percentiles, maximum and share of exact ones, by label."""
     levels = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995}
-    q = F.percentile(score, F.array(*(F.lit(x) for x in levels.values())))
+    q = quantiles(score, levels.values(), exact)
     out = df.groupBy(label).agg(F.min(score).alias("min"), q.alias("q"), F.max(score).alias("max"), F.avg((F.col(score) == 1.0).cast("double")).alias("share_one"))
     return out.select(label, "min", *(F.col("q")[k].alias(n) for k, n in enumerate(levels)), "max", "share_one")
 

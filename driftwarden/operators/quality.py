@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwarden.functions.columns import quantiles
 from driftwarden.operators.timeline import DAY, islands, row_numbers, with_chunk, with_following, with_previous
 from driftwarden.schema import MINUTE_US, SENSORS
 
@@ -52,11 +53,11 @@ def basic_audit(df: DataFrame) -> DataFrame:
     return long.groupBy("sensor").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
 
 
-def describe(df: DataFrame) -> DataFrame:
-    """``basic_audit`` with exact quartiles."""
+def describe(df: DataFrame, exact: bool = True) -> DataFrame:
+    """``basic_audit`` with quartiles, exact or from a bounded sketch."""
     parts = F.array(*(F.struct(F.lit(s).alias("sensor"), F.col(s).alias("x")) for s in SENSORS))
     long = df.select(F.explode(parts).alias("p")).select("p.sensor", "p.x")
-    quartiles = F.percentile("x", F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75))))
+    quartiles = quantiles("x", (0.25, 0.5, 0.75), exact)
     out = long.groupBy("sensor").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), quartiles.alias("q"), F.max("x").alias("max"))
     return out.select("sensor", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
