@@ -112,20 +112,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = substrings.repeats(docs)
-    spans = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ","), F.lit(""))
-    removed = F.coalesce(F.aggregate("sd_removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("long"))
-    sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    return sizes.join(found, sizes["doc_id"].eqNullSafe(found["id"]), "left").select(
-        "doc_id",
-        "n_chars",
-        F.col("id").isNotNull().alias("repeated"),
-        F.coalesce("sd_chunks", F.lit(0).cast("long")).alias("n_repeated_chunks"),
-        removed.alias("removed_chars"),
+    """Documents with a repeated run; all others share none and are not in the result."""
+    found = substrings.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("sd_chunks").alias("n_repeated_chunks"),
+        chars("sd_repeated").alias("repeated_chars"),
+        chars("sd_removed").alias("removed_chars"),
         spans("sd_repeated").alias("repeated_spans"),
         spans("sd_removed").alias("removed_spans"),
-        F.coalesce("sd_first", F.array().cast("array<long>")).alias("first_doc_ids"),
+        F.col("sd_first").alias("first_doc_ids"),
     )
 
 

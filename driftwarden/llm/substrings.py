@@ -5,9 +5,9 @@ around it. Chunks have at least ``MIN`` and at most ``MAX`` bytes and never spli
 digests are equal chunks: of each, the document with the smallest id keeps its first occurrence and every
 other one is removed. A run of repeated chunks counts from ``min_run`` characters on.
 
-Digests are counted with partial sums, and only those that occur again are joined back, so a passage that a
-third of all documents share is one row of the counted table; the join on it is a plain inner join
-that adaptive execution splits.
+Digests are counted with partial sums, and only those that occur again are written and joined back, so a passage
+that a third of all documents share is one row of the counted table; both sides of the join are scans, so
+adaptive execution can split its hot keys.
 
 Defined cases: null and empty texts have no chunks; rows that share an id are one document for the choice of
 who keeps a chunk (both keep it); rows with a null id come after all others.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import hash_spans, mix64, slices, strings, utf8, wanted_only
+from driftwarden.llm.common import cut, hash_spans, mix64, slices, strings, utf8, wanted_only
 
 MIN, MAX = 20, 128
 END_MASK = np.uint16(0xF000)  # four upper bits of a 16-bit hash: one end in 16 places
@@ -116,7 +116,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: in
     that hold the repeated chunks, ``sd_chunks`` how many of the document's chunks occur elsewhere or again.
     """
     found = chunks(docs, id, text)
-    counted = found.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    counted = cut(found.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first"), "repeated-chunks")
     hits = wanted_only(found, "d1", counted.select("d1"), 1 << 18).join(counted.hint("merge"), ["d1", "d2"])
     hits = hits.select("id", "start", "length", "first", (F.col("again") | F.coalesce(F.col("first") < F.col("id"), F.col("first").isNotNull() & F.col("id").isNull())).alias("gone"))
     hits = hits.repartition("id").sortWithinPartitions("id", "start", "length", "gone")
