@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from driftwarden.functions.columns import bounded, clip, zero
 from driftwarden.operators.features import model_columns
 from driftwarden.operators.fusion import largest
+from driftwarden.session import ship
 
 PERCENTILE = 0.995
 DEVELOPMENT_ROWS = 15_000
@@ -94,6 +95,7 @@ class PrincipalComponents:
 
 def with_scores(df: DataFrame, scaler: Scaler, name: str, function) -> DataFrame:
     """Adds ``name``: ``function`` of the scaled matrix, a batch at a time."""
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c != name]
     x = F.array(*(e for e in scaler.expressions())).alias("_x")
     rows = df.select(*kept, x)

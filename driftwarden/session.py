@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,15 @@ def build(app: str = "driftwarden", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package where they see the same path; elsewhere it is installed or sent by the cluster."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is set."""
     return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"

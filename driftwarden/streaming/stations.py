@@ -23,7 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from driftwarden.operators.fusion import AGREEMENT, BONUS, COHERENT, COMMUNICATION, MODEL_CAP, PERSISTENT, SEVERITY, SUDDEN, SUPPRESSION
 from driftwarden.operators.health import CHECK_CONNECTION, GAP_US, GROWTH, MOST_GROWTH, PENALTY, RECOVERY, STATUS, TEXTS
 from driftwarden.schema import MINUTE_US, SENSORS
-from driftwarden.session import checkpoint_dir
+from driftwarden.session import checkpoint_dir, ship
 from driftwarden.sources.tables import micros, observations
 
 HISTORY_US = 360 * MINUTE_US
@@ -237,6 +237,7 @@ def process_stream(obs: DataFrame, parameters: Parameters | None = None) -> Data
 
     Rejected records come out with the processing state REJECTED and nothing else.
     """
+    ship(obs.sparkSession)
     p = parameters or Parameters()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
