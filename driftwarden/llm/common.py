@@ -7,10 +7,8 @@ of its own and is still processed whole.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwarden.session import ship
+
 SLICE_BYTES = 4 << 20
 ARROW_BATCH_BYTES = 16 << 20
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -26,11 +26,7 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on: small Arrow batches and a code path for workers."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    return spark
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

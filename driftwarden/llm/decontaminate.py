@@ -7,7 +7,8 @@ The index is a Burrows-Wheeler transform in a wavelet matrix; windows are found
 placed by walking to sampled suffix positions, and their spans merged.
 
 A window is ``window`` consecutive words of an item, or all words of a shorter item. The benchmark is a
-query set: it is read in blocks of at most ``block_words`` words, each broadcast alone, one pass a block.
+query set: it is read in blocks of at most ``block_words`` words, each broadcast alone, one pass a block;
+after every ``STAGE_BLOCKS`` passes the rows are written, so that no task holds more blocks.
 
 Defined cases: null or empty texts have no words and stay; items without words match nothing; items that
 share an id count once; ``dc_*`` columns that the documents already have are replaced; repeated rows
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwarden.llm.common import ALNUM_WORDS, Words, hash_word, slices, strings, utf8
+from driftwarden.llm.common import ALNUM_WORDS, Words, cut, hash_word, prepare, slices, strings, utf8
 
 SAMPLE = 8
+STAGE_BLOCKS = 4
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 RESULT = T.StructType([T.StructField("dc_words", T.LongType()), T.StructField("dc_spans", SPANS), T.StructField("dc_items", T.ArrayType(T.StringType())), T.StructField("dc_bytes", SPANS)])
 
@@ -239,6 +241,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     ``dc_words`` words of the text, ``dc_spans`` word spans inside occurrences, ``dc_items`` ids of the
     items that occur (sorted as strings), ``dc_bytes`` the same spans as bytes of the UTF-8 text.
     """
+    prepare(docs.sparkSession)
     keep = [c for c in (keep or docs.columns) if c not in RESULT.names]
     out = docs.select(*dict.fromkeys([*keep, text]))
     sc = docs.sparkSession.sparkContext
@@ -270,6 +273,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                     yield pa.RecordBatch.from_arrays(arrays, [*kept, *RESULT.names])
 
         out = out.mapInArrow(run, T.StructType([*fields, *RESULT.fields]))
+        if k % STAGE_BLOCKS == STAGE_BLOCKS - 1 and not last:
+            out = cut(out, "marked")
     return out
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from driftwarden.llm.common import slices, strings
+from driftwarden.llm.common import prepare, slices, strings
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -336,6 +336,7 @@ RESULT = T.StructType([T.StructField("ht_text", T.StringType()), T.StructField("
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``pages`` (its columns ``keep``) with ``ht_text`` and ``ht_title``."""
+    prepare(pages.sparkSession)
     keep = [c for c in (keep or pages.columns) if c not in RESULT.names]
     rows = pages.select(*dict.fromkeys([*keep, html]))
 

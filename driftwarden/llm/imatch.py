@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import ALNUM_WORDS, Words, mix64, slices, strings, utf8
+from driftwarden.llm.common import ALNUM_WORDS, Words, mix64, prepare, slices, strings, utf8
 
 WIDTH = 22
 BLOCK = 12
@@ -59,6 +59,7 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
     """Documents with a term in each cell, and how many documents there are."""
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(1 << WIDTH, np.int32), 0
@@ -185,6 +186,7 @@ def fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text", low: fl
 
     The edited text has its last floor(n / 2) code points replaced by as many first ones of the next document.
     """
+    prepare(docs.sparkSession)
     lexicon = Lexicon(*document_frequencies(docs, text), low, high, few)
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 

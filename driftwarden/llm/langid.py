@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwarden.llm.common import mix64, rank_hash, slices, strings
+from driftwarden.llm.common import mix64, prepare, rank_hash, slices, strings
 
 ORDER = 5
 START, END, FIRST = 1, 2, 3
@@ -219,6 +219,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, max_languages: int = 40, margin: float = 2.0, seed: int = 5) -> Model:
     """A model of the languages that ``lang`` names in the rows where ``learn`` is true."""
+    prepare(docs.sparkSession)
     rows = learned_rows(docs, id, text, lang, learn, per_language, max_languages, seed)
     counts: dict[str, dict[str, int]] = {}
     table = count_words(rows.where("part <> 0").select("lang", "text")).toArrow()
@@ -250,6 +251,7 @@ def fit(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text",
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``) with ``li_lang``, ``li_score``, ``li_entropy`` (bits a symbol) and ``li_rejected``."""
+    prepare(docs.sparkSession)
     keep = [c for c in (keep or docs.columns) if c not in RESULT.names]
     rows = docs.select(*dict.fromkeys([*keep, text]))
     held = docs.sparkSession.sparkContext.broadcast(model)

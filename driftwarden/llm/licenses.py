@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from driftwarden.llm.common import ALNUM_WORDS, slices, strings
+from driftwarden.llm.common import ALNUM_WORDS, prepare, slices, strings
 
 EDIT_EVERY = 12
 
@@ -120,6 +120,7 @@ class Scanner:
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """``docs`` (its columns ``keep``) with ``ls_words``, ``ls_base`` (exact phrases) and ``ls_notices`` (verified notices)."""
+    prepare(docs.sparkSession)
     keep = [c for c in (keep or docs.columns) if c not in RESULT.names]
     rows = docs.select(*dict.fromkeys([*keep, text]))
 

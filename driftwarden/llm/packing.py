@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import cut, mix64, slices, strings
+from driftwarden.llm.common import cut, mix64, prepare, slices, strings
 
 BUCKETS = 4096  # of the hashed document vector
 DIMENSIONS, DIGITS = 3, 13
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     the same ids as unsigned little-endian 32-bit numbers; ``tokens`` counts the whole document's.
     ``range_rows`` and ``max_ranges`` only size the tasks; the sequences are the same stream for any of them.
     """
+    prepare(docs.sparkSession)
     rows = cut(tokenized(docs, id, text, tokenizer, separator, seed), "tokens")
     stats = rows.agg(*(f(f"c{k}") for k in range(DIMENSIONS) for f in (F.avg, F.stddev_pop)), F.count("*"), F.sum("tokens")).first()
     curve, size, total = Curve(stats), stats[-2], stats[-1] or 0

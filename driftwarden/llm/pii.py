@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwarden.llm.boosting import BoostedTrees
-from driftwarden.llm.common import rank_hash, slices, strings
+from driftwarden.llm.common import prepare, rank_hash, slices, strings
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "iban", "secret")
@@ -215,6 +215,7 @@ RESULT = T.StructType([T.StructField("pii_spans", _SPAN), T.StructField("pii_cle
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, precision: float = 0.97) -> Finder:
     """Fits the trees on the spans of about ``sample_rows`` documents with a digit, chosen by a hash of the id."""
+    prepare(docs.sparkSession)
     some = docs.where(F.col(text).rlike("[0-9]"))
     size = some.count()
     chosen = some.where(rank_hash(17, id) <= ((1 << 63) - 1) * min(sample_rows, size) // max(size, 1))
@@ -233,6 +234,7 @@ def find(docs: DataFrame, finder: Finder, text: str = "text", keep: list[str] |
 
     ``pii_clean`` is the text with every span replaced by its kind in brackets; null stays null.
     """
+    prepare(docs.sparkSession)
     names = RESULT.names[: 1 + redact]
     keep = [c for c in (keep or docs.columns) if c not in names]
     rows = docs.select(*dict.fromkeys([*keep, text]))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwarden.llm.common import cut, rank_hash, slices, strings
+from driftwarden.llm.common import cut, prepare, rank_hash, slices, strings
 
 WINDOW = 8
 FUZZY_LENGTH = 5
@@ -247,6 +247,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", sample_rows: int = 20_000, entries: int = 2_000, least: int = 5, seed: int = 2) -> Model:
+    prepare(docs.sparkSession)
     rows = learned(docs, labels, learn, id, text, sample_rows, seed)
     found = lexicon(rows, entries, least)
     if not found:
@@ -259,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set(words)), pa.string())], ["word"])
 
     # Near words that documents without the label hold are words of their own.
-    clean = rows.where("toxic = 0").select("text").mapInArrow(misspelled, "word string").distinct().orderBy(F.xxhash64("word"), "word").limit(100_000)
+    clean = rows.where("toxic = 0").select("text").mapInArrow(misspelled, "word string").distinct()
     matcher = Matcher(found, frozenset(r.word for r in clean.collect()))
     held = rows.sparkSession.sparkContext.broadcast(matcher)
 
@@ -281,6 +282,7 @@ RESULT = T.StructType([T.StructField("tx_score", T.DoubleType()), T.StructField(
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``) with ``tx_score`` and ``tx_matches`` (word, its place, edits, score of its window)."""
+    prepare(docs.sparkSession)
     keep = [c for c in (keep or docs.columns) if c not in RESULT.names]
     rows = docs.select(*dict.fromkeys([*keep, text]))
     held = docs.sparkSession.sparkContext.broadcast(model)
