@@ -112,16 +112,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a repeated run; all others share none and are not in the result."""
-    found = substrings.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Documents that share a run with others; all others share none and are not in the result."""
+    found = substrings.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("sd_shared") > 0)
     spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select(
         F.col("id").alias("doc_id"),
         F.col("sd_chunks").alias("n_repeated_chunks"),
         chars("sd_repeated").alias("repeated_chars"),
+        chars("sd_shared").alias("shared_chars"),
         chars("sd_removed").alias("removed_chars"),
         spans("sd_repeated").alias("repeated_spans"),
+        spans("sd_shared").alias("shared_spans"),
         spans("sd_removed").alias("removed_spans"),
         F.col("sd_first").alias("first_doc_ids"),
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import cut, hash_spans, mix64, slices, strings, utf8, wanted_only
+from driftwarden.llm.common import cut, hash_spans, mix64, prepare, slices, strings, utf8, wanted_only
 
 MIN, MAX = 20, 128
 END_MASK = np.uint16(0xF000)  # four upper bits of a 16-bit hash: one end in 16 places
@@ -109,29 +109,31 @@ def runs(rows: list[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b - a >= min_run]
 
 
-def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 80) -> DataFrame:
-    """(id, sd_chunks, sd_repeated, sd_removed, sd_first): documents with a repeated run.
+def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 120) -> DataFrame:
+    """(id, sd_chunks, sd_repeated, sd_shared, sd_removed, sd_first): documents with a repeated run.
 
-    ``sd_repeated`` and ``sd_removed`` are arrays of (start, end) in code points, ``sd_first`` the smallest ids
+    ``sd_repeated``, ``sd_shared`` (what other documents hold too) and ``sd_removed`` are arrays of (start, end) in code points, ``sd_first`` the smallest ids
     that hold the repeated chunks, ``sd_chunks`` how many of the document's chunks occur elsewhere or again.
     """
+    prepare(docs.sparkSession)
     found = chunks(docs, id, text)
-    counted = cut(found.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first"), "repeated-chunks")
+    counted = cut(found.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("nameless")).where("n > 1"), "repeated-chunks")
     hits = wanted_only(found, "d1", counted.select("d1"), 1 << 18).join(counted.hint("merge"), ["d1", "d2"])
-    hits = hits.select("id", "start", "length", "first", (F.col("again") | F.coalesce(F.col("first") < F.col("id"), F.col("first").isNotNull() & F.col("id").isNull())).alias("gone"))
+    shared = F.coalesce(F.col("first") != F.col("last"), F.lit(False)) | ((F.col("nameless") > 0) & (F.col("first").isNotNull() | (F.col("nameless") > 1)))
+    hits = hits.select("id", "start", "length", "first", shared.alias("shared"), (F.col("again") | F.coalesce(F.col("first") < F.col("id"), F.col("first").isNotNull() & F.col("id").isNull())).alias("gone"))
     hits = hits.repartition("id").sortWithinPartitions("id", "start", "length", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = None, []
 
         def done() -> list[tuple]:
-            every, gone = runs([x[:2] for x in held], min_run), runs([x[:2] for x in held if x[3]], min_run)
+            every, shared, gone = (runs([x[:2] for x in held if chosen(x)], min_run) for chosen in (lambda x: True, lambda x: x[3], lambda x: x[4]))
             firsts = sorted({x[2] for x in held if x[2] is not None and any(a <= x[0] < b for a, b in every)})
-            return [(own[0], len(held), every, gone, firsts)] if every else []
+            return [(own[0], len(held), every, shared, gone, firsts)] if every else []
 
         for b in batches:
             out = []
-            for i, *rest in zip(*(b[c].to_pylist() for c in ("id", "start", "length", "first", "gone")), strict=True):
+            for i, *rest in zip(*(b[c].to_pylist() for c in ("id", "start", "length", "first", "shared", "gone")), strict=True):
                 if own is None or own[0] != i:
                     out += done() if held else []
                     own, held = (i,), []
@@ -139,17 +141,17 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: in
             yield from _batch(out)
         yield from _batch(done() if held else [])
 
-    return hits.mapInArrow(run, "id long, sd_chunks long, sd_repeated array<struct<start:long,end:long>>, sd_removed array<struct<start:long,end:long>>, sd_first array<long>")
+    return hits.mapInArrow(run, "id long, sd_chunks long, sd_repeated array<struct<start:long,end:long>>, sd_shared array<struct<start:long,end:long>>, sd_removed array<struct<start:long,end:long>>, sd_first array<long>")
 
 
 def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     if rows:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         pairs = lambda k: pa.array([[{"start": a, "end": b} for a, b in r[k]] for r in rows], span)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pairs(2), pairs(3), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], ["id", "sd_chunks", "sd_repeated", "sd_removed", "sd_first"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pairs(2), pairs(3), pairs(4), pa.array([r[5] for r in rows], pa.list_(pa.int64()))], ["id", "sd_chunks", "sd_repeated", "sd_shared", "sd_removed", "sd_first"])
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 80) -> DataFrame:
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 120) -> DataFrame:
     """``docs`` with the removed runs cut out of their texts."""
     found = repeats(docs, id, text, min_run).where(F.size("sd_removed") > 0).select("id", "sd_removed")
     edges = F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.transform("sd_removed", lambda x: F.array(x["start"], x["end"]))), F.array(F.char_length(F.col(text)).cast("long")))
