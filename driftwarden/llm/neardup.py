@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import SPACED_WORDS, Words, cut, mix64, slices, strings, utf8, wanted_only
+from driftwarden.llm.common import SPACED_WORDS, Words, cut, mix64, prepare, slices, strings, utf8, wanted_only
 from driftwarden.llm.components import components
 
 CHUNK = 256
@@ -154,13 +154,14 @@ def families(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(family, id) members of large buckets and (family, id) of up to ``PIVOTS`` central ones.
 
     A member is the more central, the larger its buckets are together; a bucket belongs to the family of
-    its most central member. All are aggregates with partial results, whatever the size of a bucket.
+    its most central member. All are aggregates with partial results, whatever the size of a bucket, and are
+    written before they are joined back: a join of two scans on a hot bucket can be split.
     """
     rows = large.select("bucket", F.col("a").alias("id"))
-    sized = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
-    ranked = cut(rows.join(sized.groupBy("id").agg(F.sum("m").alias("central")), "id"), "ranked")
+    sized = rows.join(cut(rows.groupBy("bucket").agg(F.count("*").alias("m")), "bucket-sizes"), "bucket")
+    ranked = cut(rows.join(cut(sized.groupBy("id").agg(F.sum("m").alias("central")), "central"), "id"), "ranked")
     best = lambda: F.max(F.struct("central", (-F.col("id")).alias("id")))
-    hub = ranked.groupBy("bucket").agg((-best()["id"]).alias("family"))
+    hub = cut(ranked.groupBy("bucket").agg((-best()["id"]).alias("family")), "bucket-hubs")
     members = cut(ranked.join(hub, "bucket").select("family", "id", "central").distinct(), "members")
     chosen = members.groupBy("family", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg((-best()["id"]).alias("id"))
     return members.select("family", "id"), chosen.select("family", "id")
@@ -184,7 +185,7 @@ def compare(pairs: DataFrame, members: DataFrame | None, chosen: DataFrame | Non
     members of one family are dealt in chunks of about ``CHUNK``, each with what it is compared with.
     """
     parts = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    chunks = lambda df, c: df.groupBy(c).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunks = lambda df, c: cut(df.groupBy(c).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
     dealt = pairs.select("a", "b").join(chunks(pairs, "a"), "a").select(F.col("a").alias("family"), "b", parts("b", F.col("chunks")).alias("salt"))
     role = lambda df, kind, c, r: df.select(F.col(c).alias("id"), F.lit(kind).alias("kind"), "family", "salt", F.lit(r).alias("role"))
     roles = role(dealt, 0, "b", 1).union(role(dealt, 0, "family", 0).distinct())
@@ -233,7 +234,8 @@ def rest_of_families(rows: DataFrame, labels: DataFrame, percent: int) -> DataFr
     rows = rows.join(of("id"), "id", "left").join(of("hub"), "hub", "left")
     rows = rows.select("family", "id", "n", "inner", "outer", F.coalesce("id_component", "id").alias("component"), (F.coalesce("id_component", "id") != F.coalesce("hub_component", "hub")).alias("apart"))
     rows = rows.withColumn("reach", F.floor((100 + percent) * F.col("inner") / percent) - F.col("n"))
-    least = rows.groupBy("family").agg(F.min("n").alias("least"), F.max("apart").alias("any")).where("any").select("family", "least")
+    rows = cut(rows, "apart")
+    least = cut(rows.groupBy("family").agg(F.min("n").alias("least"), F.max("apart").alias("any")).where("any").select("family", "least"), "least")
     rows = cut(rows.join(least, "family"), "rest")
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     side = lambda df, v, *more: df.select("family", *more, F.col("id").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("n", "inner", "reach", "component", "apart")))
@@ -243,8 +245,8 @@ def rest_of_families(rows: DataFrame, labels: DataFrame, percent: int) -> DataFr
     smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
     need = F.greatest(F.lit(1), F.ceil(percent * (F.col("n") + smallest) / (100 + percent)) - F.col("inner"))
     spread = rows.withColumn("need", need).withColumn("shingle", F.explode("outer"))
-    counts = spread.groupBy("family", "shingle").agg(F.count("*").alias("c"), F.max("apart").alias("any"))
-    spread = spread.drop("outer").join(counts.where("c > 1 and any").drop("any"), ["family", "shingle"])
+    counts = cut(spread.groupBy("family", "shingle").agg(F.count("*").alias("c"), F.max("apart").alias("any")).where("c > 1 and any").drop("any"), "shared")
+    spread = spread.drop("outer").join(counts, ["family", "shingle"])
     spread = cut(spread, "outer")
     # Of a set's outer shingles the most frequent ``need`` - 1 may be left out: it has to share one of the rest.
     top = spread.where("apart").groupBy("family", "id").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("held"), F.first("need").alias("need"), F.first("n").alias("n"), F.first("inner").alias("inner"))
@@ -259,6 +261,7 @@ def rest_of_families(rows: DataFrame, labels: DataFrame, percent: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, collections: int = 14, width: int = 2, small: int = 6, seed: int = 7) -> DataFrame:
     """(id, nd_shingles, nd_component, nd_kept) for each row of ``docs``."""
+    prepare(docs.sparkSession)
     marked = cut(digests(docs, id, text, shingle, collections, width, seed), "sets")
     full = marked.where("n > 0 and id is not null")
     classes = full.groupBy("d1", "d2").agg(F.min("id").alias("vid"), F.first("keys").alias("keys"))
