@@ -43,14 +43,16 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/driftwarden/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote for ``df`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``frames``; nothing that is still to run may read them."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

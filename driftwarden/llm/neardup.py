@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import SPACED_WORDS, Words, cut, mix64, prepare, slices, strings, utf8, wanted_only
+from driftwarden.llm.common import SPACED_WORDS, Words, cut, drop_cut, mix64, prepare, slices, strings, utf8, wanted_only
 from driftwarden.llm.components import components
 
 CHUNK = 256
@@ -158,11 +158,13 @@ def families(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     written before they are joined back: a join of two scans on a hot bucket can be split.
     """
     rows = large.select("bucket", F.col("a").alias("id"))
-    sized = rows.join(cut(rows.groupBy("bucket").agg(F.count("*").alias("m")), "bucket-sizes"), "bucket")
-    ranked = cut(rows.join(cut(sized.groupBy("id").agg(F.sum("m").alias("central")), "central"), "id"), "ranked")
+    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("m")), "bucket-sizes")
+    central = cut(rows.join(sizes, "bucket").groupBy("id").agg(F.sum("m").alias("central")), "central")
+    ranked = cut(rows.join(central, "id"), "ranked")
     best = lambda: F.max(F.struct("central", (-F.col("id")).alias("id")))
     hub = cut(ranked.groupBy("bucket").agg((-best()["id"]).alias("family")), "bucket-hubs")
     members = cut(ranked.join(hub, "bucket").select("family", "id", "central").distinct(), "members")
+    drop_cut(sizes, central, ranked, hub)
     chosen = members.groupBy("family", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg((-best()["id"]).alias("id"))
     return members.select("family", "id"), chosen.select("family", "id")
 
@@ -279,12 +281,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     link = [F.col("hub").alias("a"), F.col("id").alias("b")]
     links = cut(compared.where("linked and id <> hub").select(*link).union(ties), "links")
     labels = components(links)
+    drop_cut(met)
     if crowded:
         more = cut(rest_of_families(compared.where("kind = 1"), labels, percent).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             found = cut(compare(more, None, None, docs, id, text, shingle, percent).select(*link), "found")
             if not found.isEmpty():
+                drop_cut(labels)
                 labels = components(links.union(found))
+            drop_cut(found)
+        drop_cut(more)
+    drop_cut(pairs, compared, links)
     whole = reps.join(labels.withColumnRenamed("id", "vid"), "vid", "left").select("d1", "d2", F.coalesce("component", "vid").alias("component"))
     out = marked.join(whole, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
