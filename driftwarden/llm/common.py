@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from driftwarden.session import ship
 
-SLICE_BYTES = 4 << 20
-ARROW_BATCH_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
+ARROW_BATCH_BYTES = 8 << 20
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 

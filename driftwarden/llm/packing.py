@@ -29,7 +29,7 @@ from driftwarden.llm.common import cut, mix64, prepare, slices, strings
 BUCKETS = 4096  # of the hashed document vector
 DIMENSIONS, DIGITS = 3, 13
 HASH_DIGITS = 62 - DIMENSIONS * DIGITS
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 RANGE_ROWS = 20_000
 RANGE_TOKENS = 8_000_000
 WEIGHT = 1024
