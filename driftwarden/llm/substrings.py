@@ -109,7 +109,7 @@ def runs(rows: list[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b - a >= min_run]
 
 
-def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 120) -> DataFrame:
+def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 40) -> DataFrame:
     """(id, sd_chunks, sd_repeated, sd_shared, sd_removed, sd_first): documents with a repeated run.
 
     ``sd_repeated``, ``sd_shared`` (what other documents hold too) and ``sd_removed`` are arrays of (start, end) in code points, ``sd_first`` the smallest ids
@@ -151,7 +151,7 @@ def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pairs(2), pairs(3), pairs(4), pa.array([r[5] for r in rows], pa.list_(pa.int64()))], ["id", "sd_chunks", "sd_repeated", "sd_shared", "sd_removed", "sd_first"])
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 120) -> DataFrame:
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 40) -> DataFrame:
     """``docs`` with the removed runs cut out of their texts."""
     found = repeats(docs, id, text, min_run).where(F.size("sd_removed") > 0).select("id", "sd_removed")
     edges = F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.transform("sd_removed", lambda x: F.array(x["start"], x["end"]))), F.array(F.char_length(F.col(text)).cast("long")))

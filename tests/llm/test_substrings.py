@@ -49,6 +49,19 @@ def test_planted_passages(spark):
     assert cleaned[0] == texts[0] and len(cleaned[1]) < len(texts[1]) - 100 and cleaned[9] == texts[9]
 
 
+def test_planted_passages_of_short_words(spark):
+    import random
+
+    r = random.Random(3)
+    short = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 3))) for _ in range(n))
+    texts = []
+    for _ in range(50):
+        passage = short(51)
+        texts += [f"{short(60)} {passage} {short(60)}" for _ in range(2)]
+    found = {x.id for x in S.repeats(documents(spark, texts)).where("size(sd_shared) > 0").collect()}
+    assert len(found) >= 85
+
+
 def test_against_counting(spark):
     """Every repeated chunk by plain counting over all chunks."""
     texts = [prose(i % 7, 120) + prose(50 + i, 40 * (i % 3)) for i in range(30)]
