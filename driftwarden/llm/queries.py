@@ -112,20 +112,22 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share a run with others; all others share none and are not in the result."""
-    found = substrings.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("sd_shared") > 0)
-    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
-    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    """A row a document. ``shared_spans`` are held by other documents too, ``repeated_spans`` also hold what repeats within one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids, marks = docs.select("doc_id"), substrings.marked(docs)
+    found = ids.join(marks, ids["doc_id"].eqNullSafe(marks["id"]), "left")
+    spans = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ","), F.lit(""))
+    chars = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("long"))
     return found.select(
-        F.col("id").alias("doc_id"),
-        F.col("sd_chunks").alias("n_repeated_chunks"),
+        "doc_id",
+        F.coalesce("sd_chunks", F.lit(0).cast("long")).alias("n_repeated_chunks"),
         chars("sd_repeated").alias("repeated_chars"),
         chars("sd_shared").alias("shared_chars"),
         chars("sd_removed").alias("removed_chars"),
         spans("sd_repeated").alias("repeated_spans"),
         spans("sd_shared").alias("shared_spans"),
         spans("sd_removed").alias("removed_spans"),
-        F.col("sd_first").alias("first_doc_ids"),
+        F.coalesce("sd_first", F.array().cast("array<long>")).alias("first_doc_ids"),
     )
 
 

@@ -110,10 +110,16 @@ def runs(rows: list[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
 
 
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 40) -> DataFrame:
-    """(id, sd_chunks, sd_repeated, sd_shared, sd_removed, sd_first): documents with a repeated run.
+    """The rows of ``marked`` with a repeated run."""
+    return marked(docs, id, text, min_run).where(F.size("sd_repeated") > 0)
+
+
+def marked(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 40) -> DataFrame:
+    """(id, sd_chunks, sd_repeated, sd_shared, sd_removed, sd_first): documents with a repeated chunk.
 
     ``sd_repeated``, ``sd_shared`` (what other documents hold too) and ``sd_removed`` are arrays of (start, end) in code points, ``sd_first`` the smallest ids
-    that hold the repeated chunks, ``sd_chunks`` how many of the document's chunks occur elsewhere or again.
+    that hold the repeated chunks, ``sd_chunks`` how many of the document's chunks occur elsewhere or again. A document
+    whose runs are all shorter than ``min_run`` has empty arrays.
     """
     prepare(docs.sparkSession)
     found = chunks(docs, id, text)
@@ -129,7 +135,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: in
         def done() -> list[tuple]:
             every, shared, gone = (runs([x[:2] for x in held if chosen(x)], min_run) for chosen in (lambda x: True, lambda x: x[3], lambda x: x[4]))
             firsts = sorted({x[2] for x in held if x[2] is not None and any(a <= x[0] < b for a, b in every)})
-            return [(own[0], len(held), every, shared, gone, firsts)] if every else []
+            return [(own[0], len(held), every, shared, gone, firsts)]
 
         for b in batches:
             out = []

@@ -94,3 +94,13 @@ def test_query(spark, sf):
     for t, ids in copies.items():
         if len(ids) > 1 and len(t) > 200:
             assert set(ids) <= set(got) and all(got[i].removed_chars == len(t) for i in ids if i != min(ids))
+
+
+def test_query_has_every_document(spark, tmp_path):
+    paragraph = prose(11, 40)
+    documents(spark, [" ".join([paragraph] * 20), prose(12, 200), None, prose(13, 200), f"{prose(14, 60)} {prose(13, 200)}"]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op9_substrings(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(5))
+    assert got[0].repeated_chars > 3000 and got[0].removed_chars > 3000 and got[0].shared_chars == 0 and got[0].shared_spans == ""
+    assert got[3].shared_chars > 400 and got[3].removed_chars == 0 and got[4].removed_chars > 400 and got[4].first_doc_ids == [3]
+    assert all((got[i].n_repeated_chunks, got[i].repeated_chars, got[i].removed_spans, got[i].first_doc_ids) == (0, 0, "", []) for i in (1, 2))
