@@ -98,8 +98,8 @@ def proposals(text: str) -> list[tuple[int, int, str]]:
             out += [(*m.span(), kind) for m in pattern.finditer(text)]
     if "at)" in text or "at]" in text:
         out += [(*m.span(), "email") for m in _SPELLED.finditer(text)]
-    low = text.lower()
-    if len(low) == len(text) and any(w in low for w in _SECRET_WORDS):
+    low = text.casefold()  # only to look for the words: its length may differ
+    if any(w in low for w in _SECRET_WORDS):
         out += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
     return out
 

@@ -60,6 +60,12 @@ def test_wider_spans():
     assert FINDER.find("released on 2024-01-05, version 1.2.3") == []
 
 
+def test_secrets_beside_letters_whose_lower_case_is_longer():
+    text = "\u0130stanbul'da password=abcdefgh12345678xy gizli"
+    assert len(text.lower()) != len(text)
+    assert P.redacted(text, FINDER.find(text)) == "\u0130stanbul'da password=[SECRET] gizli"
+
+
 def test_redaction():
     text = "é a.b@c.de and 10.0.0.1"
     assert P.redacted(text, FINDER.find(text)) == "é [EMAIL] and [IP]"
