@@ -47,7 +47,7 @@ _WIDER = (
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,24}){1,4}")
-_SECRET = re.compile(r"(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\"? ?[=:] ?\"?([A-Za-z0-9_+/=-]{8,256})", re.I)
+_SECRET = re.compile(r"(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\"? ?[=:] ?\"?([A-Za-z0-9_+/=-]{8,}+)", re.I)
 _SECRET_WORDS = ("password", "passwd", "secret", "token", "key")
 
 #: Keywords of a context, one feature each.

@@ -66,6 +66,16 @@ def test_secrets_beside_letters_whose_lower_case_is_longer():
     assert P.redacted(text, FINDER.find(text)) == "\u0130stanbul'da password=[SECRET] gizli"
 
 
+def test_secrets_of_any_length():
+    import random
+
+    r = random.Random(4)
+    for n in (18, 256, 257, 360, 3000):
+        key = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        text = f"set api_key={key} here"
+        assert P.redacted(text, FINDER.find(text)) == "set api_key=[SECRET] here"
+
+
 def test_redaction():
     text = "é a.b@c.de and 10.0.0.1"
     assert P.redacted(text, FINDER.find(text)) == "é [EMAIL] and [IP]"
