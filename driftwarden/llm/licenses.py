@@ -88,7 +88,7 @@ class Scanner:
         words = text.translate(_TABLE).split()
         line = (b" " + b" ".join(words) + b" ").decode("latin-1")
         base: list[tuple[int, str]] = []
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (length, owners) in self.automaton.iter(line):
             start = end - length + 1
             for k, at in owners:
@@ -98,21 +98,23 @@ class Scanner:
                     notice, _, edits, _ = self.notices[k]
                     low, high = start - at - edits, start - at + len(notice) + edits
                     own = windows.setdefault(k, [])
-                    if own and low <= own[-1][1]:
-                        own[-1][1] = max(own[-1][1], high)
-                    else:
-                        own.append([low, high])
+                    while own and low <= own[-1][1]:
+                        before = own.pop()
+                        low, high = min(low, before[0]), max(high, before[1])
+                    own.append((low, high))
         spans = []
         for k, places in windows.items():
             notice, label, edits, pattern = self.notices[k]
-            for low, high in places:
-                low, high = max(low, 0), min(high, len(line))
-                while m := pattern.search(line, low, high):
-                    wrong = sum(m.fuzzy_counts)
-                    first = line.count(" ", 0, m.start() + 1) - (line[m.start()] != " ") if m.start() else 0
-                    last = first + line.count(" ", m.start() + 1, max(m.end() - 1, m.start() + 1))
-                    spans.append((first, last, label, wrong, 1 - wrong / len(notice)))
-                    low = max(m.end(), low + 1)
+            parts = [(max(low, 0), min(high, len(line))) for low, high in places]
+            while parts:  # the best match of a part, then what lies before and after it
+                low, high = parts.pop()
+                if high - low < len(notice) - edits or not (m := pattern.search(line, low, high)):
+                    continue
+                wrong = sum(m.fuzzy_counts)
+                first = line.count(" ", 0, m.start() + 1) - (line[m.start()] != " ") if m.start() else 0
+                last = first + line.count(" ", m.start() + 1, max(m.end() - 1, m.start() + 1))
+                spans.append((first, last, label, wrong, 1 - wrong / len(notice)))
+                parts += [(low, m.start()), (m.end(), high)]
         base.sort()
         spans.sort()
         return len(words), [{"label": x, "word": w} for w, x in base], [{"label": x, "first": f, "last": z, "edits": e, "likeness": s} for f, z, x, e, s in spans]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import re
 
 from hypothesis import assume, given, settings
@@ -44,6 +45,22 @@ def test_reports_words_and_edits():
     assert SCANNER.scan(prose(1, 2000).encode())[2] == []
 
 
+def test_every_notice_of_several_close_ones():
+    exact = "permission is hereby granted free of charge to any person obtaining a copy"
+    forms = [(exact, 0), (exact.replace("hereby", "herby"), 1), (exact.replace("hereby", "herby").replace("charge", "charg"), 2)]
+    for between in ("and", "or of", "then again"):
+        for order in itertools.product(forms, repeat=3):
+            _, _, found = SCANNER.scan(f" {between} ".join(t for t, _ in order).encode())
+            step = 13 + len(between.split())
+            assert [(f["first"], f["last"], f["edits"]) for f in found if f["label"] == "mit"] == [(k * step, k * step + 12, e) for k, (_, e) in enumerate(order)]
+
+
+def test_a_piece_that_occurs_twice_cuts_no_window():
+    scanner = C.Scanner({}, {"abcd efg hijk lmn abcd efg opqr stuv": "x"})
+    _, _, found = scanner.scan(b"abxd efg hixk lmn abcd efg opqr stuv")
+    assert [(f["first"], f["last"], f["edits"]) for f in found] == [(0, 7, 2)]
+
+
 def test_defined_cases(spark):
     texts = [None, "", "MIT License", "mit license mit license", "word " * 100_000 + "cc by"]
     docs = documents(spark, texts, extra={"ls_words": 1, "label": "x", "word": 2})
