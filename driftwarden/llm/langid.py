@@ -10,9 +10,9 @@ A text is rejected if it has no letter, or if its best cross-entropy lies above
 limit comes from labelled rows that the models did not see: twice the largest excess over the median found there,
 and at least half the way from the median to the cost of symbols drawn evenly.
 
-Fitting uses about ``per_language`` rows of each of the ``max_languages`` most frequent languages (a
-seeded hash of the id chooses them), so models stay bounded; labels, sources and ids are never inputs
-of a prediction.
+Fitting uses about ``per_language`` rows of every language (a seeded hash of the id chooses them). The tables have a
+column a language, so from ``MANY`` languages on rows become fewer with their square, down to ``LEAST``; labels,
+sources and ids are never inputs of a prediction.
 
 Defined cases: null texts and texts without a letter get ``und``, score 0 and are rejected; without a
 single labelled row everything is ``und``; ``li_*`` columns that the documents already have are replaced.
@@ -35,6 +35,8 @@ from driftwarden.llm.common import mix64, prepare, rank_hash, slices, strings
 ORDER = 5
 START, END, FIRST = 1, 2, 3
 REMEMBERED = 300_000
+MANY, LEAST = 40, 30
+FEW = 8  # languages of fewer rows are calibrated on the rows that they are learned from
 SHARPNESS = 40  # symbols at most that the confidence counts as independent
 _WORD = re.compile(r"[^\W\d_]+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -163,13 +165,15 @@ class Model:
         """Mean bits a symbol (texts x languages) and the number of symbols."""
         found = [words_of(t) for t in texts]
         new = set().union(*found).difference(self.remembered) if found else set()
-        if len(self.remembered) + len(new) > REMEMBERED:
+        share = max(1, len(self.languages) / MANY)  # a word takes memory for each language
+        if len(self.remembered) + len(new) > REMEMBERED / share:
             self.remembered, self.costs, self.sizes = {}, self.costs[:0], self.sizes[:0]
             new = set().union(*found)
         fresh = list(new)
-        for s in range(0, len(fresh), 20_000):
-            costs, sizes = self.score_words(fresh[s : s + 20_000])
-            self.remembered.update(zip(fresh[s : s + 20_000], range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
+        step = max(1, int(20_000 / share))
+        for s in range(0, len(fresh), step):
+            costs, sizes = self.score_words(fresh[s : s + step])
+            self.remembered.update(zip(fresh[s : s + step], range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
             self.costs, self.sizes = np.concatenate([self.costs, costs]), np.concatenate([self.sizes, sizes.astype(np.int32)])
         sums, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         for i, words in enumerate(found):
@@ -194,15 +198,16 @@ class Model:
         return [self.languages[b] if y else "und" for b, y in zip(best, named, strict=True)], np.where(named, score, 0), np.where(named, low, 0), rejected
 
 
-def learned_rows(docs: DataFrame, id: str, text: str, lang: str, learn: Column, per_language: int, max_languages: int, seed: int) -> DataFrame:
-    """About ``per_language`` rows of each language, chosen by a hash; ``part`` 0 calibrates, 1 to 3 train."""
+def learned_rows(docs: DataFrame, id: str, text: str, lang: str, learn: Column, per_language: int, seed: int) -> DataFrame:
+    """About ``per_language`` rows of each language, chosen by a hash; ``part`` 0 calibrates, 1 to 3 train, -1 does both."""
     usable = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()
-    rank = rank_hash(seed, id)
-    chosen = F.lit(False)
-    for name, count in sizes:
-        chosen = chosen | ((F.col(lang) == name) & (rank <= ((1 << 63) - 1) * min(per_language, count) // count))
-    return usable.where(chosen).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(rank_hash(seed + 1, id), F.lit(4)).alias("part"))
+    sizes = usable.groupBy(lang).count().collect()
+    most = min(per_language, max(LEAST, per_language * MANY**2 // max(len(sizes), 1) ** 2))
+    limits = [(name, ((1 << 63) - 1) * min(most, count) // count, count < FEW) for name, count in sizes]
+    table = docs.sparkSession.createDataFrame(limits, "lang string, highest long, few boolean")
+    rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(rank_hash(seed + 1, id), F.lit(4)).alias("part"), rank_hash(seed, id).alias("rank"))
+    chosen = rows.join(F.broadcast(table), "lang").where(F.col("rank") <= F.col("highest"))
+    return chosen.select("lang", "text", F.when(F.col("few"), F.lit(-1)).otherwise(F.col("part")).alias("part"))
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -217,10 +222,10 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, max_languages: int = 40, margin: float = 2.0, seed: int = 5) -> Model:
+def fit(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, margin: float = 2.0, seed: int = 5) -> Model:
     """A model of the languages that ``lang`` names in the rows where ``learn`` is true."""
     prepare(docs.sparkSession)
-    rows = learned_rows(docs, id, text, lang, learn, per_language, max_languages, seed)
+    rows = learned_rows(docs, id, text, lang, learn, per_language, seed)
     counts: dict[str, dict[str, int]] = {}
     table = count_words(rows.where("part <> 0").select("lang", "text")).toArrow()
     for name, word, n in zip(*(table[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
@@ -239,7 +244,7 @@ def fit(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text",
             use = np.flatnonzero((n > 0) & (own >= 0))
             yield pa.RecordBatch.from_arrays([pa.array(own[use], pa.int64()), pa.array(h[use, own[use]]), pa.array(n[use])], ["k", "h", "n"])
 
-    seen = rows.where("part = 0").select("lang", "text").mapInArrow(run, "k long, h double, n long").toArrow()
+    seen = rows.where("part <= 0").select("lang", "text").mapInArrow(run, "k long, h double, n long").toArrow()
     k, h, n = (np.array(seen[c]) for c in ("k", "h", "n"))
     for x in range(len(model.languages)):
         if (own := k == x).any():

@@ -92,6 +92,17 @@ def test_defined_cases(spark):
     assert L.fit(docs.where("false"), ~held_out()).languages == []
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{k:02}" for k in range(45)]
+    words = {x: " ".join(chr(0x4E00 + 9 * k + j) + chr(0x4E00 + 9 * k + (j + 1) % 9) for j in range(9)) for k, x in enumerate(names)}
+    rows = [(100 * k + i, words[x], x) for k, x in enumerate(names) for i in range(24 if k < 42 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, F.lit(True))
+    assert model.languages == names and np.isfinite(model.limit).all()
+    got = L.identify(docs, model)
+    assert got.where("li_lang <> lang OR li_rejected").count() == 0
+
+
 def test_labels_are_no_inputs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     model = L.fit(docs, ~held_out())
