@@ -7,8 +7,8 @@ A text's cross-entropy in a language is the mean over all its symbols; the lowes
 alphabetically first. A word's cost depends on nothing outside it, so it is computed once and remembered.
 
 A text is rejected if it has no letter, or if its best cross-entropy lies above that language's limit. The
-limit comes from labelled rows that the models did not see: twice the largest excess over the median found there,
-and at least half the way from the median to the cost of symbols drawn evenly.
+limit comes from labelled rows that the models did not see, without those likelier in another language: twice the
+largest excess over the median found there, and at least half the way from the median to the cost of symbols drawn evenly.
 
 Fitting uses about ``per_language`` rows of every language (a seeded hash of the id chooses them). The tables have a
 column a language, so from ``MANY`` languages on rows become fewer with their square, down to ``LEAST``; labels,
@@ -242,12 +242,15 @@ def fit(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text",
             h, n = m.entropies(b["text"].to_pylist())
             own = np.array([number.get(x, -1) for x in b["lang"].to_pylist()], np.int64)
             use = np.flatnonzero((n > 0) & (own >= 0))
-            yield pa.RecordBatch.from_arrays([pa.array(own[use], pa.int64()), pa.array(h[use, own[use]]), pa.array(n[use])], ["k", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[use], pa.int64()), pa.array(h[use, own[use]]), pa.array(n[use]), pa.array(h[use].argmin(axis=1) == own[use])], ["k", "h", "n", "best"])
 
-    seen = rows.where("part <= 0").select("lang", "text").mapInArrow(run, "k long, h double, n long").toArrow()
-    k, h, n = (np.array(seen[c]) for c in ("k", "h", "n"))
+    seen = rows.where("part <= 0").select("lang", "text").mapInArrow(run, "k long, h double, n long, best boolean").toArrow()
+    k, h, n, best = (np.array(seen[c]) for c in ("k", "h", "n", "best"))
     for x in range(len(model.languages)):
-        if (own := k == x).any():
+        own = k == x
+        if (own & best).any():  # rows that are likelier in another language may be labelled wrongly
+            own &= best
+        if own.any():
             model.median[x] = np.median(h[own])
             halfway = (np.log2(model.alphabet) - model.median[x]) / 2
             model.limit[x] = max(halfway, margin * float(model.excess(h[own], k[own], n[own]).max()))

@@ -103,6 +103,14 @@ def test_every_language_is_learned(spark):
     assert got.where("li_lang <> lang OR li_rejected").count() == 0
 
 
+def test_wrong_labels_do_not_move_the_limit(spark):
+    right = documents(spark, ["banana nab ban bandana " * 20] * 400, lang="aa").union(documents(spark, ["xylo lox zyx oxy " * 20] * 400, first=400, lang="bb"))
+    few = F.col("doc_id").isin([r.doc_id for r in right.where("lang = 'aa'").where(F.pmod(L.rank_hash(6, "doc_id"), F.lit(4)) == 0).limit(2).collect()])
+    wrong = right.withColumn("text", F.when(few, F.lit("xylo lox zyx oxy " * 20)).otherwise(F.col("text")))
+    a, b = (L.fit(x, F.lit(True)).limit for x in (right, wrong))
+    assert np.allclose(a, b, rtol=0.05)
+
+
 def test_labels_are_no_inputs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     model = L.fit(docs, ~held_out())
