@@ -2,14 +2,18 @@
 
 The tokenizer is one pass over the source; the builder supplies tags that HTML lets authors leave out (ends of
 ``p``, ``li``, ``dt``, ``dd``, ``option`` and table parts, starts of ``tbody`` and ``tr``) and ignores end tags that
-close nothing. Hidden are: elements without rendering (``script``, ``style``, ``template``, ...), the ``hidden``
-attribute, ``display:none`` and ``visibility:hidden`` in style attributes or in the page's own simple style
-rules (tag, .class, #id), hidden inputs, and closed dialogs and details but for their summary. Blocks stand on lines of
-their own, paragraphs and headings between blank lines; list items keep bullets, numbers and depth, ``pre`` its
-white space, and table cells are padded to their columns.
-
-Defined cases: null and empty pages give empty text; broken markup is text or is skipped as browsers do;
-nesting of any depth is handled without recursion; ``ht_*`` columns that the pages already have are replaced.
+close nothing; places of open elements are indexed by tag, so a page takes time in proportion to its length. Hidden
+are: elements without rendering (``script``, ``style``, ``template``, ...), hidden inputs, closed dialogs, closed details
+but for their summary, and what the ``hidden`` attribute, style attributes and the page's own style sheets hide by
+``display`` (with all below) or ``visibility`` (below it may be shown again), by specificity and order. Of style
+sheets, rules with simple selectors (tag, .class, #id and their compounds) count, within ``@media`` if it holds for a
+screen ``SCREEN`` pixels wide. Blocks stand on lines of their own, paragraphs and headings between blank lines; list
+items keep bullets, numbers and depth, ``pre`` its white space. Table cells are rendered like pages, wrapped at
+``CELL`` characters and padded to their columns; a longer word has a line of its own.
+
+Defined cases: null and empty pages give empty text; broken markup is text or is skipped as browsers do, and numbers
+beyond HTML's limits are clamped; nesting of any depth is handled without recursion, and tables more than ``TABLES``
+levels deep are laid out as blocks; ``ht_*`` columns that the pages already have are replaced.
 """
 
 from __future__ import annotations
@@ -44,18 +48,33 @@ IMPLIED_ENDS = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "table": ({"table"}, {"td", "th", "caption"}),
     "body": ({"head"}, {"html"}),
 }
 ENDS_P = BLOCKS - frozenset("body html option optgroup td th tr tbody thead tfoot caption legend".split())
 SCOPE = frozenset("table td th caption template html".split())
+SECTIONS = frozenset("tbody thead tfoot".split())
+PREFORMATTED = frozenset("pre listing textarea xmp".split())
+OTHER_MEDIA = frozenset("print speech aural braille embossed handheld projection tty tv".split())
+#: HTML's own limits of numbers in attributes.
+COLSPAN, ROWSPAN, ORDINAL = 1000, 65534, (1 << 31) - 1
+
+SCREEN = 1280
+CELL = 80
+TABLES = 8
+INDENTED = 32  # levels of lists beyond this one are indented no further
+PADDING = 50  # a table is not aligned if that took so many times its text
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([!?])|(/?[a-zA-Z]))")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
-CELL_PAD = 40
+_NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?)0*([0-9]+)")
+_ZEROS, _FAR = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_STYLE_TOKEN = re.compile(r"[{};]|\"[^\"]*\"|'[^']*'")
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_WIDTH = re.compile(r"(min|max)-width\s*:\s*([0-9]+(?:\.[0-9]*)?)(px|em|rem)")
 
 
 class Node:
@@ -65,29 +84,97 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes or {}, []
 
 
+def unescaped(text: str) -> str:
+    """Character references replaced; numbers of any length are read."""
+    if "&#" in text:
+        text = _FAR.sub("�", _ZEROS.sub("&#", text))
+    return entities.unescape(text)
+
+
+def number(source: str | None, default: int, low: int, high: int) -> int:
+    """The integer that an attribute begins with, clamped."""
+    m = _NUMBER.match(source or "")
+    if not m:
+        return default
+    value = int(m[2]) if len(m[2]) < 12 else ORDINAL
+    return min(max(-value if m[1] == "-" else value, low), high)
+
+
 def attributes_of(source: str) -> dict[str, str]:
     out: dict[str, str] = {}
     if source.strip(" \t\n/"):
         for name, a, b, c in _ATTRIBUTE.findall(source):
-            out.setdefault(name.lower(), a or b or c)
+            value = a or b or c
+            out.setdefault(name.lower(), unescaped(value) if "&" in value else value)
     return out
 
 
+class Builder:
+    """The tree under construction: open elements, and for each tag the places where it is open."""
+
+    def __init__(self) -> None:
+        self.root = Node("html")
+        self.open = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}
+
+    def push(self, node: Node) -> None:
+        self.open[-1].children.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.open) > size:
+            self.places[self.open.pop().tag].pop()
+
+    def innermost(self, tags: set[str] | frozenset[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def close(self, tags: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> bool:
+        """Close the innermost open element of ``tags`` unless one of ``within`` lies inside."""
+        at = self.innermost(tags)
+        if at < 1 or self.innermost(within) > at:
+            return False
+        self.cut(at)
+        return True
+
+    def start(self, node: Node) -> None:
+        tag = node.tag
+        if tag in ENDS_P:
+            self.close({"p"}, SCOPE)
+        if tag in IMPLIED_ENDS:
+            closed, within = IMPLIED_ENDS[tag]
+            while self.close(closed, within):
+                pass
+        if tag == "tr" and self.open[-1].tag == "table":
+            self.push(Node("tbody"))
+        elif tag in ("td", "th"):
+            if self.open[-1].tag == "table":
+                self.push(Node("tbody"))
+            if self.open[-1].tag in SECTIONS:
+                self.push(Node("tr"))
+        self.push(node)
+
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            self.open[-1].children.append(Node("br"))
+        elif not self.close({tag}, frozenset() if tag in SCOPE or tag == "tr" or tag in SECTIONS else SCOPE) and tag == "p":
+            self.open[-1].children.append(Node("p"))
+
+
 def parse(source: str) -> tuple[Node, list[str], str]:
     """The tree, the page's style sheets and its title."""
-    root = Node("html")
-    stack, styles, title = [root], [], ""
+    tree, styles, title = Builder(), [], ""
     at, n = 0, len(source)
     while at < n:
         m = _TAG.search(source, at)
         if not m:
-            stack[-1].children.append(entities.unescape(source[at:]))
+            tree.open[-1].children.append(unescaped(source[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(entities.unescape(source[at : m.start()]))
+            tree.open[-1].children.append(unescaped(source[at : m.start()]))
         at = m.end()
         if m[1]:
-            end = source.find("-->", at)
+            end = source.find("-->", at - 2)
             at = n if end < 0 else end + 3
             continue
         if m[5] or m[6]:  # declarations; tags whose quotes never close end at the next >
@@ -96,12 +183,12 @@ def parse(source: str) -> tuple[Node, list[str], str]:
             continue
         tag = m[3].lower()
         if m[2]:
-            _close(stack, tag)
+            tree.end(tag)
             continue
         node = Node(tag, attributes_of(m[4]))
-        _open(stack, node)
+        tree.start(node)
         if tag in VOID:
-            stack.pop()
+            tree.cut(len(tree.open) - 1)
         elif tag in RAW:
             end = _ENDS[tag].search(source, at)
             inner = source[at : end.start() if end else n]
@@ -109,68 +196,121 @@ def parse(source: str) -> tuple[Node, list[str], str]:
             if tag == "style":
                 styles.append(inner)
             elif tag == "title" and not title:
-                title = _SPACE.sub(" ", entities.unescape(inner)).strip()
+                title = _SPACE.sub(" ", unescaped(inner)).strip()
             elif tag in ("textarea", "xmp"):
-                node.children.append(entities.unescape(inner) if tag == "textarea" else inner)
-            stack.pop()
-    return root, styles, title
-
-
-def _open(stack: list[Node], node: Node) -> None:
-    tag = node.tag
-    if tag in ENDS_P:
-        _pop_to(stack, {"p"}, SCOPE)
-    if tag in IMPLIED_ENDS:
-        closed, within = IMPLIED_ENDS[tag]
-        while _pop_to(stack, closed, within):
-            pass
-    if tag == "tr" and stack[-1].tag == "table":
-        _push(stack, Node("tbody"))
-    elif tag in ("td", "th"):
-        if stack[-1].tag == "table":
-            _push(stack, Node("tbody"))
-        if stack[-1].tag in ("tbody", "thead", "tfoot"):
-            _push(stack, Node("tr"))
-    _push(stack, node)
-
-
-def _push(stack: list[Node], node: Node) -> None:
-    stack[-1].children.append(node)
-    stack.append(node)
-
-
-def _pop_to(stack: list[Node], tags: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> bool:
-    """Close the innermost open element of ``tags`` unless one of ``within`` lies inside."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return True
-        if stack[i].tag in within:
-            return False
-    return False
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    if tag == "br":
-        stack[-1].children.append(Node("br"))
-    elif not _pop_to(stack, {tag}, frozenset() if tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else SCOPE) and tag == "p":
-        stack[-1].children.append(Node("p"))
+                node.children.append(unescaped(inner) if tag == "textarea" else inner)
+            tree.cut(len(tree.open) - 1)
+    return tree.root, styles, title
+
+
+def declared(body: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of the declarations that decide on visibility."""
+    out = []
+    for part in body.split(";"):
+        name, _, value = part.partition(":")
+        name = name.strip().lower()
+        if name in ("display", "visibility"):
+            value, _, important = value.lower().partition("!")
+            out.append((name, value.strip(), "important" in important))
+    return out
 
 
-def hiding_rules(styles: list[str]) -> set[str]:
-    """Simple selectors whose rules hide: a tag, .class or #id."""
-    return {s.strip().lower() for sheet in styles for selector, body in _RULE.findall(sheet) if _HIDING.search(body) for s in selector.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
+def on_screen(condition: str) -> bool:
+    """Whether a media condition holds for a screen ``SCREEN`` pixels wide; features not known here do not hold."""
+    for item in condition.lower().split(","):
+        words = item.split()
+        negated = words[:1] == ["not"]
+        kind = next((w for w in words[words[:1] in (["not"], ["only"]) :][:1] if not w.startswith("(")), "all")
+        holds = kind not in OTHER_MEDIA
+        for feature in re.findall(r"\(([^()]*)\)", item):
+            m = _WIDTH.fullmatch(feature.strip())
+            size = float(m[2]) * (1 if m[3] == "px" else 16) if m else 0
+            holds = holds and m is not None and (size <= SCREEN if m[1] == "min" else size >= SCREEN)
+        if holds != negated:
+            return True
+    return False
 
 
-def hidden(node: Node, rules: set[str]) -> bool:
-    tag, a = node.tag, node.attributes
-    if tag in UNSEEN or (tag == "dialog" and "open" not in a) or (tag == "input" and a.get("type", "").lower() == "hidden"):
-        return True
-    if not a and not rules:
-        return False
-    if "hidden" in a or _HIDING.search(a.get("style", "")):
-        return True
-    return bool(rules) and (tag in rules or "#" + a.get("id", "").lower() in rules or any("." + c in rules for c in a.get("class", "").lower().split()))
+def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen, in one pass."""
+    css = _COMMENT.sub(" ", sheet)
+    blocks: list[tuple[str, bool, str]] = []  # kind, whether it holds, selectors
+    begin = 0
+    holds = True
+    for m in _STYLE_TOKEN.finditer(css):
+        token = m[0]
+        if token == "{":
+            head = css[begin : m.start()].strip()
+            if blocks and blocks[-1][0] == "rule" or head.startswith("@") and not head.lower().startswith(("@media", "@supports", "@layer")):
+                blocks.append(("other", holds, ""))
+                holds = False
+            elif head.startswith("@"):
+                blocks.append(("group", holds, ""))
+                holds = holds and (not head.lower().startswith("@media") or on_screen(head[6:]))
+            else:
+                blocks.append(("rule", holds, head))
+            begin = m.end()
+        elif token == "}":
+            if blocks:
+                kind, before, head = blocks.pop()
+                if kind == "rule" and holds:
+                    yield head, css[begin : m.start()]
+                holds = before
+            begin = m.end()
+        elif token == ";" and not (blocks and blocks[-1][0] == "rule"):
+            begin = m.end()
+    if blocks and blocks[-1][0] == "rule" and holds:
+        yield blocks[-1][2], css[begin:]
+
+
+class Styles:
+    """What the page's style sheets say about being seen."""
+
+    def __init__(self, sheets: list[str]):
+        #: By a tag, .class or #id: (tag, ids, classes, property) with the rank and value of the rule that wins.
+        self.rules: dict[str, dict[tuple, tuple]] = {}
+        order = 0
+        for sheet in sheets:
+            for selectors, body in style_rules(sheet):
+                if not (said := declared(body)):
+                    continue
+                for selector in selectors.split(","):
+                    m = _COMPOUND.fullmatch(selector.strip())
+                    if not m or not m[0]:
+                        continue
+                    tag = "" if m[1] in (None, "*") else m[1].lower()
+                    parts = re.findall(r"[.#][\w-]+", m[2])
+                    ids, classes = frozenset(p[1:] for p in parts if p[0] == "#"), frozenset(p[1:] for p in parts if p[0] == ".")
+                    order += 1
+                    own = self.rules.setdefault(parts[0] if parts else tag or "*", {})
+                    for name, value, important in said:
+                        rank = (important, 0, (len(ids), len(classes), bool(tag)), order)
+                        if rank >= own.get((tag, ids, classes, name), (rank,))[0]:
+                            own[tag, ids, classes, name] = (rank, value)
+
+    def seen(self, node: Node, visible: bool) -> bool | None:
+        """None if the element is not displayed, else whether its text is visible; ``visible`` is its parent's."""
+        tag, a = node.tag, node.attributes
+        if tag in UNSEEN or (tag == "dialog" and "open" not in a) or (tag == "input" and a.get("type", "").lower() == "hidden"):
+            return None
+        if not a and not self.rules:
+            return visible
+        best = {"display": ((False, -1), "none")} if "hidden" in a else {}
+        if self.rules:
+            own, classes = a.get("id", ""), a.get("class", "").split()
+            for key in ("*", tag, *(["#" + own] if own else []), *("." + c for c in dict.fromkeys(classes))):
+                for (needed, ids, held, name), found in self.rules.get(key, {}).items():
+                    if (not needed or needed == tag) and ids <= {own} and held.issubset(classes) and (name not in best or found[0] >= best[name][0]):
+                        best[name] = found
+        if "style" in a:
+            for name, value, important in declared(a["style"]):
+                rank = (important, 1)
+                if name not in best or rank >= best[name][0]:
+                    best[name] = (rank, value)
+        if "display" in best and best["display"][1] == "none":
+            return None
+        shown = best.get("visibility", (None, "inherit"))[1]
+        return False if shown in ("hidden", "collapse") else True if shown in ("visible", "initial") else visible
 
 
 class Page:
@@ -182,6 +322,8 @@ class Page:
         self.space = False
         self.prefix: str | None = None
         self.indent = ""
+        self.lists: list[list] = []  # whether numbered, the next number
+        self.pre = 0
 
     def broken(self, lines: int) -> None:
         self.gap = max(self.gap, lines)
@@ -212,79 +354,151 @@ class Page:
         return "\n".join(lines).strip("\n")
 
 
-def inline(node: Node, rules: set[str]) -> str:
-    """All visible text below a node on one line."""
-    parts, todo = [], list(reversed(node.children))
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif not hidden(x, rules):
-            if x.tag in BLOCKS or x.tag == "br":
-                parts.append(" ")
-                todo.append(" ")
-            if x.tag == "img":
-                parts.append(x.attributes.get("alt", ""))
-            todo.extend(reversed(x.children))
-    return _SPACE.sub(" ", "".join(parts)).strip()
-
-
-def table_rows(table: Node, rules: set[str]) -> tuple[list[list[str]], list[Node]]:
-    """Cells as lines of text, spans filled with empty cells, and what the table holds besides rows."""
-    rows, other, todo = [], [], list(reversed(table.children))
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            if x.strip():
-                other.append(x)
-        elif hidden(x, rules):
+class Cells:
+    """A table's cells by row and first column; ``rest`` holds what stands before the rows: stray content, captions."""
+
+    def __init__(self, table: Node, styles: Styles, visible: bool):
+        self.rest: list[tuple] = []
+        self.cells: list[tuple[int, int, Node, bool]] = []
+        self.lines: dict[tuple[int, int], list[str]] = {}
+        taken: list[tuple[int, int, int]] = []  # columns from, to and the row at which they are free again
+        rows, captions = 0, []
+        todo = [(c, visible) for c in reversed(table.children)]
+        while todo:
+            x, seen = todo.pop()
+            if isinstance(x, str):
+                self.rest.append((x, seen))
+                continue
+            if x.tag in ("colgroup", "col"):
+                continue
+            if x.tag == "caption":
+                captions.append((x, seen))
+            elif x.tag not in SECTIONS and x.tag != "tr":
+                self.rest.append((x, seen))
+            elif (shown := styles.seen(x, seen)) is not None:
+                if x.tag in SECTIONS:
+                    todo.extend((c, shown) for c in reversed(x.children))
+                else:
+                    taken = self._row(x, rows, shown, styles, [t for t in taken if t[2] > rows])
+                    rows += 1
+        self.rest = [r for r in self.rest if not isinstance(r[0], str) or r[0].strip()] + captions
+        self.rows = rows
+
+    def _row(self, row: Node, number_: int, visible: bool, styles: Styles, taken: list) -> list:
+        column, k, new = 0, 0, []
+        for cell in row.children:
+            if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                if not isinstance(cell, str) or cell.strip():
+                    self.rest.append((cell, visible))
+                continue
+            if styles.seen(cell, visible) is None:
+                continue
+            while k < len(taken) and taken[k][0] <= column:
+                column = max(column, taken[k][1])
+                k += 1
+            self.cells.append((number_, column, cell, visible))
+            wide, high = number(cell.attributes.get("colspan"), 1, 1, COLSPAN), number(cell.attributes.get("rowspan"), 1, 1, ROWSPAN)
+            if high > 1:
+                new.append((column, column + wide, number_ + high))
+            column += wide
+        joined: list[tuple[int, int, int]] = []
+        for a, b, free in sorted(taken + new):
+            if joined and joined[-1][2] == free and joined[-1][1] >= a:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]), free)
+            else:
+                joined.append((a, b, free))
+        return joined
+
+    def text(self) -> list[str]:
+        """Lines with every column's cells below each other; columns that no cell begins in take no room."""
+        columns = sorted({c for _, c, _, _ in self.cells})
+        place = {c: k for k, c in enumerate(columns)}
+        width, rows = [0] * len(columns), [[] for _ in range(self.rows)]
+        for (r, c), lines in self.lines.items():
+            rows[r].append((place[c], lines))
+            width[place[c]] = max([width[place[c]], *(len(x) for x in lines if len(x) <= CELL)])
+        begin = [0]
+        for w in width:
+            begin.append(begin[-1] + w + 2)
+        text = sum(len(x) for lines in self.lines.values() for x in lines)
+        padding = sum(begin[max(k for k, _ in cells)] * max(len(lines) for _, lines in cells) for cells in rows if cells)
+        if padding > PADDING * (text + 1000):
+            begin = [0] * len(begin)
+        out = []
+        for cells in rows:
+            for i in range(max((len(lines) for _, lines in cells), default=0)):
+                line = ""
+                for k, lines in sorted(cells, key=lambda x: x[0]):
+                    if i < len(lines) and lines[i]:
+                        if begin[k] and len(line) > begin[k] - 2:  # a word too long for its column
+                            out.append(line)
+                            line = ""
+                        line = (line.ljust(begin[k]) if begin[k] or not line else line + "  ") + lines[i]
+                out.append(line.rstrip())
+        return out
+
+
+def wrapped(text: str) -> list[str]:
+    """Lines of at most ``CELL`` characters, or of one word."""
+    out = []
+    for line in text.split("\n"):
+        if len(line) <= CELL or "  " in line.strip():  # laid out already
+            out.append(line)
             continue
-        elif x.tag == "tr":
-            cells: list[str] = []
-            for cell in x.children:
-                if isinstance(cell, str):
-                    if cell.strip():
-                        cells.append(_SPACE.sub(" ", cell).strip())
-                elif not hidden(cell, rules):
-                    span = cell.attributes.get("colspan", "1")
-                    cells += [inline(cell, rules), *[""] * (min(int(span), 100) - 1 if span.isdecimal() else 0)]
-            rows.append(cells)
-        elif x.tag in ("tbody", "thead", "tfoot"):
-            todo.extend(reversed(x.children))
-        elif x.tag not in ("colgroup", "col"):
-            other.append(x)
-    return rows, other
-
-
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Rows with cells padded to their column's width (at most ``CELL_PAD``), columns apart by two spaces."""
-    width = [0] * max(map(len, rows), default=0)
-    for r in rows:
-        for k, c in enumerate(r):
-            width[k] = max(width[k], min(len(c), CELL_PAD))
-    return ["  ".join(c.ljust(width[k]) for k, c in enumerate(r)).rstrip() for r in rows]
-
-
-def render(root: Node, rules: set[str]) -> str:
-    page, lists, pre = Page(), [], 0
-    todo: list = [(root, False)]
+        size, held = len(line) - len(line.lstrip(" ")), []
+        indent = " " * min(size, CELL // 2)
+        used = len(indent)
+        for word in line.split():
+            if held and used + len(word) + 1 > CELL:
+                out.append(indent + " ".join(held))
+                held, used = [], len(indent)
+            held.append(word)
+            used += len(word) + 1
+        out.append(indent + " ".join(held))
+    return out
+
+
+LEAVE, CELL_BEGIN, CELL_DONE, TABLE_DONE = range(4)
+
+
+def render(root: Node, styles: Styles) -> str:
+    pages = [Page()]
+    todo: list[tuple] = [(root, True, None)]  # node or text, whether its parent is visible; or what is to end
     while todo:
-        x, leaving = todo.pop()
+        x, visible, ending = todo.pop()
+        page = pages[-1]
+        if ending == CELL_BEGIN:
+            pages.append(Page())
+            continue
+        if ending == CELL_DONE:
+            cells, at = x
+            if text := pages.pop().text():
+                cells.lines[at] = wrapped(text)
+            continue
+        if ending == TABLE_DONE:
+            for line in x.text():
+                if line:
+                    page.put(line, True)
+                    page.broken(1)
+            page.broken(2)
+            continue
         if isinstance(x, str):
-            page.put(x, pre > 0)
+            if visible:
+                page.put(x, page.pre > 0)
             continue
-        tag = x.tag
-        if leaving:
+        tag, lists = x.tag, page.lists
+        if ending == LEAVE:
             if tag in LISTS:
                 lists.pop()
-                page.indent = "  " * len(lists)
-            elif tag in ("pre", "listing", "textarea", "xmp"):
-                pre -= 1
-            if tag == "li" and page.prefix is not None:
+                page.indent = "  " * min(len(lists), INDENTED)
+            elif tag in PREFORMATTED:
+                page.pre -= 1
+            if tag == "li":
                 page.prefix = None
             page.broken(2 if tag in SPACED and not (tag in LISTS and lists) else 1)
             continue
-        if hidden(x, rules):
+        visible = styles.seen(x, visible)
+        if visible is None:
             continue
         if tag == "br":
             if page.gap and page.out:
@@ -293,42 +507,44 @@ def render(root: Node, rules: set[str]) -> str:
         elif tag == "hr":
             page.broken(2)
         elif tag == "img":
-            page.put(x.attributes.get("alt", ""))
-        elif tag == "table":
-            rows, other = table_rows(x, rules)
-            page.broken(2)
-            for line in aligned(rows):
-                if line:
-                    page.put(line, True)
-                    page.broken(1)
+            if visible:
+                page.put(x.attributes.get("alt", ""))
+        elif tag == "table" and len(pages) <= TABLES:
+            cells = Cells(x, styles, visible)
             page.broken(2)
-            todo += [(o, False) for o in reversed(other)]
-        elif tag in BLOCKS or tag in ("textarea", "xmp"):
+            todo.append((cells, visible, TABLE_DONE))
+            for row, column, cell, seen in reversed(cells.cells):
+                todo.append(((cells, (row, column)), seen, CELL_DONE))
+                todo.append((cell, seen, None))
+                todo.append((None, seen, CELL_BEGIN))
+            todo += [(c, seen, None) for c, seen in reversed(cells.rest)]
+        elif tag in BLOCKS or tag in PREFORMATTED:
             page.broken(2 if tag in SPACED and not (tag in LISTS and lists) else 1)
             if tag in LISTS:
-                start = x.attributes.get("start", "1")
-                lists.append([tag == "ol", int(start) if start.lstrip("-").isdecimal() else 1])
-                page.indent = "  " * len(lists)
+                lists.append([tag == "ol", number(x.attributes.get("start"), 1, -ORDINAL, ORDINAL)])
+                page.indent = "  " * min(len(lists), INDENTED)
             elif tag == "li":
                 own = lists[-1] if lists else [False, 1]
-                page.prefix = "  " * max(len(lists) - 1, 0) + (f"{own[1]}. " if own[0] else "- ")
+                own[1] = number(x.attributes.get("value"), own[1], -ORDINAL, ORDINAL)
+                if visible:
+                    page.prefix = "  " * min(max(len(lists) - 1, 0), INDENTED) + (f"{own[1]}. " if own[0] else "- ")
                 own[1] += 1
-            elif tag in ("pre", "listing", "textarea", "xmp"):
-                pre += 1
-            todo.append((x, True))
+            elif tag in PREFORMATTED:
+                page.pre += 1
+            todo.append((x, visible, LEAVE))
             children = x.children
             if tag == "details" and "open" not in x.attributes:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
-            todo += [(c, False) for c in reversed(children)]
+            todo += [(c, visible, None) for c in reversed(children)]
         else:
-            todo += [(c, False) for c in reversed(x.children)]
-    return page.text()
+            todo += [(c, visible, None) for c in reversed(x.children)]
+    return pages[0].text()
 
 
 def to_text(source: str) -> tuple[str, str]:
     """Rendered text and title."""
-    root, styles, title = parse(source)
-    return render(root, hiding_rules(styles)), title
+    root, sheets, title = parse(source)
+    return render(root, Styles(sheets)), title
 
 
 RESULT = T.StructType([T.StructField("ht_text", T.StringType()), T.StructField("ht_title", T.StringType())])
