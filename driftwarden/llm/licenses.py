@@ -2,8 +2,10 @@
 
 A notice of m characters may differ by ``k = m // EDIT_EVERY`` edits. Cut into k + 1 pieces, at least one stays
 whole (pigeonhole), so an Aho-Corasick automaton over all pieces finds every place worth a look; the
-``regex`` library's bounded-error matching then verifies the window and counts the edits. Text and
-notices are compared as lower-case words with single spaces, so layout and punctuation do not matter.
+``regex`` library's bounded-error matching then verifies the window and counts the edits. A window is the seed's
+notice and ``k`` characters to both sides; two occurrences do not fit into one, so the best match of every window gives
+all of them, and of overlapping matches of a notice the one with the fewest edits stays. Text and notices are compared
+as lower-case words with single spaces, so layout and punctuation do not matter.
 
 Defined cases: null and empty texts have no words and no labels; repeated rows are each scanned; ``ls_*``
 columns that the documents already have are replaced.
@@ -11,6 +13,7 @@ columns that the documents already have are replaced.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,37 +91,50 @@ class Scanner:
         words = text.translate(_TABLE).split()
         line = (b" " + b" ".join(words) + b" ").decode("latin-1")
         base: list[tuple[int, str]] = []
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, set[int]] = {}
         for end, (length, owners) in self.automaton.iter(line):
             start = end - length + 1
             for k, at in owners:
                 if k < 0:
-                    base.append((line.count(" ", 0, start), self.phrases[-1 - k][1]))
+                    base.append((start, self.phrases[-1 - k][1]))
                 else:
-                    notice, _, edits, _ = self.notices[k]
-                    low, high = start - at - edits, start - at + len(notice) + edits
-                    own = windows.setdefault(k, [])
-                    while own and low <= own[-1][1]:
-                        before = own.pop()
-                        low, high = min(low, before[0]), max(high, before[1])
-                    own.append((low, high))
+                    windows.setdefault(k, set()).add(start - at)
+        if not base and not windows:
+            return len(words), [], []
+        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32).tolist()
+        base = [(bisect_left(spaces, start), label) for start, label in base]
         spans = []
-        for k, places in windows.items():
-            notice, label, edits, pattern = self.notices[k]
-            parts = [(max(low, 0), min(high, len(line))) for low, high in places]
-            while parts:  # the best match of a part, then what lies before and after it
-                low, high = parts.pop()
-                if high - low < len(notice) - edits or not (m := pattern.search(line, low, high)):
-                    continue
-                wrong = sum(m.fuzzy_counts)
-                first = line.count(" ", 0, m.start() + 1) - (line[m.start()] != " ") if m.start() else 0
-                last = first + line.count(" ", m.start() + 1, max(m.end() - 1, m.start() + 1))
+        for k, starts in windows.items():
+            notice, label, edits, _ = self.notices[k]
+            for low, high, wrong in self._matches(line, k, sorted(starts)):
+                first = max(bisect_right(spaces, low) - 1, 0)
+                last = max(bisect_left(spaces, max(high - 1, low + 1)) - 1, first)
                 spans.append((first, last, label, wrong, 1 - wrong / len(notice)))
-                parts += [(low, m.start()), (m.end(), high)]
         base.sort()
         spans.sort()
         return len(words), [{"label": x, "word": w} for w, x in base], [{"label": x, "first": f, "last": z, "edits": e, "likeness": s} for f, z, x, e, s in spans]
 
+    def _matches(self, line: str, k: int, starts: list[int]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of a notice near the places where its seeds say that it begins, best first."""
+        notice, _, edits, pattern = self.notices[k]
+        found: set[tuple[int, int, int]] = set()
+        exact = -1
+        for start in starts:
+            if line.startswith(notice, start) if start >= 0 else False:
+                found.add((0, start, start + len(notice)))
+                exact = start
+            elif exact < 0 or start > exact + edits:
+                if m := pattern.search(line, max(start - edits, 0), min(start + len(notice) + edits, len(line))):
+                    found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        kept: list[tuple[int, int]] = []
+        out = []
+        for wrong, low, high in sorted(found):
+            at = bisect_left(kept, (low, low))
+            if (at == 0 or kept[at - 1][1] <= low) and (at == len(kept) or kept[at][0] >= high):
+                kept.insert(at, (low, high))
+                out.append((low, high, wrong))
+        return out
+
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """``docs`` (its columns ``keep``) with ``ls_words``, ``ls_base`` (exact phrases) and ``ls_notices`` (verified notices)."""

@@ -80,3 +80,33 @@ def test_query(spark, sf):
         assert (r.n_words, r.n_base, r.base_labels) == (n, len(base), ",".join(labels))
         assert (r.first_word, r.last_word) == ((base[0][0], max(i for i, _ in base)) if base else (None, None))
         assert set(labels) <= set(r.labels.split(",")) and 0 <= r.score <= 1 and r.labels == ",".join(sorted(set(r.labels.split(","))))
+
+
+def test_many_notices_and_phrases_take_linear_time():
+    import time
+
+    def took(n: int) -> float:
+        began = time.perf_counter()
+        _, base, found = SCANNER.scan(b"released under the mit license. dedicated to the publick domain; " * n)
+        assert len(base) == n and len(found) == 2 * n
+        return time.perf_counter() - began
+
+    took(10)
+    small, large = took(1000), took(8000)
+    assert large < max(16 * small, 2)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(sorted(C.NOTICES)), st.integers(0, 2), st.integers(0, 10**6)), min_size=1, max_size=5), st.sampled_from([" ", " and ", " of the same kind as ", "; "]))
+def test_all_of_several_edited_notices(drawn, between):
+    texts = []
+    for notice, edits, seed in drawn:
+        edits = min(edits, len(notice) // C.EDIT_EVERY)
+        for e in range(edits):
+            at = (seed * (e + 7)) % len(notice)
+            notice_at = notice[at] if notice[at] == " " else "q"
+            notice = notice[:at] + notice_at + notice[at + 1 :]
+        texts.append(notice)
+    _, _, found = SCANNER.scan(between.join(texts).encode())
+    for label in set(C.NOTICES.values()):
+        assert sum(f["label"] == label for f in found) >= sum(C.NOTICES[n] == label for n, _, _ in drawn)
