@@ -5,14 +5,18 @@ key joins two of them, so n collections serve n(n-1)/2 tables (14 x 2 minhashes
 4). A pair at similarity 0.8 meets in a collection with probability 0.64 and is missed only if at most
 one of the 14 agrees: 1.6e-5.
 
-Texts with equal sets form one class before any pairing, so exact copies never meet each other. In a
-bucket of up to ``small`` classes all pairs are candidates. Larger buckets are families: each has a pivot,
-the shingles that most of up to ``PIVOTS`` central members hold, and a hub, the member most like the pivot.
-All members are compared with the hub. Those that are then still outside the hub's component may link
-elsewhere, and a bound finds all such partners without pairing the family: for sets x and y to reach the
-similarity they need t(x, y) common shingles; at most |x and pivot| of them lie in the pivot, so the others
-are common shingles outside it. Such pairs are joined on the rarest of these; pairs that could do without
-any are listed by size. Nothing is capped.
+Texts with equal sets form one class before any pairing, so exact copies never meet each other. Keys are
+counted by partial sums; in a bucket of up to ``small`` classes all pairs are candidates. Larger buckets are
+families: each has a pivot P, the shingles that most of up to ``PIVOTS`` central members hold. A member x is
+described by its difference D(x) from the pivot (what it lacks and what it has besides), and for any two
+
+    |x and y| = |x and P| + |y and P| - |P| + |D(x) and D(y)|.
+
+So x and y reach the similarity if a(x) + a(y) is large enough, with a(x) a number of x alone; all such pairs are
+tied by linking each member to the one with the largest a. Any other pair needs common differences, a number
+known beforehand, and is found by joining the first few differences of members that are not yet in one
+component (prefix and position filter, rare ones first). Near copies of one text differ in few and mostly
+different shingles, so this join is small where a join on shingles would pair the family. Nothing is capped.
 
 Defined cases: null and empty texts have no set and link with nothing; fewer words than a shingle form
 one shingle; rows with a null id stay alone and are kept; rows that share an id count as one
@@ -35,6 +39,7 @@ from driftwarden.llm.components import components
 
 CHUNK = 256
 PIVOTS = 31
+PARITY = [f"b{k}" for k in range(8)]
 _ROLL = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -94,45 +99,19 @@ def digests(docs: DataFrame, id: str, text: str, size: int, collections: int, wi
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def bucket_rows(key: int, ids: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs of a small bucket as (0, a, b); the members of a larger one as (key, id, id)."""
-    if len(ids) <= small:
-        a, b = np.triu_indices(len(ids), 1)
-        return np.zeros(len(a), np.int64), ids[a], ids[b]
-    return np.full(len(ids), key or 1), ids, ids
-
-
-def pair_up(rows: DataFrame, small: int) -> DataFrame:
-    """(key, id) rows -> (bucket, a, b): pairs with bucket 0, members of large buckets with the bucket's key."""
+def buckets(keyed: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, id) rows -> pairs (a, b) of small buckets, members (bucket, id) of larger ones, the table these read.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []  # the bucket that the batches so far end in; it may go on
-        for b in batches:
-            keys, ids = b["key"].to_numpy(zero_copy_only=False), b["id"].to_numpy(zero_copy_only=False)
-            if not len(keys):
-                continue
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            begin = 0
-            if held and keys[0] == last:
-                held.append(ids[: edges[1]])
-                if len(edges) == 2:
-                    continue
-                begin = 1
-            done = [(last, np.concatenate(held))] if held else []
-            several = np.flatnonzero(np.diff(edges) > 1)
-            done += [(keys[edges[i]], ids[edges[i] : edges[i + 1]]) for i in several[(several >= begin) & (several < len(edges) - 2)].tolist()]
-            last, held = keys[-1], [ids[edges[-2] :]]
-            yield from _pairs(done, small)
-        if held:
-            yield from _pairs([(last, np.concatenate(held))], small)
-
-    return rows.mapInArrow(run, "bucket long, a long, b long")
-
-
-def _pairs(buckets: list, small: int) -> Iterator[pa.RecordBatch]:
-    made = [bucket_rows(int(key), np.unique(ids), small) for key, ids in buckets if len(ids) > 1]
-    if made:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[k] for m in made])) for k in range(3)], ["bucket", "a", "b"])
+    Keys are counted first; only rows of keys that several classes have are joined to the written counts, so the
+    join of a hot key can be split and no bucket is gathered unless it is small.
+    """
+    counted = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared-keys")
+    met = cut(wanted_only(keyed, "key", counted.select("key"), 1 << 18).join(counted.hint("merge"), "key"), "met")
+    drop_cut(counted)
+    few = met.where(F.col("m") <= small).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    each = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = cut(few.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct(), "candidates")
+    return pairs, met.where(F.col("m") > small).select(F.col("key").alias("bucket"), "id"), met
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -157,7 +136,7 @@ def families(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     its most central member. All are aggregates with partial results, whatever the size of a bucket, and are
     written before they are joined back: a join of two scans on a hot bucket can be split.
     """
-    rows = large.select("bucket", F.col("a").alias("id"))
+    rows = large
     sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("m")), "bucket-sizes")
     central = cut(rows.join(sizes, "bucket").groupBy("id").agg(F.sum("m").alias("central")), "central")
     ranked = cut(rows.join(central, "id"), "ranked")
@@ -169,21 +148,38 @@ def families(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select("family", "id"), chosen.select("family", "id")
 
 
-def pivot_and_hub(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, int, np.ndarray]:
-    """The shingles of at least half of the sets, and the id and set most like them."""
-    values, count = np.unique(np.concatenate([x for _, x in rows]), return_counts=True)
-    pivot = values[2 * count >= len(rows)]
-    shared = [(common(pivot, x) / (len(pivot) + len(x) - common(pivot, x)), -i) for i, x in rows]
-    at = max(range(len(rows)), key=shared.__getitem__)
-    return pivot, *rows[at]
+class Pivot:
+    """The shingles of at least half of a family's central sets, and the id and set most like them."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]]):
+        self.values, count = np.unique(np.concatenate([x for _, x in rows]), return_counts=True)
+        inside = 2 * count >= len(rows)
+        self.pivot = self.values[inside]
+        # How common a difference is: sets that lack a shingle of the pivot, sets that have another one.
+        self.often = np.where(inside, len(rows) - count, count)
+        likeness = [(common(self.pivot, x) / (len(self.pivot) + len(x) - common(self.pivot, x)), -i) for i, x in rows]
+        self.hub, self.best = rows[max(range(len(rows)), key=likeness.__getitem__)]
+
+    def difference(self, row: np.ndarray) -> tuple[int, np.ndarray]:
+        """How much of the pivot the set holds, and its differences, rare ones first, in one order for the family."""
+        delta = np.setxor1d(row, self.pivot, assume_unique=True)
+        at = np.minimum(np.searchsorted(self.values, delta), len(self.values) - 1)
+        often = np.where(self.values[at] == delta, self.often[at], 0)
+        return (len(row) + len(self.pivot) - len(delta)) // 2, delta[np.lexsort((delta, often))]
+
+
+def parity(values: np.ndarray) -> list[int]:
+    """512 bits: whether an odd number of values falls on each. Two sets differ in at least as many values as bits."""
+    odd = np.bincount((values & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def compare(pairs: DataFrame, members: DataFrame | None, chosen: DataFrame | None, docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """Full sets side by side: (kind, family, id, hub, linked, n, inner, outer).
+    """Full sets side by side: (kind, family, id, hub, linked, core, a, delta, b0..b7).
 
     Kind 0 has the pairs (a, b) that reach the similarity, as hub and id. Kind 1 has every member against hub and
-    pivot of its family: ``n`` is its set's size, ``inner`` how much of it the pivot holds, ``outer`` its
-    other shingles. Only texts that are needed move, once for both. The partners of one member and the
+    pivot of its family: ``core`` is the pivot's size, ``delta`` what the member differs in, ``b0`` to ``b7``
+    its ``parity``, and ``a`` is (100 + percent) |x and pivot| - percent |x|. Only texts that are needed move, once for both. The partners of one member and the
     members of one family are dealt in chunks of about ``CHUNK``, each with what it is compared with.
     """
     parts = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
@@ -201,7 +197,7 @@ def compare(pairs: DataFrame, members: DataFrame | None, chosen: DataFrame | Non
     sides = sides.repartition("kind", "family", "salt").sortWithinPartitions("kind", "family", "salt", "role", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, firsts, pivot, hub, best = None, [], None, None, None
+        where, firsts, pivot = None, [], None
         for b in batches:
             out: list[tuple] = []
             kind, family, salt, role, ids = (b[c].to_pylist() for c in ("kind", "family", "salt", "role", "id"))
@@ -213,52 +209,58 @@ def compare(pairs: DataFrame, members: DataFrame | None, chosen: DataFrame | Non
                         firsts.append((ids[i], row))
                     elif kind[i] == 0:
                         if any(similar(x, row, percent) for _, x in firsts):
-                            out.append((0, family[i], ids[i], family[i], True, len(row), 0, None))
+                            out.append((0, family[i], ids[i], family[i], True, 0, 0, None, *([0] * len(PARITY))))
                     else:
-                        if pivot is None:
-                            pivot, hub, best = pivot_and_hub(firsts)
-                        outer = np.setdiff1d(row, pivot, assume_unique=True)
-                        out.append((1, family[i], ids[i], hub, similar(best, row, percent), len(row), len(row) - len(outer), outer.view(np.int64)))
+                        pivot = pivot or Pivot(firsts)
+                        inner, delta = pivot.difference(row)
+                        out.append((1, family[i], ids[i], pivot.hub, similar(pivot.best, row, percent), len(pivot.pivot), (100 + percent) * inner - percent * len(row), delta.view(np.int64), *parity(delta)))
             if out:
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["kind", "family", "id", "hub", "linked", "n", "inner", "outer"])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *([pa.int64()] * len(PARITY)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["kind", "family", "id", "hub", "linked", "core", "a", "delta", *PARITY])
+
+    return sides.mapInArrow(run, "kind int, family long, id long, hub long, linked boolean, core long, a long, delta array<long>, " + ", ".join(f"{b} long" for b in PARITY))
 
-    return sides.mapInArrow(run, "kind int, family long, id long, hub long, linked boolean, n long, inner long, outer array<long>")
+
+def certain_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member with the family's member of largest ``a``, where the pivot alone holds enough of both.
+
+    Two members are surely similar if a(x) + a(y) >= (100 + percent) core; then each of them is with the largest, too.
+    """
+    top = cut(rows.groupBy("family").agg(F.max(F.struct("a", (-F.col("id")).alias("id"))).alias("top")), "centres")
+    near = rows.join(top, "family").where((F.col("a") + F.col("top.a") >= (100 + percent) * F.col("core")) & (F.col("id") != -F.col("top.id")))
+    return near.select((-F.col("top.id")).alias("a"), F.col("id").alias("b"))
 
 
 def rest_of_families(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members in different components that may reach the similarity, where one is outside the hub's.
+    """All pairs (a, b) of members in different components, one outside the hub's, that may reach the similarity.
 
-    With p = percent: x and y need ceil(p (|x| + |y|) / (100 + p)) common shingles. ``reach`` is the size that a
-    partner of x may have for the pivot alone to hold so many.
+    Two members need ``ceil(core - (a(x) + a(y)) / (100 + percent))`` common differences. A member's own ``need``
+    is the least of these over all partners, so a pair has its first common difference among the first
+    |D| - need + 1 of both; ``main`` counts these towards the hub's component, ``other`` towards the rest. The places of that first one and the parities
+    bound from above how many differences two members share, before any text moves.
     """
     of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
     rows = rows.join(of("id"), "id", "left").join(of("hub"), "hub", "left")
-    rows = rows.select("family", "id", "n", "inner", "outer", F.coalesce("id_component", "id").alias("component"), (F.coalesce("id_component", "id") != F.coalesce("hub_component", "hub")).alias("apart"))
-    rows = rows.withColumn("reach", F.floor((100 + percent) * F.col("inner") / percent) - F.col("n"))
+    component = F.coalesce("id_component", "id")
+    rows = rows.select("family", "id", "core", "a", "delta", *PARITY, component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("apart"))
     rows = cut(rows, "apart")
-    least = cut(rows.groupBy("family").agg(F.min("n").alias("least"), F.max("apart").alias("any")).where("any").select("family", "least"), "least")
-    rows = cut(rows.join(least, "family"), "rest")
-    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    side = lambda df, v, *more: df.select("family", *more, F.col("id").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("n", "inner", "reach", "component", "apart")))
-    sized = f"component_x <> component_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-    without = side(rows.where("apart and reach >= least"), "x").join(side(rows.where("reach >= least"), "y"), "family").where(f"{sized} and n_y <= reach_x and n_x <= reach_y").select(*pair)
-    # Common shingles outside the pivot: x needs at least ``need`` of them with any partner that it needs some with.
-    smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
-    need = F.greatest(F.lit(1), F.ceil(percent * (F.col("n") + smallest) / (100 + percent)) - F.col("inner"))
-    spread = rows.withColumn("need", need).withColumn("shingle", F.explode("outer"))
-    counts = cut(spread.groupBy("family", "shingle").agg(F.count("*").alias("c"), F.max("apart").alias("any")).where("c > 1 and any").drop("any"), "shared")
-    spread = spread.drop("outer").join(counts, ["family", "shingle"])
-    spread = cut(spread, "outer")
-    # Of a set's outer shingles the most frequent ``need`` - 1 may be left out: it has to share one of the rest.
-    top = spread.where("apart").groupBy("family", "id").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("held"), F.first("need").alias("need"), F.first("n").alias("n"), F.first("inner").alias("inner"))
-    # The shingles that nobody shares come first of all, being the rarest.
-    alone = F.col("n") - F.col("inner") - F.size("held")
-    prefix = top.withColumn("take", F.greatest(F.lit(0), F.col("n") - F.col("inner") - F.col("need") + 1 - alone).cast("int")).where("take > 0")
-    prefix = prefix.select("family", "id", F.explode(F.slice("held", F.lit(1), F.col("take"))).alias("s")).select("family", "id", F.col("s.shingle").alias("shingle"))
-    x = side(spread.join(prefix, ["family", "id", "shingle"]), "x", "shingle")
-    within = x.join(side(spread, "y", "shingle"), ["family", "shingle"]).where(sized).select(*pair)
-    return without.union(within).distinct()
+    most = cut(rows.groupBy("family").agg(F.max(F.when(~F.col("apart"), F.col("a"))).alias("most_main"), F.max(F.when(F.col("apart"), F.col("a"))).alias("most_apart")).where("most_apart is not null"), "most")
+    size = F.size("delta")
+    need = lambda partner: F.greatest(F.lit(1), F.ceil(F.col("core") - (F.col("a") + F.col(partner)) / (100 + percent)))
+    length = lambda partner: F.greatest(F.lit(0), F.coalesce(size - need(partner) + 1, F.lit(0))).cast("int")
+    rows = rows.join(most, "family").withColumns({"main": F.when(F.col("apart"), length("most_main")).otherwise(F.lit(0)), "other": length("most_apart"), "size": size})
+    rows = rows.where("main > 0 or other > 0").withColumn("held", F.slice("delta", F.lit(1), F.greatest("main", "other"))).drop("delta")
+    spread = cut(rows.select("*", F.posexplode("held").alias("at", "shingle")).drop("held"), "differences")
+    side = lambda v, *more: spread.where(" and ".join(more)).select("family", "shingle", *(F.col(c).alias(f"{c}_{v}") for c in ("id", "a", "at", "size", "component", *PARITY)), *(["core"] if v == "x" else []))
+    # Differences of one component alone pair nobody.
+    mixed = cut(spread.groupBy("family", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("apart").alias("any")).where("low <> high and any").select("family", "shingle"), "mixed")
+    apart = " + ".join(f"bit_count({b}_x ^ {b}_y)" for b in PARITY)
+    shared = f"least(size_x - at_x, size_y - at_y, (size_x + size_y - ({apart})) div 2)"
+    enough = f"component_x <> component_y and (core - {shared}) * {100 + percent} <= a_x + a_y"
+    keys = ["family", "shingle"]
+    x = lambda *more: side("x", "apart", *more).join(mixed, keys)
+    found = x("at < main").join(side("y", "not apart"), keys).union(x("at < other").join(side("y", "apart", "at < other"), keys))
+    return found.where(enough).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, collections: int = 14, width: int = 2, small: int = 6, seed: int = 7) -> DataFrame:
@@ -269,21 +271,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     classes = full.groupBy("d1", "d2").agg(F.min("id").alias("vid"), F.first("keys").alias("keys"))
     reps = cut(classes, "classes")
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("keys")[i], F.col("keys")[j]) for t, (i, j) in enumerate(combinations(range(collections), 2))])
-    keyed = reps.select(F.explode(tables).alias("key"), F.col("vid").alias("id")).repartition("key").sortWithinPartitions("key")
-    met = cut(pair_up(keyed, small), "pairs")
-    pairs = cut(met.where("bucket = 0 and a <> b").select("a", "b").distinct(), "candidates")
-    large = met.where("bucket <> 0")
+    pairs, large, met = buckets(reps.select(F.explode(tables).alias("key"), F.col("vid").alias("id")), small)
     crowded = not large.isEmpty()
     compared = cut(compare(pairs, *(families(large) if crowded else (None, None)), docs, id, text, shingle, percent), "compared")
+    rows = compared.where("kind = 1")
     # Rows that share an id are one document: the classes of one id are tied without a comparison.
     many = full.select("id", "d1", "d2").distinct().groupBy("id").count().where("count > 1").select("id")
     ties = full.join(many, "id").join(reps.select("d1", "d2", "vid"), ["d1", "d2"]).where("id <> vid").select(F.col("vid").alias("a"), F.col("id").alias("b")).distinct()
     link = [F.col("hub").alias("a"), F.col("id").alias("b")]
-    links = cut(compared.where("linked and id <> hub").select(*link).union(ties), "links")
+    linked = compared.where("linked and id <> hub").select(*link).union(ties)
+    links = cut(linked.union(certain_links(rows, percent)) if crowded else linked, "links")
     labels = components(links)
     drop_cut(met)
     if crowded:
-        more = cut(rest_of_families(compared.where("kind = 1"), labels, percent).join(pairs, ["a", "b"], "left_anti"), "more")
+        more = cut(rest_of_families(rows, labels, percent).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             found = cut(compare(more, None, None, docs, id, text, shingle, percent).select(*link), "found")
             if not found.isEmpty():

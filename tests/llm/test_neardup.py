@@ -86,3 +86,28 @@ def test_components(spark):
     got = {r.id: r.component for r in components(edges).collect()}
     assert got[20] == 3 and got[8] == 7 and 6 not in got and all(got[100 + i] == 100 for i in range(41))
     assert components(edges.where(F.lit(False))).count() == 0
+
+
+def test_rows_grow_with_a_group(spark, monkeypatch):
+    """Twice as many near copies of one text give about twice as many differences to join and no crowd of candidates."""
+
+    def grown(members: int) -> dict:
+        r = random.Random(9)
+        words = prose(3, 120).split()
+        texts = [edited(r, words, r.uniform(0.0, 0.07)) for _ in range(members)]
+        seen = {}
+
+        def noted(df, name="stage"):
+            out = real(df, name)
+            seen[name] = out.count() if name in ("differences", "more") else 0
+            return out
+
+        monkeypatch.setattr(neardup, "cut", noted)
+        got = {x.id: x.nd_component for x in neardup.near_duplicates(documents(spark, texts), shingle=4).collect()}
+        assert got == {k: v[1] for k, v in brute(dict(enumerate(texts)), 4).items()}
+        return seen
+
+    real = neardup.cut
+    small, large = grown(150), grown(300)
+    assert 0 < large["differences"] <= 2.75 * small["differences"]
+    assert large["more"] <= 100
