@@ -114,20 +114,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document. ``shared_spans`` are held by other documents too, ``repeated_spans`` also hold what repeats within one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids, marks = docs.select("doc_id"), substrings.marked(docs)
-    found = ids.join(marks, ids["doc_id"].eqNullSafe(marks["id"]), "left")
-    spans = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ","), F.lit(""))
-    chars = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("long"))
+    found = substrings.with_marks(docs, substrings.marked(docs), "doc_id", "text")
+    spans = lambda c: F.coalesce(F.array_join(F.transform(f"_marks.{c}", lambda x: F.concat_ws(":", x["start"], x["end"])), ","), F.lit("")).alias(f"{c[3:]}_spans")
+    chars = lambda c: F.coalesce(F.aggregate(f"_marks.{c}", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("long")).alias(f"{c[3:]}_chars")
+    kinds = ("sd_repeated", "sd_shared", "sd_removed")
     return found.select(
         "doc_id",
-        F.coalesce("sd_chunks", F.lit(0).cast("long")).alias("n_repeated_chunks"),
-        chars("sd_repeated").alias("repeated_chars"),
-        chars("sd_shared").alias("shared_chars"),
-        chars("sd_removed").alias("removed_chars"),
-        spans("sd_repeated").alias("repeated_spans"),
-        spans("sd_shared").alias("shared_spans"),
-        spans("sd_removed").alias("removed_spans"),
-        F.coalesce("sd_first", F.array().cast("array<long>")).alias("first_doc_ids"),
+        F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"),
+        F.coalesce("_marks.sd_chunks", F.lit(0).cast("long")).alias("n_repeated_chunks"),
+        *(chars(c) for c in kinds),
+        *(spans(c) for c in kinds),
+        F.coalesce("_marks.sd_first", F.array().cast("array<long>")).alias("first_doc_ids"),
     )
 
 

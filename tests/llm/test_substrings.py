@@ -84,10 +84,38 @@ def test_defined_cases(spark):
     assert S.repeats(docs.where("false")).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    p, q, u, v = prose(1, 100), prose(2, 100), prose(3, 100), prose(4, 100)
+    rows = [(1, p), (5, p + " " + q), (5, u), (5, u), (None, v), (None, p + " " + v + " " + p), (None, q)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS sd_removed", "1 AS id")
+    got = sorted((str(r.doc_id), r.text) for r in S.without_repeats(docs).collect())
+    assert got == sorted((str(i), cleaned(i, t, rows)) for i, t in rows)
+    assert {(x.id, x.sd_row is not None) for x in S.marked(docs).collect()} == {(i, True) for i, _ in rows}
+
+
+def cleaned(own, text: str, rows: list[tuple], min_run: int = 40) -> str:
+    """By definition: chunks go that the row had before, or that a document with a smaller id has."""
+    first: dict[str, int] = {}
+    for i, t in rows:
+        for c in pieces(t):
+            if i is not None:
+                first[c] = min(first.get(c, i), i)
+    seen, out, run = set(), [], []
+    for c in [*pieces(text), None]:
+        gone = c is not None and (c in seen or (c in first and (own is None or first[c] < own)))
+        seen.add(c)
+        if gone:
+            run.append(c)
+        else:
+            out += run if sum(map(len, run)) < min_run else []
+            out, run = [*out, c or ""], []
+    return "".join(out)
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r for r in op9_substrings(spark, sf).collect()}
-    assert set(got) <= set(docs) and all(0 < r.removed_chars <= r.repeated_chars <= len(docs[i]) or r.removed_chars == 0 for i, r in got.items())
+    assert set(got) == set(docs) and all(got[i].n_chars == len(t) for i, t in docs.items()) and all(0 < r.removed_chars <= r.repeated_chars <= len(docs[i]) or r.removed_chars == 0 for i, r in got.items())
     copies: dict[str, list[int]] = {}
     for i, t in docs.items():
         copies.setdefault(t, []).append(i)
