@@ -5,7 +5,8 @@ share a cell raise each other's count; with t distinct terms a document a cell g
 documents, for 300 terms 0.007 %, far below the band's lower edge, at any corpus size.
 
 A text keeps its distinct terms whose share of documents lies in [low, high], that is an inverse document
-frequency in [ln(1/high), ln(1/low)]; with fewer than ``few`` such terms it keeps all. The fingerprint has a hash of
+frequency in [ln(1/high), ln(1/low)]; with fewer than ``few`` such terms, those nearest to the band make up the number,
+so texts on both sides of it differ in a term only. The fingerprint has a hash of
 them all (classic I-Match), then one part for each of ``SUBSETS`` random lexicon orders: halving subsets of
 the lexicon are nested, and the part names the sparsest one that holds any of the terms, with the hash of those
 it holds. Hashes are sums of mixed term hashes, which is the hash of the sorted list of distinct terms
@@ -13,7 +14,8 @@ whatever order they are met in. Likeness is the share of lexicon orders whose pa
 share of terms that two texts have in common and is 1 for equal term sets.
 
 Defined cases: null is empty; texts without a term have an empty fingerprint part list and are like each other
-alone; rows are ordered by id, then text, nulls first, and each is followed by the next row.
+alone; rows are ordered by id, then a hash of the text, then text, nulls first, and each is followed by the next row.
+An id that very many rows share is spread over ranges by that hash.
 """
 
 from __future__ import annotations
@@ -102,16 +104,21 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 
 class Lexicon:
-    """Which terms the band keeps, as a bit a cell."""
+    """How far the terms of each cell are from the band: 0 inside, else steps of an eighth of a bit beyond its edge."""
 
     def __init__(self, frequencies: np.ndarray, documents: int, low: float, high: float, few: int):
-        self.inside = np.packbits((frequencies >= max(2, low * documents)) & (frequencies <= max(2, high * documents)))
+        edges = np.log2([max(2, low * documents), max(2, high * documents)])
+        at = np.log2(np.maximum(frequencies, 0.5))
+        beyond = np.maximum(np.maximum(edges[0] - at, at - edges[1]), 0)
+        self.beyond = np.minimum(np.ceil(beyond * 8), 255).astype(np.uint8)
         self.few = few
 
     def kept(self, terms: np.ndarray) -> np.ndarray:
-        at = cells(terms)
-        chosen = terms[((self.inside[at >> 3] >> (7 - (at & 7))) & 1).astype(bool)]
-        return chosen if len(chosen) >= self.few else terms
+        beyond = self.beyond[cells(terms)]
+        chosen = terms[beyond == 0]
+        if len(chosen) >= self.few or len(chosen) == len(terms):
+            return chosen
+        return np.sort(terms[np.lexsort((terms, beyond))[: self.few]])
 
     def fingerprints(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The hash of all kept terms, and the parts (level in the upper 8 bits, hash below), a row a text."""
@@ -145,40 +152,48 @@ def spelled(whole: np.ndarray, parts: np.ndarray) -> list[str]:
     return [f"{w:016x}" + "".join(f"-{p >> 56:02x}{p & 0xFFFFFFFF:08x}" for p in row) if w else f"{w:016x}" for w, row in zip(whole.tolist(), parts.tolist(), strict=True)]
 
 
+def ranges_of(key: np.ndarray, tie: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each row. A key that several bounds share is split among them by the tie's place in its domain."""
+    first = np.searchsorted(bounds, key, side="left")
+    several = np.searchsorted(bounds, key, side="right") - first
+    share = (tie.astype(np.float64) + 2.0**63) / 2.0**64
+    return (first + np.minimum((several * share).astype(np.int64), np.maximum(several - 1, 0))).astype(np.int64)
+
+
 def in_order(docs: DataFrame, id: str, text: str, range_rows: int, max_ranges: int) -> DataFrame:
-    """(part, halo, id, text) in order within parts; each part ends with the row that follows its last (halo 1)."""
+    """(part, halo, id, tie, text) in order within parts; each part ends with the row that follows its last (halo 1)."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = rows.select(F.coalesce("id", F.lit(NULL_ID)).alias("key"))
+    rows = rows.select("id", F.coalesce("id", F.lit(NULL_ID)).alias("key"), F.xxhash64("text").alias("tie"), "text")
+    keys = rows.select("key", "tie")
     ranges = min(max(1, -(-keys.count() // range_rows)), max_ranges)
     cuts = [k / ranges for k in range(1, ranges)]
-    bounds = np.array(sorted(set(keys.agg(F.percentile_approx("key", cuts, 100 * ranges)).first()[0] or [])) if cuts else [], np.int64)
+    bounds = np.array(sorted(keys.agg(F.percentile_approx("key", cuts, 20 * ranges)).first()[0] or []) if cuts else [], np.int64)
 
-    def place(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        key = b["key"].to_numpy()
-        return key, np.searchsorted(bounds, key, side="left").astype(np.int64)
+    def place(b: pa.RecordBatch) -> np.ndarray:
+        return ranges_of(b["key"].to_numpy(), b["tie"].to_numpy(), bounds)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, part = place(b)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key)], ["part", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(place(b)), b["key"], b["tie"]], ["part", "key", "tie"])
 
-    firsts = keys.mapInArrow(parts, "part long, key long").groupBy("part").agg(F.min("key").alias("key")).orderBy("part").collect()
-    before = {first.key: firsts[i - 1].part for i, first in enumerate(firsts)}
-    heads = np.array(sorted(before), np.int64)
+    firsts = keys.mapInArrow(parts, "part long, key long, tie long").groupBy("part").agg(F.min(F.struct("key", "tie")).alias("head")).orderBy("part").collect()
+    before = {(first.head.key, first.head.tie): firsts[i - 1].part for i, first in enumerate(firsts)}
+    heads = np.array(sorted({k for k, _ in before}), np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, part = place(b)
+            part, key, tie = place(b), b["key"].to_numpy(), b["tie"].to_numpy()
             zero = np.zeros(len(key), np.int64)
-            names = ["part", "halo", "id", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(zero), b["id"], b["text"]], names)
-            at = np.flatnonzero(np.isin(key, heads))
-            if len(at):
-                to = pa.array([before[k] for k in key[at].tolist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([to, pa.array(zero[at] + 1), b["id"].take(pa.array(at)), b["text"].take(pa.array(at))], names)
-
-    dealt = rows.withColumn("key", F.coalesce("id", F.lit(NULL_ID))).mapInArrow(spread, "part long, halo long, id long, text string")
-    return dealt.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "halo", F.col("id").asc_nulls_first(), "text")
+            names = ["part", "halo", "id", "tie", "text"]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(zero), b["id"], b["tie"], b["text"]], names)
+            at = [i for i in np.flatnonzero(np.isin(key, heads)).tolist() if (int(key[i]), int(tie[i])) in before]
+            if at:
+                to, taken = pa.array([before[int(key[i]), int(tie[i])] for i in at], pa.int64()), pa.array(at)
+                yield pa.RecordBatch.from_arrays([to, pa.array(zero[at] + 1), b["id"].take(taken), b["tie"].take(taken), b["text"].take(taken)], names)
+
+    dealt = rows.mapInArrow(spread, "part long, halo long, id long, tie long, text string")
+    # Ranges are tasks by their number: dealt by a hash, several would meet in one task.
+    return dealt.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "halo", F.col("id").asc_nulls_first(), "tie", "text")
 
 
 def fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text", low: float = 0.001, high: float = 0.1, few: int = 8, range_rows: int = RANGE_ROWS, max_ranges: int = 50_000) -> DataFrame:

@@ -48,7 +48,8 @@ def test_ties_nulls_and_empty(spark):
     rows = [(None, "n"), (1, "b"), (1, "a"), (1, "a"), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = I.fingerprint(docs).collect()
-    order = [(None, "n"), (1, "a"), (1, "a"), (1, "b"), (2, "")]
+    tie = {r.text: r.tie for r in docs.selectExpr("text", "xxhash64(text) AS tie").collect()}
+    order = [(None, "n"), *sorted([(1, "a"), (1, "a"), (1, "b")], key=lambda x: tie[x[1]]), (2, "")]
     want = sorted((str(i), hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % 5][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
     assert sorted((str(r.id), r.edited_sha256) for r in got) == want
     assert I.fingerprint(docs.where("false")).count() == 0
@@ -63,3 +64,30 @@ def test_query(spark, sf):
         by_text.setdefault(docs[r.doc_id], set()).add(r.fingerprint)
     assert all(len(v) == 1 for v in by_text.values()) and all(re.fullmatch("[0-9a-f-]+", r.fingerprint) for r in rows)
     assert sum(r.near_edited for r in rows) > sum(r.near_next for r in rows)
+
+
+def test_an_id_that_most_rows_share_is_split(spark):
+    texts = [prose(i, 20) for i in range(120)]
+    rows = [(7 if i % 3 else i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r.text: r.tie for r in docs.selectExpr("text", "xxhash64(text) AS tie").collect()}
+    order = sorted(rows, key=lambda x: (x[0], tie[x[1]]))
+    want = sorted((i, hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((r.id, r.edited_sha256) for r in I.fingerprint(docs, range_rows=10).collect()) == want
+    sizes = [r["count"] for r in I.in_order(docs, "doc_id", "text", 10, 50).where("halo = 0").groupBy("part").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 25
+
+
+def test_texts_about_the_least_number_of_terms_stay_alike():
+    frequencies = np.zeros(1 << I.WIDTH)
+    inside = [w.encode() for w in prose(5, 60).split()]
+    inside = list(dict.fromkeys(inside))[:9]
+    others = list(dict.fromkeys(w.encode() for w in prose(6, 60).split()))[:40]
+    for w in inside:
+        frequencies[I.cells(np.array([hash_word(w)], np.uint64))] = 50
+    for w in others:
+        frequencies[I.cells(np.array([hash_word(w)], np.uint64))] = 900
+    lexicon = I.Lexicon(frequencies, 1000, 0.001, 0.1, 8)
+    whole, parts = lexicon.fingerprints([b" ".join(inside[:n] + others) for n in (7, 8, 9)])
+    near = I.likeness((whole[[0, 1]], parts[[0, 1]]), (whole[[1, 2]], parts[[1, 2]]))
+    assert near.min() > 0.5
