@@ -5,8 +5,9 @@ curve's key orders documents so that neighbours are alike. Documents are sorted
 of id), so equal keys are spread over ranges, and every range is laid end to end from the count of
 tokens before it. The stream is cut every ``capacity`` tokens: only the last sequence is padded.
 
-Tokens are found word by word as the tokenizer's own splitting gives them, each distinct word being
-encoded once by the tokenizer's model; texts with characters outside the plain Latin set go to it whole.
+Tokens are found word by word as the tokenizer's own splitting gives them, each distinct word being encoded once by
+the tokenizer's model; texts with characters outside the plain Latin set go to it whole, and so do all texts where the
+tokenizer's file states other rules of splitting than the ones written here.
 
 Defined cases: null and empty texts are one token, the separator; rows that share an id are packed one
 after the other, each with its own offsets; no documents give no sequences.
@@ -14,6 +15,7 @@ after the other, each with its own offsets; no documents give no sequences.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,19 +50,30 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
+#: What a tokenizer's file says if these rules are its own.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRETOKENIZERS = [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
 class Encoder:
-    """Text to token ids as little-endian 16-bit bytes. It remembers words, so keep one a process (``encoder``)."""
+    """Text to token ids as little-endian bytes, ``width`` a token. It remembers words, so keep one a process (``encoder``)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_words = (rules["normalizer"], rules["pre_tokenizer"]) == ({"type": "Sequence", "normalizers": NORMALIZERS}, {"type": "Sequence", "pretokenizers": PRETOKENIZERS}) and rules["model"]["type"] == "BPE" and not rules["model"]["dropout"]
+        self.added = [t["content"][:2] for t in rules["added_tokens"]]
+        self.width = 2 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else 4
         self.letters = byte_letters()
-        self.pairs = [k.to_bytes(2, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.pairs = [k.to_bytes(self.width, "little") for k in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+        return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of single words: the tokenizer's own merges, without its splitting and offsets."""
@@ -69,7 +82,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if not _PLAIN.search(t) and "<|" not in t]
+        plain = [i for i, t in enumerate(texts) if self.by_words and not _PLAIN.search(t) and not any(x in t for x in self.added)]
         split = [_SPLIT.findall(texts[i].lower()) for i in plain]
         words = set().union(*split)
         fresh = list(words.difference(self.known))
@@ -79,8 +92,9 @@ class Encoder:
         for i, words in zip(plain, split, strict=True):
             out[i] = b"".join(map(self.known.__getitem__, words))
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
+        for k in range(0, len(rest), 64):
+            for i, ids in zip(rest[k : k + 64], self._whole([texts[i] for i in rest[k : k + 64]]), strict=True):
+                out[i] = ids
         return out
 
 
@@ -132,16 +146,17 @@ def hilbert(points: np.ndarray, digits: int) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, id: str, text: str, tokenizer: str, separator: int, seed: int) -> DataFrame:
-    """(id, ids, tokens, c0, c1, c2): the ids with the separator as 16-bit bytes, and the coordinates."""
+    """(id, ids, tokens, c0, c1, c2): the ids with the separator as bytes, and the coordinates."""
+    width = encoder(tokenizer).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane = projection(seed)
         for b in batches:
             col = strings(b["text"])
             for s, e in slices(col):
-                ids = [x + int(separator).to_bytes(2, "little") for x in encoder(tokenizer).encode(col[s:e].to_pylist())]
-                places = np.array([coordinates(np.frombuffer(x, "<u2"), plane) for x in ids], np.float64)
-                tokens = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
+                ids = [x + int(separator).to_bytes(width, "little") for x in encoder(tokenizer).encode(col[s:e].to_pylist())]
+                places = np.array([coordinates(np.frombuffer(x, f"<u{width}"), plane) for x in ids], np.float64)
+                tokens = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
                 yield pa.RecordBatch.from_arrays([b["id"].slice(s, e - s), pa.array(ids, pa.binary()), pa.array(tokens), *(pa.array(places[:, k]) for k in range(DIMENSIONS))], ["id", "ids", "tokens", "c0", "c1", "c2"])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -181,11 +196,13 @@ def placed(rows: DataFrame, curve: Curve, bounds: list[int], columns: list[str])
 def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", capacity: int = 2048, separator: int = 1, range_rows: int = RANGE_ROWS, max_ranges: int = 50_000, with_ids: bool = True, seed: int = 11) -> DataFrame:
     """Pieces (id, start, length, ids_crc32, tokens, sequence_id, offset, ids).
 
-    ``ids`` are unsigned 16-bit little-endian bytes (left out if ``with_ids`` is false); ``ids_crc32`` is that of
+    ``ids`` are unsigned little-endian bytes, two a token and four if the vocabulary needs them (left out if ``with_ids``
+    is false); ``ids_crc32`` is that of
     the same ids as unsigned little-endian 32-bit numbers; ``tokens`` counts the whole document's.
     ``range_rows`` and ``max_ranges`` only size the tasks; the sequences are the same stream for any of them.
     """
     prepare(docs.sparkSession)
+    width = encoder(tokenizer).width
     rows = cut(tokenized(docs, id, text, tokenizer, separator, seed), "tokens")
     stats = rows.agg(*(f(f"c{k}") for k in range(DIMENSIONS) for f in (F.avg, F.stddev_pop)), F.count("*"), F.sum("tokens")).first()
     curve, size, total = Curve(stats), stats[-2], stats[-1] or 0
@@ -193,11 +210,12 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     cuts = [k / ranges for k in range(1, ranges)]
     # Ranges of about equal token counts: a place counts once and again for every WEIGHT tokens.
     small = placed(rows, curve, [], ["tokens"]).select(F.explode(F.array_repeat("place", (F.col("tokens") / WEIGHT).cast("int") + 1)).alias("place"))
-    bounds = sorted(set(small.agg(F.percentile_approx("place", cuts, 100 * ranges)).first()[0] or [])) if cuts else []
+    bounds = sorted(set(small.agg(F.percentile_approx("place", cuts, 20 * ranges)).first()[0] or [])) if cuts else []
     own = placed(rows, curve, bounds, ["tokens"]).groupBy("part").agg(F.sum("tokens").alias("own"))
     before = own.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
     laid = placed(rows, curve, bounds, ["id", "ids"]).join(F.broadcast(before), "part")  # at most max_ranges rows
-    laid = laid.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "place", "id", "ids")
+    # Ranges are tasks by their number: dealt by a hash, several would meet in one task.
+    laid = laid.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "place", "id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = None, 0
@@ -206,11 +224,11 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
             for doc, ids, own, base in zip(*(b[c].to_pylist() for c in ("id", "ids", "part", "base")), strict=True):
                 if own != part:
                     part, at = own, base
-                done, n = 0, len(ids) // 2
+                done, n = 0, len(ids) // width
                 while done < n:
                     size = min(n - done, capacity - at % capacity)
-                    piece = ids[2 * done : 2 * (done + size)]
-                    out.append((doc, done, size, zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4").tobytes()), n, at // capacity, at % capacity, piece))
+                    piece = ids[width * done : width * (done + size)]
+                    out.append((doc, done, size, zlib.crc32(np.frombuffer(piece, f"<u{width}").astype("<u4").tobytes()), n, at // capacity, at % capacity, piece))
                     done, at = done + size, at + size
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if name == "ids" else pa.int64()) for k, name in enumerate(names)], names)
 

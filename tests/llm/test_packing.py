@@ -22,6 +22,21 @@ def test_encoder_equals_the_tokenizer():
     assert got == [x[:-1] for x in ids_of(texts)]
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import public_tokenizers
+    from tokenizers import models, pre_tokenizers
+
+    texts = ["Don't stop, it's 42% of Ünïcode!", "", "中文", prose(3, 50)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = P.Encoder(path)
+    assert not own.by_words and [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    large = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    large.pre_tokenizer = pre_tokenizers.Whitespace()
+    large.save(f"{tmp_path}/large.json")
+    own = P.Encoder(f"{tmp_path}/large.json")
+    assert own.width == 4 and np.frombuffer(own.encode(["w69999 w5 x"])[0], "<u4").tolist() == [69999, 5, 0]
+
+
 def test_hilbert_curve_visits_neighbours():
     d = 3
     grid = np.array([(x, y, z) for x in range(1 << d) for y in range(1 << d) for z in range(1 << d)])
