@@ -10,7 +10,7 @@ A text is rejected if it has no letter, or if its best cross-entropy lies above
 limit comes from labelled rows that the models did not see, without those likelier in another language: twice the
 largest excess over the median found there, and at least half the way from the median to the cost of symbols drawn evenly.
 
-Fitting uses about ``per_language`` rows of every language (a seeded hash of the id chooses them). The tables have a
+Fitting uses about ``per_language`` rows of every language (a seeded hash of id and text chooses them). The tables have a
 column a language, so from ``MANY`` languages on rows become fewer with their square, down to ``LEAST``; labels,
 sources and ids are never inputs of a prediction.
 
@@ -20,12 +20,12 @@ single labelled row everything is ``und``; ``li_*`` columns that the documents a
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,13 +38,15 @@ REMEMBERED = 300_000
 MANY, LEAST = 40, 30
 FEW = 8  # languages of fewer rows are calibrated on the rows that they are learned from
 SHARPNESS = 40  # symbols at most that the confidence counts as independent
-_WORD = re.compile(r"[^\W\d_]+")
+_PLAIN_WORD = regex.compile(r"[a-z]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 RESULT = T.StructType([T.StructField("li_lang", T.StringType()), T.StructField("li_score", T.DoubleType()), T.StructField("li_entropy", T.DoubleType()), T.StructField("li_rejected", T.BooleanType())])
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Letters with the marks that combine with them, such as vowel signs."""
+    return (_PLAIN_WORD if text.isascii() else _WORD).findall(text.lower())
 
 
 def symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +67,7 @@ def gram_hashes(code: np.ndarray) -> list[np.ndarray]:
     sums, out = np.zeros(len(code), np.uint64), [np.zeros(len(code), np.uint64)]
     for k in range(1, ORDER + 1):
         back = np.zeros(len(code), np.uint64)
-        back[k - 1 :] = code[: len(code) - k + 1].astype(np.uint64)
+        back[k - 1 :] = code[: max(len(code) - k + 1, 0)].astype(np.uint64)
         sums = sums + mix64(back * _FACTORS[k - 1] + np.uint64(k))
         out.append(mix64(sums + np.uint64(k)))
     return out
@@ -138,13 +140,14 @@ class Model:
 
     def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each word in each language, and how many symbols it has."""
-        clean = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
-        code, place, word = symbols(clean)
+        code, place, word = symbols(words)
         grams = gram_hashes(code)
         p = np.full((len(code), len(self.languages)), 1 / self.alphabet, np.float32)
         for k in range(1, ORDER + 1):
             at = np.flatnonzero((place >= k - 1) & (place >= 1))
             keys, values = self.grams[k - 1]
+            if not len(keys):  # no learned word is so long
+                break
             row, seen = look_up(keys, grams[k][at])
             names, gamma = self.contexts[k - 1]
             context = grams[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.uint64)
@@ -154,12 +157,10 @@ class Model:
             p[at] = np.where(own >= 0, own, backed)
         bits = -np.log2(p)
         bits[place == 0] = 0
-        empty = np.fromiter((not w for w in clean), bool, len(clean))
-        bits[empty[word]] = 0
-        costs = np.zeros((len(clean), len(self.languages)), np.float32)
+        costs = np.zeros((len(words), len(self.languages)), np.float32)
         if len(word):
-            costs = np.add.reduceat(bits, np.searchsorted(word, np.arange(len(clean))), axis=0)
-        return costs, np.where(empty, 0, np.fromiter(map(len, clean), np.int64, len(clean)) + 1)
+            costs = np.add.reduceat(bits, np.searchsorted(word, np.arange(len(words))), axis=0)
+        return costs, np.fromiter(map(len, words), np.int64, len(words)) + 1
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean bits a symbol (texts x languages) and the number of symbols."""
@@ -199,15 +200,18 @@ class Model:
 
 
 def learned_rows(docs: DataFrame, id: str, text: str, lang: str, learn: Column, per_language: int, seed: int) -> DataFrame:
-    """About ``per_language`` rows of each language, chosen by a hash; ``part`` 0 calibrates, 1 to 3 train, -1 does both."""
+    """About ``per_language`` rows of each language, chosen by a hash; ``part`` 0 calibrates, 1 to 3 train, -1 does both.
+
+    Rows that share an id and a text count once, so that they stay within the bound.
+    """
     usable = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = usable.groupBy(lang).count().collect()
     most = min(per_language, max(LEAST, per_language * MANY**2 // max(len(sizes), 1) ** 2))
     limits = [(name, ((1 << 63) - 1) * min(most, count) // count, count < FEW) for name, count in sizes]
     table = docs.sparkSession.createDataFrame(limits, "lang string, highest long, few boolean")
-    rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(rank_hash(seed + 1, id), F.lit(4)).alias("part"), rank_hash(seed, id).alias("rank"))
+    rows = usable.select(F.col(lang).alias("lang"), F.col(id).alias("id"), F.col(text).alias("text"), F.pmod(rank_hash(seed + 1, id, text), F.lit(4)).alias("part"), rank_hash(seed, id, text).alias("rank"))
     chosen = rows.join(F.broadcast(table), "lang").where(F.col("rank") <= F.col("highest"))
-    return chosen.select("lang", "text", F.when(F.col("few"), F.lit(-1)).otherwise(F.col("part")).alias("part"))
+    return chosen.groupBy("lang", "id", "text").agg(F.min(F.when(F.col("few"), F.lit(-1)).otherwise(F.col("part"))).alias("part")).drop("id")
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -215,7 +219,7 @@ def count_words(rows: DataFrame) -> DataFrame:
         counts: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(w for w in words_of(text) if w.isalpha())
+                counts.setdefault(lang, Counter()).update(words_of(text))
         for lang, c in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 

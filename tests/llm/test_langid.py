@@ -118,3 +118,17 @@ def test_labels_are_no_inputs(spark, sf):
     mixed = {r.doc_id: (r.li_lang, r.li_score) for r in L.identify(docs.withColumn("lang", F.lit("xx")), model).collect()}
     assert plain == mixed
     assert np.isfinite([s for _, s in plain.values()]).all()
+
+
+def test_words_shorter_than_the_order_and_vowel_signs():
+    model = L.Model({"en": {"a": 3, "bc": 2}})
+    lang, score, entropy, _ = model.predict(["hello there", "a bc"])
+    assert lang == ["en", "en"] and np.isfinite(entropy).all() and (score > 0).all()
+    assert L.words_of("हिन्दी में x1y") == ["हिन्दी", "में", "x", "y"] and L.words_of("Ⅷ ½ 12") == []
+
+
+def test_rows_that_share_id_and_text_stay_within_the_bound(spark):
+    rows = [(None, "same text again", "xx")] * 400 + [(i, f"word{chr(97 + i % 26)} text", "xx") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = L.learned_rows(docs, "doc_id", "text", "lang", F.lit(True), 100, 5)
+    assert chosen.where("text = 'same text again'").count() <= 1 and 10 <= chosen.count() <= 150
