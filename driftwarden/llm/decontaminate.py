@@ -7,8 +7,8 @@ The index is a Burrows-Wheeler transform in a wavelet matrix; windows are found
 placed by walking to sampled suffix positions, and their spans merged.
 
 A window is ``window`` consecutive words of an item, or all words of a shorter item. The benchmark is a
-query set: it is read in blocks of at most ``block_words`` words, each broadcast alone, one pass a block;
-after every ``STAGE_BLOCKS`` passes the rows are written, so that no task holds more blocks.
+query set: it is read in blocks of at most ``block_words`` words, each broadcast alone, one pass a block; after every
+``STAGE_BLOCKS`` passes the rows are written and their blocks given up, so that neither the driver nor a task holds more.
 
 Defined cases: null or empty texts have no words and stay; items without words match nothing; items that
 share an id count once; ``dc_*`` columns that the documents already have are replaced; repeated rows
@@ -18,6 +18,7 @@ are each marked.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -245,12 +246,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     keep = [c for c in (keep or docs.columns) if c not in RESULT.names]
     out = docs.select(*dict.fromkeys([*keep, text]))
     sc = docs.sparkSession.sparkContext
-    passes = [Windows(x, window) for x in blocks(benchmark, item_id, item_text, block_words)] or [None]
-    for k, windows in enumerate(passes):
-        last = k == len(passes) - 1
+    coming = chain(blocks(benchmark, item_id, item_text, block_words), [None])
+    items, k, sent = next(coming), 0, []
+    while items is not None or k == 0:
+        windows = Windows(items, window) if items else None
+        items = next(coming) if items else None
+        last = items is None
         kept = keep if last else out.columns[: len(dict.fromkeys([*keep, text]))]
         fields = [out.schema[c] for c in kept]
         held = sc.broadcast(windows)
+        sent.append(held)
 
         def run(batches: Iterator[pa.RecordBatch], kept=kept, held=held, later=k > 0) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -273,8 +278,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                     yield pa.RecordBatch.from_arrays(arrays, [*kept, *RESULT.names])
 
         out = out.mapInArrow(run, T.StructType([*fields, *RESULT.fields]))
-        if k % STAGE_BLOCKS == STAGE_BLOCKS - 1 and not last:
+        k += 1
+        if k % STAGE_BLOCKS == 0 and not last:
             out = cut(out, "marked")
+            while sent:
+                sent.pop().destroy()
     return out
 
 
