@@ -1,12 +1,13 @@
 """Unsupervised detectors: statistical, principal components, isolation forest; their scaling and thresholds.
 
-All are fitted on a development table of bounded size (``development``) and applied to any number of rows. The first
-two and all thresholds are JVM expressions; only the forest's scoring runs in Python, over Arrow batches.
+All are fitted on a development table of bounded size (``development``) and applied to any number of rows. The
+statistical score and all thresholds are JVM expressions; components and forest score the scaled matrix in Python, an
+Arrow batch at a time, both in one pass (``score_models``) with only the wanted columns beside it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +34,7 @@ def development(df: DataFrame, rows: int = DEVELOPMENT_ROWS) -> DataFrame:
 
 
 def threshold(df: DataFrame, column: str, p: float = PERCENTILE) -> float:
-    """Exact percentile with linear interpolation over a table of bounded size."""
+    """Exact percentile with linear interpolation; ``df`` is a development table, of bounded size."""
     return float(df.agg(F.percentile(column, p)).first()[0] or 0.0)
 
 
@@ -60,6 +61,10 @@ class Scaler:
         row = dev.agg(*(x for c, v in zip(names, filled, strict=True) for x in (F.avg(v).alias(f"m_{c}"), F.stddev_pop(v).alias(f"s_{c}")))).first()
         return cls(names, median, [float(row[f"m_{c}"]) for c in names], [float(row[f"s_{c}"]) or 1.0 for c in names])
 
+    def matrix(self, values: np.ndarray) -> np.ndarray:
+        """Rows of ``columns`` (NaN: missing) as the models see them."""
+        return (np.where(np.isnan(values), self.median, values) - self.mean) / self.deviation
+
     def expressions(self) -> list[Column]:
         return [((F.coalesce(F.col(c).cast("double"), F.lit(m)) - a) / s).alias(f"z_{c}") for c, m, a, s in zip(self.columns, self.median, self.mean, self.deviation, strict=True)]
 
@@ -87,26 +92,35 @@ class PrincipalComponents:
         out.threshold = threshold(out.score(dev), "pca_score")
         return out
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Adds ``pca_score``: the scaled vector is centred, so the error is what the components leave of its square."""
-        held = df.sparkSession.sparkContext.broadcast(np.array(self.components).T)
-        return with_scores(df, self.scaler, "pca_score", lambda x: np.mean(np.square(x - (x @ held.value) @ held.value.T), axis=1))
+    def errors(self, x: np.ndarray) -> np.ndarray:
+        """The scaled rows are centred, so the error is what the components leave of them."""
+        c = np.array(self.components)
+        return np.mean(np.square(x - (x @ c.T) @ c), axis=1)
+
+    def score(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """Adds ``pca_score`` to the columns ``keep`` (by default all)."""
+        return score_models(df, {"pca_score": (self.scaler, self.errors)}, keep)
 
 
-def with_scores(df: DataFrame, scaler: Scaler, name: str, function) -> DataFrame:
-    """Adds ``name``: ``function`` of the scaled matrix, a batch at a time."""
+def score_models(df: DataFrame, models: dict[str, tuple[Scaler, Callable[[np.ndarray], np.ndarray]]], keep: list[str] | None = None) -> DataFrame:
+    """Adds for each name a function of the scaled matrix; only ``keep`` and the matrices travel to Python."""
     ship(df.sparkSession)
-    kept = [c for c in df.columns if c != name]
-    x = F.array(*(e for e in scaler.expressions())).alias("_x")
-    rows = df.select(*kept, x)
+    kept = [c for c in (keep or df.columns) if c not in models]
+    scalers: list[Scaler] = []
+    for scaler, _ in models.values():
+        if scaler not in scalers:
+            scalers.append(scaler)
+    held = df.sparkSession.sparkContext.broadcast([(name, scalers.index(scaler), function) for name, (scaler, function) in models.items()])
+    rows = df.select(*kept, *(F.array(*scaler.expressions()).alias(f"_x{k}") for k, scaler in enumerate(scalers)))
+    count, names = len(scalers), list(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                matrix = b["_x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(function(matrix))], [*kept, name])
+                x = [b[f"_x{k}"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for k in range(count)]
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), *(pa.array(function(x[k])) for _, k, function in held.value)], [*kept, *names])
 
-    return rows.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *(T.StructField(name, T.DoubleType()) for name in models)]))
 
 
 def path_normaliser(n: float) -> float:
@@ -155,21 +169,39 @@ class IsolationForest:
                 feature.append(-1), cut.append(0.0), left.append(0), depth.append(float(level + 1))
         return np.array(feature), np.array(cut), np.array(left), np.array(depth)
 
-    def score(self, df: DataFrame) -> DataFrame:
-        held = df.sparkSession.sparkContext.broadcast((self.trees, path_normaliser(self.size) or 1.0))
-
-        def isolation(x: np.ndarray) -> np.ndarray:
-            trees, expected = held.value
-            total, rows = np.zeros(len(x)), np.arange(len(x))
-            for feature, cut, left, depth in trees:
-                node = np.zeros(len(x), np.int64)
-                while (inner := feature[node] >= 0).any():
-                    at, k = rows[inner], feature[node[inner]]
-                    node[inner] = left[node[inner]] + (x[at, k] > cut[node[inner]])
-                total += depth[node]
-            return np.exp2(-total / len(trees) / expected)
-
-        return with_scores(df, self.scaler, "isolation_forest_score", isolation)
+    def isolation(self, x: np.ndarray) -> np.ndarray:
+        total, rows = np.zeros(len(x)), np.arange(len(x))
+        for feature, cut, left, depth in self.trees:
+            node = np.zeros(len(x), np.int64)
+            while (inner := feature[node] >= 0).any():
+                at, k = rows[inner], feature[node[inner]]
+                node[inner] = left[node[inner]] + (x[at, k] > cut[node[inner]])
+            total += depth[node]
+        return np.exp2(-total / len(self.trees) / (path_normaliser(self.size) or 1.0))
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        """(rows, features): how much shorter than expected each feature's splits make a row's path, over all trees.
+
+        What is expected below a node is the mean of its children's, from the depths of the leaves up.
+        """
+        out = np.zeros(x.shape)
+        rows = np.arange(len(x))
+        for feature, cut, left, depth in self.trees:
+            mean = depth.copy()
+            for node in range(len(feature) - 1, -1, -1):  # children come after their parent
+                if feature[node] >= 0:
+                    mean[node] = (mean[left[node]] + mean[left[node] + 1]) / 2
+            node = np.zeros(len(x), np.int64)
+            while (inner := feature[node] >= 0).any():
+                at, k = rows[inner], feature[node[inner]]
+                below = left[node[inner]] + (x[at, k] > cut[node[inner]])
+                np.add.at(out, (at, k), mean[node[inner]] - mean[below])
+                node[inner] = below
+        return out / max(len(self.trees), 1)
+
+    def score(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """Adds ``isolation_forest_score`` to the columns ``keep`` (by default all)."""
+        return score_models(df, {"isolation_forest_score": (self.scaler, self.isolation)}, keep)
 
 
 @dataclass
@@ -188,6 +220,11 @@ class ModelEvidence:
     def _scaled(self) -> list[Column]:
         return [(zero(c) - self.centre[c]) / self.spread[c] for c in self.centre]
 
+    def v2_of(self, scores: dict[str, np.ndarray]) -> np.ndarray:
+        """``v2`` of arrays."""
+        held = [np.clip((scores[c] - self.centre[c]) / self.spread[c], 0.0, 10.0) for c in self.centre]
+        return 1 - np.exp(-(sum(held) / len(held)) / 3.0)
+
     def v1(self) -> Column:
         xs = self._scaled()
         return bounded(F.greatest(sum(xs[1:], xs[0]) / len(xs), F.lit(0.0)), 2.0)

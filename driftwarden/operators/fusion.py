@@ -12,6 +12,10 @@ from driftwarden.schema import SENSORS
 WEIGHTS = {"temporal": 0.20, "statistical": 0.20, "multivariate": 0.25, "stability": 0.10, "missing": 0.15, "model": 0.10}
 COHERENT = 2.0
 SUPPRESSION = 0.5
+SCALES_V2 = {"temporal": 25.0, "statistical": 30.0, "multivariate": 30.0, "stability": 6.0, "drift": 3.5}
+Z_CAP = 50.0
+DRIFT_LEAST = 0.3
+LOST, LOST_LEAST = (1.0, 0.6), 0.5
 MODEL_CAP = 0.20
 AGREEMENT = 0.30
 BONUS = 0.10
@@ -100,11 +104,11 @@ def evidence_v2(df: DataFrame) -> DataFrame:
     apart = [zero(F.abs(F.col(f"{s}_roll_mean_60m") - F.col(f"{s}_roll_mean_360m"))) for s in SENSORS]
     return df.withColumns(
         {
-            "e2_temporal": bounded(largest("rate_per_hour"), 25.0),
-            "e2_statistical": bounded(F.greatest(*(F.least(zero(F.abs(f"{s}_roll_z_60m")), F.lit(50.0)) for s in SENSORS)), 30.0),
-            "e2_multivariate": bounded(disagreement(), 30.0),
-            "e2_stability": bounded(F.greatest(*(F.col(f"{s}_consec_unchanged") for s in SENSORS)).cast("double"), 6.0),
-            "e2_drift": bounded(F.greatest(*apart), 3.5),
+            "e2_temporal": bounded(largest("rate_per_hour"), SCALES_V2["temporal"]),
+            "e2_statistical": bounded(F.greatest(*(F.least(zero(F.abs(f"{s}_roll_z_60m")), F.lit(Z_CAP)) for s in SENSORS)), SCALES_V2["statistical"]),
+            "e2_multivariate": bounded(disagreement(), SCALES_V2["multivariate"]),
+            "e2_stability": bounded(F.greatest(*(F.col(f"{s}_consec_unchanged") for s in SENSORS)).cast("double"), SCALES_V2["stability"]),
+            "e2_drift": bounded(F.greatest(*apart), SCALES_V2["drift"]),
             "e2_model": F.least(F.col("model_evidence") if "model_evidence" in df.columns else F.lit(0.0), F.lit(MODEL_CAP)),
         }
     )
@@ -123,7 +127,7 @@ def fuse_v2(df: DataFrame, sudden_threshold: float | None = None, persistent_thr
         {
             "sudden_event_score": clip(F.greatest(tem, sta, mul) + F.col("sudden_active") * BONUS + mod, 0.0, 1.0) * F.col("context_factor"),
             "persistent_fault_score": clip(F.greatest(stb, drf) + F.col("persistent_active") * BONUS + mod, 0.0, 1.0),
-            "communication_score": F.when(all_missing, 1.0).when(any_missing, 0.6).otherwise(0.0),
+            "communication_score": F.when(all_missing, LOST[0]).when(any_missing, LOST[1]).otherwise(0.0),
             "multivariate_score": mul,
         }
     )
@@ -136,13 +140,13 @@ def fuse_v2(df: DataFrame, sudden_threshold: float | None = None, persistent_thr
     out = out.withColumn("anomaly_confidence", confidence)
     if sudden_threshold is None or persistent_threshold is None:
         return out.drop("_winner")
-    flagged = (sud >= sudden_threshold) | (per >= persistent_threshold) | (com > 0.5)
+    flagged = (sud >= sudden_threshold) | (per >= persistent_threshold) | (com > LOST_LEAST)
     hint = case(
         [
             (~flagged, "NORMAL"),
             (winner == COMMUNICATION, "MISSING"),
             ((winner == PERSISTENT) & (stb > drf), "FROZEN"),
-            ((winner == PERSISTENT) & (drf > 0.3), "DRIFT"),
+            ((winner == PERSISTENT) & (drf > DRIFT_LEAST), "DRIFT"),
             (winner == PERSISTENT, "UNKNOWN"),
             ((mul > tem) & (mul > sta), "MULTIVARIATE_INCONSISTENCY"),
             (tem > sta, "SPIKE"),

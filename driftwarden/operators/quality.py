@@ -10,6 +10,7 @@ from driftwarden.operators.timeline import DAY, islands, row_numbers, with_chunk
 from driftwarden.schema import MINUTE_US, SENSORS
 
 KEY = ["station_id", "ts"]
+STRETCH = 1_000_000
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
@@ -92,9 +93,16 @@ def interval_statistics(df: DataFrame) -> DataFrame:
 
 
 def arrival_order(df: DataFrame, arrival: str) -> DataFrame:
-    """Per station how many rows arrived (by ``arrival``) with a time before that of the row before."""
-    w = Window.partitionBy("station_id").orderBy(arrival)
-    return df.withColumn("before", F.lag("ts").over(w)).groupBy("station_id").agg(F.count("*").alias("rows"), F.count_if(F.col("ts") < F.col("before")).alias("backward"))
+    """Per station how many rows arrived (by the number ``arrival``) with a time before that of the row before.
+
+    Arrivals are cut into stretches of ``STRETCH``; each knows the time of the last arrival before it.
+    """
+    own = Window.partitionBy("station_id", "_part").orderBy(arrival)
+    rows = df.withColumn("_part", F.floor(F.col(arrival) / STRETCH))
+    ends = rows.groupBy("station_id", "_part").agg(F.max_by("ts", arrival).alias("end"))
+    before = ends.select("station_id", "_part", F.lag("end").over(Window.partitionBy("station_id").orderBy("_part")).alias("_end"))
+    joined = rows.withColumn("_lag", F.lag("ts").over(own)).join(before, ["station_id", "_part"])
+    return joined.groupBy("station_id").agg(F.count("*").alias("rows"), F.count_if(F.col("ts") < F.coalesce("_lag", "_end")).alias("backward"))
 
 
 def constant_runs(df: DataFrame, sensor: str, k: int = 5) -> DataFrame:
@@ -136,7 +144,7 @@ def correlations(df: DataFrame) -> DataFrame:
 
 def first_days(df: DataFrame, days: int = 7) -> DataFrame:
     start = df.groupBy("station_id").agg(F.min("ts").alias("start"))
-    return df.join(F.broadcast(start), "station_id").where(f"ts <= start + INTERVAL {int(days)} DAYS").drop("start")
+    return df.join(start, "station_id").where(f"ts <= start + INTERVAL {int(days)} DAYS").drop("start")
 
 
 def around(df: DataFrame, marks: DataFrame, k: int) -> DataFrame:
@@ -146,17 +154,24 @@ def around(df: DataFrame, marks: DataFrame, k: int) -> DataFrame:
     return numbered.join(at, ["station_id", "row"]).withColumn("distance", F.col("row") - F.col("mark_row")).drop("mark_row", "row")
 
 
+def key_hash(seed: int, *columns: str):
+    """The md5 of seed and columns as text: the same in any run and any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
+
+
 def continuous_subset(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` consecutive rows of each station from a start that the seed chooses (all rows of a shorter station)."""
     numbered = row_numbers(with_chunk(df))
     sizes = numbered.groupBy("station_id").agg(F.max("row").alias("size"))
-    start = F.pmod(F.xxhash64(F.lit(seed), "station_id"), F.greatest(F.col("size") - n + 1, F.lit(1))) + 1
-    return numbered.join(F.broadcast(sizes.select("station_id", start.alias("start"))), "station_id").where((F.col("row") >= F.col("start")) & (F.col("row") < F.col("start") + n)).select(*df.columns)
+    drawn = F.conv(F.substring(key_hash(seed, "station_id"), 1, 12), 16, 10).cast("long")
+    start = drawn % F.greatest(F.col("size") - n + 1, F.lit(1)) + 1
+    return numbered.join(sizes.select("station_id", start.alias("start")), "station_id").where((F.col("row") >= F.col("start")) & (F.col("row") < F.col("start") + n)).select(*df.columns)
 
 
 def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows by a seeded hash of their key: the same ones in any run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), "station_id", "ts"), "station_id", "ts").limit(n)
+    rows = df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return rows.orderBy(key_hash(seed, "station_id", "_us"), "station_id", "ts").limit(n).drop("_us")
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 50) -> DataFrame:
@@ -168,7 +183,7 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 5
 def null_accounting(df: DataFrame, columns: list[str], warm_up_minutes: int = 360) -> DataFrame:
     """Per column: missing values, those with a missing sensor in the row, of the rest those in a station's first hours."""
     start = df.groupBy("station_id").agg(F.min("ts").alias("_start"))
-    rows = df.join(F.broadcast(start), "station_id")
+    rows = df.join(start, "station_id")
     raw = F.greatest(*(F.col(s).isNull().cast("int") for s in SENSORS)) == 1
     warm = F.col("ts") <= F.col("_start") + F.expr(f"INTERVAL {int(warm_up_minutes)} MINUTES")
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("gone")) for c in columns))).alias("x"), raw.alias("raw"), warm.alias("warm"))

@@ -37,22 +37,34 @@ MAGNITUDE = {
 }
 
 
-def draw_plan(obs: DataFrame, faults_per_type: int = 5, seed: int = 42) -> DataFrame:
+ATTEMPTS = 100_000
+
+
+def draw_share(obs: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """A plan whose faults cover about ``share`` of all rows, from at most ``ATTEMPTS`` drawn starts."""
+    rows = obs.count()
+    mean = float(np.mean([(low + high) / 2 for low, high in DURATION.values()]))
+    faults = min(max(1, round(share * rows / mean / len(DURATION))), ATTEMPTS // (50 * len(DURATION)))
+    return draw_plan(obs, faults, seed, most_rows=round(share * rows))
+
+
+def draw_plan(obs: DataFrame, faults_per_type: int = 5, seed: int = 42, most_rows: int | None = None) -> DataFrame:
     """A plan of non-overlapping faults at safe starts; sizes, signs and ids depend only on the seed and their number.
 
     Candidate starts are the smallest seeded hashes of each fault type: a bounded number of rows reaches the driver.
+    With ``most_rows`` placing ends once the faults cover so many rows.
     """
     spark = obs.sparkSession
     rng = np.random.default_rng(seed)
     taken: dict[int, list[tuple[dt.datetime, dt.datetime]]] = {}
-    rows = []
+    rows, covered = [], 0
     for number, (kind, (low, high)) in enumerate(DURATION.items()):
         starts = safe_starts(obs, high).orderBy(F.xxhash64(F.lit(seed + number), "station_id", "ts"), "station_id", "ts").limit(50 * faults_per_type).collect()
         placed = 0
         for start in starts:
             n = int(rng.integers(low, high + 1))
             begin, end = start.ts, start.ts + dt.timedelta(minutes=10 * (n - 1))
-            if placed == faults_per_type:
+            if placed == faults_per_type or (most_rows is not None and covered >= most_rows):
                 break
             if any(begin <= e and end >= s for s, e in taken.get(start.station_id, [])):
                 continue
@@ -62,6 +74,7 @@ def draw_plan(obs: DataFrame, faults_per_type: int = 5, seed: int = 42) -> DataF
             taken.setdefault(start.station_id, []).append((begin, end))
             rows.append((start.station_id, f"a{seed}-{len(rows):06d}", begin, end, kind, sensor, sign * size, int(rng.integers(1 << 31))))
             placed += 1
+            covered += n
     return spark.createDataFrame(rows, PLAN)
 
 
@@ -80,7 +93,8 @@ def inject(obs: DataFrame, plan: DataFrame) -> DataFrame:
     every = Window.partitionBy("anomaly_id")
     inside = marked.where("anomaly_id IS NOT NULL")
     place, last = F.row_number().over(w) - 1, F.count("*").over(every) - 1
-    uniform = lambda k: (F.xxhash64("seed", "us", F.lit(k)).bitwiseAND(F.lit((1 << 53) - 1)) + 1) / float((1 << 53) + 1)
+    drawn = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("us").cast("string"), F.lit(str(k)))), 1, 12), 16, 10).cast("long")
+    uniform = lambda k: (drawn(k) + 1) / float((1 << 48) + 1)
     normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * np.pi * uniform(2))
     inside = inside.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("*", place.alias("place"), last.alias("last"), *(F.first(s).over(w).alias(f"start_{s}") for s in SENSORS))
     kind = F.col("anomaly_type")

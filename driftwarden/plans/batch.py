@@ -27,9 +27,11 @@ class Artifacts:
     sudden_threshold: float
     persistent_threshold: float
 
-    def models(self, df: DataFrame) -> DataFrame:
-        """Scores and predictions of the three detectors."""
-        out = self.forest.score(self.components.score(df.withColumn("statistical_score", detectors.statistical_score())))
+    def models(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """Scores and predictions of the three detectors, with the columns ``keep`` (by default all)."""
+        scored = {"pca_score": (self.components.scaler, self.components.errors), "isolation_forest_score": (self.forest.scaler, self.forest.isolation)}
+        rows = df.withColumn("statistical_score", detectors.statistical_score())
+        out = detectors.score_models(rows, scored, [*keep, "statistical_score"] if keep else None)
         limits = {"statistical": self.statistical_threshold, "pca": self.components.threshold, "isolation_forest": self.forest.threshold}
         out = out.withColumns({f"{k}_prediction": detectors.predicted(f"{k}_score", v) for k, v in limits.items()})
         return out.withColumn("any_prediction", F.greatest(*(f"{k}_prediction" for k in limits)))

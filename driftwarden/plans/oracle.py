@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from driftwarden.operators.fusion import SEVERITY, V1_TEXTS, V2_TEXTS, WEIGHTS
-from driftwarden.operators.health import CHECK_CONNECTION, PENALTY, STATUS
-from driftwarden.plans.queries import ACCOUNTED, EVIDENCE_V1, EVIDENCE_V2, FAMILIES, FAULTS, FUSED_V1, FUSED_V2, SHARES, digits_of
+from driftwarden.operators.detectors import path_normaliser
+from driftwarden.operators.health import CHECK_CONNECTION, PENALTY, STATUS, TEXTS
+from driftwarden.plans import fitted
+from driftwarden.plans.queries import ACCOUNTED, EVIDENCE_V1, EVIDENCE_V2, FAMILIES, FAULTS, FUSED_V1, FUSED_V2, SCALED, SHARES, digits_of
 from driftwarden.schema import SENSORS, SHORT, WINDOWS_MIN
 
 W = "PARTITION BY station_id ORDER BY ts"
@@ -96,10 +98,46 @@ def clip(x: str) -> str:
     return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x}))"
 
 
+def _depth(tree) -> str:
+    """Depth of the leaf that a row falls in."""
+    if not isinstance(tree, tuple):
+        return f"{float(tree)}::DOUBLE"
+    return f"CASE WHEN x{tree[0]} > {tree[1]}::DOUBLE THEN {_depth(tree[3])} ELSE {_depth(tree[2])} END"
+
+
+def _expected(tree) -> float:
+    return (_expected(tree[2]) + _expected(tree[3])) / 2 if isinstance(tree, tuple) else tree
+
+
+def _shortened(tree, column: int) -> str:
+    """How much splits on the column shorten a row's path against what is expected."""
+    if not isinstance(tree, tuple):
+        return "0.0::DOUBLE"
+    parts = [f"{_expected(tree) - _expected(t) if tree[0] == column else 0.0!r}::DOUBLE + {_shortened(t, column)}" for t in tree[2:]]
+    return f"(CASE WHEN x{tree[0]} > {tree[1]}::DOUBLE THEN {parts[1]} ELSE {parts[0]} END)"
+
+
+_N = len(fitted.COLUMNS)
+_scaled = [f"(coalesce({c}, {m}::DOUBLE) - {a}::DOUBLE) / {d}::DOUBLE AS x{k}" for k, (c, m, a, d) in enumerate(zip(fitted.COLUMNS, fitted.MEDIAN, fitted.MEAN, fitted.DEVIATION, strict=True))]
+_along = [" + ".join(f"x{k} * {v}::DOUBLE" for k, v in enumerate(c)) + f" AS y{i}" for i, c in enumerate(fitted.COMPONENTS)]
+_left = [f"pow(x{k} - ({' + '.join(f'y{i} * {c[k]}::DOUBLE' for i, c in enumerate(fitted.COMPONENTS))}), 2)" for k in range(_N)]
+_robust = [f"({c} - {fitted.CENTRE[c]}::DOUBLE) / {fitted.SPREAD[c]}::DOUBLE" for c in fitted.CENTRE]
+
+
+def models(source: str) -> str:
+    """CTEs from features with ``statistical_score`` to s: the stored models' scores, predictions and joint evidence."""
+    clipped = [f"greatest(0.0::DOUBLE, least(10.0::DOUBLE, {x}))" for x in _robust]
+    return f"""
+sx AS (SELECT *, {", ".join(_scaled)} FROM {source}),
+sy AS (SELECT *, {", ".join(_along)} FROM sx),
+sz AS (SELECT *, ({" + ".join(_left)}) / {_N}.0::DOUBLE AS pca_score, pow(2.0::DOUBLE, -({" + ".join(_depth(t) for t in fitted.TREES)}) / {len(fitted.TREES)}.0::DOUBLE / {float(path_normaliser(fitted.TREE_ROWS))!r}::DOUBLE) AS isolation_forest_score FROM sy),
+s AS (SELECT *, {zero("abs(multivariate_z_disagreement)")} AS dis, ({" + ".join(_robust)}) / 3.0::DOUBLE AS scaled, ({" + ".join(clipped)}) / 3.0::DOUBLE AS scaled_v2,
+  {", ".join(f"CASE WHEN {k}_score > {v}::DOUBLE THEN 1 ELSE 0 END AS {k}_prediction" for k, v in fitted.LIMITS.items())} FROM sz)"""
+
+
 SCORED = f"""{base("lab")}, {rolled("b", (60, 360))},
-s0 AS (SELECT *, {DISAGREE} AS multivariate_z_disagreement, {STAT} AS statistical_score FROM z),
-fit AS (SELECT quantile_cont(statistical_score, 0.5) AS med, CASE WHEN quantile_cont(statistical_score, 0.75) = quantile_cont(statistical_score, 0.25) THEN 1.0 ELSE quantile_cont(statistical_score, 0.75) - quantile_cont(statistical_score, 0.25) END AS iqr FROM s0),
-s AS (SELECT s0.*, {zero("abs(multivariate_z_disagreement)")} AS dis, (statistical_score - med) / iqr AS scaled FROM s0, fit)"""
+s0 AS (SELECT *, {DISAGREE} AS multivariate_z_disagreement, {STAT} AS statistical_score FROM z), {models("s0")}"""
+ANY = "greatest(statistical_prediction, pca_prediction, isolation_forest_prediction)"
 
 _v1_four = [f"e1_{k}" for k in ("temporal", "statistical", "multivariate", "stability")]
 _v1_top = f"greatest({', '.join(_v1_four)})"
@@ -116,9 +154,8 @@ v1 AS (SELECT *, CASE WHEN hybrid_anomaly_score > 0.9 THEN 1 ELSE 0 END AS hybri
 _act = lambda *cs: " + ".join(f"(CASE WHEN {c} >= 0.30 THEN 1 ELSE 0 END)" for c in cs)
 _apart = each(lambda s: zero(f"abs({s}_roll_mean_60m - {s}_roll_mean_360m)"))
 _zcap = each(lambda s: f"least({zero(f'abs({s}_roll_z_60m)')}, 50.0::DOUBLE)")
-V2 = f"""{SCORED},
-e2 AS (SELECT *, {bound(RATE, 25.0)} AS e2_temporal, {bound(f"greatest({_zcap})", 30.0)} AS e2_statistical, {bound("dis", 30.0)} AS e2_multivariate, {bound(CONSEC, 6.0)} AS e2_stability, {bound(f"greatest({_apart})", 3.5)} AS e2_drift,
-  least({bound("greatest(0.0::DOUBLE, least(10.0::DOUBLE, scaled))", 3.0)}, 0.20::DOUBLE) AS e2_model FROM s),
+V2_STEPS = f"""e2 AS (SELECT *, {bound(RATE, 25.0)} AS e2_temporal, {bound(f"greatest({_zcap})", 30.0)} AS e2_statistical, {bound("dis", 30.0)} AS e2_multivariate, {bound(CONSEC, 6.0)} AS e2_stability, {bound(f"greatest({_apart})", 3.5)} AS e2_drift,
+  least({bound("scaled_v2", 3.0)}, 0.20::DOUBLE) AS e2_model FROM s),
 f2 AS (SELECT *, {_act("e2_temporal", "e2_statistical", "e2_multivariate")} AS sudden_active, {_act("e2_stability", "e2_drift")} AS persistent_active, CASE WHEN dis < 2.0 AND any_sensor_missing = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS context_factor FROM e2),
 g2 AS (SELECT *, {clip("greatest(e2_temporal, e2_statistical, e2_multivariate) + sudden_active * 0.10::DOUBLE + e2_model")} * context_factor AS sudden_event_score,
   {clip("greatest(e2_stability, e2_drift) + persistent_active * 0.10::DOUBLE + e2_model")} AS persistent_fault_score, CASE WHEN all_sensors_missing = 1 THEN 1.0 WHEN any_sensor_missing = 1 THEN 0.6 ELSE 0.0 END::DOUBLE AS communication_score FROM f2),
@@ -135,12 +172,13 @@ v2 AS (SELECT *, CASE WHEN anomaly_flag THEN 1 ELSE 0 END AS predicted, {q("fina
   CASE WHEN NOT anomaly_flag THEN '' WHEN winner = '{FAMILIES[2]}' THEN CASE WHEN communication_score = 1.0 THEN '{V2_TEXTS["all_missing"]}' ELSE '{V2_TEXTS["any_missing"]}' END
     ELSE CASE fault_type_hint {" ".join(f"WHEN '{k}' THEN '{V2_TEXTS[k]}'" for k in ("FROZEN", "DRIFT", "UNKNOWN", "MULTIVARIATE_INCONSISTENCY", "SPIKE", "OFFSET"))} END || CASE WHEN winner = '{FAMILIES[0]}' AND context_factor < 1.0 THEN '{V2_TEXTS["suffix"]}' ELSE '' END END AS primary_evidence FROM k2)"""
 
+V2 = f"{SCORED},\n{V2_STEPS}"
+
 _ev = lambda s: f"CASE WHEN {s} IS NULL THEN 1.0 ELSE greatest(least(1.0, coalesce(abs({s}_rate_per_hour) / 10.0, 1.0)), least(1.0, coalesce(abs({s}_roll_z_60m) / 4.0, 1.0))) END::DOUBLE"
 _over = lambda s: f"(CASE WHEN ev_{s} > 0.5 THEN ev_{s} END)"
 _hit = lambda s: f"affected IN ('{s.upper()}', 'MULTIPLE', 'ALL_SENSORS')"
 _cnt = lambda c: f"sum(CASE WHEN anomaly_flag AND {c} THEN 1 ELSE 0 END) OVER (PARTITION BY station_id, grp ORDER BY ts)"
-HEALTH = f"""{V2},
-c1 AS (SELECT *, temperature_missing + pressure_missing + humidity_missing AS nm, {each(lambda s: f"{_ev(s)} AS ev_{s}")} FROM v2),
+HEALTH_STEPS = f"""c1 AS (SELECT *, temperature_missing + pressure_missing + humidity_missing AS nm, {each(lambda s: f"{_ev(s)} AS ev_{s}")} FROM judged),
 c2 AS (SELECT *, CASE WHEN nm = 3 THEN 'DATA_LOSS' WHEN nm > 0 THEN 'DEGRADED' ELSE 'GOOD' END AS data_quality_status, CASE WHEN nm > 0 THEN 'MISSING' WHEN anomaly_flag THEN fault_type_hint ELSE 'NORMAL' END AS classified_fault_type,
   list_reverse_sort(list_filter([{each(_over)}], lambda x: x IS NOT NULL)) AS held FROM c1),
 c3 AS (SELECT *, CASE WHEN classified_fault_type = 'NORMAL' THEN 'NONE' WHEN nm = 3 THEN 'ALL_SENSORS' WHEN len(held) = 0 THEN 'UNKNOWN'
@@ -149,12 +187,37 @@ c3 AS (SELECT *, CASE WHEN classified_fault_type = 'NORMAL' THEN 'NONE' WHEN nm
 c4 AS (SELECT *, {_cnt("true")} AS anomaly_streak, {_cnt("classified_fault_type = 'MISSING'")} AS missing_streak, {_cnt("classified_fault_type = 'FROZEN'")} AS frozen_streak, {each(lambda s: f"{_cnt(_hit(s))} AS st_{s}")} FROM c3),
 c5 AS (SELECT *, greatest({each(lambda s: f"st_{s}")}) AS sensor_fault_streak, row_number() OVER ({W}) AS rn,
   {each(lambda s: f'''CASE WHEN NOT anomaly_flag AND st_{s} = 0 THEN 0.2 WHEN {_hit(s)} THEN -((CASE classified_fault_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in PENALTY.items())} ELSE 1.0 END)::DOUBLE * ev_{s} * anomaly_confidence * least(5.0, 1.0 + 0.5 * greatest(0, st_{s} - 1))) ELSE 0.0 END::DOUBLE AS d_{s}''')} FROM c4)"""
+HEALTH = f"{V2},\njudged AS (SELECT * FROM v2),\n{HEALTH_STEPS}"
 MAINTENANCE = f"CASE WHEN NOT anomaly_flag THEN 'NO_ACTION' WHEN classified_fault_type = 'MISSING' THEN '{CHECK_CONNECTION}' WHEN classified_fault_type = 'FROZEN' AND frozen_streak > 3 THEN 'MAINTENANCE_RECOMMENDED' WHEN classified_fault_type = 'DRIFT' THEN 'INSPECT' WHEN anomaly_streak > 3 THEN 'MONITOR / INSPECT' ELSE 'MONITOR' END"
 _fold = lambda s, prior: f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, {prior} + d.d_{s}))"
-FOLD = f"""{HEALTH},
-d AS MATERIALIZED (SELECT station_id, ts, rn, data_quality_status, anomaly_flag, {each(lambda s: f"d_{s}")} FROM c5),
+FOLD_STEPS = f"""d AS MATERIALIZED (SELECT station_id, ts, rn, data_quality_status, anomaly_flag, {each(lambda s: f"d_{s}")} FROM c5),
 hf AS (SELECT d.station_id, d.ts, d.rn, d.data_quality_status, d.anomaly_flag, {each(lambda s: f"{_fold(s, '100.0')} AS {s}_health")} FROM d WHERE rn = 1
   UNION ALL SELECT d.station_id, d.ts, d.rn, d.data_quality_status, d.anomaly_flag, {each(lambda s: f"{_fold(s, f'hf.{s}_health')} AS {s}_health")} FROM hf JOIN d ON d.station_id = hf.station_id AND d.rn = hf.rn + 1)"""
+FOLD = f"{HEALTH},\n{FOLD_STEPS}"
+
+
+def _said(k: str) -> str:
+    parts = TEXTS[k].replace("%2$.2f", "\0c\0").replace("%1$s", "\0s\0").split("\0")
+    shown = {"c": f"printf('%.2f', {q('anomaly_confidence', 2)})", "s": "lower(affected)"}
+    return " || ".join(shown.get(x) or f"'{x}'" for x in parts)
+
+
+_one = f"affected IN ({', '.join(repr(s.upper()) for s in SENSORS)})"
+EXPLANATION = f"CASE {' '.join(f'''WHEN classified_fault_type = '{k}' THEN {_said(k)}''' for k in ('NORMAL', 'MISSING'))} {' '.join(f'''WHEN {_one} AND classified_fault_type = '{k}' THEN {_said(k)}''' for k in ('SPIKE', 'FROZEN', 'DRIFT', 'OFFSET', 'NOISE'))} WHEN classified_fault_type = 'MULTIVARIATE_INCONSISTENCY' THEN {_said('MULTIVARIATE_INCONSISTENCY')} ELSE {_said('other')} END"
+
+# What the stream rules change: deviations are at least 1e-6 and absent for one value, disagreement uses the pairs there are.
+STREAM_Z = "zs AS (SELECT * REPLACE (" + ", ".join(f"greatest({s}_roll_std_60m + CASE WHEN {s}_roll_std_60m IS NULL THEN NULL ELSE 0.0 END, CASE WHEN {s}_roll_std_60m IS NULL THEN NULL ELSE 1e-6 END) AS {s}_roll_std_60m, CASE WHEN {s}_roll_std_60m IS NOT NULL THEN ({s} - {s}_roll_mean_60m) / greatest({s}_roll_std_60m, 1e-6) END AS {s}_roll_z_60m" for s in SENSORS) + ") FROM z)"
+PAIRS = f"greatest(abs({Z[0]} - {Z[1]}), abs({Z[0]} - {Z[2]}), abs({Z[1]} - {Z[2]}))"
+_quiet = "seen < 12 AND fault_type_hint NOT IN ('MISSING', 'FROZEN')"
+_ranks = [f"[{', '.join(_shortened(t, k) for t in fitted.TREES)}]" for k in range(_N)]
+STREAM = f"""{base("obs")}, {rolled("b", (60, 360))}, {STREAM_Z},
+s0 AS (SELECT *, {PAIRS} AS multivariate_z_disagreement, {STAT} AS statistical_score FROM zs), {models("s0")},
+{V2_STEPS},
+w0 AS (SELECT *, count(*) OVER c AS seen, {each(lambda s: f"quantile_cont({s}, 0.5) OVER c AS {s}_held")}, list_sort(list_filter([{", ".join(f"{{'v': -round(list_sum({x}) / {len(fitted.TREES)}.0, 9), 'k': {k}}}" for k, x in enumerate(_ranks))}], lambda x: x.v < 0)) AS told FROM v2 WINDOW c AS ({W} RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW)),
+judged AS (SELECT * REPLACE (CASE WHEN {_quiet} THEN false ELSE anomaly_flag END AS anomaly_flag, CASE WHEN {_quiet} THEN 'NORMAL' ELSE fault_type_hint END AS fault_type_hint, CASE WHEN seen < 12 THEN 'NORMAL' ELSE severity END AS severity) FROM w0),
+{HEALTH_STEPS},
+{FOLD_STEPS}"""
+_name = lambda k: f"[{', '.join(repr(c) for c in fitted.COLUMNS)}][told[{k}].k + 1]"
 STATUS_SQL = lambda s: f"CASE {' '.join(f'''WHEN {s}_health >= {low} THEN '{name}' ''' for low, name in STATUS)} ELSE 'CRITICAL' END AS {s}_status"
 
 REPEATS = """w AS (SELECT station_id, ts, temperature, pressure, humidity FROM obs UNION ALL SELECT station_id, ts, temperature, pressure, humidity FROM obs WHERE (minute(ts) + 60 * hour(ts)) % 170 = 0
@@ -188,6 +251,10 @@ def _median_held(s: str) -> str:
     return f"quantile_cont({s}, 0.5) OVER c AS {s}_correction"
 
 
+def uniform(k: int) -> str:
+    return f"((CAST('0x' || substr(md5('1:' || CAST(epoch_us(ts) AS VARCHAR) || ':{k}'), 1, 12) AS BIGINT) + 1) / {float((1 << 48) + 1)!r}::DOUBLE)"
+
+
 FEATS = on(base("obs"))
 L = on(LABELLED)
 X1, X2, XH = on(LABELLED, V1), on(LABELLED, V2), on(LABELLED, HEALTH)
@@ -220,8 +287,8 @@ ORACLE: dict[str, str] = {
     "feat_ratio": FEATS + f"SELECT {KEY}, {', '.join(q(f'abs({s}_rate_per_hour) / (' + ' + '.join(f'abs({t}_rate_per_hour)' for t in SENSORS) + ' + 1e-6)') + f' AS {SHORT[s]}_rate_ratio' for s in SENSORS)} FROM b",
     "feat_robust": on(rolled("obs", (60,))) + f"SELECT {KEY}, {r(*(f'{s}_{c}_60m' for s in SENSORS for c in ('roll_iqr', 'robust_z')))} FROM z",
     "stat_score": on(rolled("obs", (60,))) + f"SELECT {KEY}, {q(STAT)} AS statistical_score FROM z",
-    "stat_threshold": on(rolled("obs", (60,))) + f"SELECT {q(f'quantile_cont({STAT}, 0.995)')} AS threshold FROM z",
-    "stat_predict": on(rolled("obs", (60,))) + f", y AS (SELECT *, {STAT} AS statistical_score FROM z) SELECT {KEY}, {q('statistical_score')} AS statistical_score, CASE {' '.join(f'''WHEN abs({s}_roll_z_60m) = statistical_score THEN '{s}' ''' for s in SENSORS)} ELSE 'none' END AS dominant_sensor FROM y WHERE statistical_score > (SELECT quantile_cont(statistical_score, 0.995) FROM y)",
+    "stat_threshold": on(rolled("obs", (60,))) + f"SELECT {q('quantile_cont(x, 0.995)')} AS threshold FROM (SELECT {STAT} AS x FROM z ORDER BY ts, station_id LIMIT 15000)",
+    "stat_predict": on(rolled("obs", (60,))) + f", y AS (SELECT *, {STAT} AS statistical_score FROM z) SELECT {KEY}, {q('statistical_score')} AS statistical_score, CASE {' '.join(f'''WHEN abs({s}_roll_z_60m) = statistical_score THEN '{s}' ''' for s in SENSORS)} ELSE 'none' END AS dominant_sensor FROM y WHERE statistical_score > (SELECT quantile_cont(statistical_score, 0.995) FROM (SELECT statistical_score FROM y ORDER BY ts, station_id LIMIT 15000))",
     "inject_faults": L + f"SELECT {KEY}, {r(*SENSORS)}, CAST(is_anomaly AS BIGINT) AS is_anomaly, anomaly_type, affected_sensor, anomaly_id FROM lab",
     "fault_labels": L + "SELECT CAST(station_id AS BIGINT) AS station_id, anomaly_id, start_ts, end_ts, anomaly_type, affected_sensor, 'moderate' AS severity, (SELECT count(*) FROM lab WHERE lab.anomaly_id = plan.anomaly_id) AS duration_obs FROM plan",
     "label_align": L + "SELECT plan.anomaly_id AS fault_id, count(*) AS rows, count(*) FILTER (is_anomaly <> 1) AS unlabelled, count(*) FILTER (lab.anomaly_type <> plan.anomaly_type) AS mistyped FROM plan JOIN lab ON lab.station_id = plan.station_id AND ts BETWEEN start_ts AND end_ts GROUP BY plan.anomaly_id",
@@ -263,7 +330,43 @@ ORACLE: dict[str, str] = {
     "integrity": on(REPEATS) + f"SELECT count(*) AS rows, count(*) - count(DISTINCT (station_id, ts)) AS repeated_keys, CAST({' + '.join(f'count(*) FILTER ({s} IS NULL)' for s in SENSORS)} AS BIGINT) AS missing, 0::BIGINT AS infinite FROM w",
     "first_per_type": L + f"SELECT anomaly_type, {KEY}, {r(*SENSORS)} FROM (SELECT *, row_number() OVER (PARTITION BY anomaly_type ORDER BY ts, station_id) AS rn FROM lab) WHERE rn = 1",
     "version_change": on(LABELLED, V1, V2.replace(SCORED + ",", "")) + f", a AS (SELECT {COUNTS.replace('predicted', 'p1')} FROM (SELECT *, CASE WHEN hybrid_anomaly_score > 0.5 THEN 1 ELSE 0 END AS p1 FROM v1)), c AS (SELECT {COUNTS} FROM v2) SELECT {q('CASE WHEN a.fp = 0 THEN 0.0 ELSE (a.fp - c.fp) / nullif(a.fp, 0)::DOUBLE END * 100.0')} AS fp_reduction_pct, {q('CASE WHEN c.tp + c.fn = 0 THEN 0.0 ELSE c.tp / nullif(c.tp + c.fn, 0)::DOUBLE END - CASE WHEN a.tp + a.fn = 0 THEN 0.0 ELSE a.tp / nullif(a.tp + a.fn, 0)::DOUBLE END')} AS recall_change FROM a, c",
-    "dev_share": X2 + f", y AS (SELECT *, CASE WHEN statistical_score > 10.0 THEN 1 ELSE 0 END AS st FROM v2) SELECT CASE WHEN ts < TIMESTAMP '2024-01-02 00:00:00' THEN 'development' ELSE 'rest' END AS part, count(*) AS rows, {q('avg(predicted) * 100.0')} AS predicted_pct, {q('avg(st) * 100.0')} AS statistical_pct, {q('avg(greatest(predicted, st)) * 100.0')} AS any_pct FROM y GROUP BY 1",
+    "dev_share": X2 + f"SELECT CASE WHEN ts < TIMESTAMP '2024-01-02 00:00:00' THEN 'development' ELSE 'rest' END AS part, count(*) AS rows, {q('avg(predicted) * 100.0')} AS predicted_pct, {', '.join(q(f'avg({x}) * 100.0') + f' AS {k}_prediction_pct' for k, x in (*((k, f'{k}_prediction') for k in fitted.LIMITS), ('any', ANY)))} FROM v2 GROUP BY 1",
     "left_join_features": on(LABELLED, base("obs")) + f"SELECT CAST(l.station_id AS BIGINT) AS station_id, l.ts, l.anomaly_id, {', '.join(q(f'b.{s}_rate_per_hour') + f' AS {s}_rate_per_hour' for s in SENSORS)} FROM lab l LEFT JOIN b ON l.station_id = b.station_id AND l.ts = b.ts WHERE l.is_anomaly = 1",
     "table_diff": L + f"SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, {each(lambda s: f'count(*) FILTER (NOT coalesce(abs(l.{s} - o.{s}) <= 1e-8 + 1e-5 * abs(o.{s}), l.{s} IS NULL AND o.{s} IS NULL)) AS {s}')} FROM lab l JOIN obs o ON l.station_id = o.station_id AND l.ts = o.ts",
+    "model_scores": X2 + f"SELECT {KEY}, {r('statistical_score', 'pca_score', 'isolation_forest_score')}, {n(*(f'{k}_prediction' for k in fitted.LIMITS))}, CAST({ANY} AS BIGINT) AS any_prediction FROM v2",
+    "explanations": XH + f"SELECT {KEY}, {EXPLANATION} AS fault_explanation FROM c5",
+    "first_rows": of_obs(f"SELECT {KEY}, {r(*SENSORS)} FROM (SELECT * FROM obs ORDER BY ts, station_id LIMIT 100)"),
+    "raw_scan": of_obs(f"SELECT {KEY}, {r(*SENSORS)} FROM obs WHERE station_id = 1"),
+    "processed_scan": of_obs(f"SELECT {KEY}, {r(*SENSORS)} FROM obs"),
+    "requests": of_obs(f"SELECT 's' || station_id AS station_id, ts, {r(*SENSORS)} FROM obs WHERE event_id % 13 <> 4"),
+    "rejected_requests": of_obs("SELECT 's' || station_id AS station_id, count(*) AS rejected, min('at ' || event_id) AS first_text, count(*) FILTER (temperature IS NULL) AS no_temperature FROM obs WHERE event_id % 13 = 4 GROUP BY 1"),
+    "feature_columns": "WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}', '{SHORT[s]}')" for k, s in enumerate(SENSORS)) + ") t(k, s, a)), w AS (SELECT * FROM (VALUES (30), (60), (180), (360)) t(w)), x AS ("
+    "SELECT 1 AS g, 0 AS p, k, 0 AS j, s AS name FROM s UNION ALL SELECT 2, 0, k, 0, s || '_missing' FROM s UNION ALL SELECT 2, 1, 0, j, v FROM (VALUES (0, 'any_sensor_missing'), (1, 'all_sensors_missing')) t(j, v)"
+    " UNION ALL SELECT 3, 0, 0, j, v FROM (SELECT unnest(range(13)) AS j, unnest(['hour', 'minute', 'day_of_week', 'day_of_year', 'month', 'is_weekend', 'hour_sin', 'hour_cos', 'month_sin', 'month_cos', 'time_gap_seconds', 'sampling_interval_mins', 'time_gap_flag']) AS v)"
+    " UNION ALL SELECT 4, 0, k, j, s || '_' || v FROM s, (VALUES (0, 'delta_1'), (1, 'abs_delta_1'), (2, 'rate_per_hour')) t(j, v)"
+    " UNION ALL SELECT 5, w, k, j, s || '_' || v || '_' || w || 'm' FROM s, w, (VALUES (0, 'roll_mean'), (1, 'roll_std'), (2, 'roll_min'), (3, 'roll_max'), (4, 'roll_median'), (5, 'dev_mean'), (6, 'dev_med'), (7, 'roll_z')) t(j, v)"
+    " UNION ALL SELECT 6, 0, k, j, s || '_' || v FROM s, (VALUES (0, 'consec_unchanged'), (1, 'roll_var_60m'), (2, 'roll_range_60m')) t(j, v) UNION ALL SELECT 7, 0, 0, j, v FROM (VALUES (0, 'multivariate_z_disagreement'), (1, 'num_sensors_large_dev'), (2, 'dominant_sensor_z')) t(j, v)"
+    " UNION ALL SELECT 8, 0, k, 0, a || '_rate_ratio' FROM s UNION ALL SELECT 9, 0, k, j, s || '_' || v || '_60m' FROM s, (VALUES (0, 'roll_iqr'), (1, 'robust_z')) t(j, v)) SELECT row_number() OVER (ORDER BY g, p, k, j) - 1 AS place, name FROM x",
+    "model_columns": on(base("(SELECT * FROM obs WHERE pressure IS NOT NULL)"))
+    + " UNION ALL ".join(f"SELECT '{c}' AS name, (min({c}) <> max({c}) OR count(*) FILTER ({c} IS NULL) BETWEEN 1 AND count(*) - 1) AS kept FROM b" for c in ("pressure", "pressure_missing", "all_sensors_missing", "temperature_missing", "humidity_delta_1", "time_gap_seconds")),
+    "scaled_features": FEATS
+    + ", dv AS (SELECT * FROM b ORDER BY ts, station_id LIMIT 2000), md AS (SELECT "
+    + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in SCALED)
+    + " FROM dv), ad AS (SELECT "
+    + ", ".join(f"any_value(m_{c}) AS m_{c}, avg(coalesce({c}, m_{c})) AS a_{c}, stddev_pop(coalesce({c}, m_{c})) AS d_{c}" for c in SCALED)
+    + f" FROM dv, md) SELECT {KEY}, {', '.join(q(f'(coalesce({c}, m_{c}) - a_{c}) / d_{c}') + f' AS z_{c}' for c in SCALED)} FROM b, ad",
+    "feat_stream": on(base("obs"), rolled("b", (60,)), STREAM_Z)
+    + f"SELECT {KEY}, {r(*(f'{s}_{c}_60m' for s in SENSORS for c in ('roll_std', 'roll_z')))}, {q(PAIRS)} AS multivariate_z_disagreement, CAST({' + '.join(f'(CASE WHEN abs({z}) > 2 THEN 1 ELSE 0 END)' for z in Z)} AS BIGINT) AS num_sensors_large_dev, CAST(CASE {' '.join(f'WHEN abs({z}) = greatest(' + ', '.join(f'abs({y})' for y in Z) + f') THEN {k}' for k, z in enumerate(Z))} ELSE -1 END AS BIGINT) AS dominant_sensor_z, "
+    + ", ".join(q(f"{zero(f'abs({s}_rate_per_hour)')} / (" + " + ".join(zero(f"abs({t}_rate_per_hour)") for t in SENSORS) + " + 1e-6)") + f" AS {SHORT[s]}_rate_ratio" for s in SENSORS)
+    + " FROM zs",
+    "json_records": of_obs(f"SELECT CAST(station_id AS BIGINT) AS station_id, epoch_us(ts) AS us, array_to_string(list_sort(list_filter([{', '.join(f'''CASE WHEN {s} IS NOT NULL THEN '{s}' END''' for s in SENSORS)}], lambda x: x IS NOT NULL)), ',') AS sensors, {q('humidity')} AS humidity, {q(' + '.join(zero(s) for s in SENSORS))} AS total FROM obs"),
+    "set_verbs": on(REPEATS) + f"SELECT {KEY}, {r(*SENSORS)} FROM (SELECT DISTINCT * FROM w EXCEPT ALL SELECT station_id, ts, temperature, pressure, humidity FROM obs)",
+    "exact_sample": of_obs(f"SELECT {KEY}, {r(*SENSORS)} FROM (SELECT * FROM obs ORDER BY md5('42:' || station_id || ':' || epoch_us(ts)), station_id, ts LIMIT 100)"),
+    "continuous_subset": of_obs(f"SELECT {KEY}, {r(*SENSORS)} FROM (SELECT *, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY station_id) AS size FROM obs) WHERE rn - (CAST('0x' || substr(md5('42:' || station_id), 1, 12) AS BIGINT) % greatest(size - 99, 1) + 1) BETWEEN 0 AND 99"),
+    "inject_noise": of_obs(f"SELECT {KEY}, {q(f'temperature + 1.5::DOUBLE * (sqrt(-2 * ln({uniform(1)})) * cos({2 * 3.141592653589793!r}::DOUBLE * {uniform(2)}))')} AS temperature, {r('pressure', 'humidity')}, 1::BIGINT AS is_anomaly, 'noise' AS anomaly_type, 'temperature' AS affected_sensor, 'f04' AS anomaly_id FROM obs WHERE station_id = 3 AND ts BETWEEN TIMESTAMP '2024-01-01 04:00:00' AND TIMESTAMP '2024-01-01 09:00:00'"),
+    "stream_pipeline": on(STREAM, recursive=True)
+    + f"""SELECT CAST(c5.station_id AS BIGINT) AS station_id, event_id * 2 AS seq, CASE WHEN seen < 12 THEN 'WARMUP' ELSE 'PROCESSED' END AS processing_state, severity, classified_fault_type AS fault_type, affected AS affected_sensor, c5.data_quality_status, {MAINTENANCE.replace("anomaly_flag", "c5.anomaly_flag")} AS maintenance_status, {EXPLANATION} AS explanation,
+  {q("final_anomaly_score")} AS anomaly_score, {q("anomaly_confidence")} AS confidence, {each(lambda s: q(f"{s}_health") + f" AS sensor_health_{s}")}, {each(STATUS_SQL)}, c5.anomaly_flag AS anomaly_flag, {", ".join(f"CASE WHEN c5.anomaly_flag AND seen >= 12 THEN {_name(k)} END AS top_{k}" for k in (1, 2, 3))},
+  {each(lambda s: f"CASE WHEN c5.anomaly_flag AND seen >= 3 THEN {q(f'floor({s}_held * 100 + 0.5) / 100')} END AS {s}_correction")} FROM c5 JOIN hf ON c5.station_id = hf.station_id AND c5.ts = hf.ts
+UNION ALL BY NAME SELECT CAST(station_id AS BIGINT) AS station_id, event_id * 2 + 1 AS seq, 'REJECTED' AS processing_state FROM obs WHERE event_id % 97 = 5""",
 }

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from driftwarden.functions.columns import rounded
 from driftwarden.operators import detectors, evaluate, features, fusion, health, joins, quality, simulate
 from driftwarden.operators.timeline import rolling, with_chunk, with_previous
-from driftwarden.schema import KEYS, LABELS, MINUTE_US, RATIO, SENSORS, TIME
-from driftwarden.session import materialize
-from driftwarden.sources.tables import observations, replay, table
+from driftwarden.plans.fitted import stored
+from driftwarden.schema import FEATURES, KEYS, LABELS, MINUTE_US, RATIO, RAW_COLUMNS, SENSORS, TIME
+from driftwarden.session import materialize, scratch_path
+from driftwarden.sources.tables import first_rows, observations, processed_csv, raw_csv, replay, requests, table, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,9 +70,10 @@ def scored_features(rows: DataFrame) -> DataFrame:
 
 
 def with_model(df: DataFrame, version: str) -> DataFrame:
-    out = materialize(df.withColumn("statistical_score", detectors.statistical_score()), "scored")
-    model = detectors.ModelEvidence.fit(out, ("statistical_score",))
-    return out.withColumn("model_evidence", model.v1() if version == "v1" else model.v2())
+    """Scores and predictions of the three stored detectors and their joint evidence."""
+    model = stored()
+    kept = [c for c in df.columns if not re.search("_roll_(std|min|max|median|var|range|iqr)_|_dev_|_robust_z_", c)]
+    return model.models(df, kept).withColumn("model_evidence", model.evidence.v1() if version == "v1" else model.evidence.v2())
 
 
 def v1(rows: DataFrame, threshold: float | None = 0.9) -> DataFrame:
@@ -122,7 +124,7 @@ def stat_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stat_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stat_table(spark, sf_dir)
-    limit = detectors.threshold(rows, "statistical_score")
+    limit = detectors.threshold(detectors.development(rows), "statistical_score")
     size = [F.abs(f"{s}_roll_z_60m") for s in SENSORS]
     top = F.greatest(*size)
     dominant = F.when(size[0] == top, "temperature").when(size[1] == top, "pressure").when(size[2] == top, "humidity").otherwise("none")
@@ -130,7 +132,7 @@ def stat_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stat_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(stat_table(spark, sf_dir).agg(F.percentile("statistical_score", detectors.PERCENTILE).alias("threshold")))
+    return tidy(detectors.development(stat_table(spark, sf_dir)).agg(F.percentile("statistical_score", detectors.PERCENTILE).alias("threshold")))
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,20 +194,20 @@ def pca_recon(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(features.features(obs(spark, sf_dir)), "features")
     dev = materialize(detectors.development(rows), "dev")
     model = detectors.PrincipalComponents.fit(dev, detectors.Scaler.fit(dev))
-    return model.score(rows).select(*KEYS, "pca_score", detectors.predicted("pca_score", model.threshold).alias("pca_prediction"))
+    return model.score(rows, list(KEYS)).select(*KEYS, "pca_score", detectors.predicted("pca_score", model.threshold).alias("pca_prediction"))
 
 
 def iforest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(features.features(obs(spark, sf_dir), windows=(60,)), "features")
+    rows = materialize(features.features(obs(spark, sf_dir)), "features")
     dev = materialize(detectors.development(rows), "dev")
     model = detectors.IsolationForest.fit(dev, detectors.Scaler.fit(dev))
-    return model.score(rows).select(*KEYS, "isolation_forest_score", detectors.predicted("isolation_forest_score", model.threshold).alias("isolation_forest_prediction"))
+    return model.score(rows, list(KEYS)).select(*KEYS, "isolation_forest_score", detectors.predicted("isolation_forest_score", model.threshold).alias("isolation_forest_prediction"))
 
 
 def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A noise fault; its draws are the engine's own."""
+    """A noise fault; its draws come from a hash."""
     one = plan(spark).where("anomaly_id = 'f04'").withColumns({"anomaly_type": F.lit("noise"), "magnitude": F.lit(1.5)})
-    return simulate.inject(obs(spark, sf_dir), one).where("is_anomaly = 1")
+    return tidy(simulate.inject(obs(spark, sf_dir), one).where("is_anomaly = 1"))
 
 
 def drawn_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,10 +216,24 @@ def drawn_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.fault_labels(drawn, simulate.inject(rows, drawn))
 
 
+def disturbed(events: DataFrame) -> DataFrame:
+    """Observations in arrival order, some followed by one that comes too late."""
+    rows = observations(events)
+    late = F.struct((F.col("event_id") * 2 + 1).alias("seq"), (F.col("ts") - F.expr("INTERVAL 20 MINUTES")).alias("ts"), (F.col("temperature") + 100.0).alias("temperature"))
+    own = F.struct((F.col("event_id") * 2).alias("seq"), "ts", "temperature")
+    both = F.explode(F.when(F.col("event_id") % 97 == 5, F.array(own, late)).otherwise(F.array(own))).alias("r")
+    return rows.select("station_id", both, "pressure", "humidity").select("station_id", "r.seq", "r.ts", "r.temperature", "pressure", "humidity")
+
+
 def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwarden.streaming.stations import run_available
 
-    return run_available(spark, f"{sf_dir}/events.parquet")
+    path = f"{sf_dir}/events.parquet"
+    found = run_available(spark, path, spark.read.parquet(path).schema, disturbed)
+    top = F.from_json("top_features", "array<struct<feature:string,contribution:double>>")
+    medians = F.from_json("suggested_corrections", ", ".join(f"{s} double" for s in SENSORS))
+    named = ("processing_state", "severity", "fault_type", "affected_sensor", "data_quality_status", "maintenance_status", "explanation", "anomaly_score", "confidence", *(f"sensor_health_{s}" for s in SENSORS), *(f"{s}_status" for s in SENSORS), "anomaly_flag")
+    return tidy(found.select("station_id", "seq", *named, *(F.get(top, F.lit(k))["feature"].alias(f"top_{k + 1}") for k in range(3)), *(medians[s].alias(f"{s}_correction") for s in SENSORS)))
 
 
 def both_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,8 +246,75 @@ def both_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dev_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(F.col("ts") < F.expr("timestamp_ntz'2024-01-02 00:00:00'"), "development").otherwise("rest")
-    rows = judged(spark, sf_dir).withColumn("statistical", (F.col("statistical_score") > 10.0).cast("int")).withColumn("any", F.greatest("predicted", "statistical"))
-    return tidy(evaluate.flag_share(rows, part, ["predicted", "statistical", "any"]))
+    return tidy(evaluate.flag_share(judged(spark, sf_dir), part, ["predicted", *(f"{k}_prediction" for k in ("statistical", "pca", "isolation_forest", "any"))]))
+
+
+def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One station written as a raw station file (other columns, other order, text times, nan) and scanned."""
+    rows = obs(spark, sf_dir).where("station_id = 1")
+    text = lambda s: F.coalesce(F.col(s).cast("string"), F.lit("nan"))
+    named = {c: F.date_format("ts", "dd.MM.yyyy HH:mm:ss") if v == "ts" else text(v) for c, v in RAW_COLUMNS.items()}
+    path = scratch_path(spark, "raw-csv")
+    write_csv(rows.select(F.lit("x").alias("other"), *(named[c].alias(c) for c in reversed(RAW_COLUMNS))), path)
+    return tidy(raw_csv(spark, path, 1))
+
+
+def processed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "processed-csv")
+    write_csv(obs(spark, sf_dir), path)
+    return tidy(processed_csv(spark, path))
+
+
+def request_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Observations as request records: text times, every 13th of which is none."""
+    rows = observations(table(spark, sf_dir, "events"))
+    time = F.when(F.col("event_id") % 13 == 4, F.concat(F.lit("at "), F.col("event_id").cast("string"))).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    records = rows.select(F.concat(F.lit("s"), F.col("station_id").cast("string")).alias("station_id"), time.alias("timestamp"), F.coalesce("temperature", F.lit(float("nan"))).alias("temperature"), "pressure", "humidity")
+    return requests(records)
+
+
+def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return request_records(spark, sf_dir)[1].groupBy("station_id").agg(F.count("*").alias("rejected"), F.min("timestamp").alias("first_text"), F.count_if(F.isnan("temperature")).alias("no_temperature"))
+
+
+def feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and places of the features in the table that models get."""
+    names = [c for c in features.features(obs(spark, sf_dir).limit(0)).columns if c not in KEYS]
+    return spark.createDataFrame([(i, c) for i, c in enumerate(names)], "place long, name string")
+
+
+def model_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of some features a model would be fitted on: those with more than one value."""
+    rows = features.add_ratios(base(obs(spark, sf_dir).where("pressure IS NOT NULL")))
+    names = ["pressure", "pressure_missing", "all_sensors_missing", "temperature_missing", "humidity_delta_1", "time_gap_seconds"]
+    kept = features.model_columns(rows.select(*names))
+    return spark.createDataFrame([(c, c in kept) for c in names], "name string, kept boolean")
+
+
+SCALED = ("temperature", "humidity", "pressure_rate_per_hour", "temperature_delta_1", "time_gap_seconds")
+
+
+def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base(obs(spark, sf_dir))
+    scaler = detectors.Scaler.fit(detectors.development(rows.select(*KEYS, *SCALED), 2000))
+    return tidy(rows.select(*KEYS, *(e for c, e in zip(scaler.columns, scaler.expressions(), strict=True))))
+
+
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream rules change: deviations, z-scores, disagreement, ratios."""
+    rows = features.add_rolling(base(obs(spark, sf_dir)), (60,), "stream")
+    out = features.add_ratios(features.add_multivariate(rows, "stream"), "stream")
+    return tidy(out.select(*KEYS, *(f"{s}_{c}_60m" for s in SENSORS for c in ("roll_std", "roll_z")), "multivariate_z_disagreement", "num_sensors_large_dev", "dominant_sensor_z", *RATIO))
+
+
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as JSON text and back, with a map of the sensors that are there."""
+    rows = obs(spark, sf_dir)
+    text = rows.select(F.to_json(F.struct("station_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *SENSORS)).alias("record"))
+    read = text.select(F.from_json("record", "station_id long, us long, " + ", ".join(f"{s} double" for s in SENSORS)).alias("r"), F.length("record").alias("size"))
+    held = F.map_filter(F.create_map(*(x for s in SENSORS for x in (F.lit(s), F.col(f"r.{s}")))), lambda k, v: v.isNotNull())
+    out = read.withColumn("held", held)
+    return tidy(out.select("r.station_id", "r.us", F.array_join(F.array_sort(F.map_keys("held")), ",").alias("sensors"), F.element_at("held", F.lit("humidity")).alias("humidity"), F.aggregate(F.map_values("held"), F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
 ACCOUNTED = ("temperature_delta_1", "humidity_rate_per_hour", "pressure_roll_mean_60m", "temperature_roll_std_60m", "humidity_roll_z_60m", "multivariate_z_disagreement", "temperature_roll_mean_360m")
@@ -316,8 +399,21 @@ QUERIES: dict[str, Query] = {
     "first_per_type": lambda s, d: tidy(evaluate.first_per_type(labelled(s, d)).select("anomaly_type", *KEYS, *SENSORS)),
     "version_change": both_versions,
     "dev_share": dev_share,
-    "exact_sample": lambda s, d: quality.sample(obs(s, d), 100),
-    "continuous_subset": lambda s, d: quality.continuous_subset(obs(s, d), 100),
+    "exact_sample": on_obs(lambda d: quality.sample(d, 100)),
+    "continuous_subset": on_obs(lambda d: quality.continuous_subset(d, 100)),
+    "model_scores": select(lambda s, d: v2(labelled(s, d)), "statistical_score", "pca_score", "isolation_forest_score", *(f"{k}_prediction" for k in ("statistical", "pca", "isolation_forest", "any"))),
+    "explanations": select(tracked, "fault_explanation"),
+    "first_rows": on_obs(lambda d: first_rows(d, 100)),
+    "raw_scan": raw_scan,
+    "processed_scan": processed_scan,
+    "requests": lambda s, d: tidy(request_records(s, d)[0]),
+    "rejected_requests": rejected_requests,
+    "feature_columns": feature_columns,
+    "model_columns": model_columns,
+    "scaled_features": scaled_features,
+    "feat_stream": stream_features,
+    "json_records": json_records,
+    "set_verbs": lambda s, d: tidy(quality.clean(with_repeats(s, d)).exceptAll(obs(s, d))),
     "left_join_features": left_join_features,
     "table_diff": table_diff,
     "inject_noise": noise,

@@ -27,8 +27,16 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The shared folder that the cluster names. In local mode, where one machine runs all, a local one will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for written tables")
+    return named or "file:///tmp/checkpoints"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/driftwarden/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -36,6 +44,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
     The branches then read one table instead of each repeating the plan, and a lost executor costs a read.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/driftwarden/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

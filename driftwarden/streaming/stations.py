@@ -1,28 +1,33 @@
-"""The online path: one observation at a time, with durable state per station.
+"""The online path: observations as they arrive, with durable state per station.
 
 State holds up to 360 minutes of history, the run counters, health and the last accepted time. A station's records are
 taken in ingest order; a time that is not later than the last accepted one is rejected and changes nothing.
-Micro-batches are atomic, so an error never leaves half an update. Features follow the stream rules.
+Micro-batches are atomic, so an error never leaves half an update. What a record alone decides (the 147 features under
+the stream rules, the scores of the three fitted detectors, evidence, fusion) is computed for all records of a station's
+micro-batch at once; streaks and health follow record by record. A flagged record is explained by the features that
+shorten its paths in the forest most.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import statistics
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftwarden.operators.fusion import AGREEMENT, BONUS, COHERENT, COMMUNICATION, MODEL_CAP, PERSISTENT, SEVERITY, SUDDEN, SUPPRESSION
-from driftwarden.operators.health import CHECK_CONNECTION, GAP_US, GROWTH, MOST_GROWTH, PENALTY, RECOVERY, STATUS, TEXTS
-from driftwarden.schema import MINUTE_US, SENSORS
+from driftwarden.operators.fusion import AGREEMENT, BONUS, COHERENT, COMMUNICATION, DRIFT_LEAST, LOST, LOST_LEAST, MODEL_CAP, PERSISTENT, SCALES_V2, SEVERITY, SUDDEN, SUPPRESSION, Z_CAP
+from driftwarden.operators.health import CHECK_CONNECTION, DOMINANT, GAP_US, GROWTH, IMPLICATED, MOST_GROWTH, PENALTY, RATE_SCALE, RECOVERY, STATUS, TEXTS, Z_SCALE
+from driftwarden.plans.batch import Artifacts
+from driftwarden.plans.fitted import stored
+from driftwarden.schema import FEATURES, MINUTE_US, RATIO, SENSORS, WINDOWS_MIN
 from driftwarden.session import checkpoint_dir, ship
 from driftwarden.sources.tables import micros, observations
 
@@ -42,78 +47,155 @@ RESULT = T.StructType(
 )
 
 
-@dataclass
-class Parameters:
-    """Fitted constants of the engine: family thresholds, and centre and spread of the model score."""
+def features_of(us: np.ndarray, values: np.ndarray, held: int, unchanged: dict[str, int]) -> pd.DataFrame:
+    """The features of the rows from ``held`` on, under the stream rules; those before are history.
 
-    sudden: float = 1.0
-    persistent: float = 1.0
-    model_centre: float = 1.0
-    model_spread: float = 1.0
+    ``unchanged`` has the run counters of the last history row.
+    """
+    index = pd.to_datetime(us, unit="us")
+    all_rows = pd.DataFrame(values, index=index, columns=list(SENSORS))
+    now = all_rows.iloc[held:]
+    new, at = np.arange(held, len(us)), now.index
+    out: dict[str, np.ndarray] = {s: now[s].to_numpy() for s in SENSORS}
+    for s in SENSORS:
+        out[f"{s}_missing"] = np.isnan(out[s]) * 1.0
+    gone = np.stack([out[f"{s}_missing"] for s in SENSORS])
+    gap = np.where(new > 0, (us[new] - us[np.maximum(new - 1, 0)]) / 1e6, 600.0)
+    minutes = gap / 60.0
+    turn = lambda f, x, n: f(2 * math.pi * x / n)
+    hour, month, day = at.hour.to_numpy(), at.month.to_numpy(), at.dayofweek.to_numpy()
+    out |= {"any_sensor_missing": gone.max(axis=0), "all_sensors_missing": gone.min(axis=0), "hour": hour, "minute": at.minute.to_numpy(), "day_of_week": day, "day_of_year": at.dayofyear.to_numpy(), "month": month, "is_weekend": (day >= 5) * 1.0}
+    out |= {"hour_sin": turn(np.sin, hour, 24), "hour_cos": turn(np.cos, hour, 24), "month_sin": turn(np.sin, month - 1, 12), "month_cos": turn(np.cos, month - 1, 12), "time_gap_seconds": gap, "sampling_interval_mins": minutes, "time_gap_flag": (minutes > 15.0) * 1.0}
+    for k, s in enumerate(SENSORS):
+        delta = np.where(new > 0, out[s] - values[np.maximum(new - 1, 0), k], np.nan)
+        near = np.abs(delta) < 1e-4
+        place = np.arange(1, len(new) + 1)
+        last = np.maximum.accumulate(np.where(near, 0, place))
+        out |= {f"{s}_delta_1": delta, f"{s}_abs_delta_1": np.abs(delta), f"{s}_rate_per_hour": delta / np.maximum(minutes, 1.0) * 60.0, f"{s}_consec_unchanged": np.where(last == 0, place + unchanged[s], place - last) * near}
+        for w in WINDOWS_MIN:
+            r = all_rows[s].rolling(f"{w}min", closed="left")
+            mean, low, high, median = (getattr(r, name)().to_numpy()[held:] for name in ("mean", "min", "max", "median"))
+            variance = r.var().to_numpy()[held:]
+            std = np.maximum(np.sqrt(np.maximum(variance, 0)), 1e-6)
+            out |= {f"{s}_roll_mean_{w}m": mean, f"{s}_roll_std_{w}m": std, f"{s}_roll_min_{w}m": low, f"{s}_roll_max_{w}m": high, f"{s}_roll_median_{w}m": median}
+            out |= {f"{s}_dev_mean_{w}m": out[s] - mean, f"{s}_dev_med_{w}m": out[s] - median, f"{s}_roll_z_{w}m": (out[s] - mean) / std}
+            if w == 60:
+                iqr = r.quantile(0.75).to_numpy()[held:] - r.quantile(0.25).to_numpy()[held:]
+                out |= {f"{s}_roll_var_60m": variance, f"{s}_roll_range_60m": high - low, f"{s}_roll_iqr_60m": iqr, f"{s}_robust_z_60m": (out[s] - median) / np.maximum(iqr, 1e-6)}
+    z = np.stack([out[f"{s}_roll_z_60m"] for s in SENSORS])
+    size = np.abs(z)
+    top = np.fmax.reduce(size)
+    out["multivariate_z_disagreement"] = np.fmax.reduce([np.abs(z[i] - z[j]) for i in range(3) for j in range(i + 1, 3)])
+    out |= {"num_sensors_large_dev": (size > 2).sum(axis=0), "dominant_sensor_z": np.where(np.isnan(top), -1, (size == top).argmax(axis=0))}
+    rates = [np.nan_to_num(np.abs(out[f"{s}_rate_per_hour"])) for s in SENSORS]
+    out |= {name: r / (rates[0] + rates[1] + rates[2] + 1e-6) for name, r in zip(RATIO, rates, strict=True)}
+    return pd.DataFrame({c: np.asarray(out[c], np.float64) for c in FEATURES})
+
+
+def largest(f: pd.DataFrame, suffix: str) -> np.ndarray:
+    return np.nan_to_num(np.fmax.reduce([np.abs(f[f"{s}_{suffix}"].to_numpy()) for s in SENSORS]))
+
+
+def fuse(f: pd.DataFrame, a: Artifacts) -> dict[str, np.ndarray]:
+    """Score, flag, hint, confidence and severity of every row of features, and the rows as the forest sees them."""
+    x = a.forest.scaler.matrix(f[a.forest.scaler.columns].to_numpy())
+    own = x if a.components.scaler == a.forest.scaler else a.components.scaler.matrix(f[a.components.scaler.columns].to_numpy())
+    scores = {"statistical_score": largest(f, "roll_z_60m"), "pca_score": a.components.errors(own), "isolation_forest_score": a.forest.isolation(x)}
+    bounded = lambda v, k: 1 - np.exp(-v / SCALES_V2[k])
+    apart = np.nan_to_num(np.fmax.reduce([np.abs(f[f"{s}_roll_mean_60m"].to_numpy() - f[f"{s}_roll_mean_360m"].to_numpy()) for s in SENSORS]))
+    split = np.nan_to_num(f["multivariate_z_disagreement"].to_numpy())
+    tem, sta, mul = bounded(largest(f, "rate_per_hour"), "temporal"), bounded(np.minimum(scores["statistical_score"], Z_CAP), "statistical"), bounded(split, "multivariate")
+    stb, drf = bounded(np.max([f[f"{s}_consec_unchanged"] for s in SENSORS], axis=0), "stability"), bounded(apart, "drift")
+    mod = np.minimum(a.evidence.v2_of(scores), MODEL_CAP)
+    some, every = f["any_sensor_missing"].to_numpy() == 1, f["all_sensors_missing"].to_numpy() == 1
+    active = {SUDDEN: sum((e >= AGREEMENT) * 1 for e in (tem, sta, mul)), PERSISTENT: sum((e >= AGREEMENT) * 1 for e in (stb, drf))}
+    factor = np.where((split < COHERENT) & ~some, SUPPRESSION, 1.0)
+    com = np.select([every, some], LOST, 0.0)
+    sud = np.minimum(np.max([tem, sta, mul], axis=0) + active[SUDDEN] * BONUS + mod, 1.0) * factor
+    per = np.minimum(np.maximum(stb, drf) + active[PERSISTENT] * BONUS + mod, 1.0)
+    score = np.max([sud, per, com], axis=0)
+    winner = np.select([com == score, sud == score], [COMMUNICATION, SUDDEN], PERSISTENT)
+    flag = (sud >= a.sudden_threshold) | (per >= a.persistent_threshold) | (com > LOST_LEAST)
+    agree = np.minimum(np.where(winner == SUDDEN, active[SUDDEN], active[PERSISTENT]), 2) * 0.5
+    hint = np.select(
+        [~flag, winner == COMMUNICATION, (winner == PERSISTENT) & (stb > drf), (winner == PERSISTENT) & (drf > DRIFT_LEAST), winner == PERSISTENT, (mul > tem) & (mul > sta), tem > sta],
+        ["NORMAL", "MISSING", "FROZEN", "DRIFT", "UNKNOWN", "MULTIVARIATE_INCONSISTENCY", "SPIKE"],
+        "OFFSET",
+    )
+    band = np.select([score < top for top, _ in SEVERITY], [name for _, name in SEVERITY], "CRITICAL")
+    severity = np.select([~flag, (winner == COMMUNICATION) & every], ["NORMAL", "CRITICAL"], band)
+    return {"score": score, "flag": flag, "hint": hint, "confidence": np.where((score == 0) | (winner == COMMUNICATION), 1.0, np.minimum(0.5 * score + 0.5 * agree, 1.0)), "severity": severity, "matrix": x}
 
 
 @dataclass
 class Station:
-    """State of one station; ``process`` takes a record and gives the result, or None where its time is not later."""
+    """State of one station; ``process`` takes records and gives a result each, or None where a time is not later."""
 
-    history: list[list] = field(default_factory=list)  # [us, temperature, pressure, humidity]
+    history: list[list] = field(default_factory=list)  # [us, temperature, pressure, humidity], the last one always
     unchanged: dict[str, int] = field(default_factory=lambda: dict.fromkeys(SENSORS, 0))
     health: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SENSORS, 100.0))
     streaks: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("anomaly", "missing", "frozen", *SENSORS), 0))
-    last: list | None = None
-
-    def process(self, us: int, values: tuple[float | None, ...], p: Parameters) -> dict | None:
-        if self.last is not None and us <= self.last[0]:
-            return None
-        row = dict(zip(SENSORS, values, strict=True))
-        f = self._features(us, row)
-        self.history = [h for h in self.history if h[0] >= us - HISTORY_US] + [[us, *values]]
-        warm = len(self.history) < WARM_UP
-        fused = fuse(f, p)
-        flag, hint = fused["flag"], fused["hint"]
-        if warm and hint not in ("MISSING", "FROZEN"):
-            flag, hint = False, "NORMAL"
-        out = self._track(us, row, f, flag, hint, fused["confidence"])
-        self.last = [us, *values]
-        out |= {
-            "processing_state": "WARMUP" if warm else "PROCESSED",
-            "severity": "NORMAL" if warm else fused["severity"],
-            "anomaly_score": fused["score"],
-            "confidence": fused["confidence"],
-            "anomaly_flag": flag,
-            "top_features": json.dumps(top_features(f) if flag and not warm else []),
-            "suggested_corrections": json.dumps(self._corrections()) if flag else None,
-        }
+
+    def process(self, us: np.ndarray, values: np.ndarray, a: Artifacts) -> list[dict | None]:
+        """``us`` and ``values`` (NaN: missing) in ingest order."""
+        before = self.history[-1][0] if self.history else np.iinfo(np.int64).min
+        latest = np.maximum.accumulate(np.concatenate([[before], us]))
+        out: list[dict | None] = [None] * len(us)
+        at = np.flatnonzero(us > latest[:-1])
+        if len(at):
+            for i, result in zip(at.tolist(), self._accepted(us[at], values[at], a), strict=True):
+                out[i] = result
         return out
 
-    def _features(self, us: int, row: dict) -> dict:
-        minutes = (us - self.last[0]) / MINUTE_US if self.last else 10.0
-        before = dict(zip(SENSORS, self.last[1:], strict=True)) if self.last else dict.fromkeys(SENSORS)
-        f: dict = {"missing": sum(v is None for v in row.values())}
-        for k, s in enumerate(SENSORS, 1):
-            delta = None if row[s] is None or before[s] is None else row[s] - before[s]
-            self.unchanged[s] = self.unchanged[s] + 1 if delta is not None and abs(delta) < 1e-4 else 0
-            held = {w: [h[k] for h in self.history if us - w * MINUTE_US <= h[0] < us and h[k] is not None] for w in (60, 360)}
-            mean = {w: statistics.fmean(x) if x else None for w, x in held.items()}
-            deviation = statistics.stdev(held[60]) if len(held[60]) > 1 else None
-            known = row[s] is not None and deviation is not None
-            f[s] = {
-                "rate": None if delta is None else delta / max(minutes, 1.0) * 60.0,
-                "z": (row[s] - mean[60]) / max(deviation, 1e-6) if known else None,
-                "unchanged": self.unchanged[s],
-                "drift": None if mean[60] is None else abs(mean[60] - mean[360]),
-            }
-        z = [f[s]["z"] for s in SENSORS]
-        pairs = [abs(a - b) for i, a in enumerate(z) for b in z[i + 1 :] if a is not None and b is not None]
-        f["disagreement"] = max(pairs, default=0.0)
-        return f
-
-    def _track(self, us: int, row: dict, f: dict, flag: bool, hint: str, confidence: float) -> dict:
-        if self.last is not None and us - self.last[0] > GAP_US:
+    def _accepted(self, us: np.ndarray, values: np.ndarray, a: Artifacts) -> list[dict]:
+        held = len(self.history)
+        times = np.concatenate([np.array([h[0] for h in self.history], np.int64), us])
+        rows = np.concatenate([np.array([h[1:] for h in self.history], np.float64).reshape(-1, len(SENSORS)), values])
+        f = features_of(times, rows, held, self.unchanged)
+        fused = fuse(f, a)
+        begin = np.searchsorted(times, times[held:] - HISTORY_US, side="left")
+        size = np.arange(held, len(times)) + 1 - begin
+        warm = size < WARM_UP
+        hint = np.where(warm & ~np.isin(fused["hint"], ("MISSING", "FROZEN")), "NORMAL", fused["hint"])
+        flag = fused["flag"] & (hint != "NORMAL")
+        top = self._explained(np.flatnonzero(flag & ~warm), fused["matrix"], a)
+        gap = np.diff(times, prepend=times[:1])[held:] > GAP_US
+        per = [(f[f"{s}_rate_per_hour"].tolist(), f[f"{s}_roll_z_60m"].tolist()) for s in SENSORS]
+        out = []
+        for i, (values_, hint_, flag_, confidence) in enumerate(zip(values.tolist(), hint.tolist(), flag.tolist(), fused["confidence"].tolist(), strict=True)):
+            row = {s: None if math.isnan(v) else v for s, v in zip(SENSORS, values_, strict=True)}
+            out.append(
+                self._track(row, {s: (x[i], z[i]) for s, (x, z) in zip(SENSORS, per, strict=True)}, bool(gap[i]), flag_, hint_, confidence)
+                | {
+                    "processing_state": "WARMUP" if warm[i] else "PROCESSED",
+                    "severity": "NORMAL" if warm[i] else str(fused["severity"][i]),
+                    "anomaly_score": float(fused["score"][i]),
+                    "confidence": confidence,
+                    "anomaly_flag": flag_,
+                    "top_features": json.dumps(top.get(i, [])),
+                    "suggested_corrections": json.dumps(corrections(rows[begin[i] : held + i + 1])) if flag_ else None,
+                }
+            )
+        self.unchanged = {s: int(f[f"{s}_consec_unchanged"].iloc[-1]) for s in SENSORS}
+        self.history = [[int(t), *(None if math.isnan(v) else v for v in r)] for t, r in zip(times[begin[-1] :], rows[begin[-1] :].tolist(), strict=True)]
+        return out
+
+    @staticmethod
+    def _explained(at: np.ndarray, matrix: np.ndarray, a: Artifacts, k: int = 3) -> dict[int, list[dict]]:
+        """For each of the rows ``at`` the ``k`` features that shorten its paths most."""
+        if not len(at):
+            return {}
+        names = a.forest.scaler.columns
+        shares = a.forest.contributions(matrix[at])
+        order = np.argsort(-shares, axis=1, kind="stable")[:, :k]
+        return {int(i): [{"feature": names[c], "contribution": round(float(row[c]), 4)} for c in best if row[c] > 0] for i, row, best in zip(at, shares, order.tolist(), strict=True)}
+
+    def _track(self, row: dict, rate_and_z: dict[str, tuple[float, float]], gap: bool, flag: bool, hint: str, confidence: float) -> dict:
+        if gap:
             self.streaks = dict.fromkeys(self.streaks, 0)
-        missing = f["missing"]
+        missing = sum(v is None for v in row.values())
         fault = "MISSING" if missing else hint if flag else "NORMAL"
-        evidence = {s: 1.0 if row[s] is None else max(_capped(f[s]["rate"], 10.0), _capped(f[s]["z"], 4.0)) for s in SENSORS}
+        evidence = {s: 1.0 if row[s] is None else max(_capped(rate, RATE_SCALE), _capped(z, Z_SCALE)) for s, (rate, z) in rate_and_z.items()}
         affected = attribute(fault, missing, evidence)
         hit = {s: affected in (s.upper(), "MULTIPLE", "ALL_SENSORS") for s in SENSORS}
         if flag:
@@ -126,7 +208,7 @@ class Station:
             if not flag and self.streaks[s] == 0:
                 step = RECOVERY
             elif hit[s]:
-                step = -PENALTY.get(fault, 1.0) * evidence[s] * confidence * min(MOST_GROWTH, 1.0 + GROWTH * max(0, self.streaks[s] - 1))
+                step = -(PENALTY.get(fault, 1.0) * evidence[s] * confidence * min(MOST_GROWTH, 1.0 + GROWTH * max(0, self.streaks[s] - 1)))
             self.health[s] = max(0.0, min(100.0, self.health[s] + step))
         status = {f"{s}_status": next((name for low, name in STATUS if self.health[s] >= low), "CRITICAL") for s in SENSORS}
         return {
@@ -140,54 +222,17 @@ class Station:
             "explanation": explain(fault, affected, confidence),
         }
 
-    def _corrections(self) -> dict[str, float]:
-        if len(self.history) < 3:
-            return {}
-        held = {s: [h[k] for h in self.history if h[k] is not None] for k, s in enumerate(SENSORS, 1)}
-        return {s: round(statistics.median(x), 2) for s, x in held.items() if x}
-
-
-def _capped(x: float | None, scale: float) -> float:
-    return 1.0 if x is None else min(1.0, abs(x) / scale)
-
-
-def _bounded(x: float, k: float) -> float:
-    return 1 - math.exp(-x / k)
-
-
-def fuse(f: dict, p: Parameters) -> dict:
-    """Family scores, flag, hint, confidence and severity of one row's features."""
-    per = [f[s] for s in SENSORS]
-    z = max((abs(x["z"]) for x in per if x["z"] is not None), default=0.0)
-    tem = _bounded(max((abs(x["rate"]) for x in per if x["rate"] is not None), default=0.0), 25.0)
-    sta, mul = _bounded(min(z, 50.0), 30.0), _bounded(f["disagreement"], 30.0)
-    stb = _bounded(float(max(x["unchanged"] for x in per)), 6.0)
-    drf = _bounded(max((x["drift"] for x in per if x["drift"] is not None), default=0.0), 3.5)
-    mod = min(_bounded(min(max((z - p.model_centre) / p.model_spread, 0.0), 10.0), 3.0), MODEL_CAP)
-    active = {SUDDEN: sum(x >= AGREEMENT for x in (tem, sta, mul)), PERSISTENT: sum(x >= AGREEMENT for x in (stb, drf))}
-    factor = SUPPRESSION if f["disagreement"] < COHERENT and not f["missing"] else 1.0
-    scores = {
-        COMMUNICATION: 1.0 if f["missing"] == 3 else 0.6 if f["missing"] else 0.0,
-        SUDDEN: min(max(tem, sta, mul) + active[SUDDEN] * BONUS + mod, 1.0) * factor,
-        PERSISTENT: min(max(stb, drf) + active[PERSISTENT] * BONUS + mod, 1.0),
-    }
-    winner = max(scores, key=scores.__getitem__)
-    score = scores[winner]
-    flag = scores[SUDDEN] >= p.sudden or scores[PERSISTENT] >= p.persistent or scores[COMMUNICATION] > 0.5
-    if score == 0 or winner == COMMUNICATION:
-        confidence = 1.0
-    else:
-        confidence = min(0.5 * score + 0.5 * (1.0 if active[winner] >= 2 else 0.5 * active[winner]), 1.0)
-    if not flag:
-        hint = "NORMAL"
-    elif winner == COMMUNICATION:
-        hint = "MISSING"
-    elif winner == PERSISTENT:
-        hint = "FROZEN" if stb > drf else "DRIFT" if drf > 0.3 else "UNKNOWN"
-    else:
-        hint = "MULTIVARIATE_INCONSISTENCY" if mul > tem and mul > sta else "SPIKE" if tem > sta else "OFFSET"
-    band = next((name for top, name in SEVERITY if score < top), "CRITICAL")
-    return {"score": score, "flag": flag, "hint": hint, "confidence": confidence, "severity": "NORMAL" if not flag else "CRITICAL" if scores[COMMUNICATION] == 1.0 else band}
+
+def corrections(rows: np.ndarray) -> dict[str, float]:
+    """Medians of the history and the row itself, where there are at least three rows; two decimals, half up."""
+    if len(rows) < 3:
+        return {}
+    known = {s: rows[~np.isnan(rows[:, k]), k] for k, s in enumerate(SENSORS)}
+    return {s: math.floor(float(np.median(x)) * 100 + 0.5) / 100 for s, x in known.items() if len(x)}
+
+
+def _capped(x: float, scale: float) -> float:
+    return 1.0 if math.isnan(x) else min(1.0, abs(x) / scale)
 
 
 def attribute(fault: str, missing: int, evidence: dict[str, float]) -> str:
@@ -195,10 +240,10 @@ def attribute(fault: str, missing: int, evidence: dict[str, float]) -> str:
         return "NONE"
     if fault == "MISSING" and missing == 3:
         return "ALL_SENSORS"
-    held = sorted(((v, -k) for k, v in enumerate(evidence.values()) if v > 0.5), reverse=True)
+    held = sorted(((v, -k) for k, v in enumerate(evidence.values()) if v > IMPLICATED), reverse=True)
     if not held:
         return "UNKNOWN"
-    if len(held) > 1 and (fault == "MULTIVARIATE_INCONSISTENCY" or held[0][0] <= held[1][0] * 1.5):
+    if len(held) > 1 and (fault == "MULTIVARIATE_INCONSISTENCY" or held[0][0] <= held[1][0] * DOMINANT):
         return "MULTIPLE"
     return SENSORS[-held[0][1]].upper()
 
@@ -220,36 +265,31 @@ def explain(fault: str, affected: str, confidence: float) -> str:
         return TEXTS[fault]
     one = affected in [s.upper() for s in SENSORS] and fault in ("SPIKE", "FROZEN", "DRIFT", "OFFSET", "NOISE")
     text = TEXTS[fault] if one or fault == "MULTIVARIATE_INCONSISTENCY" else TEXTS["other"]
-    return text.replace("%1$s", affected.lower()).replace("%2$.2f", f"{confidence:.2f}")
+    return text.replace("%1$s", affected.lower()).replace("%2$.2f", f"{math.floor(confidence * 100 + 0.5) / 100:.2f}")
 
 
-def top_features(f: dict, k: int = 3) -> list[dict]:
-    """The features that speak most for an anomaly, each scaled to its evidence's own unit."""
-    units = {"rate": ("rate_per_hour", 25.0), "z": ("roll_z_60m", 30.0), "unchanged": ("consec_unchanged", 6.0), "drift": ("drift_60m_360m", 3.5)}
-    found = [(f"{s}_{name}", f[s][key] / unit) for s in SENSORS for key, (name, unit) in units.items() if f[s][key]]
-    found.append(("multivariate_z_disagreement", f["disagreement"] / 30.0))
-    best = sorted(found, key=lambda x: (-abs(x[1]), x[0]))[:k]
-    return [{"feature": name, "contribution": round(v, 4)} for name, v in best]
-
-
-def process_stream(obs: DataFrame, parameters: Parameters | None = None) -> DataFrame:
+def process_stream(obs: DataFrame, artifacts: Artifacts | None = None) -> DataFrame:
     """Observations (station_id, seq, ts, sensors; optionally ``reset`` to clear a station) to results, in ``seq`` order.
 
-    Rejected records come out with the processing state REJECTED and nothing else.
+    Rejected records come out with the processing state REJECTED and nothing else. The micro-batches' size bounds how many
+    records of a station a task holds: limit it at the source (``maxFilesPerTrigger`` and its like).
     """
-    ship(obs.sparkSession)
-    p = parameters or Parameters()
+    spark = ship(obs.sparkSession)
+    held = spark.sparkContext.broadcast(artifacts or stored())
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         station = Station(**json.loads(state.get[0])) if state.exists else Station()
-        rows = []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if row.reset:
-                station = Station()
-                continue
-            values = tuple(None if pd.isna(getattr(row, s)) else float(getattr(row, s)) for s in SENSORS)
-            out = station.process(int(row.us), values, p)
-            rows.append({"station_id": key[0], "seq": row.seq, "us": row.us, **(out or {"processing_state": "REJECTED"})})
+        batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        cleared = batch["reset"].to_numpy(bool)
+        rows: list[dict] = []
+        # Records between two resets are processed together.
+        for part, reset in zip(np.split(batch, np.flatnonzero(cleared)), [False, *[True] * int(cleared.sum())], strict=True):
+            if reset:
+                station, part = Station(), part.iloc[1:]
+            if len(part):
+                us = part["us"].to_numpy(np.int64)
+                found = station.process(us, part[list(SENSORS)].to_numpy(np.float64), held.value)
+                rows += [{"station_id": key[0], "seq": q, "us": t, **(r or {"processing_state": "REJECTED"})} for q, t, r in zip(part["seq"].tolist(), us.tolist(), found, strict=True)]
         state.update((json.dumps(station.__dict__),))
         if rows:
             yield pd.DataFrame(rows, columns=RESULT.names)
@@ -258,13 +298,16 @@ def process_stream(obs: DataFrame, parameters: Parameters | None = None) -> Data
     return keyed.groupBy("station_id").applyInPandasWithState(step, RESULT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, events: str, parameters: Parameters | None = None) -> DataFrame:
-    """Everything in the ``events`` file through the stream, once; the results are a table in the shared folder."""
-    folder, name = events.rsplit("/", 1)
-    schema = spark.read.parquet(events).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    obs = observations(source).withColumnRenamed("event_id", "seq")
+def run_available(spark: SparkSession, path: str, schema: T.StructType, prepare=observations, artifacts: Artifacts | None = None, files_per_trigger: int = 16) -> DataFrame:
+    """Everything under ``path`` through the stream, a few files at a time; the results are a table in the shared folder.
+
+    ``prepare`` makes observations, with ``event_id`` or ``seq`` for their order, of the source's rows.
+    """
+    folder, name = path.rsplit("/", 1)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    obs = prepare(source)
+    obs = obs if "seq" in obs.columns else obs.withColumnRenamed("event_id", "seq")
     root = f"{checkpoint_dir(spark).rstrip('/')}/driftwarden/stream-{uuid.uuid4().hex}"
-    query = process_stream(obs, parameters).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    query = process_stream(obs, artifacts).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(RESULT).parquet(f"{root}/out")

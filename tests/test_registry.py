@@ -43,7 +43,8 @@ def test_equals_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_others_run(spark, sf, name):
-    assert QUERIES[name](spark, sf).columns
+    rows = QUERIES[name](spark, sf).collect()
+    assert rows and all(x is not None for x in rows[0][:2])
 
 
 def test_stands_without_the_corpus_operators(tmp_path):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 
 import numpy as np
@@ -10,10 +11,11 @@ import pytest
 from driftwarden.operators import detectors, evaluate, features, health, joins, quality, simulate
 from driftwarden.operators.timeline import with_chunk
 from driftwarden.plans import batch
+from driftwarden.plans.fitted import stored
 from driftwarden.plans.queries import plan, scored_features
 from driftwarden.schema import FEATURES, OBSERVATION, SENSORS
 from driftwarden.sources import tables
-from driftwarden.streaming.stations import Parameters, Station, process_stream
+from driftwarden.streaming.stations import Station, features_of, process_stream
 
 START = dt.datetime(2024, 1, 1)
 TRACKED = "station_id int, ts timestamp_ntz, temperature double, pressure double, humidity double, temperature_rate_per_hour double, pressure_rate_per_hour double, humidity_rate_per_hour double, temperature_roll_z_60m double, pressure_roll_z_60m double, humidity_roll_z_60m double, anomaly_flag boolean, final_anomaly_score double, anomaly_confidence double, fault_type_hint string, candidate_fault_family string"
@@ -172,6 +174,12 @@ class TestSimulation:
         again = [tuple(r) for r in simulate.draw_plan(obs, 2).collect()]
         assert again == [tuple(r) for r in drawn.collect()]
 
+    def test_share_of_rows(self, spark, sf):
+        obs = tables.observations(tables.table(spark, sf, "events")).drop("event_id")
+        drawn = simulate.draw_share(obs, 0.05)
+        marked = simulate.inject(obs, drawn).where("is_anomaly = 1").count()
+        assert 0.02 * 1000 <= marked <= 0.05 * 1000 + 144
+
     def test_no_overlap(self, spark):
         old, new = plan(spark), plan(spark).limit(3)
         assert joins.without_overlap(new, old).count() == 0 and joins.without_overlap(new, old.where("false")).count() == 3
@@ -267,31 +275,87 @@ class TestStream:
         assert (got[17].fault_type, got[17].severity, got[17].affected_sensor) == ("MISSING", "CRITICAL", "ALL_SENSORS")
 
     def test_step_after_flat(self):
-        station, p = Station(), Parameters()
-        for i in range(40):
-            station.process(i * 600_000_000, (20.0 + 0.01 * (i % 2), 1012.0, 55.0 + i % 2), p)
-        out = station.process(40 * 600_000_000, (45.0, 1012.0, 55.0), p)
+        us = np.arange(41, dtype=np.int64) * 600_000_000
+        values = np.array([(20.0 + 0.01 * (i % 2), 1012.0, 55.0 + i % 2) for i in range(40)] + [(45.0, 1012.0, 55.0)])
+        out = Station().process(us, values, stored())[-1]
         assert out["anomaly_flag"] and out["suggested_corrections"] and out["top_features"] != "[]"
 
-    def test_equals_batch_under_stream_rules(self, spark, sf):
-        """Scores of the online path and of the batch plan, row by row."""
-        from driftwarden.operators import fusion
+    def series(self, n: int = 500):
+        rng = np.random.default_rng(7)
+        us = np.cumsum(rng.choice([600, 600, 600, 1200, 4000], n)).astype(np.int64) * 1_000_000
+        values = np.stack([20 + rng.normal(size=n).round(2), 1000 + rng.normal(size=n).round(1), np.where(np.arange(n) % 90 < 40, 55.0, rng.integers(40, 60, n))], 1)
+        values[rng.random(values.shape) < 0.05] = np.nan
+        return us, values
+
+    def test_features_equal_the_batch_plan(self, spark):
+        """All 147, whatever the micro-batches are."""
+        us, values = self.series(300)
+        rows = [(0, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(t)), *(None if math.isnan(x) else float(x) for x in v)) for t, v in zip(us, values, strict=True)]
+        want = features.features(spark.createDataFrame(rows, OBSERVATION), "stream").orderBy("ts").select(*FEATURES).toPandas().astype(float)
+        whole = features_of(us, values, 0, dict.fromkeys(SENSORS, 0))
+        assert list(whole.columns) == list(FEATURES)
+        for c in FEATURES:
+            assert np.allclose(whole[c], want[c], equal_nan=True, rtol=1e-6, atol=1e-6), c
+        # The same from the state: three micro-batches.
+        station, held, start = Station(), [], 0
+        for stop in (7, 150, 300):
+            before = len(station.history)
+            times = np.concatenate([[h[0] for h in station.history], us[start:stop]]).astype(np.int64)
+            data = np.concatenate([np.array([h[1:] for h in station.history], float).reshape(-1, 3), values[start:stop]])
+            held.append(features_of(times, data, before, station.unchanged))
+            station.process(us[start:stop], values[start:stop], stored())
+            start = stop
+        got = pd.concat(held, ignore_index=True)
+        for c in FEATURES:
+            assert np.allclose(got[c], whole[c], equal_nan=True, rtol=1e-6, atol=1e-6), c
+
+    def test_micro_batches_and_the_future_change_nothing(self):
+        us, values = self.series()
+        one = Station().process(us, values, stored())
+        station, parts = Station(), []
+        for k in range(0, len(us), 37):
+            station = Station(**json.loads(json.dumps(station.__dict__)))
+            parts += station.process(us[k : k + 37], values[k : k + 37], stored())
+        short = Station().process(us[:200], values[:200], stored())
+        for a, b in (*zip(one, parts, strict=True), *zip(one[:200], short, strict=True)):
+            assert {k: v for k, v in a.items() if isinstance(v, str)} == {k: v for k, v in b.items() if isinstance(v, str)}
+            assert all(v == pytest.approx(b[k], abs=1e-9) for k, v in a.items() if isinstance(v, float))
 
+    def test_equals_batch_under_stream_rules(self, spark, sf):
+        """Scores of the online path and of the batch plan, row by row, with three fitted detectors over all features."""
         obs = tables.observations(tables.table(spark, sf, "events")).where("station_id = 2").drop("event_id")
-        rows = features.add_multivariate(features.add_rolling(features.base_features(obs), (60, 360), "stream"), "stream")
-        rows = rows.withColumn("statistical_score", detectors.statistical_score())
-        model = detectors.ModelEvidence({"statistical_score": 1.0}, {"statistical_score": 1.0})
-        fused = fusion.fuse_v2(fusion.evidence_v2(rows.withColumn("model_evidence", model.v2())), 1.0, 1.0).orderBy("us").collect()
-        station, p = Station(), Parameters()
-        for r in fused:
-            out = station.process(r.us, (r.temperature, r.pressure, r.humidity), p)
-            assert out["anomaly_score"] == pytest.approx(r.final_anomaly_score, abs=1e-9)
-            assert out["confidence"] == pytest.approx(r.anomaly_confidence, abs=1e-9)
-
-    def test_reset(self, spark, tmp_path):
-        station = Station()
-        station.process(5, (1.0, 2.0, 3.0), Parameters())
-        assert station.process(5, (1.0, 2.0, 3.0), Parameters()) is None and Station().process(5, (1.0, 2.0, 3.0), Parameters())
+        rows = batch.feature_table(obs, "stream")
+        fitted = batch.fit(rows, rows=150, trees=20)
+        fused = fitted.fused(rows).orderBy("ts").collect()
+        us = np.array([int((r.ts - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000) for r in fused], np.int64)
+        values = np.array([[np.nan if v is None else v for v in (r.temperature, r.pressure, r.humidity)] for r in fused], float)
+        found = Station().process(us, values, fitted)
+        for r, out in zip(fused, found, strict=True):
+            assert out["anomaly_score"] == pytest.approx(r.final_anomaly_score, abs=1e-6)
+            assert out["confidence"] == pytest.approx(r.anomaly_confidence, abs=1e-6)
+        top = [json.loads(x["top_features"]) for x in found if x["top_features"] != "[]"]
+        assert top and all(t["feature"] in FEATURES and t["contribution"] > 0 for x in top for t in x)
+
+    def test_reset_clears_a_station(self, spark, tmp_path):
+        schema = "station_id int, seq long, ts timestamp_ntz, temperature double, pressure double, humidity double, reset boolean"
+        rows = [(0, i, minutes(10 * i), 20.0 + i % 3, 1000.0, 50.0, False) for i in range(13)]
+        rows += [(0, 13, minutes(0), None, None, None, True), (0, 14, minutes(5), 20.0, 1000.0, 50.0, False)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+        process_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        got = {r.seq: r.processing_state for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert got == {**{i: "WARMUP" for i in range(11)}, 11: "PROCESSED", 12: "PROCESSED", 14: "WARMUP"}
+
+    def test_contributions_sum_to_what_the_paths_are_shorter(self):
+        forest = stored().forest
+        x = np.random.default_rng(3).normal(size=(200, 6))
+        expected = [self.mean(t) for t in forest.trees]
+        depth = -np.log2(forest.isolation(x)) * detectors.path_normaliser(forest.size)
+        assert np.allclose(forest.contributions(x).sum(axis=1), np.mean(expected) - depth)
+
+    @staticmethod
+    def mean(tree, node: int = 0) -> float:
+        feature, _, left, depth = tree
+        return float(depth[node]) if feature[node] < 0 else (TestStream.mean(tree, int(left[node])) + TestStream.mean(tree, int(left[node]) + 1)) / 2
 
 
 def test_scored_features_have_what_evidence_needs(spark, sf):
