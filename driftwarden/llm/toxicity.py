@@ -3,7 +3,8 @@
 The lexicon is learned: words, and stems (leading characters of a word), whose share of toxic documents among
 labelled ones stands out. Its trie is run together with the Levenshtein automaton of one edit: a state is the set of
 (trie node, edits so far), found when first needed and remembered, so a word costs one look-up a character.
-Words of at least ``FUZZY_LENGTH`` letters match within one edit, shorter ones and stems exactly.
+Words of at least ``FUZZY_LENGTH`` letters match within one edit (a letter more, less or another; two letters that
+changed places are two edits), shorter ones and stems exactly. A word under a stem stays in the automaton for its misspellings.
 
 Every match is weighed by its window of ``WINDOW`` words to both sides: quotation marks and reporting words
 speak for quotation, second-person words and further matches for abuse. A logistic model over the document's
@@ -113,8 +114,7 @@ class Automaton:
                 return (0, stem) if stem is not None else None
             if self.stem_of[state] is not None:
                 stem = self.stem_of[state]
-        end = self.accepts[state]
-        return end if end and (end[0] == 0 or stem is None) else (0, stem) if stem is not None else None
+        return (0, stem) if stem is not None else self.accepts[state]
 
 
 class Matcher:
@@ -189,7 +189,7 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, id: str, text: st
     return cut(docs.select(id, text).join(F.broadcast(some), id).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "labelled")
 
 
-def lexicon(rows: DataFrame, entries: int, least: int) -> list[tuple[str, bool, float]]:
+def lexicon(rows: DataFrame, least: int) -> list[tuple[str, bool, float]]:
     """Words and stems by how much likelier they make a toxic document; each a (text, stem, log odds)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,14 +211,15 @@ def lexicon(rows: DataFrame, entries: int, least: int) -> list[tuple[str, bool,
     odds = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
     # Half of the term's documents at least have to be toxic, and more than chance gives.
     chosen = sums.where((F.col("bad") >= least) & (F.col("bad") >= 2 * F.col("good"))).withColumn("odds", odds)
-    top = chosen.orderBy(F.desc(F.col("odds") * F.log(F.col("bad") + 1)), "term", "stem").limit(entries).collect()
+    # Their number is bounded by the sample: each is in at least ``least`` of its toxic rows.
+    top = chosen.orderBy(F.desc(F.col("odds") * F.log(F.col("bad") + 1)), "term", "stem").collect()
     words = {r.term for r in top if not r.stem}
     stems = [r.term for r in top if r.stem]
     bad_of = {(r.term, r.stem): r.bad for r in top}
     # A stem that only one chosen word has is that word.
     kept_stems = {s for s in stems if sum(w.startswith(s) for w in words) != 1 or bad_of[s, True] > 1.5 * max((bad_of[w, False] for w in words if w.startswith(s)), default=0)}
     shortest = {s for s in kept_stems if not any(s != o and s.startswith(o) and bad_of[o, True] >= bad_of[s, True] for o in kept_stems)}
-    return [(r.term, r.stem, float(r.odds)) for r in top if (r.term in shortest if r.stem else not any(r.term.startswith(s) for s in shortest))]
+    return [(r.term, r.stem, float(r.odds)) for r in top if not r.stem or r.term in shortest]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -246,10 +247,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), [m for _, m in described]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", sample_rows: int = 20_000, entries: int = 2_000, least: int = 5, seed: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", sample_rows: int = 20_000, least: int = 5, seed: int = 2) -> Model:
     prepare(docs.sparkSession)
     rows = learned(docs, labels, learn, id, text, sample_rows, seed)
-    found = lexicon(rows, entries, least)
+    found = lexicon(rows, least)
     if not found:
         return Model(Matcher([], frozenset()), np.zeros(FEATURES), -3.0)
     spread = rows.sparkSession.sparkContext.broadcast(Matcher(found, frozenset()))
