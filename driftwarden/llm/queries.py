@@ -114,13 +114,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document. ``shared_spans`` are held by other documents too, ``repeated_spans`` also hold what repeats within one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = substrings.with_marks(docs, substrings.marked(docs), "doc_id", "text")
+    short = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), substrings.row_key("text").alias("row"))
+    found = substrings.with_marks(short, substrings.marked(docs), "doc_id", "row")
     spans = lambda c: F.coalesce(F.array_join(F.transform(f"_marks.{c}", lambda x: F.concat_ws(":", x["start"], x["end"])), ","), F.lit("")).alias(f"{c[3:]}_spans")
     chars = lambda c: F.coalesce(F.aggregate(f"_marks.{c}", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("long")).alias(f"{c[3:]}_chars")
     kinds = ("sd_repeated", "sd_shared", "sd_removed")
     return found.select(
         "doc_id",
-        F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"),
+        "n_chars",
         F.coalesce("_marks.sd_chunks", F.lit(0).cast("long")).alias("n_repeated_chunks"),
         *(chars(c) for c in kinds),
         *(spans(c) for c in kinds),
