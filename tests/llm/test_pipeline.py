@@ -69,7 +69,8 @@ def test_extra_columns_and_empty_table(spark, planted):
     for name, stage in C.STAGES:
         docs = stage(spark, docs, root)
         if name != "pack":
-            assert {"id", "kind", "tokens"} <= set(docs.columns)
+            assert {"id", "kind", "tokens", "li_lang"} <= set(docs.columns)
+            assert {(r.id, r.kind, r.tokens, r.li_lang) for r in docs.collect()} == {(1, "k", 3, 2)}
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     docs = spark.read.parquet(f"{root}/documents.parquet").where("false")
     for _, stage in C.STAGES:
@@ -79,4 +80,18 @@ def test_extra_columns_and_empty_table(spark, planted):
 
 
 def test_finder_is_bounded(spark):
-    assert P.SAMPLE_ROWS <= 10_000
+    """The sample ends at its limit whatever the table holds."""
+    docs = spark.range(600).selectExpr("CAST(id % 3 AS LONG) AS doc_id", "concat('call 0', id, ' 1234 5678 and 2', id, '-555-0101') AS text")
+    seen = []
+    made = P.Finder.__init__
+
+    def noted(self, texts, precision=0.97, seed=13):
+        seen.append(len(texts))
+        made(self, texts, precision, seed)
+
+    P.Finder.__init__ = noted
+    try:
+        P.fit(docs, sample_rows=100)
+    finally:
+        P.Finder.__init__ = made
+    assert seen and seen[0] <= 100
