@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes what the one before kept, written as Parquet and read again. All but the last return the columns
-of ``documents``; ``lang`` is the predicted language from the first stage on, and ``n_chars`` follows the text.
+of ``documents``, those of any other name as they were; ``lang`` is the predicted language from the first stage on, and ``n_chars`` follows the text.
 
 * language: documents without a letter, or unlike every learned language, go.
 * near_duplicates: of each group of near copies the document with the smallest id stays. Rows that share an id are
@@ -25,10 +25,20 @@ from driftwarden.llm.common import cut, held_out, prepare, table
 from driftwarden.llm.queries import word_tokenizer
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def beside(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs`` whose further columns have names that no operator uses."""
+    aside = {c: f"_aside_{k}" for k, c in enumerate(docs.columns) if c not in OWN}
+    done = work(docs.withColumnsRenamed(aside)).withColumnsRenamed({b: a for a, b in aside.items()})
+    return done.select(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = langid.identify(docs, langid.fit(docs, ~held_out()))
-    return found.where(~F.col("li_rejected")).withColumn("lang", F.col("li_lang")).select(*docs.columns)
+    model = langid.fit(docs, ~held_out())
+    return beside(docs, lambda d: langid.identify(d, model).where(~F.col("li_rejected")).withColumn("lang", F.col("li_lang")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +48,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = benchmark_windows.remove(docs, table(spark, sf_dir, "benchmark"))
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return beside(docs, lambda d: benchmark_windows.remove(d, benchmark).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = personal_data.find(docs, personal_data.fit(docs), redact=True)
-    return found.withColumn("text", F.col("pii_clean")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    finder = personal_data.fit(docs)
+    return beside(docs, lambda d: personal_data.find(d, finder, redact=True).withColumn("text", F.col("pii_clean")).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
