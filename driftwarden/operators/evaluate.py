@@ -77,10 +77,10 @@ def type_recall(df: DataFrame, predicted: str = "predicted") -> DataFrame:
     return df.where("is_anomaly = 1").groupBy("anomaly_type").agg(F.count("*").alias("rows"), F.sum(predicted).alias("flagged"), F.avg(F.col(predicted).cast("double")).alias("recall"))
 
 
-def type_distribution(df: DataFrame, score: str, exact: bool = True) -> DataFrame:
+def type_distribution(df: DataFrame, score: str, exact: bool = False) -> DataFrame:
     """Per fault type: rows, mean, median, 5th, 95th and 99th percentile and maximum of a score.
 
-    Set ``exact`` false where a type has more distinct scores than fit in a task.
+    Percentiles come from a bounded sketch; set ``exact`` where a type's distinct scores fit in a task.
     """
     q = quantiles(score, (0.05, 0.5, 0.95, 0.99), exact)
     out = df.groupBy("anomaly_type").agg(F.count("*").alias("rows"), F.avg(score).alias("mean"), q.alias("q"), F.max(score).alias("max"))
@@ -109,7 +109,7 @@ def pivot_family(df: DataFrame, families: list[str], predicted: str = "predicted
     return df.where((F.col("is_anomaly") == 1) & (F.col(predicted) == 1)).groupBy("anomaly_type").pivot("candidate_fault_family", families).count().fillna(0)
 
 
-def saturation(df: DataFrame, score: str, label: str = "is_anomaly", exact: bool = True) -> DataFrame:
+def saturation(df: DataFrame, score: str, label: str = "is_anomaly", exact: bool = False) -> DataFrame:
     """Minimum, upper percentiles, maximum and share of exact ones, by label."""
     levels = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995}
     q = quantiles(score, levels.values(), exact)
@@ -117,9 +117,9 @@ def saturation(df: DataFrame, score: str, label: str = "is_anomaly", exact: bool
     return out.select(label, "min", *(F.col("q")[k].alias(n) for k, n in enumerate(levels)), "max", "share_one")
 
 
-def confidence_summary(df: DataFrame, label: str = "is_anomaly", predicted: str = "predicted") -> DataFrame:
-    """Mean and median confidence by label and prediction."""
-    return df.groupBy(label, predicted).agg(F.count("*").alias("rows"), F.avg("anomaly_confidence").alias("mean_confidence"), F.percentile("anomaly_confidence", 0.5).alias("median_confidence"))
+def confidence_summary(df: DataFrame, label: str = "is_anomaly", predicted: str = "predicted", exact: bool = False) -> DataFrame:
+    """Mean and median confidence by label and prediction; the median from a bounded sketch unless ``exact``."""
+    return df.groupBy(label, predicted).agg(F.count("*").alias("rows"), F.avg("anomaly_confidence").alias("mean_confidence"), quantiles("anomaly_confidence", (0.5,), exact)[0].alias("median_confidence"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -54,8 +54,8 @@ def basic_audit(df: DataFrame) -> DataFrame:
     return long.groupBy("sensor").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
 
 
-def describe(df: DataFrame, exact: bool = True) -> DataFrame:
-    """``basic_audit`` with quartiles, exact or from a bounded sketch."""
+def describe(df: DataFrame, exact: bool = False) -> DataFrame:
+    """``basic_audit`` with quartiles, from a bounded sketch or exact."""
     parts = F.array(*(F.struct(F.lit(s).alias("sensor"), F.col(s).alias("x")) for s in SENSORS))
     long = df.select(F.explode(parts).alias("p")).select("p.sensor", "p.x")
     quartiles = quantiles("x", (0.25, 0.5, 0.75), exact)
@@ -83,13 +83,20 @@ def largest_gaps(df: DataFrame, k: int = 10) -> DataFrame:
     return gaps(df).orderBy(F.desc("gap_minutes"), "station_id", "ts").limit(k)
 
 
-def interval_statistics(df: DataFrame) -> DataFrame:
-    """Median, mode, minimum and maximum of the seconds between rows of a station; non-positive steps."""
+def interval_statistics(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Median, mode, minimum and maximum of the seconds between rows of a station; non-positive steps.
+
+    Steps are counted by value first, with partial sums; the median comes from a bounded sketch unless ``exact``.
+    """
     seconds = (F.col("us") - F.col("prev_us")) / 1e6
     out = with_previous(with_chunk(df), []).select("station_id", seconds.alias("d"))
-    return out.groupBy("station_id").agg(
-        F.percentile("d", 0.5).alias("median_s"), F.mode("d").alias("mode_s"), F.min("d").alias("min_s"), F.max("d").alias("max_s"), F.count_if(F.col("d") < 0).alias("negative"), F.count_if(F.col("d") == 0).alias("zero")
+    kinds = out.groupBy("station_id", "d").agg(F.count("*").alias("n"))
+    most = F.max_by("d", F.when(F.col("d").isNotNull(), F.struct("n", (-F.col("d")).alias("least"))))
+    total = kinds.groupBy("station_id").agg(
+        most.alias("mode_s"), F.min("d").alias("min_s"), F.max("d").alias("max_s"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("n"))), F.lit(0)).alias("negative"), F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("n"))), F.lit(0)).alias("zero")
     )
+    median = out.groupBy("station_id").agg(quantiles("d", (0.5,), exact)[0].alias("median_s"))
+    return median.join(total, "station_id")
 
 
 def arrival_order(df: DataFrame, arrival: str) -> DataFrame:

@@ -330,11 +330,11 @@ QUERIES: dict[str, Query] = {
     "dup_conflicts": lambda s, d: tidy(quality.duplicate_counts(with_repeats(s, d))),
     "semi_join": lambda s, d: tidy(quality.conflicts(with_repeats(s, d))),
     "audit_basic": on_obs(quality.basic_audit),
-    "describe": on_obs(quality.describe),
+    "describe": on_obs(lambda d: quality.describe(d, exact=True)),
     "physical_range": on_obs(quality.physical_range),
     "null_counts": on_obs(quality.null_counts),
     "gap_topk": on_obs(quality.largest_gaps),
-    "interval_stats": on_obs(quality.interval_statistics),
+    "interval_stats": on_obs(lambda d: quality.interval_statistics(d, exact=True)),
     "monotonic_check": lambda s, d: tidy(quality.arrival_order(observations(table(s, d, "events")).withColumn("arrival", (F.col("event_id") * 7) % 1009 + F.col("event_id")), "arrival")),
     "constant_runs": on_obs(lambda d: quality.constant_runs(d, "humidity")),
     "clean_segments": on_obs(lambda d: quality.clean_segments(d, 20)),
@@ -376,7 +376,7 @@ QUERIES: dict[str, Query] = {
     "missing_split": on_judged(lambda d: evaluate.rates(evaluate.confusion(d, by=["any_sensor_missing"]))),
     "event_recall": on_judged(evaluate.event_recall),
     "type_recall": on_judged(evaluate.type_recall),
-    "type_distribution": on_judged(lambda d: evaluate.type_distribution(d, "final_anomaly_score")),
+    "type_distribution": on_judged(lambda d: evaluate.type_distribution(d, "final_anomaly_score", exact=True)),
     "type_means": on_judged(lambda d: evaluate.type_means(d, list(EVIDENCE_V2), {"e2_temporal": 0.2, "e2_statistical": 0.2})),
     "roc_auc": on_judged(lambda d: evaluate.areas(evaluate.curve(d.withColumn("score", rounded("final_anomaly_score")), "score")).select("roc_auc")),
     "pr_auc_ap": on_judged(lambda d: evaluate.areas(evaluate.curve(d.withColumn("score", rounded("final_anomaly_score")), "score")).select("average_precision")),
@@ -385,8 +385,8 @@ QUERIES: dict[str, Query] = {
     "pivot_family": on_judged(lambda d: evaluate.pivot_family(d, list(FAMILIES))),
     "threshold_share": on_judged(lambda d: evaluate.share_above(d.withColumn("score", rounded("final_anomaly_score")), "score", list(SHARES))),
     "reduction_bins": lambda s, d: tidy(evaluate.reduction_bins(v1(labelled(s, d)), "base_score", "hybrid_anomaly_score")),
-    "saturation": on_judged(lambda d: evaluate.saturation(d, "sudden_event_score")),
-    "confidence_summary": on_judged(evaluate.confidence_summary),
+    "saturation": on_judged(lambda d: evaluate.saturation(d, "sudden_event_score", exact=True)),
+    "confidence_summary": on_judged(lambda d: evaluate.confidence_summary(d, exact=True)),
     "score_hist": score_hist,
     "value_counts": on_judged(lambda d: evaluate.value_counts(d, "severity")),
     "ring_buffer": ring_buffer,

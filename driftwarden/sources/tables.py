@@ -81,7 +81,8 @@ def replay(df: DataFrame, rows: int = 50) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("station_id").orderBy("ts")
-    numbered = df.withColumn("row", F.row_number().over(w) - 1).where(F.col("row") < rows)
+    # Rows beyond the limit end before the shuffle: a plain comparison of the row number.
+    numbered = df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= rows).withColumn("row", F.col("place") - 1)
     held = {s: F.first(F.when(F.col("row") == 41, F.col(s)), ignorenulls=True).over(w) for s in SENSORS}
     numbered = numbered.select("*", *(held[s].alias(f"held_{s}") for s in SENSORS))
     value = lambda s: F.when(F.col("row") == 48, None).when(F.col("row").between(42, 46), F.col(f"held_{s}")).when((F.col("row") == 38) & F.lit(s == "temperature"), F.col(s) + 25.0).otherwise(F.col(s))
