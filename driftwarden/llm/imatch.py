@@ -21,6 +21,7 @@ An id that very many rows share is spread over ranges by that hash.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,8 +60,8 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<u2", n), np.frombuffer(data, "<i8", n, 2 * n)
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """Documents with a term in each cell, and how many documents there are."""
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(block, counts): documents with a term in each cell, a row a block of cells; block -1 counts the documents."""
     prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,12 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([packed(total)], pa.binary())], ["block", "counts"])
 
     parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "block long, counts binary")
-    summed = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, counts binary").toArrow()
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, counts binary")
+
+
+def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """The counts of ``counted`` as one array of cells, and how many documents there are."""
+    summed = counted(docs, text).toArrow()
     out, documents = np.zeros((1 << WIDTH - BLOCK, 1 << BLOCK), np.int64), 0
     for k, counts in zip(summed["block"].to_pylist(), summed["counts"].to_pylist(), strict=True):
         at, n = unpacked(counts)
@@ -103,15 +109,40 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     return out.ravel(), documents
 
 
+def beyond_band(frequencies: np.ndarray, documents: int, low: float, high: float) -> np.ndarray:
+    """How far each cell is from the band, a byte: 0 inside, else steps of an eighth of a bit beyond its edge."""
+    edges = np.log2([max(2, low * documents), max(2, high * documents)])
+    at = np.log2(np.maximum(frequencies, 0.5))
+    beyond = np.maximum(np.maximum(edges[0] - at, at - edges[1]), 0)
+    return np.minimum(np.ceil(beyond * 8), 255).astype(np.uint8)
+
+
+def fit(docs: DataFrame, text: str, low: float, high: float, few: int) -> Lexicon:
+    """The lexicon of all documents: a byte a cell reaches the driver, 4 MB before compression."""
+    documents = docs.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = []
+            for counts in b["counts"].to_pylist():
+                at, n = unpacked(counts)
+                block = np.zeros(1 << BLOCK, np.int64)
+                block[at] = n
+                codes.append(zlib.compress(beyond_band(block, documents, low, high).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([b["block"], pa.array(codes, pa.binary())], ["block", "codes"])
+
+    found = counted(docs, text).where("block >= 0").mapInArrow(run, "block long, codes binary").toArrow()
+    out = np.full((1 << WIDTH - BLOCK, 1 << BLOCK), beyond_band(np.zeros(1), documents, low, high)[0], np.uint8)
+    for k, codes in zip(found["block"].to_pylist(), found["codes"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(zlib.decompress(codes), np.uint8)
+    return Lexicon(out.ravel(), few)
+
+
 class Lexicon:
-    """How far the terms of each cell are from the band: 0 inside, else steps of an eighth of a bit beyond its edge."""
+    """Which terms of a text are kept, from the distance of their cells to the band (``beyond_band``)."""
 
-    def __init__(self, frequencies: np.ndarray, documents: int, low: float, high: float, few: int):
-        edges = np.log2([max(2, low * documents), max(2, high * documents)])
-        at = np.log2(np.maximum(frequencies, 0.5))
-        beyond = np.maximum(np.maximum(edges[0] - at, at - edges[1]), 0)
-        self.beyond = np.minimum(np.ceil(beyond * 8), 255).astype(np.uint8)
-        self.few = few
+    def __init__(self, beyond: np.ndarray, few: int):
+        self.beyond, self.few = beyond, few
 
     def kept(self, terms: np.ndarray) -> np.ndarray:
         beyond = self.beyond[cells(terms)]
@@ -202,8 +233,7 @@ def fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text", low: fl
     The edited text has its last floor(n / 2) code points replaced by as many first ones of the next document.
     """
     prepare(docs.sparkSession)
-    lexicon = Lexicon(*document_frequencies(docs, text), low, high, few)
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, text, low, high, few))
 
     def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         """``rows``: each but the last is compared with the one after it."""

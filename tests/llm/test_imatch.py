@@ -20,6 +20,44 @@ def test_document_frequencies(spark):
     assert {w: int(counts[int(I.cells(np.array([hash_word(w.encode())], np.uint64))[0])]) for w in want} == want
 
 
+def test_lexicon_of_all_documents(spark):
+    docs = documents(spark, [prose(i % 7, 60) for i in range(40)]).repartition(3)
+    want = I.beyond_band(*I.document_frequencies(docs), 0.1, 0.3)
+    assert (I.fit(docs, "text", 0.1, 0.3, 8).beyond == want).all() and 0 < (want == 0).sum() < len(want)
+
+
+def definition(texts: list[str], low: float, high: float, few: int) -> list[tuple[set, str]]:
+    """Kept terms of each text by the definition, and the hash of them all, one term at a time."""
+    sets = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))) for t in texts]
+    cell = lambda w: int(I.cells(np.array([hash_word(w.encode())], np.uint64))[0])
+    count = {}
+    for s in sets:
+        for c in {cell(w) for w in s}:
+            count[c] = count.get(c, 0) + 1
+    out = []
+    for s in sets:
+        far = {w: int(I.beyond_band(np.array([count[cell(w)]]), len(texts), low, high)[0]) for w in s}
+        kept = [w for w in s if far[w] == 0]
+        if len(kept) < few:
+            kept = sorted(s, key=lambda w: (far[w], hash_word(w.encode())))[:few]
+        total = np.zeros(1, np.uint64)
+        for w in kept:
+            total += I.mix64(np.array([hash_word(w.encode())], np.uint64) + np.uint64(0xA0761D6478BD642F))
+        out.append((set(kept), f"{int(I.mix64(total)[0]):016x}" if kept else "0" * 16))
+    return out
+
+
+def test_fingerprints_by_definition(spark):
+    texts = [prose(i % 9, 30 + i) + " " + prose(100 + i, 5) for i in range(40)] + ["", "one two", "One, TWO!"]
+    rows = {r.id: r for r in I.fingerprint(documents(spark, texts), low=0.05, high=0.3).collect()}
+    want = definition(texts, 0.05, 0.3, 8)
+    assert [rows[i].fingerprint.split("-")[0] for i in range(len(texts))] == [h for _, h in want]
+    for i in range(len(texts) - 1):  # likeness estimates the share of common terms
+        a, b = want[i][0], want[i + 1][0]
+        share = len(a & b) / max(len(a | b), 1)
+        assert abs(rows[i].near_next - share) < 0.45 and (rows[i].near_next == 1.0) == (a == b and bool(a))
+
+
 @pytest.mark.parametrize("range_rows", [2, 8000])
 def test_edited_text_and_equal_texts(spark, range_rows):
     texts = [None, "", "ä", "same words here again", "same words here again", prose(1, 3000), prose(2, 5), "漢字 and more"]
@@ -38,7 +76,7 @@ def test_edited_text_and_equal_texts(spark, range_rows):
 def test_likeness_follows_shared_terms(spark):
     base = prose(1, 400).split()
     texts = [" ".join(base[: 400 - k] + prose(50 + k, k).split()) for k in (0, 20, 100, 200, 400)]
-    lexicon = I.Lexicon(np.zeros(1 << I.WIDTH), 1, 0.001, 0.1, 8)
+    lexicon = I.Lexicon(I.beyond_band(np.zeros(1 << I.WIDTH), 1, 0.001, 0.1), 8)
     whole, parts = lexicon.fingerprints([t.encode() for t in texts])
     near = [float(I.likeness((whole[:1], parts[:1]), (whole[k : k + 1], parts[k : k + 1]))[0]) for k in range(5)]
     assert near[0] == 1 and near[1] > 0.6 and near[1] > near[3] > near[4] and near[4] < 0.2
@@ -87,7 +125,7 @@ def test_texts_about_the_least_number_of_terms_stay_alike():
         frequencies[I.cells(np.array([hash_word(w)], np.uint64))] = 50
     for w in others:
         frequencies[I.cells(np.array([hash_word(w)], np.uint64))] = 900
-    lexicon = I.Lexicon(frequencies, 1000, 0.001, 0.1, 8)
+    lexicon = I.Lexicon(I.beyond_band(frequencies, 1000, 0.001, 0.1), 8)
     whole, parts = lexicon.fingerprints([b" ".join(inside[:n] + others) for n in (7, 8, 9)])
     near = I.likeness((whole[[0, 1]], parts[[0, 1]]), (whole[[1, 2]], parts[[1, 2]]))
     assert near.min() > 0.5
