@@ -64,3 +64,23 @@ def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([] if empty != "docs" else [(1, "a b")], BENCH)
     rows = D.mark(docs, bench).collect()
     assert len(rows) == (empty == "bench") and all(r.dc_words == 3 and not r.dc_spans for r in rows)
+
+
+def test_few_blocks_are_alive_at_once(spark, monkeypatch):
+    import weakref
+
+    held, most = [], []
+    real = D.Windows.__init__
+
+    def made(self, items, window):
+        real(self, items, window)
+        held.append(weakref.ref(self))
+        most.append(sum(r() is not None for r in held))
+
+    monkeypatch.setattr(D.Windows, "__init__", made)
+    items = [prose(i, 30) for i in range(12)]
+    benchmark = spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "item_id string, text string")
+    docs = documents(spark, [f"{prose(50 + i, 20)} {t} {prose(90 + i, 20)}" for i, t in enumerate(items)])
+    rows = {r.doc_id: r.dc_items for r in D.mark(docs, benchmark, block_words=60).collect()}
+    assert rows == {i: [str(i)] for i in range(12)}
+    assert len(held) >= 6 and max(most) <= D.STAGE_BLOCKS + 1

@@ -84,3 +84,37 @@ def test_query(spark, sf):
     rows = op2_toxicity(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r.predicted == (r.score >= 0.5) for r in rows)
+
+
+def test_held_out_quality(spark):
+    """Documents that the fit does not see, some with misspelled terms, are told apart."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(8)
+    bad = ["zadrofel", "mirtupian", "golvester", "prundaket", "skamborin"]
+
+    def wrong(w: str) -> str:
+        at = r.randrange(1, len(w))
+        return r.choice([w[:at] + w[at + 1 :], w[:at] + "q" + w[at + 1 :], w[:at] + "x" + w[at:]])
+
+    texts, labels, misspelled = [], [], set()
+    for i in range(900):
+        toxic = i % 5 == 2
+        words = prose(i, 60).split()
+        if toxic:
+            own = r.choice(bad)
+            if i % 3 == 0:
+                own = wrong(own)
+                misspelled.add(i)
+            words[r.randrange(60)] = own
+        texts.append(" ".join(words))
+        labels.append((i, int(toxic)))
+    docs = documents(spark, texts)
+    model = X.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), ~held_out())
+    rows = X.score(docs, model).where(held_out()).collect()
+    s, y = np.array([x.tx_score for x in rows]), np.array([x.doc_id % 5 == 2 for x in rows])
+    assert np.mean([(p > s[~y]).mean() + 0.5 * (p == s[~y]).mean() for p in s[y]]) > 0.95
+    found = [x for x in rows if x.doc_id in misspelled]
+    assert found and np.mean([any(m["edits"] for m in x.tx_matches) for x in found]) > 0.8
