@@ -73,7 +73,8 @@ def with_model(df: DataFrame, version: str) -> DataFrame:
     """Scores and predictions of the three stored detectors and their joint evidence."""
     model = stored()
     kept = [c for c in df.columns if not re.search("_roll_(std|min|max|median|var|range|iqr)_|_dev_|_robust_z_", c)]
-    return model.models(df, kept).withColumn("model_evidence", model.evidence.v1() if version == "v1" else model.evidence.v2())
+    scored = materialize(model.models(df, kept), "scored")  # curves and rates read it several times
+    return scored.withColumn("model_evidence", model.evidence.v1() if version == "v1" else model.evidence.v2())
 
 
 def v1(rows: DataFrame, threshold: float | None = 0.9) -> DataFrame:
