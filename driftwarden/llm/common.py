@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from driftwarden.session import ship
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 ARROW_BATCH_BYTES = 8 << 20
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 

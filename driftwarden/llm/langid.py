@@ -34,7 +34,7 @@ from driftwarden.llm.common import mix64, prepare, rank_hash, slices, strings
 
 ORDER = 5
 START, END, FIRST = 1, 2, 3
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 MANY, LEAST = 40, 30
 FEW = 8  # languages of fewer rows are calibrated on the rows that they are learned from
 SHARPNESS = 40  # symbols at most that the confidence counts as independent
