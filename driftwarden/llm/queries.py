@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, html, imatch, langid, licenses, neardup, packing, pii, substrings, toxicity
+from driftwarden.llm import decontaminate, html, imatch, langid, licenses, neardup, packing, pii, prefixtrie, substrings, toxicity
 from driftwarden.llm.common import held_out, table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,9 +146,34 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.numbered(table(spark, sf_dir, "conversations"))
+    return prefixtrie.trie(prefixtrie.with_heads(turns))
+
+
+#: A turn's digest settles the order of a conversation's rows with the same turn, as in the operator.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)[1:32]) - 1 AS i, {'r': role, 't': text} AS x
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list(x ORDER BY i) AS x FROM t GROUP BY conv_id),
+crc AS (SELECT conv_id, x, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), c -> ascii(c)::BIGINT)),
+    (s, b) -> list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), (v, i) -> xor(v // 2, (v % 2) * 3988292384))) AS s FROM own),
+h AS (SELECT conv_id, x, xor(s, 4294967295::BIGINT) % 6 AS h FROM crc),
+c AS (SELECT h.conv_id, list_concat(coalesce(list_slice(own.x, 1, h.h), []), list_slice(h.x, h.h + 1, len(h.x))) AS x FROM h LEFT JOIN own ON own.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, unnest(range(0, len(x) + 1)) AS d, x FROM c),
+m AS (SELECT d, list_slice(x, 1, d) AS path, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(x) = d), '')) AS ends_sha256 FROM p GROUP BY d, path),
+k AS (SELECT d - 1 AS d, list_slice(path, 1, d - 1) AS path, count(*) AS n_children FROM m WHERE d > 0 GROUP BY 1, 2),
+n AS (SELECT m.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN m.d > 0 THEN (n_convs - 1) * length(m.path[m.d].t) ELSE 0 END AS saved FROM m LEFT JOIN k ON k.d = m.d AND k.path = m.path),
+u AS (SELECT list_slice(path, 1, a) AS path, saved, (n_children = 0)::BIGINT AS leaf FROM (SELECT path, saved, n_children, unnest(range(0, d + 1)) AS a FROM n)),
+s AS (SELECT path, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM u GROUP BY path)
+SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.path = n.path LEFT JOIN m q ON q.d = n.d - 1 AND q.path = list_slice(n.path, 1, n.d - 1)
+"""
+
+
 def queries() -> dict:
-    return {"op1_html": op1_html, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses}
+    return {"op1_html": op1_html, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses, "op11_prefix_trie": op11_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op11_prefix_trie": OP11_SQL}
