@@ -156,8 +156,8 @@ OP11_SQL = r"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)[1:32]) - 1 AS i, {'r': role, 't': text} AS x
     FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 own AS (SELECT conv_id, list(x ORDER BY i) AS x FROM t GROUP BY conv_id),
-crc AS (SELECT conv_id, x, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), c -> ascii(c)::BIGINT)),
-    (s, b) -> list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), (v, i) -> xor(v // 2, (v % 2) * 3988292384))) AS s FROM own),
+crc AS (SELECT conv_id, x, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: xor(v // 2, (v % 2) * 3988292384))) AS s FROM own),
 h AS (SELECT conv_id, x, xor(s, 4294967295::BIGINT) % 6 AS h FROM crc),
 c AS (SELECT h.conv_id, list_concat(coalesce(list_slice(own.x, 1, h.h), []), list_slice(h.x, h.h + 1, len(h.x))) AS x FROM h LEFT JOIN own ON own.conv_id = h.conv_id - h.conv_id % 100),
 p AS (SELECT conv_id, unnest(range(0, len(x) + 1)) AS d, x FROM c),
