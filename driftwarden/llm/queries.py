@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, html, imatch, langid, licenses, neardup, packing, pii, prefixtrie, substrings, toxicity
+from driftwarden.llm import decontaminate, html, imatch, langid, licenses, neardup, packing, pii, prefixtrie, quality, substrings, toxicity, vectorcodes
 from driftwarden.llm.common import held_out, table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -171,9 +171,51 @@ FROM n JOIN s ON s.path = n.path LEFT JOIN m q ON q.d = n.d - 1 AND q.path = lis
 """
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), ~kept_out)
+    found = quality.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", kept_out.alias("held_out"), F.col("ql_score").alias("score"), (F.col("ql_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vectorcodes.fit(vectors)
+    coded = vectorcodes.with_group_errors(vectorcodes.encode(vectors, books, keep=["vec_id", "label"]), "label")
+    return coded.select("vec_id", F.col("vc_code").alias("code"), F.col("vc_error").alias("error"), F.col("vc_group_error").alias("label_error"), F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    distance = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))"
+    fine = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
+    steps = [
+        f"k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda e: floor({SCALE} * e::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {fine})",
+        f"p AS MATERIALIZED (SELECT vec_id, part, list_slice(v, part * (len(v) // {parts}) + 1, (part + 1) * (len(v) // {parts})) AS x FROM k, range({parts}) t(part))",
+        f"c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM p JOIN k USING (vec_id) WHERE r <= {entries})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT vec_id, part, min(({distance}) * {entries} + entry) AS best FROM p JOIN c{n} c USING (part) GROUP BY vec_id, part)")
+        if n < rounds:
+            steps += [
+                f"s{n} AS (SELECT part, best % {entries} AS entry, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT part, best, x, unnest(range(1, len(x) + 1)) AS i FROM a{n} JOIN p USING (vec_id, part)) GROUP BY ALL)",
+                f"m{n} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{n} GROUP BY ALL)",
+                f"c{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (part, entry))",
+            ]
+    steps += [
+        f"e AS (SELECT vec_id, string_agg(printf('%02x', (best % {entries})::BIGINT), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id)",
+        f"b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})",
+    ]
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN k USING (vec_id), b"
+
+
+SCALE = vectorcodes.SCALE
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict:
-    return {"op1_html": op1_html, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses, "op11_prefix_trie": op11_prefix_trie}
+    return {"op1_html": op1_html, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_pack": op4_pack, "op5_language": op5_language, "op6_decontaminate": op6_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_pii": op8_pii, "op9_substrings": op9_substrings, "op10_licenses": op10_licenses, "op11_prefix_trie": op11_prefix_trie, "op12_quality": op12_quality, "op13_vector_codes": op13_vector_codes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op13_vector_codes": OP13_SQL}
