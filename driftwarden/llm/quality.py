@@ -3,7 +3,8 @@
 A token is a word, or what stands between two words unless that is one space; words in capitals only and numbers by their length are
 tokens of their own. Tokens fall into ``CELLS`` hashed cells. Every cell has a sparse random index vector (one +1, one -1), and its
 word vector is the sum of the index vectors of all tokens within ``WINDOW`` places, over the whole corpus, damped by a logarithm and
-scaled to length 1. A document is the mean and the mean square of its tokens' vectors with the logarithm of their number.
+scaled to length 1. A document is the mean and the mean square of its tokens' vectors, the mean cosine of tokens 1, 2 and 3 places
+apart (near 1 where words repeat), and the logarithm of the number of tokens.
 
 Two layers of numpy turn that into a score: a hidden layer and a logistic one, trained by Adam on labelled rows; a fifth of them is
 kept out and gives the number of epochs and the temperature by which the logits are divided (the least log loss there).
@@ -33,6 +34,7 @@ GROUPS = 64
 DIMENSION = 32
 WINDOW = 2
 HIDDEN = 32
+LAGS = (1, 2, 3)
 AT_ONCE = 1 << 15
 RESULT = T.StructType([T.StructField("ql_score", T.DoubleType())])
 
@@ -119,21 +121,31 @@ def damped(sums: np.ndarray, dimension: int) -> np.ndarray:
 
 
 def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row a text: mean and mean square of its tokens' vectors, and the logarithm of their number."""
+    """A row a text: mean and mean square of its tokens' vectors, mean cosines by lag, and the logarithm of the tokens' number."""
     cell, row = tokens(data, offsets)
     rows, dimension = len(offsets) - 1, vectors.shape[1]
-    out = np.zeros((rows, 2 * dimension + 1))
+    out = np.zeros((rows, width(dimension)))
     for s in range(0, len(cell), AT_ONCE):  # one very long text is as many steps, not one large array
-        x, own = vectors[cell[s : s + AT_ONCE]], row[s : s + AT_ONCE]
+        n = min(AT_ONCE, len(cell) - s)
+        wide, rows_of = vectors[cell[s : s + n + LAGS[-1]]], row[s : s + n + LAGS[-1]]
+        x, own = wide[:n], rows_of[:n]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         out[own[first], :dimension] += np.add.reduceat(x, first, axis=0)
-        out[own[first], dimension:-1] += np.add.reduceat(x * x, first, axis=0)
+        out[own[first], dimension : 2 * dimension] += np.add.reduceat(x * x, first, axis=0)
+        for k, lag in enumerate(LAGS):
+            a, b = wide[: len(wide) - lag][:n], wide[lag:][:n]
+            alike = np.where(rows_of[: len(wide) - lag][:n] == rows_of[lag:][:n], np.einsum("ij,ij->i", a, b), 0)
+            np.add.at(out[:, 2 * dimension + k], own[: len(alike)], alike)
     n = np.bincount(row, minlength=rows)
     out[:, :-1] /= np.maximum(n, 1)[:, None]
     out[:, -1] = np.log1p(n)
     return out
 
 
+def width(dimension: int) -> int:
+    return 2 * dimension + len(LAGS) + 1
+
+
 # ---------------------------------------------------------------- the network
 
 
@@ -209,22 +221,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", t
     usable = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.avg((F.col(label) > 0).cast("double")).alias("y"))
     some = usable.orderBy(rank_hash(seed, "id"), "id").limit(sample_rows)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")  # at most sample_rows ids
-    width = 2 * dimension + 1
+    size = width(dimension)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = strings(b["text"])
             for s, e in slices(col):
                 x = pooled(held.value, *utf8(col[s:e]))
-                yield pa.RecordBatch.from_arrays([b["id"].slice(s, e - s), b["y"].slice(s, e - s), pa.ListArray.from_arrays(pa.array(np.arange(e - s + 1, dtype=np.int32) * width), pa.array(x.ravel()))], ["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([b["id"].slice(s, e - s), b["y"].slice(s, e - s), pa.ListArray.from_arrays(pa.array(np.arange(e - s + 1, dtype=np.int32) * size), pa.array(x.ravel()))], ["id", "y", "x"])
 
     found = cut(rows.mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, y double, x array<double>"), "pooled")
     # Rows of one id count as often as they occur, up to the bound.
     sample = found.orderBy(rank_hash(seed, "id"), "id", "x").limit(sample_rows).select("y", "x", (F.pmod(rank_hash(seed + 1, "id"), F.lit(5)) == 0).alias("apart")).toArrow()
     if not sample.num_rows:
-        zero = np.zeros(width)
-        return Model(vectors, Network(zero, zero + 1, [np.zeros((width, 1)), np.zeros(1), np.zeros(1), np.zeros(1)]))
-    x = np.array(sample["x"].combine_chunks().flatten()).reshape(-1, width)
+        zero = np.zeros(size)
+        return Model(vectors, Network(zero, zero + 1, [np.zeros((size, 1)), np.zeros(1), np.zeros(1), np.zeros(1)]))
+    x = np.array(sample["x"].combine_chunks().flatten()).reshape(-1, size)
     return Model(vectors, trained(x, np.array(sample["y"]), np.array(sample["apart"]), seed=seed))
 
 
