@@ -74,9 +74,3 @@ def first_greatest(named: list[tuple[object, Column]]) -> Column:
     """Name of the greatest value, the first one on ties; values must be there."""
     top = F.greatest(*(c for _, c in named))
     return case(((c == top, name) for name, c in named), None)
-
-
-def quantiles(c: str | Column, levels: Iterable[float], exact: bool = False) -> Column:
-    """Quantiles as an array, from a sketch of bounded size; exact ones keep every distinct value of a group in a task."""
-    at = F.array(*(F.lit(float(x)) for x in levels))
-    return F.percentile(col(c), at) if exact else F.percentile_approx(col(c), at, 10_000)

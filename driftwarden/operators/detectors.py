@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,7 @@ class IsolationForest:
     """Isolation trees over random subsamples; the score is 2^(-mean depth / expected depth)."""
 
     scaler: Scaler
-    trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # feature (-1: leaf), cut, left child, leaf depth
+    trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # feature (-1: leaf), cut, left child, leaf depth, fitted rows
     size: int
     threshold: float = 0.0
 
@@ -151,7 +152,7 @@ class IsolationForest:
     @staticmethod
     def _tree(x: np.ndarray, rng: np.random.Generator) -> tuple:
         limit = int(np.ceil(np.log2(max(len(x), 2))))
-        feature, cut, left, depth = [-1], [0.0], [0], [0.0]
+        feature, cut, left, depth, held = [-1], [0.0], [0], [0.0], [len(x)]
         todo = [(0, x, 0)]
         while todo:
             node, rows, level = todo.pop()
@@ -166,12 +167,12 @@ class IsolationForest:
             below = rows[:, k] <= at
             for part in (rows[below], rows[~below]):
                 todo.append((len(feature), part, level + 1))
-                feature.append(-1), cut.append(0.0), left.append(0), depth.append(float(level + 1))
-        return np.array(feature), np.array(cut), np.array(left), np.array(depth)
+                feature.append(-1), cut.append(0.0), left.append(0), depth.append(float(level + 1)), held.append(len(part))
+        return np.array(feature), np.array(cut), np.array(left), np.array(depth), np.array(held)
 
     def isolation(self, x: np.ndarray) -> np.ndarray:
         total, rows = np.zeros(len(x)), np.arange(len(x))
-        for feature, cut, left, depth in self.trees:
+        for feature, cut, left, depth, _ in self.trees:
             node = np.zeros(len(x), np.int64)
             while (inner := feature[node] >= 0).any():
                 at, k = rows[inner], feature[node[inner]]
@@ -179,26 +180,71 @@ class IsolationForest:
             total += depth[node]
         return np.exp2(-total / len(self.trees) / (path_normaliser(self.size) or 1.0))
 
-    def contributions(self, x: np.ndarray) -> np.ndarray:
-        """(rows, features): how much shorter than expected each feature's splits make a row's path, over all trees.
-
-        What is expected below a node is the mean of its children's, from the depths of the leaves up.
+    @cached_property
+    def leaves(self) -> list[tuple[np.ndarray, ...]]:
+        """All leaves by how many features their path splits on: depth, features, share of fitted rows that pass each, its bounds (low, high]."""
+        found: dict[int, list] = {}
+        for feature, cut, left, depth, held in self.trees:
+            todo = [(0, {})]
+            while todo:
+                node, path = todo.pop()
+                k = int(feature[node])
+                if k < 0:
+                    found.setdefault(len(path), []).append((depth[node], *zip(*((f, *v) for f, v in path.items()))) if path else (depth[node], (), (), (), ()))
+                    continue
+                share, low, high = path.get(k, (1.0, -np.inf, np.inf))
+                for child, lo, hi in ((int(left[node]), low, min(high, cut[node])), (int(left[node]) + 1, max(low, cut[node]), high)):
+                    todo.append((child, {**path, k: (share * held[child] / held[node], lo, hi)}))
+        return [tuple(np.array([leaf[i] for leaf in rows]) for i in range(5)) for _, rows in sorted(found.items())]
+
+    def expected_depth(self) -> float:
+        """Mean path length of the fitted rows, by the shares that each split sends on."""
+        return float(sum((value * share.prod(axis=1)).sum() if share.size else value.sum() for value, _, share, _, _ in self.leaves)) / len(self.trees)
+
+    def shapley(self, x: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+        """(rows, features): Shapley values of the mean path length; below 0 where a feature makes the row easier to isolate.
+
+        What a tree gives for a known subset of features follows the row at their splits and the fitted rows' shares at all others. A leaf is
+        then a product over the features of its path, and a feature's weighted sum over all subsets of the others is the integral over q of the others' product, each
+        mixed q : 1 - q between the row and the share: a polynomial, so Gauss-Legendre nodes give it exactly.
         """
         out = np.zeros(x.shape)
-        rows = np.arange(len(x))
-        for feature, cut, left, depth in self.trees:
-            mean = depth.copy()
-            for node in range(len(feature) - 1, -1, -1):  # children come after their parent
-                if feature[node] >= 0:
-                    mean[node] = (mean[left[node]] + mean[left[node] + 1]) / 2
-            node = np.zeros(len(x), np.int64)
-            while (inner := feature[node] >= 0).any():
-                at, k = rows[inner], feature[node[inner]]
-                below = left[node[inner]] + (x[at, k] > cut[node[inner]])
-                np.add.at(out, (at, k), mean[node[inner]] - mean[below])
-                node[inner] = below
+        for value, feature, share, low, high in self.leaves:
+            size = share.shape[1] if share.size else 0
+            if not size:
+                continue
+            nodes, weights = np.polynomial.legendre.leggauss((size + 1) // 2)
+            order = np.argsort(feature.ravel(), kind="stable")
+            own = feature.ravel()[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            step = max(1, at_once // feature.size)
+            for s in range(0, len(x), step):
+                v = x[s : s + step][:, feature]
+                passes = ((v > low) & (v <= high)).astype(np.float64)
+                total = np.zeros(passes.shape)
+                for node, weight in zip((nodes + 1) / 2, weights / 2, strict=True):
+                    mixed = node * passes + (1 - node) * share
+                    total += weight * mixed.prod(axis=2, keepdims=True) / mixed
+                total *= (passes - share) * value[None, :, None]
+                out[s : s + step, own[first]] += np.add.reduceat(total.reshape(len(v), -1)[:, order], first, axis=1)
         return out / max(len(self.trees), 1)
 
+    def explain(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """Adds ``forest_shapley`` to the columns ``keep`` (by default all): an array in the order of the scaler's columns."""
+        ship(df.sparkSession)
+        kept = [c for c in (keep or df.columns) if c != "forest_shapley"]
+        held = df.sparkSession.sparkContext.broadcast(self)
+        rows = df.select(*kept, F.array(*self.scaler.expressions()).alias("_x"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    found = held.value.shapley(b["_x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                    ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+                    yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], [*kept, "forest_shapley"])
+
+        return rows.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField("forest_shapley", T.ArrayType(T.DoubleType()))]))
+
     def score(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Adds ``isolation_forest_score`` to the columns ``keep`` (by default all)."""
         return score_models(df, {"isolation_forest_score": (self.scaler, self.isolation)}, keep)

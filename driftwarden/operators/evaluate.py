@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwarden.functions.columns import quantiles
+from driftwarden.operators.selection import with_quantiles
+
 
 
 def confusion(df: DataFrame, label: str = "is_anomaly", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
@@ -77,14 +78,10 @@ def type_recall(df: DataFrame, predicted: str = "predicted") -> DataFrame:
     return df.where("is_anomaly = 1").groupBy("anomaly_type").agg(F.count("*").alias("rows"), F.sum(predicted).alias("flagged"), F.avg(F.col(predicted).cast("double")).alias("recall"))
 
 
-def type_distribution(df: DataFrame, score: str, exact: bool = False) -> DataFrame:
-    """Per fault type: rows, mean, median, 5th, 95th and 99th percentile and maximum of a score.
-
-    Percentiles come from a bounded sketch; set ``exact`` where a type's distinct scores fit in a task.
-    """
-    q = quantiles(score, (0.05, 0.5, 0.95, 0.99), exact)
-    out = df.groupBy("anomaly_type").agg(F.count("*").alias("rows"), F.avg(score).alias("mean"), q.alias("q"), F.max(score).alias("max"))
-    return out.select("anomaly_type", "rows", "mean", *(F.col("q")[k].alias(n) for k, n in enumerate(("p05", "median", "p95", "p99"))), "max")
+def type_distribution(df: DataFrame, score: str) -> DataFrame:
+    """Per fault type: rows, mean, median, 5th, 95th and 99th percentile and maximum of a score."""
+    out = df.groupBy("anomaly_type").agg(F.count("*").alias("rows"), F.avg(score).alias("mean"), F.max(score).alias("max"))
+    return with_quantiles(out, df, score, ["anomaly_type"], {"p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def type_means(df: DataFrame, columns: list[str], weights: dict[str, float] | None = None) -> DataFrame:
@@ -109,17 +106,16 @@ def pivot_family(df: DataFrame, families: list[str], predicted: str = "predicted
     return df.where((F.col("is_anomaly") == 1) & (F.col(predicted) == 1)).groupBy("anomaly_type").pivot("candidate_fault_family", families).count().fillna(0)
 
 
-def saturation(df: DataFrame, score: str, label: str = "is_anomaly", exact: bool = False) -> DataFrame:
+def saturation(df: DataFrame, score: str, label: str = "is_anomaly") -> DataFrame:
     """Minimum, upper percentiles, maximum and share of exact ones, by label."""
-    levels = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995}
-    q = quantiles(score, levels.values(), exact)
-    out = df.groupBy(label).agg(F.min(score).alias("min"), q.alias("q"), F.max(score).alias("max"), F.avg((F.col(score) == 1.0).cast("double")).alias("share_one"))
-    return out.select(label, "min", *(F.col("q")[k].alias(n) for k, n in enumerate(levels)), "max", "share_one")
+    out = df.groupBy(label).agg(F.min(score).alias("min"), F.max(score).alias("max"), F.avg((F.col(score) == 1.0).cast("double")).alias("share_one"))
+    return with_quantiles(out, df, score, [label], {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995})
 
 
-def confidence_summary(df: DataFrame, label: str = "is_anomaly", predicted: str = "predicted", exact: bool = False) -> DataFrame:
-    """Mean and median confidence by label and prediction; the median from a bounded sketch unless ``exact``."""
-    return df.groupBy(label, predicted).agg(F.count("*").alias("rows"), F.avg("anomaly_confidence").alias("mean_confidence"), quantiles("anomaly_confidence", (0.5,), exact)[0].alias("median_confidence"))
+def confidence_summary(df: DataFrame, label: str = "is_anomaly", predicted: str = "predicted") -> DataFrame:
+    """Mean and median confidence by label and prediction."""
+    out = df.groupBy(label, predicted).agg(F.count("*").alias("rows"), F.avg("anomaly_confidence").alias("mean_confidence"))
+    return with_quantiles(out, df, "anomaly_confidence", [label, predicted], {"median_confidence": 0.5})
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -46,12 +46,13 @@ def add_unchanged(df: DataFrame) -> DataFrame:
 
 
 def add_rolling(df: DataFrame, windows: tuple[int, ...] = WINDOWS_MIN, semantics: str = "batch", sensors: tuple[str, ...] = SENSORS) -> DataFrame:
-    aggregates = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, 0.5)}
+    aggregates = {"mean": F.avg, "std": F.stddev_samp}
     columns = {f"{s}_roll_{a}_{w}m": (f(F.col(s)), w * MINUTE_US) for w in windows for s in sensors for a, f in aggregates.items()}
+    ordered = {f"{s}_roll_{a}_{w}m": (s, w * MINUTE_US, q) for w in windows for s in sensors for a, q in (("min", 0), ("max", 1), ("median", 0.5))}
     if 60 in windows:
         columns |= {f"{s}_roll_var_60m": (F.var_samp(s), 60 * MINUTE_US) for s in sensors}
-        columns |= {f"_{s}_q": (F.percentile(F.col(s), F.array(F.lit(0.25), F.lit(0.75))), 60 * MINUTE_US) for s in sensors}
-    out = rolling(df, max(windows) * MINUTE_US, columns)
+        ordered |= {f"_{s}_q{q}": (s, 60 * MINUTE_US, q / 100) for s in sensors for q in (25, 75)}
+    out = rolling(df, max(windows) * MINUTE_US, columns, ordered=ordered)
     names = [(s, w) for w in windows for s in sensors]
     out = out.withColumns({f"{s}_dev_{short}_{w}m": F.col(s) - F.col(f"{s}_roll_{a}_{w}m") for s, w in names for short, a in (("mean", "mean"), ("med", "median"))})
     std = lambda s, w: F.col(f"{s}_roll_std_{w}m")
@@ -62,8 +63,8 @@ def add_rolling(df: DataFrame, windows: tuple[int, ...] = WINDOWS_MIN, semantics
         out = out.withColumns({f"{s}_roll_z_{w}m": F.col(f"{s}_dev_mean_{w}m") / safe_divisor(std(s, w)) for s, w in names})
     if 60 in windows:
         out = out.withColumns({f"{s}_roll_range_60m": F.col(f"{s}_roll_max_60m") - F.col(f"{s}_roll_min_60m") for s in sensors})
-        out = out.withColumns({f"{s}_roll_iqr_60m": F.col(f"_{s}_q")[1] - F.col(f"_{s}_q")[0] for s in sensors})
-        out = out.withColumns({f"{s}_robust_z_60m": F.col(f"{s}_dev_med_60m") / safe_divisor(f"{s}_roll_iqr_60m") for s in sensors}).drop(*(f"_{s}_q" for s in sensors))
+        out = out.withColumns({f"{s}_roll_iqr_60m": F.col(f"_{s}_q75") - F.col(f"_{s}_q25") for s in sensors})
+        out = out.withColumns({f"{s}_robust_z_60m": F.col(f"{s}_dev_med_60m") / safe_divisor(f"{s}_roll_iqr_60m") for s in sensors}).drop(*(f"_{s}_q{q}" for s in sensors for q in (25, 75)))
     return out
 
 

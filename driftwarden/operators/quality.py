@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwarden.functions.columns import quantiles
+from driftwarden.operators.selection import with_quantiles
 from driftwarden.operators.timeline import DAY, islands, row_numbers, with_chunk, with_following, with_previous
 from driftwarden.schema import MINUTE_US, SENSORS
 
@@ -54,13 +54,12 @@ def basic_audit(df: DataFrame) -> DataFrame:
     return long.groupBy("sensor").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
 
 
-def describe(df: DataFrame, exact: bool = False) -> DataFrame:
-    """``basic_audit`` with quartiles, from a bounded sketch or exact."""
+def describe(df: DataFrame) -> DataFrame:
+    """``basic_audit`` with exact quartiles."""
     parts = F.array(*(F.struct(F.lit(s).alias("sensor"), F.col(s).alias("x")) for s in SENSORS))
     long = df.select(F.explode(parts).alias("p")).select("p.sensor", "p.x")
-    quartiles = quantiles("x", (0.25, 0.5, 0.75), exact)
-    out = long.groupBy("sensor").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), quartiles.alias("q"), F.max("x").alias("max"))
-    return out.select("sensor", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    out = long.groupBy("sensor").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return with_quantiles(out, long, "x", ["sensor"], {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select("sensor", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def physical_range(df: DataFrame) -> DataFrame:
@@ -83,10 +82,10 @@ def largest_gaps(df: DataFrame, k: int = 10) -> DataFrame:
     return gaps(df).orderBy(F.desc("gap_minutes"), "station_id", "ts").limit(k)
 
 
-def interval_statistics(df: DataFrame, exact: bool = False) -> DataFrame:
+def interval_statistics(df: DataFrame) -> DataFrame:
     """Median, mode, minimum and maximum of the seconds between rows of a station; non-positive steps.
 
-    Steps are counted by value first, with partial sums; the median comes from a bounded sketch unless ``exact``.
+    Steps are counted by value first, with partial sums.
     """
     seconds = (F.col("us") - F.col("prev_us")) / 1e6
     out = with_previous(with_chunk(df), []).select("station_id", seconds.alias("d"))
@@ -95,8 +94,7 @@ def interval_statistics(df: DataFrame, exact: bool = False) -> DataFrame:
     total = kinds.groupBy("station_id").agg(
         most.alias("mode_s"), F.min("d").alias("min_s"), F.max("d").alias("max_s"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("n"))), F.lit(0)).alias("negative"), F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("n"))), F.lit(0)).alias("zero")
     )
-    median = out.groupBy("station_id").agg(quantiles("d", (0.5,), exact)[0].alias("median_s"))
-    return median.join(total, "station_id")
+    return with_quantiles(total, out, "d", ["station_id"], {"median_s": 0.5})
 
 
 def arrival_order(df: DataFrame, arrival: str) -> DataFrame:

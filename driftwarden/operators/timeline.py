@@ -7,10 +7,19 @@ are combined in order, and their result is joined back. No task ever holds a who
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pandas.api.indexers import BaseIndexer
+from pandas.core.window import Rolling
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwarden.schema import CHUNK_US
+from driftwarden.session import ship
 from driftwarden.sources.tables import micros
 
 DAY = ["station_id", "chunk"]
@@ -36,16 +45,72 @@ def with_previous(df: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select(*df.columns, previous["us"].alias("prev_us"), *(previous[c].alias(f"prev_{c}") for c in columns if c != "us"))
 
 
-def rolling(df: DataFrame, look_back_us: int, columns: dict[str, tuple[Column, int]], chunk_us: int = CHUNK_US) -> DataFrame:
+def rolling(df: DataFrame, look_back_us: int, columns: dict[str, tuple[Column, int]], chunk_us: int = CHUNK_US, ordered: dict[str, tuple[str, int, float]] | None = None, with_now: bool = False) -> DataFrame:
     """Adds window results over [t - width, t): ``columns`` maps a name to (aggregate, width in microseconds).
 
-    ``look_back_us`` is the greatest width; it must not exceed a chunk. Needs ``with_chunk``.
+    ``ordered`` maps a name to (column, width, quantile): order statistics, by ``with_order_statistics``. With ``with_now`` the frames
+    end with the row itself. ``look_back_us`` is the greatest width; it must not exceed a chunk. Needs ``with_chunk``.
     """
     late = F.col("us") % chunk_us >= chunk_us - look_back_us
     own, halo = F.struct(F.col("chunk").alias("c"), F.lit(False).alias("h")), F.struct((F.col("chunk") + 1).alias("c"), F.lit(True).alias("h"))
     spread = df.withColumn("_to", F.explode(F.when(late, F.array(own, halo)).otherwise(F.array(own)))).withColumn("chunk", F.col("_to.c")).withColumn("_halo", F.col("_to.h")).drop("_to")
-    frames = {w: in_day().rangeBetween(-w, -1) for w in {w for _, w in columns.values()}}
-    return spread.select("*", *(agg.over(frames[w]).alias(name) for name, (agg, w) in columns.items())).where(~F.col("_halo")).drop("_halo")
+    frames = {w: in_day().rangeBetween(-w, 0 if with_now else -1) for w in {w for _, w in columns.values()}}
+    out = spread.select("*", *(agg.over(frames[w]).alias(name) for name, (agg, w) in columns.items()))
+    if ordered:
+        # The frames above leave each day together and in order, so this sorts nothing again.
+        out = (out if columns else out.repartition(*DAY)).sortWithinPartitions(*DAY, "us")
+        out = with_order_statistics(out, ordered, look_back_us, chunk_us, with_now)
+    return out.where(~F.col("_halo")).drop("_halo")
+
+
+class Frames(BaseIndexer):
+    """Windows whose first and last row are known."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray):
+        super().__init__()
+        self.start, self.end = start, end
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.start, self.end
+
+
+def quantile(frames: Rolling, q: float) -> pd.Series:
+    return frames.min() if q == 0 else frames.max() if q == 1 else frames.median() if q == 0.5 else frames.quantile(q)
+
+
+def with_order_statistics(df: DataFrame, wanted: dict[str, tuple[str, int, float]], look_back_us: int, chunk_us: int, with_now: bool) -> DataFrame:
+    """Quantiles of the values within ``width`` before each row: ``wanted`` maps a name to (column, width, quantile).
+
+    Rows must come day by day in order. A skip list slides over the values of a batch: a row costs the logarithm of its frame, where
+    an aggregate over the frame would sort it anew for every row. Only the last ``look_back_us`` of a day are held between batches.
+    """
+    ship(df.sparkSession)
+    sources = sorted({c for c, _, _ in wanted.values()})
+    apart = chunk_us + 2 * look_back_us
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.empty(0) for c in sources} | {c: np.empty(0, np.int64) for c in (*DAY, "us")}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            before = len(held["us"])
+            own = {c: b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in (*DAY, "us")} | {c: b[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in sources}
+            x = {c: np.concatenate([held[c], own[c]]) for c in own}
+            new = np.r_[False, (x["station_id"][1:] != x["station_id"][:-1]) | (x["chunk"][1:] != x["chunk"][:-1])]
+            # Days are laid far enough apart that no frame reaches into another.
+            at = np.cumsum(new) * apart + x["us"] - x["chunk"] * chunk_us + look_back_us
+            if (np.diff(at) < 0).any():
+                raise ValueError("rows of a day are not in order")
+            added = {}
+            for c, width in sorted({(c, w) for c, w, _ in wanted.values()}):
+                frames = Frames(np.searchsorted(at, at - width, "left"), np.searchsorted(at, at, "right" if with_now else "left"))
+                slid = pd.Series(x[c]).rolling(frames, min_periods=1)
+                added |= {name: quantile(slid, q).to_numpy()[before:] for name, (own_c, w, q) in wanted.items() if (own_c, w) == (c, width)}
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(added[name], pa.float64(), from_pandas=True) for name in wanted)], [*b.schema.names, *wanted])
+            keep = at >= at[-1] - look_back_us
+            held = {c: v[keep] for c, v in x.items()}
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(name, T.DoubleType()) for name in wanted)]))
 
 
 def run_counts(df: DataFrame, counters: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -40,16 +40,25 @@ class Artifacts:
         out = fusion.evidence_v2(self.models(df).withColumn("model_evidence", self.evidence.v2()))
         return fusion.fuse_v2(out, self.sudden_threshold, self.persistent_threshold)
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """A manifest of all parameters; nothing is pickled."""
+    def plain(self) -> dict:
+        """All parameters as lists and numbers."""
         plain = dataclasses.asdict(self)
         plain["forest"]["trees"] = [[x.tolist() for x in tree] for tree in self.forest.trees]
-        save_manifest(spark, path, {"feature_column_names": list(FEATURES), "artifacts": plain})
+        return plain
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A manifest of all parameters; nothing is pickled."""
+        save_manifest(spark, path, {"feature_column_names": list(FEATURES), "artifacts": self.plain()})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Artifacts:
-        plain = load_manifest(spark, path)["artifacts"]
-        pca, forest = plain.pop("components"), plain.pop("forest")
+        return cls.of(load_manifest(spark, path)["artifacts"])
+
+    @classmethod
+    def of(cls, plain: dict) -> Artifacts:
+        """The artifacts that ``plain`` gave."""
+        plain = dict(plain)
+        pca, forest = dict(plain.pop("components")), dict(plain.pop("forest"))
         components = detectors.PrincipalComponents(detectors.Scaler(**pca.pop("scaler")), **pca)
         trees = [tuple(np.array(x) for x in tree) for tree in forest.pop("trees")]
         return cls(components=components, forest=detectors.IsolationForest(detectors.Scaler(**forest.pop("scaler")), trees, **forest), evidence=detectors.ModelEvidence(**plain.pop("evidence")), **plain)

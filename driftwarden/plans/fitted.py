@@ -36,20 +36,27 @@ CENTRE = {"pca_score": 0.3136, "isolation_forest_score": 0.5653, "statistical_sc
 SPREAD = {"pca_score": 0.4173, "isolation_forest_score": 0.1268, "statistical_score": 1.08}
 
 
-def flat(tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, cut, left child, leaf depth) by node, children side by side after their parent."""
-    feature, cut, left, depth = [-1], [0.0], [0], [0.0]
-    todo = [(0, tree)]
+def rows_of(tree, level: int = 0) -> int:
+    """Fitted rows in a tree: a leaf's depth is its level and what so many rows add."""
+    if isinstance(tree, tuple):
+        return sum(rows_of(t, level + 1) for t in tree[2:])
+    return min(range(1, TREE_ROWS + 1), key=lambda n: abs(level + detectors.path_normaliser(n) - tree))
+
+
+def flat(tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, left child, leaf depth, fitted rows) by node, children side by side after their parent."""
+    feature, cut, left, depth, held = [-1], [0.0], [0], [0.0], [rows_of(tree)]
+    todo = [(0, tree, 0)]
     while todo:
-        node, own = todo.pop()
+        node, own, level = todo.pop()
         if not isinstance(own, tuple):
             depth[node] = own
             continue
         feature[node], cut[node], left[node] = own[0], own[1], len(feature)
         for child in own[2:]:
-            todo.append((len(feature), child))
-            feature.append(-1), cut.append(0.0), left.append(0), depth.append(0.0)
-    return np.array(feature), np.array(cut), np.array(left), np.array(depth)
+            todo.append((len(feature), child, level + 1))
+            feature.append(-1), cut.append(0.0), left.append(0), depth.append(0.0), held.append(rows_of(child, level + 1))
+    return np.array(feature), np.array(cut), np.array(left), np.array(depth), np.array(held)
 
 
 @cache

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from driftwarden.operators.fusion import SEVERITY, V1_TEXTS, V2_TEXTS, WEIGHTS
 from driftwarden.operators.detectors import path_normaliser
 from driftwarden.operators.health import CHECK_CONNECTION, PENALTY, STATUS, TEXTS
@@ -105,16 +108,35 @@ def _depth(tree) -> str:
     return f"CASE WHEN x{tree[0]} > {tree[1]}::DOUBLE THEN {_depth(tree[3])} ELSE {_depth(tree[2])} END"
 
 
-def _expected(tree) -> float:
-    return (_expected(tree[2]) + _expected(tree[3])) / 2 if isinstance(tree, tuple) else tree
+def _split_on(tree) -> set[int]:
+    return {tree[0]}.union(*map(_split_on, tree[2:])) if isinstance(tree, tuple) else set()
 
 
-def _shortened(tree, column: int) -> str:
-    """How much splits on the column shorten a row's path against what is expected."""
+def _known(tree, columns: frozenset, level: int = 1) -> str | float:
+    """What a tree gives where only ``columns`` are known: other splits send on the shares of the fitted rows."""
     if not isinstance(tree, tuple):
+        return float(tree)
+    low, high = (_known(t, columns, level + 1) for t in tree[2:])
+    text = [x if isinstance(x, str) else f"{x!r}::DOUBLE" for x in (low, high)]
+    if tree[0] in columns:
+        return f"(CASE WHEN x{tree[0]} > {tree[1]}::DOUBLE THEN {text[1]} ELSE {text[0]} END)"
+    rows = [fitted.rows_of(t, level) for t in tree[2:]]
+    share = rows[0] / sum(rows)
+    if isinstance(low, float) and isinstance(high, float):
+        return share * low + (1 - share) * high
+    return f"({share!r}::DOUBLE * {text[0]} + {1 - share!r}::DOUBLE * {text[1]})"
+
+
+def _shapley(tree, column: int) -> str:
+    """A column's Shapley value by its definition: what it changes, over all subsets of the tree's other columns."""
+    others = sorted(_split_on(tree) - {column})
+    if column not in _split_on(tree):
         return "0.0::DOUBLE"
-    parts = [f"{_expected(tree) - _expected(t) if tree[0] == column else 0.0!r}::DOUBLE + {_shortened(t, column)}" for t in tree[2:]]
-    return f"(CASE WHEN x{tree[0]} > {tree[1]}::DOUBLE THEN {parts[1]} ELSE {parts[0]} END)"
+    parts = []
+    for size in range(len(others) + 1):
+        weight = math.factorial(size) * math.factorial(len(others) - size) / math.factorial(len(others) + 1)
+        parts += [f"{weight!r}::DOUBLE * ({_known(tree, frozenset({*held, column}))} - {_known(tree, frozenset(held))})" for held in itertools.combinations(others, size)]
+    return f"({' + '.join(parts)})"
 
 
 _N = len(fitted.COLUMNS)
@@ -209,11 +231,11 @@ EXPLANATION = f"CASE {' '.join(f'''WHEN classified_fault_type = '{k}' THEN {_sai
 STREAM_Z = "zs AS (SELECT * REPLACE (" + ", ".join(f"greatest({s}_roll_std_60m + CASE WHEN {s}_roll_std_60m IS NULL THEN NULL ELSE 0.0 END, CASE WHEN {s}_roll_std_60m IS NULL THEN NULL ELSE 1e-6 END) AS {s}_roll_std_60m, CASE WHEN {s}_roll_std_60m IS NOT NULL THEN ({s} - {s}_roll_mean_60m) / greatest({s}_roll_std_60m, 1e-6) END AS {s}_roll_z_60m" for s in SENSORS) + ") FROM z)"
 PAIRS = f"greatest(abs({Z[0]} - {Z[1]}), abs({Z[0]} - {Z[2]}), abs({Z[1]} - {Z[2]}))"
 _quiet = "seen < 12 AND fault_type_hint NOT IN ('MISSING', 'FROZEN')"
-_ranks = [f"[{', '.join(_shortened(t, k) for t in fitted.TREES)}]" for k in range(_N)]
+_phi = [f"(({' + '.join(_shapley(t, k) for t in fitted.TREES)}) / {len(fitted.TREES)}.0::DOUBLE)" for k in range(_N)]
 STREAM = f"""{base("obs")}, {rolled("b", (60, 360))}, {STREAM_Z},
 s0 AS (SELECT *, {PAIRS} AS multivariate_z_disagreement, {STAT} AS statistical_score FROM zs), {models("s0")},
 {V2_STEPS},
-w0 AS (SELECT *, count(*) OVER c AS seen, {each(lambda s: f"quantile_cont({s}, 0.5) OVER c AS {s}_held")}, list_sort(list_filter([{", ".join(f"{{'v': -round(list_sum({x}) / {len(fitted.TREES)}.0, 9), 'k': {k}}}" for k, x in enumerate(_ranks))}], lambda x: x.v < 0)) AS told FROM v2 WINDOW c AS ({W} RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW)),
+w0 AS (SELECT *, count(*) OVER c AS seen, {each(lambda s: f"quantile_cont({s}, 0.5) OVER c AS {s}_held")}, list_sort(list_filter([{", ".join(f"{{'v': -round(abs({x}), 9), 'k': {k}}}" for k, x in enumerate(_phi))}], lambda x: x.v < 0)) AS told FROM v2 WINDOW c AS ({W} RANGE BETWEEN INTERVAL 360 MINUTE PRECEDING AND CURRENT ROW)),
 judged AS (SELECT * REPLACE (CASE WHEN {_quiet} THEN false ELSE anomaly_flag END AS anomaly_flag, CASE WHEN {_quiet} THEN 'NORMAL' ELSE fault_type_hint END AS fault_type_hint, CASE WHEN seen < 12 THEN 'NORMAL' ELSE severity END AS severity) FROM w0),
 {HEALTH_STEPS},
 {FOLD_STEPS}"""
@@ -333,6 +355,7 @@ ORACLE: dict[str, str] = {
     "dev_share": X2 + f"SELECT CASE WHEN ts < TIMESTAMP '2024-01-02 00:00:00' THEN 'development' ELSE 'rest' END AS part, count(*) AS rows, {q('avg(predicted) * 100.0')} AS predicted_pct, {', '.join(q(f'avg({x}) * 100.0') + f' AS {k}_prediction_pct' for k, x in (*((k, f'{k}_prediction') for k in fitted.LIMITS), ('any', ANY)))} FROM v2 GROUP BY 1",
     "left_join_features": on(LABELLED, base("obs")) + f"SELECT CAST(l.station_id AS BIGINT) AS station_id, l.ts, l.anomaly_id, {', '.join(q(f'b.{s}_rate_per_hour') + f' AS {s}_rate_per_hour' for s in SENSORS)} FROM lab l LEFT JOIN b ON l.station_id = b.station_id AND l.ts = b.ts WHERE l.is_anomaly = 1",
     "table_diff": L + f"SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, {each(lambda s: f'count(*) FILTER (NOT coalesce(abs(l.{s} - o.{s}) <= 1e-8 + 1e-5 * abs(o.{s}), l.{s} IS NULL AND o.{s} IS NULL)) AS {s}')} FROM lab l JOIN obs o ON l.station_id = o.station_id AND l.ts = o.ts",
+    "forest_shapley": on(base("obs"), rolled("b", (60,)), f"sx AS (SELECT *, {', '.join(_scaled)} FROM z)") + f"SELECT {KEY}, {', '.join(f'{q(f'({x} + 1e-9)', 7)} AS phi_{c}' for c, x in zip(fitted.COLUMNS, _phi, strict=True))}, {q(f'({" + ".join(_depth(t) for t in fitted.TREES)}) / {len(fitted.TREES)}.0 + 1e-9', 7)} AS depth FROM sx",
     "model_scores": X2 + f"SELECT {KEY}, {r('statistical_score', 'pca_score', 'isolation_forest_score')}, {n(*(f'{k}_prediction' for k in fitted.LIMITS))}, CAST({ANY} AS BIGINT) AS any_prediction FROM v2",
     "explanations": XH + f"SELECT {KEY}, {EXPLANATION} AS fault_explanation FROM c5",
     "first_rows": of_obs(f"SELECT {KEY}, {r(*SENSORS)} FROM (SELECT * FROM obs ORDER BY ts, station_id LIMIT 100)"),

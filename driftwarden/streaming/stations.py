@@ -1,35 +1,41 @@
-"""The online path: observations as they arrive, with durable state per station.
-
-State holds up to 360 minutes of history, the run counters, health and the last accepted time. A station's records are
-taken in ingest order; a time that is not later than the last accepted one is rejected and changes nothing.
-Micro-batches are atomic, so an error never leaves half an update. What a record alone decides (the 147 features under
-the stream rules, the scores of the three fitted detectors, evidence, fusion) is computed for all records of a station's
-micro-batch at once; streaks and health follow record by record. A flagged record is explained by the features that
-shorten its paths in the forest most.
+"""The online path: observations as they arrive, with durable typed state per station.
+
+State is a row of counters and health (``station``) and a list of up to 360 minutes of readings (``history``), kept by RocksDB: a
+micro-batch appends its readings to the list, and rewrites it only when over half of it is out of date. With ``silent_ms`` a station that
+sent nothing for so long is forgotten. A station's records are taken in ingest order; a time that is not later than the last
+accepted one is rejected and changes nothing.
+
+What a record alone decides (the 147 features under the stream rules, the scores of the three fitted detectors, evidence,
+fusion) is computed for all records of a station's micro-batch at once; streaks and health follow record by record. A
+record that cannot be processed fails alone: the station goes back to where it was before, the record comes out as FAILED with its error, and
+those around it are taken as if it had not been sent. A flagged record is explained by the features with the largest Shapley
+values of its path length in the forest.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from driftwarden.operators.fusion import AGREEMENT, BONUS, COHERENT, COMMUNICATION, DRIFT_LEAST, LOST, LOST_LEAST, MODEL_CAP, PERSISTENT, SCALES_V2, SEVERITY, SUDDEN, SUPPRESSION, Z_CAP
 from driftwarden.operators.health import CHECK_CONNECTION, DOMINANT, GAP_US, GROWTH, IMPLICATED, MOST_GROWTH, PENALTY, RATE_SCALE, RECOVERY, STATUS, TEXTS, Z_SCALE
 from driftwarden.plans.batch import Artifacts
 from driftwarden.plans.fitted import stored
 from driftwarden.schema import FEATURES, MINUTE_US, RATIO, SENSORS, WINDOWS_MIN
-from driftwarden.session import checkpoint_dir, ship
+from driftwarden.session import scratch_path, ship
 from driftwarden.sources.tables import micros, observations
+from driftwarden.streaming.records import read_json, record_stream, write_json
 
 HISTORY_US = 360 * MINUTE_US
 WARM_UP = 12
@@ -43,8 +49,14 @@ RESULT = T.StructType(
         T.StructField("anomaly_flag", T.BooleanType()),
         T.StructField("top_features", T.StringType()),
         T.StructField("suggested_corrections", T.StringType()),
+        T.StructField("error", T.StringType()),
     ]
 )
+STREAKS = ("anomaly", "missing", "frozen", *SENSORS)
+#: Of the typed state: counters and health, with how many readings the list holds; a reading.
+STATION = T.StructType([T.StructField("listed", T.LongType()), T.StructField("last_us", T.LongType()), *(T.StructField(f"unchanged_{s}", T.LongType()) for s in SENSORS), *(T.StructField(f"health_{s}", T.DoubleType()) for s in SENSORS), *(T.StructField(f"streak_{k}", T.LongType()) for k in STREAKS)])
+READING = T.StructType([T.StructField("us", T.LongType()), *(T.StructField(s, T.DoubleType()) for s in SENSORS)])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def features_of(us: np.ndarray, values: np.ndarray, held: int, unchanged: dict[str, int]) -> pd.DataFrame:
@@ -134,7 +146,19 @@ class Station:
     history: list[list] = field(default_factory=list)  # [us, temperature, pressure, humidity], the last one always
     unchanged: dict[str, int] = field(default_factory=lambda: dict.fromkeys(SENSORS, 0))
     health: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SENSORS, 100.0))
-    streaks: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("anomaly", "missing", "frozen", *SENSORS), 0))
+    streaks: dict[str, int] = field(default_factory=lambda: dict.fromkeys(STREAKS, 0))
+
+    def taken(self, us: np.ndarray, values: np.ndarray, a: Artifacts) -> list[dict | None]:
+        """``process``, with a FAILED result for each record that raises an error; such a record leaves the station as it was."""
+        before = copy.deepcopy(self.__dict__)
+        try:
+            return self.process(us, values, a)
+        except Exception as e:  # whatever the record does to the arithmetic, it is the record's
+            self.__dict__.update(before)
+            if len(us) == 1:
+                return [{"processing_state": "FAILED", "error": f"{type(e).__name__}: {e}", **{s: None if math.isnan(v) else v for s, v in zip(SENSORS, values[0].tolist(), strict=True)}}]
+        half = len(us) // 2
+        return self.taken(us[:half], values[:half], a) + self.taken(us[half:], values[half:], a)
 
     def process(self, us: np.ndarray, values: np.ndarray, a: Artifacts) -> list[dict | None]:
         """``us`` and ``values`` (NaN: missing) in ingest order."""
@@ -182,13 +206,13 @@ class Station:
 
     @staticmethod
     def _explained(at: np.ndarray, matrix: np.ndarray, a: Artifacts, k: int = 3) -> dict[int, list[dict]]:
-        """For each of the rows ``at`` the ``k`` features that shorten its paths most."""
+        """For each of the rows ``at`` the ``k`` features with the largest Shapley values, either way (below 0: easier to isolate)."""
         if not len(at):
             return {}
         names = a.forest.scaler.columns
-        shares = a.forest.contributions(matrix[at])
-        order = np.argsort(-shares, axis=1, kind="stable")[:, :k]
-        return {int(i): [{"feature": names[c], "contribution": round(float(row[c]), 4)} for c in best if row[c] > 0] for i, row, best in zip(at, shares, order.tolist(), strict=True)}
+        values = np.round(a.forest.shapley(matrix[at]), 9)
+        order = np.argsort(-np.abs(values), axis=1, kind="stable")[:, :k]
+        return {int(i): [{"feature": names[c], "contribution": round(float(row[c]), 4)} for c in best if row[c]] for i, row, best in zip(at, values, order.tolist(), strict=True)}
 
     def _track(self, row: dict, rate_and_z: dict[str, tuple[float, float]], gap: bool, flag: bool, hint: str, confidence: float) -> dict:
         if gap:
@@ -268,34 +292,99 @@ def explain(fault: str, affected: str, confidence: float) -> str:
     return text.replace("%1$s", affected.lower()).replace("%2$.2f", f"{math.floor(confidence * 100 + 0.5) / 100:.2f}")
 
 
-def process_stream(obs: DataFrame, artifacts: Artifacts | None = None) -> DataFrame:
-    """Observations (station_id, seq, ts, sensors; optionally ``reset`` to clear a station) to results, in ``seq`` order.
+@cache
+def artifacts_at(path: str | None) -> Artifacts:
+    """Artifacts written for the workers, read once by each; the stored set without a path."""
+    return Artifacts.of(read_json(path)) if path else stored()
+
 
-    Rejected records come out with the processing state REJECTED and nothing else. The micro-batches' size bounds how many
-    records of a station a task holds: limit it at the source (``maxFilesPerTrigger`` and its like).
+class Stations(StatefulProcessor):
+    """Typed state of the stations: what a micro-batch's rows of one station do to it.
+
+    ``artifacts`` is a path: Spark also makes the processor on the driver, where broadcasts are not loaded.
     """
-    spark = ship(obs.sparkSession)
-    held = spark.sparkContext.broadcast(artifacts or stored())
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        station = Station(**json.loads(state.get[0])) if state.exists else Station()
-        batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
+    def __init__(self, artifacts: str | None, silent_ms: int | None):
+        self.artifacts, self.silent_ms = artifacts, silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.station = handle.getValueState("station", STATION, self.silent_ms)
+        self.history = handle.getListState("history", READING, self.silent_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        station, listed = self.read()
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
         cleared = batch["reset"].to_numpy(bool)
-        rows: list[dict] = []
+        last = station.history[-1][0] if station.history else None
+        out: list[dict] = []
         # Records between two resets are processed together.
-        for part, reset in zip(np.split(batch, np.flatnonzero(cleared)), [False, *[True] * int(cleared.sum())], strict=True):
-            if reset:
-                station, part = Station(), part.iloc[1:]
+        ends = [0, *np.flatnonzero(cleared), len(batch)]
+        for k, (first, end) in enumerate(zip(ends, ends[1:])):
+            part = batch.iloc[first:end]
+            if k:
+                station, part, last, listed = Station(), part.iloc[1:], None, None
             if len(part):
                 us = part["us"].to_numpy(np.int64)
-                found = station.process(us, part[list(SENSORS)].to_numpy(np.float64), held.value)
-                rows += [{"station_id": key[0], "seq": q, "us": t, **(r or {"processing_state": "REJECTED"})} for q, t, r in zip(part["seq"].tolist(), us.tolist(), found, strict=True)]
-        state.update((json.dumps(station.__dict__),))
-        if rows:
-            yield pd.DataFrame(rows, columns=RESULT.names)
+                found = station.taken(us, part[list(SENSORS)].to_numpy(np.float64), artifacts_at(self.artifacts))
+                out += [{"station_id": key[0], "seq": q, "us": t, **(r or {"processing_state": "REJECTED"})} for q, t, r in zip(part["seq"].tolist(), us.tolist(), found, strict=True)]
+        self.write(station, last, listed)
+        if out:
+            yield pd.DataFrame(out, columns=RESULT.names, dtype=object)
+
+    def read(self) -> tuple[Station, int | None]:
+        """The station, and how many readings its list holds."""
+        held = self.station.get() if self.station.exists() else None
+        if held is None:
+            return Station(), None
+        n = len(SENSORS)
+        listed, last, counters = held[0], held[1], held[2:]
+        history = sorted([int(r[0]), *r[1:]] for r in self.history.get() if r[0] >= last - HISTORY_US) if listed else []
+        parts = (dict(zip(names, values, strict=True)) for names, values in ((SENSORS, counters[:n]), (SENSORS, counters[n : 2 * n]), (STREAKS, counters[2 * n :])))
+        return Station(history, *parts), listed
+
+    def write(self, station: Station, last: int | None, listed: int | None) -> None:
+        """Appends readings later than ``last``; the list is written anew after a reset or when it is over twice as long as needed."""
+        new = [tuple(h) for h in station.history if last is None or h[0] > last]
+        if listed is None or listed + len(new) > 2 * len(station.history) + 64:
+            new = [tuple(h) for h in station.history]
+            self.history.put(new) if new else self.history.clear()
+            listed = len(new)
+        elif new:
+            self.history.appendList(new)
+            listed += len(new)
+        at = station.history[-1][0] if station.history else None
+        self.station.update((listed, at, *station.unchanged.values(), *map(float, station.health.values()), *station.streaks.values()))
+
+
+def process_stream(obs: DataFrame, artifacts: Artifacts | None = None, silent_ms: int | None = None) -> DataFrame:
+    """Observations (station_id, seq, ts, sensors; optionally ``reset`` to clear a station) to results, in ``seq`` order.
 
+    Rejected records come out with the processing state REJECTED, those that raise an error with FAILED and the error, and nothing else. The
+    micro-batches' size bounds how many records of a station a task holds: limit it at the source. State is kept by the
+    RocksDB provider, which this sets for the session.
+    """
+    spark = ship(obs.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    path = f"{scratch_path(spark, 'artifacts')}.json" if artifacts else None
+    if path:
+        write_json(path, artifacts.plain())
     keyed = obs.select("station_id", "seq", micros().alias("us"), *SENSORS, (F.col("reset") if "reset" in obs.columns else F.lit(False)).alias("reset"))
-    return keyed.groupBy("station_id").applyInPandasWithState(step, RESULT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("station_id").transformWithStateInPandas(Stations(path, silent_ms), RESULT, "Append", "ProcessingTime" if silent_ms else "None")
+
+
+DEAD_LETTER = ("station_id", "seq", "us", *SENSORS, "error")
+
+
+def sink(results: DataFrame, root: str, **options) -> StreamingQuery:
+    """Starts the stream: a micro-batch writes ``root``/out and ``root``/dead_letters, each under its number, once however often it is repeated."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.where("processing_state <> 'FAILED'").write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        batch.where("processing_state = 'FAILED'").select(*DEAD_LETTER).write.mode("overwrite").parquet(f"{root}/dead_letters/batch={number}")
+        batch.unpersist()
+
+    return results.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/state").outputMode("append").trigger(**(options or {"availableNow": True})).start()
 
 
 def run_available(spark: SparkSession, path: str, schema: T.StructType, prepare=observations, artifacts: Artifacts | None = None, files_per_trigger: int = 16) -> DataFrame:
@@ -305,9 +394,42 @@ def run_available(spark: SparkSession, path: str, schema: T.StructType, prepare=
     """
     folder, name = path.rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    obs = prepare(source)
-    obs = obs if "seq" in obs.columns else obs.withColumnRenamed("event_id", "seq")
-    root = f"{checkpoint_dir(spark).rstrip('/')}/driftwarden/stream-{uuid.uuid4().hex}"
-    query = process_stream(obs, artifacts).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(RESULT).parquet(f"{root}/out")
+    root = scratch_path(spark, "stream")
+    sink(process_stream(with_seq(prepare(source)), artifacts), root).awaitTermination()
+    return results_of(spark, root)
+
+
+def run_records(spark: SparkSession, path: str, schema: T.StructType, root: str, prepare=observations, artifacts: Artifacts | None = None, rows_per_trigger: int = 5_000, most_batches: int | None = None) -> None:
+    """All records of the log at ``path`` through the stream, at most ``rows_per_trigger`` a micro-batch; goes on where an earlier run into ``root`` ended.
+
+    ``most_batches`` stops it after about so many micro-batches.
+    """
+    log = record_stream(spark, path, schema, rows_per_trigger, f"{root}/position.json")
+    query = sink(process_stream(with_seq(prepare(log)), artifacts), root, processingTime="0 seconds")
+    try:
+        if most_batches is None:
+            query.processAllAvailable()
+        while most_batches is not None and query.isActive and sum(p.numInputRows > 0 for p in query.recentProgress) < most_batches:
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+
+
+def with_seq(obs: DataFrame) -> DataFrame:
+    return obs if "seq" in obs.columns else obs.withColumnRenamed("event_id", "seq")
+
+
+def results_of(spark: SparkSession, root: str) -> DataFrame:
+    """What ``sink`` has written under ``root``; nothing before the first micro-batch."""
+    return _table(spark, f"{root}/out", RESULT)
+
+
+def dead_letters(spark: SparkSession, root: str) -> DataFrame:
+    return _table(spark, f"{root}/dead_letters", T.StructType([RESULT[c] for c in DEAD_LETTER]))
+
+
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path).drop("batch")

@@ -1,12 +1,21 @@
 from __future__ import annotations
 
+import collections
 import datetime as dt
+import functools
+import itertools
 import json
 import math
+import shutil
+import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwarden.operators import detectors, evaluate, features, health, joins, quality, simulate
 from driftwarden.operators.timeline import with_chunk
@@ -15,7 +24,10 @@ from driftwarden.plans.fitted import stored
 from driftwarden.plans.queries import plan, scored_features
 from driftwarden.schema import FEATURES, OBSERVATION, SENSORS
 from driftwarden.sources import tables
-from driftwarden.streaming.stations import Station, features_of, process_stream
+from driftwarden.streaming import subscribers
+from driftwarden.streaming.metrics import ProgressTable, latency_summary
+from driftwarden.streaming.records import RecordLogReader, record_stream
+from driftwarden.streaming.stations import Station, dead_letters, features_of, process_stream, results_of, run_records, sink
 
 START = dt.datetime(2024, 1, 1)
 TRACKED = "station_id int, ts timestamp_ntz, temperature double, pressure double, humidity double, temperature_rate_per_hour double, pressure_rate_per_hour double, humidity_rate_per_hour double, temperature_roll_z_60m double, pressure_roll_z_60m double, humidity_roll_z_60m double, anomaly_flag boolean, final_anomaly_score double, anomaly_confidence double, fault_type_hint string, candidate_fault_family string"
@@ -334,7 +346,8 @@ class TestStream:
             assert out["anomaly_score"] == pytest.approx(r.final_anomaly_score, abs=1e-6)
             assert out["confidence"] == pytest.approx(r.anomaly_confidence, abs=1e-6)
         top = [json.loads(x["top_features"]) for x in found if x["top_features"] != "[]"]
-        assert top and all(t["feature"] in FEATURES and t["contribution"] > 0 for x in top for t in x)
+        assert top and all(t["feature"] in FEATURES for x in top for t in x)
+        assert all([abs(t["contribution"]) for t in x] == sorted((abs(t["contribution"]) for t in x), reverse=True) for x in top)
 
     def test_reset_clears_a_station(self, spark, tmp_path):
         schema = "station_id int, seq long, ts timestamp_ntz, temperature double, pressure double, humidity double, reset boolean"
@@ -345,17 +358,171 @@ class TestStream:
         got = {r.seq: r.processing_state for r in spark.read.parquet(str(tmp_path / "out")).collect()}
         assert got == {**{i: "WARMUP" for i in range(11)}, 11: "PROCESSED", 12: "PROCESSED", 14: "WARMUP"}
 
-    def test_contributions_sum_to_what_the_paths_are_shorter(self):
-        forest = stored().forest
-        x = np.random.default_rng(3).normal(size=(200, 6))
-        expected = [self.mean(t) for t in forest.trees]
-        depth = -np.log2(forest.isolation(x)) * detectors.path_normaliser(forest.size)
-        assert np.allclose(forest.contributions(x).sum(axis=1), np.mean(expected) - depth)
+    def test_shapley_values_by_all_subsets(self):
+        """Against the definition, on stored trees and on random ones of up to 10 features."""
+        rng = np.random.default_rng(3)
+        for forest in (stored().forest, self.random_forest(rng, 10), self.random_forest(rng, 4)):
+            x = rng.normal(size=(12, len(forest.scaler.columns)))
+            got = forest.shapley(x, at_once=64)
+            for i, row in enumerate(x):
+                want = np.mean([self.by_definition(tree, row) for tree in forest.trees], axis=0)
+                assert np.allclose(got[i], want, atol=1e-9)
+            depth = -np.log2(forest.isolation(x)) * detectors.path_normaliser(forest.size)
+            assert np.allclose(got.sum(axis=1), depth - forest.expected_depth())
+
+    @staticmethod
+    def random_forest(rng, features: int) -> detectors.IsolationForest:
+        names = [f"f{k}" for k in range(features)]
+        trees = [detectors.IsolationForest._tree(rng.normal(size=(40, features)), rng) for _ in range(3)]
+        return detectors.IsolationForest(detectors.Scaler(names, [0.0] * features, [0.0] * features, [1.0] * features), trees, 40)
 
     @staticmethod
-    def mean(tree, node: int = 0) -> float:
-        feature, _, left, depth = tree
-        return float(depth[node]) if feature[node] < 0 else (TestStream.mean(tree, int(left[node])) + TestStream.mean(tree, int(left[node]) + 1)) / 2
+    def by_definition(tree, row: np.ndarray) -> np.ndarray:
+        feature, cut, left, depth, held = tree
+
+        @functools.cache
+        def value(known: frozenset, node: int = 0) -> float:
+            k = int(feature[node])
+            if k < 0:
+                return float(depth[node])
+            below = [int(left[node]), int(left[node]) + 1]
+            if k in known:
+                return value(known, below[int(row[k] > cut[node])])
+            return sum(held[c] / held[node] * value(known, c) for c in below)
+
+        n, out = len(row), np.zeros(len(row))
+        for k in range(n):
+            others = [f for f in range(n) if f != k]
+            for size in range(n):
+                weight = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
+                out[k] += weight * sum(value(frozenset({*c, k})) - value(frozenset(c)) for c in itertools.combinations(others, size))
+        return out
+
+    SCHEMA = "station_id int, seq long, ts timestamp_ntz, temperature double, pressure double, humidity double"
+
+    def records(self, n: int, stations: int = 2) -> list[tuple]:
+        us, values = self.series(n)
+        return [(i % stations, i, minutes(0) + dt.timedelta(microseconds=int(us[i // stations])), *(None if math.isnan(v) else float(v) for v in values[i])) for i in range(n)]
+
+    def through(self, spark, rows, root: str, **options) -> dict:
+        """Records as a log in one file, through the record source into ``root``."""
+        spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/log")
+        run_records(spark, f"{root}/log", T._parse_datatype_string(self.SCHEMA), f"{root}/o", lambda d: d, **options)
+        return {r.seq: r for r in results_of(spark, f"{root}/o").collect()}
+
+    def test_a_poisoned_record_fails_alone(self, spark, tmp_path):
+        rows = self.records(60)
+        late = dt.datetime(2600, 1, 1)
+        poisoned = [*rows[:30], (0, 1000, late, 1.0, 2.0, 3.0), *rows[30:50], (1, 1001, late, 1.0, None, 3.0), (1, 1002, late, 1.0, None, 3.0), *rows[50:]]
+        poisoned = [(r[0], i, *r[2:]) for i, r in enumerate(poisoned)]
+        clean = self.through(spark, rows, str(tmp_path / "a"))
+        found = self.through(spark, poisoned, str(tmp_path / "b"), rows_per_trigger=37)
+        letters = dead_letters(spark, str(tmp_path / "b" / "o")).orderBy("seq").collect()
+        assert [(r.station_id, r.seq, r.temperature) for r in letters] == [(0, 30, 1.0), (1, 51, 1.0), (1, 52, 1.0)] and all("OutOfBounds" in r.error for r in letters)
+        kept = sorted(found)
+        assert len(kept) == 60
+        for want, seq in zip((clean[k] for k in sorted(clean)), kept, strict=True):
+            assert want.asDict() | {"seq": 0} == found[seq].asDict() | {"seq": 0}
+
+    def test_restart_loses_and_repeats_nothing(self, spark, tmp_path):
+        rows = self.records(90)
+        whole = self.through(spark, rows, str(tmp_path / "a"))
+        root, schema = str(tmp_path / "b"), T._parse_datatype_string(self.SCHEMA)
+        first, second = (spark.createDataFrame(part, self.SCHEMA).coalesce(1) for part in (rows[:60], rows[60:]))
+        first.write.parquet(f"{root}/1")
+        (tmp_path / "b" / "log").mkdir()
+        shutil.copy(next((tmp_path / "b" / "1").glob("*.parquet")), tmp_path / "b" / "log" / "a.parquet")
+        run = lambda **k: run_records(spark, f"{root}/log", schema, f"{root}/o", lambda d: d, rows_per_trigger=7, **k)
+        run(most_batches=3)
+        second.write.parquet(f"{root}/2")
+        shutil.copy(next((tmp_path / "b" / "2").glob("*.parquet")), tmp_path / "b" / "log" / "b.parquet")
+        for _ in range(2):
+            run()
+        found = spark.read.parquet(f"{root}/o/out").collect()
+        assert sorted(r.seq for r in found) == list(range(90))
+        assert max(collections.Counter(r.batch for r in found).values()) <= 7
+        assert {r.seq: r.anomaly_score for r in found} == {q: r.anomaly_score for q, r in whole.items()}
+
+    def test_files_that_sort_too_early_are_refused(self, spark, tmp_path):
+        table = pa.table({"seq": [1, 2, 3]})
+        pq.write_table(table, tmp_path / "b.parquet")
+        reader = RecordLogReader({"path": str(tmp_path), "rowsPerTrigger": "2"}, T._parse_datatype_string("seq long"))
+        assert reader.latestOffset()["row"] == 2
+        end = reader.latestOffset()
+        assert end["row"] == 3 and reader.latestOffset() == end
+        parts = reader.partitions({"file": "", "row": 0}, end)
+        assert [v for p in parts for b in reader.read(p) for v in b["seq"].to_pylist()] == [1, 2, 3]
+        pq.write_table(table, tmp_path / "a.parquet")
+        with pytest.raises(ValueError, match="sorts before"):
+            reader.latestOffset()
+
+    def test_state_is_typed_and_read_back(self, spark, tmp_path):
+        rows = self.records(80)
+        self.through(spark, rows, str(tmp_path), rows_per_trigger=9)
+        state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "o" / "state"))
+        counters = {r.key.station_id: r.value for r in state("station").collect()}
+        for station in (0, 1):
+            own = [r for r in rows if r[0] == station]
+            one = Station()
+            one.process(np.array([(r[2] - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) for r in own]), np.array([r[3:] for r in own], float), stored())
+            held = counters[station]
+            assert held.last_us == one.history[-1][0] and held.listed <= 2 * len(one.history) + 64
+            assert all(held[f"unchanged_{s}"] == one.unchanged[s] and held[f"health_{s}"] == pytest.approx(one.health[s]) for s in SENSORS)
+            assert all(held[f"streak_{k}"] == v for k, v in one.streaks.items())
+        listed = state("history").groupBy("key.station_id").count().collect()
+        assert {r.station_id: r["count"] for r in listed} == {k: v.listed for k, v in counters.items()}
+
+    def test_a_silent_station_is_forgotten(self, spark, tmp_path):
+        rows = self.records(40, 1)
+        root, schema = str(tmp_path), T._parse_datatype_string(self.SCHEMA)
+        for k, part in enumerate((rows[:30], [(7, 0, *rows[0][2:])], rows[30:])):
+            if k:
+                time.sleep(3)
+            spark.createDataFrame(part, self.SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            source = spark.readStream.schema(schema).parquet(f"{root}/in")
+            sink(process_stream(source, silent_ms=2000), f"{root}/o").awaitTermination()
+        found = {r.seq: r for r in results_of(spark, f"{root}/o").where("station_id = 0").collect()}
+        assert found[29].processing_state == "PROCESSED" and found[30].processing_state == "WARMUP"
+
+    def test_every_subscriber_for_itself(self, spark, tmp_path):
+        rows = self.records(40)
+        spark.createDataFrame(rows, self.SCHEMA).repartition(4).write.parquet(str(tmp_path / "in"))
+        registry = str(tmp_path / "registry")
+        (tmp_path / "file").write_text("not a folder")
+        for name, folder in (("a", tmp_path / "a"), ("bad", tmp_path / "file" / "x"), ("c", tmp_path / "c")):
+            subscribers.subscribe(registry, name, str(folder))
+        source = spark.readStream.schema(self.SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        subscribers.serve(source, registry, str(tmp_path / "staging"), str(tmp_path / "state")).awaitTermination()
+        schema = T._parse_datatype_string(self.SCHEMA)
+        for name in ("a", "c"):
+            assert sorted(r.seq for r in subscribers.received(spark, str(tmp_path / name), schema).collect()) == list(range(40))
+        assert [x["name"] for x in subscribers.active(registry)] == ["a", "c"]
+        assert [(x["name"], x["batch"]) for x in subscribers.dropped(registry)] == [("bad", 0)]
+        # A micro-batch that is committed again delivers nothing again.
+        writer = subscribers.SubscriberWriter({"registry": registry, "staging": str(tmp_path / "staging")})
+        batch = pa.RecordBatch.from_pydict({"seq": [99]})
+        writer.commit([writer.write(iter([batch]))], 0)
+        assert len(subscribers.received(spark, str(tmp_path / "a"), schema).collect()) == 40
+
+    def test_progress_of_every_batch(self, spark, tmp_path):
+        listener = ProgressTable(spark, str(tmp_path / "progress"))
+        spark.streams.addListener(listener)
+        try:
+            (tmp_path / "log").mkdir()
+            pq.write_table(pa.table({"seq": list(range(130))}), tmp_path / "log" / "a.parquet")
+            query = record_stream(spark, str(tmp_path / "log"), T._parse_datatype_string("seq long"), 1).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="0 seconds").start()
+            query.processAllAvailable()
+            query.stop()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            time.sleep(2)
+        finally:
+            spark.streams.removeListener(listener)
+        held = listener.table().where(F.col("run_id") == str(query.runId))
+        assert held.count() == 130 > len(query.recentProgress)
+        out = latency_summary(held).first()
+        each = sorted(r.ms for r in held.collect())
+        assert (out.batches, out.rows, out.max_ms, out.min_ms) == (130, 130, each[-1], each[0])
+        assert out.energy_mj_per_row == pytest.approx(7.5 * out.mean_ms) and out.energy_j == pytest.approx(7.5 * sum(each) / 1000)
 
 
 def test_scored_features_have_what_evidence_needs(spark, sf):
