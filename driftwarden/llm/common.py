@@ -16,11 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.session import ship
+from driftwarden.session import checkpoint_dir, ship
 
 SLICE_BYTES = 1 << 20
 ARROW_BATCH_BYTES = 8 << 20
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -34,8 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_CHECKPOINTS}"
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one where that is unset, in local mode only."""
+    return checkpoint_dir(spark)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``frames``, whatever their case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -31,7 +31,7 @@ from driftwarden.llm.common import prepare, slices, strings
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("script style template head title meta link base iframe noembed noframes noscript object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("script style template head title meta link base iframe noembed noframes noscript object audio video canvas datalist rp desc metadata defs annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset listing".split())
 LISTS = frozenset("ul ol menu dir".split())
@@ -195,6 +195,8 @@ def parse(source: str) -> tuple[Node, list[str], str]:
             at = end.end() if end else n
             if tag == "style":
                 styles.append(inner)
+            elif tag == "title" and any(x.tag == "svg" for x in tree.open[-64:]):
+                pass  # a drawing's own title, which is not shown
             elif tag == "title" and not title:
                 title = _SPACE.sub(" ", unescaped(inner)).strip()
             elif tag in ("textarea", "xmp"):
@@ -476,6 +478,7 @@ def render(root: Node, styles: Styles) -> str:
                 cells.lines[at] = wrapped(text)
             continue
         if ending == TABLE_DONE:
+            page.broken(1)
             for line in x.text():
                 if line:
                     page.put(line, True)
@@ -553,7 +556,7 @@ RESULT = T.StructType([T.StructField("ht_text", T.StringType()), T.StructField("
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``pages`` (its columns ``keep``) with ``ht_text`` and ``ht_title``."""
     prepare(pages.sparkSession)
-    keep = [c for c in (keep or pages.columns) if c not in RESULT.names]
+    keep = [c for c in (keep or pages.columns) if c.lower() not in RESULT.names]
     rows = pages.select(*dict.fromkeys([*keep, html]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,7 +89,7 @@ class Scanner:
     def scan(self, text: bytes) -> tuple[int, list[dict], list[dict]]:
         """Number of words, exact phrases (label, word) and notices (label, first, last, edits, likeness)."""
         words = text.translate(_TABLE).split()
-        line = (b" " + b" ".join(words) + b" ").decode("latin-1")
+        line = (b" " + b" ".join(words) + b" ").decode()  # an edit is a character, whatever its bytes
         base: list[tuple[int, str]] = []
         windows: dict[int, set[int]] = {}
         for end, (length, owners) in self.automaton.iter(line):
@@ -101,7 +101,7 @@ class Scanner:
                     windows.setdefault(k, set()).add(start - at)
         if not base and not windows:
             return len(words), [], []
-        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32).tolist()
+        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32).tolist()
         base = [(bisect_left(spaces, start), label) for start, label in base]
         spans = []
         for k, starts in windows.items():
@@ -139,7 +139,7 @@ class Scanner:
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """``docs`` (its columns ``keep``) with ``ls_words``, ``ls_base`` (exact phrases) and ``ls_notices`` (verified notices)."""
     prepare(docs.sparkSession)
-    keep = [c for c in (keep or docs.columns) if c not in RESULT.names]
+    keep = [c for c in (keep or docs.columns) if c.lower() not in RESULT.names]
     rows = docs.select(*dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import cut, prepare, slices, strings, utf8, wanted_only
+from driftwarden.llm.common import cut, prepare, slices, strings, unused, utf8, wanted_only
 
 MIN, MAX = 20, 128
 END_MASK = np.uint16(0xF000)  # four upper bits of a 16-bit hash: one end in 16 places
@@ -191,17 +191,19 @@ def _summed(b: pa.RecordBatch, edges: np.ndarray, min_run: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([b["id"].take(at), b["row"].take(at), pa.array(n), every.cast(SPANS), spans(shared)[0].cast(SPANS), spans(gone)[0].cast(SPANS), firsts], ["id", "sd_row", "sd_chunks", "sd_repeated", "sd_shared", "sd_removed", "sd_first"])
 
 
-def with_marks(docs: DataFrame, marks: DataFrame, id: str, row: str) -> DataFrame:
-    """Every row of ``docs``, whose column ``row`` has its ``row_key``, with ``_marks``: the columns of ``marks``, null where it has none."""
-    found = marks.select(F.col("id").alias("_id"), F.col("sd_row").alias("_row"), F.struct("*").alias("_marks"))
-    return docs.join(found, docs[id].cast("long").eqNullSafe(F.col("_id")) & (docs[row] == F.col("_row")), "left").drop("_id", "_row")
+def with_marks(docs: DataFrame, marks: DataFrame, id: str, row: str, into: str = "_marks") -> DataFrame:
+    """Every row of ``docs``, whose column ``row`` has its ``row_key``, with the column ``into``: the columns of ``marks``, null where it has none."""
+    found = marks.select(F.col("id").alias("mark_id"), F.col("sd_row").alias("mark_row"), F.struct("*").alias(into))
+    on = docs[id].cast("long").eqNullSafe(found["mark_id"]) & (docs[row] == found["mark_row"])
+    return docs.join(found, on, "left").select(*(docs[f"`{c}`"] for c in docs.columns), found[into])
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = 40) -> DataFrame:
     """``docs`` with the removed runs cut out of their texts."""
-    joined = with_marks(docs.withColumn("_key", row_key(text)), marked(docs, id, text, min_run).where(F.size("sd_removed") > 0), id, "_key")
-    gone = F.col("_marks.sd_removed")
+    key, marks = unused("_key", docs), unused("_marks", docs)
+    joined = with_marks(docs.withColumn(key, row_key(text)), marked(docs, id, text, min_run).where(F.size("sd_removed") > 0), id, key, marks)
+    gone = F.col(f"{marks}.sd_removed")
     edges = F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.transform(gone, lambda x: F.array(x["start"], x["end"]))), F.array(F.char_length(text).cast("long")))
     pieces = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.substring(text, (F.get(edges, i * 2) + 1).cast("int"), (F.get(edges, i * 2 + 1) - F.get(edges, i * 2)).cast("int")))
-    clean = F.when(F.col("_marks").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text))
-    return joined.withColumn(text, clean).select(*docs.columns)
+    clean = F.when(F.col(marks).isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text))
+    return joined.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

@@ -183,10 +183,15 @@ def candidates(text: str) -> tuple[set[str], set[str]]:
 
 
 def learned(docs: DataFrame, labels: DataFrame, learn: Column, id: str, text: str, sample_rows: int, seed: int) -> DataFrame:
-    """(text, toxic) of the labelled rows that the fit uses; the ids, at most ``sample_rows``, are broadcast."""
+    """(text, toxic) of the labelled rows that the fit uses, at most ``sample_rows`` different ones; what is broadcast are their ids and hashes."""
     usable = labels.where(learn & F.col("toxic").isNotNull()).groupBy(id).agg(F.max("toxic").alias("toxic"))
     some = usable.orderBy(rank_hash(seed, id), id).limit(sample_rows)
-    return cut(docs.select(id, text).join(F.broadcast(some), id).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "labelled")
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    kinds = rows.select("id", "hash").join(F.broadcast(some.withColumnRenamed(id, "id")), "id").distinct()
+    chosen = kinds.orderBy(rank_hash(seed, "id"), "id", "hash").limit(sample_rows)
+    # Rows that are equal in both count once.
+    found = rows.join(F.broadcast(chosen), ["id", "hash"]).dropDuplicates(["id", "hash"])
+    return cut(found.select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
 
 def lexicon(rows: DataFrame, least: int) -> list[tuple[str, bool, float]]:
@@ -217,8 +222,13 @@ def lexicon(rows: DataFrame, least: int) -> list[tuple[str, bool, float]]:
     stems = [r.term for r in top if r.stem]
     bad_of = {(r.term, r.stem): r.bad for r in top}
     # A stem that only one chosen word has is that word.
-    kept_stems = {s for s in stems if sum(w.startswith(s) for w in words) != 1 or bad_of[s, True] > 1.5 * max((bad_of[w, False] for w in words if w.startswith(s)), default=0)}
-    shortest = {s for s in kept_stems if not any(s != o and s.startswith(o) and bad_of[o, True] >= bad_of[s, True] for o in kept_stems)}
+    under: dict[str, list[str]] = {}
+    for w in words:
+        for k in STEMS:
+            if len(w) >= k:
+                under.setdefault(w[:k], []).append(w)
+    kept_stems = {s for s in stems if len(under.get(s, ())) != 1 or bad_of[s, True] > 1.5 * bad_of[under[s][0], False]}
+    shortest = {s for s in kept_stems if not any(s[:k] in kept_stems and bad_of[s[:k], True] >= bad_of[s, True] for k in STEMS if k < len(s))}
     return [(r.term, r.stem, float(r.odds)) for r in top if not r.stem or r.term in shortest]
 
 
@@ -284,7 +294,7 @@ RESULT = T.StructType([T.StructField("tx_score", T.DoubleType()), T.StructField(
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``) with ``tx_score`` and ``tx_matches`` (word, its place, edits, score of its window)."""
     prepare(docs.sparkSession)
-    keep = [c for c in (keep or docs.columns) if c not in RESULT.names]
+    keep = [c for c in (keep or docs.columns) if c.lower() not in RESULT.names]
     rows = docs.select(*dict.fromkeys([*keep, text]))
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("word", pa.string()), ("at", pa.int64()), ("edits", pa.int64()), ("context", pa.float64())]))

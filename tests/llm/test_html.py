@@ -121,3 +121,16 @@ def test_query_covers_all_pages(spark, sf):
     rows = op1_html(spark, sf).collect()
     assert len(rows) == pages.count()
     assert all("<p>" not in r.text and "track(" not in r.text for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><tr><td>loose</td></tr>foster text</table>", "foster text\nloose"),
+        ("<p>a</p><svg><title>t</title><text>drawn</text><desc>no</desc></svg>", "a\n\ndrawn"),
+        ("<p>x <math><mi>y</mi><annotation>no</annotation></math></p>", "x y"),
+        ("<ruby>kan<rp>(</rp><rt>ji</rt><rp>)</rp></ruby>", "kanji"),
+    ],
+)
+def test_stray_table_text_and_foreign_elements(source, text):
+    assert to_text(source) == (text, "")

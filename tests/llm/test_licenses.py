@@ -110,3 +110,14 @@ def test_all_of_several_edited_notices(drawn, between):
     _, _, found = SCANNER.scan(between.join(texts).encode())
     for label in set(C.NOTICES.values()):
         assert sum(f["label"] == label for f in found) >= sum(C.NOTICES[n] == label for n, _, _ in drawn)
+
+
+def test_an_edit_is_a_character():
+    """Accents are one edit each, whatever their bytes."""
+    notice = "licensed under the gnu general public license"
+    scanner = C.Scanner(notices={notice: "gpl"})
+    edits = len(notice) // C.EDIT_EVERY
+    assert edits >= 2
+    text = notice.replace("general", "général")
+    n, base, spans = scanner.scan(f"été {text} fin".encode())
+    assert n == 9 and base == [] and [(s["label"], s["first"], s["last"], s["edits"]) for s in spans] == [("gpl", 1, 7, 2)]

@@ -132,3 +132,14 @@ def test_query_has_every_document(spark, tmp_path):
     assert got[0].repeated_chars > 3000 and got[0].removed_chars > 3000 and got[0].shared_chars == 0 and got[0].shared_spans == ""
     assert got[3].shared_chars > 400 and got[3].removed_chars == 0 and got[4].removed_chars > 400 and got[4].first_doc_ids == [3]
     assert all((got[i].n_repeated_chunks, got[i].repeated_chars, got[i].removed_spans, got[i].first_doc_ids) == (0, 0, "", []) for i in (1, 2))
+
+
+def test_columns_of_any_name_stay(spark):
+    passage = prose(5, 60)
+    names = ("_id", "_row", "_key", "_marks", "_KEY_", "mark_id", "id", "row", "sd_row")
+    docs = documents(spark, [f"{prose(1, 50)} {passage} {prose(2, 50)}", f"{prose(3, 50)} {passage} {prose(4, 50)}"], extra={c: f"own {c}" for c in names})
+    plain = {r.doc_id: r.text for r in S.without_repeats(docs.select("doc_id", "text")).collect()}
+    found = S.without_repeats(docs)
+    assert found.columns == docs.columns
+    for r in found.collect():
+        assert r.text == plain[r.doc_id] and all(r[c] == f"own {c}" for c in names)

@@ -4,6 +4,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.llm.helpers import documents, prose
 
 from driftwarden.llm import toxicity as X
@@ -118,3 +119,17 @@ def test_held_out_quality(spark):
     assert np.mean([(p > s[~y]).mean() + 0.5 * (p == s[~y]).mean() for p in s[y]]) > 0.95
     found = [x for x in rows if x.doc_id in misspelled]
     assert found and np.mean([any(m["edits"] for m in x.tx_matches) for x in found]) > 0.8
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    docs = spark.range(400).selectExpr("CAST(id % 4 AS LONG) AS doc_id", "concat('text ', id % 200) AS text")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int")
+    assert X.learned(docs, labels, F.lit(True), "doc_id", "text", 10, 2).count() == 10
+    assert X.learned(docs, labels, F.lit(True), "doc_id", "text", 1000, 2).count() == 200
+
+
+def test_stems_by_definition(spark):
+    texts, labels = corpus(spark)
+    found = X.lexicon(X.learned(documents(spark, texts), labels, F.lit(True), "doc_id", "text", 20_000, 2), 5)
+    stems = {t for t, stem, _ in found if stem}
+    assert not any(a != b and a.startswith(b) for a in stems for b in stems)
