@@ -29,10 +29,10 @@ OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def beside(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``work`` on ``docs`` whose further columns have names that no operator uses."""
-    aside = {c: f"_aside_{k}" for k, c in enumerate(docs.columns) if c not in OWN}
-    done = work(docs.withColumnsRenamed(aside)).withColumnsRenamed({b: a for a, b in aside.items()})
-    return done.select(*docs.columns)
+    """``work`` on ``docs`` whose further columns have names that no operator uses; they get their own back last."""
+    aside = {c: c if c in OWN else f"_aside_{k}" for k, c in enumerate(docs.columns)}
+    done = work(docs.select(*(docs[f"`{a}`"].alias(b) for a, b in aside.items())))
+    return done.select(*(F.col(b).alias(a) for a, b in aside.items()))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
