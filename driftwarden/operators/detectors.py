@@ -12,9 +12,9 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,12 +140,27 @@ class IsolationForest:
 
     @classmethod
     def fit(cls, dev: DataFrame, scaler: Scaler, trees: int = 200, size: int = 256, seed: int = 42) -> IsolationForest:
-        """``dev`` is of bounded size; a seeded hash orders its rows, so the same rows give the same trees."""
-        rows = dev.orderBy(F.xxhash64(F.lit(seed), "station_id", "ts"), "station_id", "ts").limit(40 * size)
-        x = np.array(scaler.vector(rows).select(vector_to_array("_x").alias("x")).toArrow()["x"].to_pylist())
-        rng = np.random.default_rng(seed)
-        size = min(size, len(x))
-        out = cls(scaler, [cls._tree(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(trees)], size)
+        """A tree grows in a task, from the ``size`` rows with the smallest hashes of its number and their keys.
+
+        A row travels to about 1.4 * ``size`` * ``trees`` / rows trees: those whose hash lies below a bound that all but surely leaves enough.
+        Partitioning changes nothing: the same rows give the same trees. The driver gets the trees' arrays.
+        """
+        n = dev.count()
+        size = max(1, min(size, n))
+        most = (1 << 63) - 1
+        bound = min(most, int(most * (size + 6 * size**0.5 + 8) / max(n, 1)))
+        hash = lambda t: F.xxhash64(F.lit(seed), t, "station_id", "ts").bitwiseAND(F.lit(most))
+        rows = dev.select("station_id", "ts", F.array(*scaler.expressions()).alias("x"))
+        drawn = rows.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hash(t) <= bound)).alias("tree")).withColumn("hash", hash("tree"))
+
+        def grow(own: pd.DataFrame) -> pd.DataFrame:
+            number = int(own["tree"].iloc[0])
+            x = np.stack(own.sort_values(["hash", "station_id", "ts"])["x"].to_list())[:size]
+            arrays = cls._tree(x, np.random.default_rng([seed, number]))
+            return pd.DataFrame([[number, *(a.tolist() for a in arrays)]], columns=["tree", "feature", "cut", "left", "depth", "held"])
+
+        grown = drawn.groupBy("tree").applyInPandas(grow, "tree int, feature array<int>, cut array<double>, left array<int>, depth array<double>, held array<int>").collect()
+        out = cls(scaler, [tuple(np.array(a) for a in r[1:]) for r in sorted(grown)], size)
         out.threshold = threshold(out.score(dev), "isolation_forest_score")
         return out
 

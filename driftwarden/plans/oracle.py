@@ -9,7 +9,7 @@ from driftwarden.operators.fusion import SEVERITY, V1_TEXTS, V2_TEXTS, WEIGHTS
 from driftwarden.operators.detectors import path_normaliser
 from driftwarden.operators.health import CHECK_CONNECTION, PENALTY, STATUS, TEXTS
 from driftwarden.plans import fitted
-from driftwarden.plans.queries import ACCOUNTED, EVIDENCE_V1, EVIDENCE_V2, FAMILIES, FAULTS, FUSED_V1, FUSED_V2, SCALED, SHARES, digits_of
+from driftwarden.plans.queries import ACCOUNTED, EVIDENCE_V1, EVIDENCE_V2, FAMILIES, FAULTS, FUSED_V1, FUSED_V2, POISON_EVERY, RESET_EVERY, SCALED, SHARES, digits_of
 from driftwarden.schema import SENSORS, SHORT, WINDOWS_MIN
 
 W = "PARTITION BY station_id ORDER BY ts"
@@ -281,6 +281,15 @@ FEATS = on(base("obs"))
 L = on(LABELLED)
 X1, X2, XH = on(LABELLED, V1), on(LABELLED, V2), on(LABELLED, HEALTH)
 
+_turned = {"hour_sin": "sin(2 * pi() * hour(ts) / 24.0)", "hour_cos": "cos(2 * pi() * hour(ts) / 24.0)", "month_sin": "sin(2 * pi() * (month(ts) - 1) / 12.0)", "month_cos": "cos(2 * pi() * (month(ts) - 1) / 12.0)"}
+_times = {"hour": "hour(ts)", "minute": "minute(ts)", "day_of_week": "isodow(ts) - 1", "day_of_year": "dayofyear(ts)", "month": "month(ts)", "is_weekend": "(isodow(ts) >= 6)::INT", **_turned, "time_gap_flag": "(sampling_interval_mins > 15.0)::INT"}
+#: Names and expressions of the features without a frame, in the models' order.
+ORDER = [
+    *((s, s) for s in SENSORS), *((f"{s}_missing", f"{s}_missing") for s in SENSORS), *((c, c) for c in ("any_sensor_missing", "all_sensors_missing")),
+    *((c, _times.get(c, c)) for c in ("hour", "minute", "day_of_week", "day_of_year", "month", "is_weekend", "hour_sin", "hour_cos", "month_sin", "month_cos", "time_gap_seconds", "sampling_interval_mins", "time_gap_flag")),
+    *((f"{s}_{c}", f"{s}_{c}") for s in SENSORS for c in ("delta_1", "abs_delta_1", "rate_per_hour")), *((f"{s}_consec_unchanged", f"{s}_consec_unchanged") for s in SENSORS),
+]
+
 ORACLE: dict[str, str] = {
     "observations": of_obs(f"SELECT {KEY}, {r(*SENSORS)} FROM obs"),
     "clean_dedup": on(REPEATS) + f"SELECT DISTINCT {KEY}, {r(*SENSORS)} FROM w",
@@ -355,6 +364,12 @@ ORACLE: dict[str, str] = {
     "dev_share": X2 + f"SELECT CASE WHEN ts < TIMESTAMP '2024-01-02 00:00:00' THEN 'development' ELSE 'rest' END AS part, count(*) AS rows, {q('avg(predicted) * 100.0')} AS predicted_pct, {', '.join(q(f'avg({x}) * 100.0') + f' AS {k}_prediction_pct' for k, x in (*((k, f'{k}_prediction') for k in fitted.LIMITS), ('any', ANY)))} FROM v2 GROUP BY 1",
     "left_join_features": on(LABELLED, base("obs")) + f"SELECT CAST(l.station_id AS BIGINT) AS station_id, l.ts, l.anomaly_id, {', '.join(q(f'b.{s}_rate_per_hour') + f' AS {s}_rate_per_hour' for s in SENSORS)} FROM lab l LEFT JOIN b ON l.station_id = b.station_id AND l.ts = b.ts WHERE l.is_anomaly = 1",
     "table_diff": L + f"SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, {each(lambda s: f'count(*) FILTER (NOT coalesce(abs(l.{s} - o.{s}) <= 1e-8 + 1e-5 * abs(o.{s}), l.{s} IS NULL AND o.{s} IS NULL)) AS {s}')} FROM lab l JOIN obs o ON l.station_id = o.station_id AND l.ts = o.ts",
+    "pipeline_scores": X2 + f"SELECT {KEY}, {r('statistical_score', 'pca_score', 'isolation_forest_score')}, {n(*(f'{k}_prediction' for k in fitted.LIMITS))} FROM v2",
+    "feature_order": FEATS + " UNION ALL ".join(f"SELECT {k}::BIGINT AS place, '{c}' AS name, count({x}) AS n, {q(q(f'sum(CAST({x} AS DOUBLE)) + 1e-7', 2))} AS total FROM b" for k, (c, x) in enumerate(ORDER)),
+    "stream_isolation": f"WITH RECURSIVE {OBS.replace('obs AS (', 'obs0 AS (', 1)}, obs AS (SELECT * REPLACE (CAST(station_id + 10 * (event_id // {RESET_EVERY}) AS INTEGER) AS station_id) FROM obs0), {STREAM}\n"
+    + f"""SELECT CAST(c5.station_id % 10 AS BIGINT) AS station_id, event_id * 3 + 1 AS seq, CASE WHEN seen < 12 THEN 'WARMUP' ELSE 'PROCESSED' END AS processing_state, severity, classified_fault_type AS fault_type, affected AS affected_sensor, c5.anomaly_flag AS anomaly_flag,
+  {q("final_anomaly_score")} AS anomaly_score, {each(lambda s: q(f"{s}_health") + f" AS sensor_health_{s}")} FROM c5 JOIN hf ON c5.station_id = hf.station_id AND c5.ts = hf.ts
+UNION ALL BY NAME SELECT CAST(station_id AS BIGINT) AS station_id, event_id * 3 + 2 AS seq, 'FAILED' AS processing_state FROM obs0 WHERE event_id % {POISON_EVERY} = 5""",
     "forest_shapley": on(base("obs"), rolled("b", (60,)), f"sx AS (SELECT *, {', '.join(_scaled)} FROM z)") + f"SELECT {KEY}, {', '.join(f'{q(f'({x} + 1e-9)', 7)} AS phi_{c}' for c, x in zip(fitted.COLUMNS, _phi, strict=True))}, {q(f'({" + ".join(_depth(t) for t in fitted.TREES)}) / {len(fitted.TREES)}.0 + 1e-9', 7)} AS depth FROM sx",
     "model_scores": X2 + f"SELECT {KEY}, {r('statistical_score', 'pca_score', 'isolation_forest_score')}, {n(*(f'{k}_prediction' for k in fitted.LIMITS))}, CAST({ANY} AS BIGINT) AS any_prediction FROM v2",
     "explanations": XH + f"SELECT {KEY}, {EXPLANATION} AS fault_explanation FROM c5",

@@ -237,6 +237,53 @@ def disturbed(events: DataFrame) -> DataFrame:
     return rows.select("station_id", both, "pressure", "humidity").select("station_id", "r.seq", "r.ts", "r.temperature", "pressure", "humidity")
 
 
+def pipeline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored detectors as an ML pipeline, written, read back and applied."""
+    from pyspark.ml import PipelineModel
+
+    from driftwarden.operators.stages import model_of
+
+    held, path = stored(), scratch_path(spark, "ml-pipeline")
+    PipelineModel([model_of(x) for x in (held.statistical_threshold, held.components, held.forest)]).save(path)
+    scored = PipelineModel.load(path).transform(scored_features(labelled(spark, sf_dir)))
+    limits = ("statistical", "pca", "isolation_forest")
+    return tidy(scored.select(*KEYS, *(f"{k}_score" for k in limits), *(f"{k}_prediction" for k in limits)))
+
+
+def feature_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features without a frame, in the models' order: each column's place, values and sum over all rows."""
+    rows = base(obs(spark, sf_dir))
+    names = [c for c in FEATURES if c in rows.columns]
+    sums = rows.select(*names).agg(*(F.struct(F.lit(k).alias("place"), F.lit(c).alias("name"), F.count(c).alias("n"), F.sum(F.col(c).cast("double")).alias("total")).alias(c) for k, c in enumerate(names)))
+    return tidy(sums.select(F.explode(F.array(*names)).alias("x")).select("x.*").withColumn("total", rounded(F.col("total") + 1e-7, 2)))
+
+
+RESET_EVERY, POISON_EVERY = 4000, 1009
+
+
+def interrupted(events: DataFrame) -> DataFrame:
+    """Observations with a reset of every station now and then, and records whose time no clock can hold."""
+    rows = observations(events)
+    none = F.lit(None).cast("double")
+    record = lambda seq, ts, reset: F.struct(seq.alias("seq"), ts.alias("ts"), *((none if reset else F.col(s)).alias(s) for s in SENSORS), F.lit(reset).alias("reset"))
+    id = F.col("event_id")
+    own, cleared = record(id * 3 + 1, F.col("ts"), False), record(id * 3, F.col("ts"), True)
+    poisoned = record(id * 3 + 2, F.expr("timestamp_ntz'2600-01-01 00:00:00'"), False)
+    all_of = F.array_compact(F.array(F.when((id >= RESET_EVERY) & (id % RESET_EVERY < 4), cleared), own, F.when(id % POISON_EVERY == 5, poisoned)))
+    return rows.select("station_id", F.explode(all_of).alias("r")).select("station_id", "r.*")
+
+
+def stream_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over records that reset a station and records that fail; the latter are dead letters and change nothing."""
+    from driftwarden.streaming.stations import dead_letters, results_of, run_records
+
+    path, root = f"{sf_dir}/events.parquet", scratch_path(spark, "stream")
+    run_records(spark, path, spark.read.parquet(path).schema, root, interrupted, rows_per_trigger=25_000)
+    named = ("severity", "fault_type", "affected_sensor", "anomaly_flag", "anomaly_score", *(f"sensor_health_{s}" for s in SENSORS))
+    failed = dead_letters(spark, root).select("station_id", "seq", F.lit("FAILED").alias("processing_state"))
+    return tidy(results_of(spark, root).select("station_id", "seq", "processing_state", *named).unionByName(failed, allowMissingColumns=True))
+
+
 def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record log in micro-batches of at most 5,000 records."""
     from driftwarden.streaming.stations import results_of, run_records
@@ -436,4 +483,7 @@ QUERIES: dict[str, Query] = {
     "iforest_score": iforest_score,
     "forest_shapley": forest_shapley,
     "stream_pipeline": stream_pipeline,
+    "stream_isolation": stream_isolation,
+    "pipeline_scores": pipeline_scores,
+    "feature_order": feature_order,
 }

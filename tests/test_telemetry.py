@@ -14,10 +14,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwarden.operators import detectors, evaluate, features, health, joins, quality, simulate
+from driftwarden.operators import detectors, evaluate, features, health, joins, quality, simulate, stages
 from driftwarden.operators.timeline import with_chunk
 from driftwarden.plans import batch
 from driftwarden.plans.fitted import stored
@@ -236,6 +237,26 @@ class TestModels:
         scores = forest.score(df).toPandas().sort_values("ts")["isolation_forest_score"].to_numpy()
         assert scores[-3:].min() > np.quantile(scores[:-3], 0.99)
 
+    def test_forest_is_the_same_for_any_partitioning(self, spark):
+        rng = np.random.default_rng(2)
+        rows = [(k % 3, minutes(k), *map(float, rng.normal(size=3))) for k in range(400)]
+        df = spark.createDataFrame(rows, OBSERVATION)
+        scaler = detectors.Scaler.fit(df)
+        one, two = (detectors.IsolationForest.fit(d, scaler, trees=7, size=64) for d in (df.coalesce(1), df.repartition(5, "pressure")))
+        assert len(one.trees) == 7 and all(np.array_equal(a, b) for x, y in zip(one.trees, two.trees, strict=True) for a, b in zip(x, y, strict=True))
+        assert all(tree[4][0] == 64 for tree in one.trees)
+
+    def test_pipeline_of_stages_round_trip(self, spark, table, tmp_path):
+        stages_ = [stages.StatisticalDetector(rows=300), stages.ComponentsDetector(rows=300), stages.ForestDetector(rows=300, trees=5, size=32)]
+        Pipeline(stages=stages_).save(str(tmp_path / "unfitted"))
+        model = Pipeline.load(str(tmp_path / "unfitted")).fit(table)
+        model.save(str(tmp_path / "fitted"))
+        names = [f"{k}_{c}" for k in ("statistical", "pca", "isolation_forest") for c in ("score", "prediction")]
+        one, two = (m.transform(table).select("station_id", "ts", *names) for m in (model, PipelineModel.load(str(tmp_path / "fitted"))))
+        assert all(v == 0 for v in joins.table_difference(one, two, ["station_id", "ts"]).first().asDict().values())
+        forest = model.stages[2].detector()
+        assert len(forest.trees) == 5 and forest.size == 32
+
     def test_path_normaliser(self):
         assert detectors.path_normaliser(1) == 0 and detectors.path_normaliser(2) == 1
         assert detectors.path_normaliser(256) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
