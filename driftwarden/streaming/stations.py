@@ -362,6 +362,7 @@ def process_stream(obs: DataFrame, artifacts: Artifacts | None = None, silent_ms
     Rejected records come out with the processing state REJECTED, those that raise an error with FAILED and the error, and nothing else. The
     micro-batches' size bounds how many records of a station a task holds: limit it at the source. State is kept by the
     RocksDB provider, which this sets for the session.
+    With ``silent_ms`` Spark goes on with empty micro-batches, as time passes: use a trigger other than ``availableNow``, which would not end.
     """
     spark = ship(obs.sparkSession)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -501,7 +501,7 @@ class TestStream:
                 time.sleep(3)
             spark.createDataFrame(part, self.SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
             source = spark.readStream.schema(schema).parquet(f"{root}/in")
-            sink(process_stream(source, silent_ms=2000), f"{root}/o").awaitTermination()
+            sink(process_stream(source, silent_ms=2000), f"{root}/o", once=True).awaitTermination(60)
         found = {r.seq: r for r in results_of(spark, f"{root}/o").where("station_id = 0").collect()}
         assert found[29].processing_state == "PROCESSED" and found[30].processing_state == "WARMUP"
 
