@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwarden.operators.selection import with_quantiles
-
+from driftwarden.session import materialize
 
 
 def confusion(df: DataFrame, label: str = "is_anomaly", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
@@ -36,12 +36,16 @@ def compared(baseline: DataFrame, other: DataFrame) -> DataFrame:
 def curve(df: DataFrame, score: str, label: str = "is_anomaly") -> DataFrame:
     """(score, pos, neg, tp, fp): rows at and above each distinct score, from the highest down.
 
-    Cumulated in two steps, within thousandths of the score and over them, so no task orders all scores.
+    Cumulated in two steps, within ranges of the distinct scores and over them: ranges hold about as many scores each
+    whatever their scale, and there are as many as shuffle partitions, so neither step orders all scores. Rows without a
+    score are left out. ``_part`` is the range, numbered from the highest scores down; it is written, as a range
+    that is sampled again may differ.
     """
-    sums = df.groupBy(F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
-    sums = sums.withColumn("_part", F.floor(F.col("score") * 1000))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
+    sums = materialize(sums.repartitionByRange(ranges, F.desc("score")).withColumn("_part", F.spark_partition_id()), "curve")
     parts = sums.groupBy("_part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_n"))
     w = Window.partitionBy("_part").orderBy(F.desc("score"))
     inner = sums.select("*", F.sum("pos").over(w).alias("_tp"), F.sum("neg").over(w).alias("_fp"))
@@ -52,7 +56,7 @@ def areas(points: DataFrame) -> DataFrame:
     """ROC area (ties half), average precision (steps) and trapezoid area under precision over recall."""
     total = points.agg(F.max("tp").alias("P"), F.max("fp").alias("N"))
     w = Window.partitionBy("_part").orderBy(F.desc("score"))
-    v = Window.orderBy(F.desc("_part"))
+    v = Window.orderBy("_part")
     ends = points.groupBy("_part").agg(F.max("tp").alias("tp"), F.max("fp").alias("fp"))
     before = ends.select("_part", F.lag("tp", 1, 0).over(v).alias("_t"), F.lag("fp", 1, 0).over(v).alias("_f"))
     steps = points.withColumns({"_lt": F.lag("tp").over(w), "_lf": F.lag("fp").over(w)}).join(before, "_part")

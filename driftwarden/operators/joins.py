@@ -44,8 +44,8 @@ def without_overlap(new: DataFrame, old: DataFrame, start: str = "start_ts", end
     return new.join(hit, on, "left_anti")
 
 
-def table_difference(left: DataFrame, right: DataFrame, keys: list[str], rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
-    """Per common column how many keys differ (doubles within atol + rtol |right|, the rest null-safe), and lone keys."""
+def table_difference(left: DataFrame, right: DataFrame, keys: list[str], rtol: float = 1e-5, atol: float = 1e-8, by: list[str] | None = None) -> DataFrame:
+    """Per common column how many keys differ (doubles within atol + rtol |right|, the rest null-safe), and lone keys; a row for each value of the keys ``by``."""
     names = [c for c in left.columns if c in right.columns and c not in keys]
     a = left.select(*keys, *(F.col(c).alias(f"a_{c}") for c in names), F.lit(1).alias("_a"))
     b = right.select(*keys, *(F.col(c).alias(f"b_{c}") for c in names), F.lit(1).alias("_b"))
@@ -58,4 +58,4 @@ def table_difference(left: DataFrame, right: DataFrame, keys: list[str], rtol: f
             return F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~close)
         return F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~x.eqNullSafe(y))
 
-    return both.agg(F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right"), *(differs(c).alias(c) for c in names))
+    return both.groupBy(*(by or [])).agg(F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right"), *(differs(c).alias(c) for c in names))

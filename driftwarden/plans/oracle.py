@@ -264,6 +264,10 @@ def of_obs(body: str) -> str:
     return f"WITH {OBS}\n{body}"
 
 
+#: Two runs, one without the later half of the events: nothing else may set them apart.
+HALVES = of_obs("SELECT CAST(station_id AS BIGINT) AS station_id, count(*) FILTER (early) AS rows, 0::BIGINT AS only_left, count(*) FILTER (NOT early) AS only_right, 0::BIGINT AS differing FROM (SELECT *, event_id < (SELECT count(*) FROM events) // 2 AS early FROM obs) GROUP BY 1")
+
+
 def rolling_query(w: int) -> str:
     names = [f"{s}_{c}_{w}m" for s in SENSORS for c in ("roll_mean", "roll_std", "roll_min", "roll_max", "roll_median", "dev_mean", "dev_med", "roll_z")]
     return on(rolled("obs", (w,))) + f"SELECT {KEY}, {r(*names)} FROM z"
@@ -366,6 +370,9 @@ ORACLE: dict[str, str] = {
     "table_diff": L + f"SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, {each(lambda s: f'count(*) FILTER (NOT coalesce(abs(l.{s} - o.{s}) <= 1e-8 + 1e-5 * abs(o.{s}), l.{s} IS NULL AND o.{s} IS NULL)) AS {s}')} FROM lab l JOIN obs o ON l.station_id = o.station_id AND l.ts = o.ts",
     "pipeline_scores": X2 + f"SELECT {KEY}, {r('statistical_score', 'pca_score', 'isolation_forest_score')}, {n(*(f'{k}_prediction' for k in fitted.LIMITS))} FROM v2",
     "feature_order": FEATS + " UNION ALL ".join(f"SELECT {k}::BIGINT AS place, '{c}' AS name, count({x}) AS n, {q(q(f'sum(CAST({x} AS DOUBLE)) + 1e-7', 2))} AS total FROM b" for k, (c, x) in enumerate(ORDER)),
+    "causal_features": HALVES,
+    "causal_stream": HALVES,
+    "stream_parity": of_obs("SELECT CAST(station_id AS BIGINT) AS station_id, count(*) AS rows, 0::BIGINT AS only_left, 0::BIGINT AS only_right, 0::BIGINT AS differing FROM obs GROUP BY 1"),
     "stream_isolation": f"WITH RECURSIVE {OBS.replace('obs AS (', 'obs0 AS (', 1)}, obs AS (SELECT * REPLACE (CAST(station_id + 10 * (event_id // {RESET_EVERY}) AS INTEGER) AS station_id) FROM obs0), {STREAM}\n"
     + f"""SELECT CAST(c5.station_id % 10 AS BIGINT) AS station_id, event_id * 3 + 1 AS seq, CASE WHEN seen < 12 THEN 'WARMUP' ELSE 'PROCESSED' END AS processing_state, severity, classified_fault_type AS fault_type, affected AS affected_sensor, c5.anomaly_flag AS anomaly_flag,
   {q("final_anomaly_score")} AS anomaly_score, {each(lambda s: q(f"{s}_health") + f" AS sensor_health_{s}")} FROM c5 JOIN hf ON c5.station_id = hf.station_id AND c5.ts = hf.ts

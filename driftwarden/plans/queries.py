@@ -284,6 +284,51 @@ def stream_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(results_of(spark, root).select("station_id", "seq", "processing_state", *named).unionByName(failed, allowMissingColumns=True))
 
 
+def first_half(spark: SparkSession, sf_dir: str) -> int:
+    """The first event that runs without later rows leave out."""
+    return table(spark, sf_dir, "events").count() // 2
+
+
+def apart(found: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """By station: rows of ``found``, keys that only one of the tables has, and values of common keys that differ."""
+    diff = joins.table_difference(found, other, keys, 1e-9, 1e-9, by=["station_id"])
+    values = [F.col(c) for c in found.columns if c in other.columns and c not in keys]
+    differing = F.aggregate(F.array(*values), F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = found.groupBy("station_id").agg(F.count("*").alias("rows"))
+    return tidy(diff.join(rows, "station_id", "left").select("station_id", F.coalesce("rows", F.lit(0)).alias("rows"), "only_left", "only_right", differing.alias("differing")))
+
+
+def causal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features with and without the later half of the rows: what later rows change of earlier ones."""
+    rows = observations(table(spark, sf_dir, "events"))
+    short = rows.where(F.col("event_id") < first_half(spark, sf_dir)).drop("event_id")
+    found = materialize(features.features(short), "features")
+    return apart(found, features.features(rows.drop("event_id")), list(KEYS))
+
+
+def streamed(spark: SparkSession, sf_dir: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    from driftwarden.streaming.stations import results_of, run_records
+
+    path, root = f"{sf_dir}/events.parquet", scratch_path(spark, "stream")
+    run_records(spark, path, spark.read.parquet(path).schema, root, prepare, rows_per_trigger=25_000)
+    return results_of(spark, root)
+
+
+def causal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's results with and without the later half of the records."""
+    half = first_half(spark, sf_dir)
+    short = streamed(spark, sf_dir, lambda events: observations(events).where(F.col("event_id") < half))
+    return apart(short, streamed(spark, sf_dir, observations), ["station_id", "seq"])
+
+
+def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and confidences of the stream against the batch plan under the stream's rules."""
+    fused = stored().fused(features.features(obs(spark, sf_dir), "stream"))
+    batch = fused.select("station_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), rounded("final_anomaly_score", 6).alias("anomaly_score"), rounded("anomaly_confidence", 6).alias("confidence"))
+    found = streamed(spark, sf_dir, observations)
+    return apart(found.select("station_id", "us", rounded("anomaly_score", 6).alias("anomaly_score"), rounded("confidence", 6).alias("confidence")), batch, ["station_id", "us"])
+
+
 def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record log in micro-batches of at most 5,000 records."""
     from driftwarden.streaming.stations import results_of, run_records
@@ -486,4 +531,7 @@ QUERIES: dict[str, Query] = {
     "stream_isolation": stream_isolation,
     "pipeline_scores": pipeline_scores,
     "feature_order": feature_order,
+    "causal_features": causal_features,
+    "causal_stream": causal_stream,
+    "stream_parity": stream_parity,
 }
