@@ -35,6 +35,7 @@ REMEMBERED = 500_000
 RANGE_ROWS = 20_000
 RANGE_TOKENS = 8_000_000
 WEIGHT = 1024
+SCALE = 1 << 20  # parts of a unit that coordinates are summed in
 
 #: Outside these characters, words are not split here.
 _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
@@ -166,9 +167,11 @@ def tokenized(docs: DataFrame, id: str, text: str, tokenizer: str, separator: in
 class Curve:
     """Places on the curve from coordinates: the key in the upper bits, a hash of the id below."""
 
-    def __init__(self, stats: tuple):
-        self.mean = np.array([stats[2 * k] or 0 for k in range(DIMENSIONS)])
-        self.spread = np.array([stats[2 * k + 1] or 1 for k in range(DIMENSIONS)])
+    def __init__(self, rows: int, sums: list[int], squares: list[int]):
+        """From sums over ``rows`` of the coordinates in parts of ``SCALE``, and of their squares."""
+        n = max(rows, 1)
+        self.mean = np.array([s / n / SCALE for s in sums])
+        self.spread = np.array([(n * q - s * s) ** 0.5 / n / SCALE or 1.0 for s, q in zip(sums, squares, strict=True)])
 
     def places(self, b: pa.RecordBatch) -> np.ndarray:
         z = (np.stack([b[f"c{k}"].to_numpy() for k in range(DIMENSIONS)], 1) - self.mean) / self.spread
@@ -204,8 +207,11 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     prepare(docs.sparkSession)
     width = encoder(tokenizer).width
     rows = cut(tokenized(docs, id, text, tokenizer, separator, seed), "tokens")
-    stats = rows.agg(*(f(f"c{k}") for k in range(DIMENSIONS) for f in (F.avg, F.stddev_pop)), F.count("*"), F.sum("tokens")).first()
-    curve, size, total = Curve(stats), stats[-2], stats[-1] or 0
+    # Exact sums: those of doubles depend on the order of tasks in their last digits, and with them the order of documents.
+    whole = [F.round(F.col(f"c{k}") * SCALE).cast("decimal(19,0)") for k in range(DIMENSIONS)]
+    stats = rows.agg(F.count("*"), F.sum("tokens"), *(F.sum(x) for x in whole), *(F.sum(x * x) for x in whole)).first()
+    size, total, sums = stats[0], stats[1] or 0, [int(x or 0) for x in stats[2:]]
+    curve = Curve(size, sums[:DIMENSIONS], sums[DIMENSIONS:])
     ranges = min(max(1, -(-size // range_rows), -(-total // RANGE_TOKENS)), max_ranges)
     cuts = [k / ranges for k in range(1, ranges)]
     # Ranges of about equal token counts: a place counts once and again for every WEIGHT tokens.

@@ -85,3 +85,9 @@ def test_neighbours_are_alike(spark):
 
 def test_empty_table(spark):
     assert P.pack(documents(spark, []), word_tokenizer()).count() == 0
+
+
+def test_the_order_of_rows_and_tasks_changes_nothing(spark):
+    docs = documents(spark, [prose(i, 40 + i % 7) for i in range(300)])
+    one, two = (sorted(tuple(r) for r in P.pack(d, word_tokenizer(), with_ids=False, range_rows=50).collect()) for d in (docs.coalesce(1), docs.repartition(7, "text")))
+    assert one == two
