@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -269,8 +270,10 @@ class Styles:
     """What the page's style sheets say about being seen."""
 
     def __init__(self, sheets: list[str]):
-        #: By a tag, .class or #id: (tag, ids, classes, property) with the rank and value of the rule that wins.
+        #: By a tag, .class or #id, of a rule's the one that the fewest rules name: (tag, ids, classes, property) with the
+        #: rank and value of the rule that wins.
         self.rules: dict[str, dict[tuple, tuple]] = {}
+        winners: dict[tuple, tuple] = {}
         order = 0
         for sheet in sheets:
             for selectors, body in style_rules(sheet):
@@ -284,11 +287,14 @@ class Styles:
                     parts = re.findall(r"[.#][\w-]+", m[2])
                     ids, classes = frozenset(p[1:] for p in parts if p[0] == "#"), frozenset(p[1:] for p in parts if p[0] == ".")
                     order += 1
-                    own = self.rules.setdefault(parts[0] if parts else tag or "*", {})
                     for name, value, important in said:
                         rank = (important, 0, (len(ids), len(classes), bool(tag)), order)
-                        if rank >= own.get((tag, ids, classes, name), (rank,))[0]:
-                            own[tag, ids, classes, name] = (rank, value)
+                        if rank >= winners.get((tag, ids, classes, name), (rank,))[0]:
+                            winners[tag, ids, classes, name] = (rank, value)
+        named = {key: [*("#" + i for i in key[1]), *("." + c for c in key[2])] or [key[0] or "*"] for key in winners}
+        uses = Counter(part for parts in named.values() for part in parts)
+        for key, parts in named.items():
+            self.rules.setdefault(min(parts, key=lambda p: (uses[p], p)), {})[key] = winners[key]
 
     def seen(self, node: Node, visible: bool) -> bool | None:
         """None if the element is not displayed, else whether its text is visible; ``visible`` is its parent's."""

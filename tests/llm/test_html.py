@@ -134,3 +134,11 @@ def test_query_covers_all_pages(spark, sf):
 )
 def test_stray_table_text_and_foreign_elements(source, text):
     assert to_text(source) == (text, "")
+
+
+def test_rules_that_share_a_class_are_found_by_their_other_one():
+    rules = "".join(f".x.a{i} {{ display: {'none' if i % 2 else 'block'} }}" for i in range(4000))
+    page = f"<style>{rules} .x {{ display: none }} p.x.b {{ visibility: hidden }}</style>" + "".join(f"<p class='x a{i}'>w{i}</p>" for i in range(4000)) + "<p class='b x'>no</p>"
+    start = time.perf_counter()
+    assert to_text(page)[0].split() == [f"w{i}" for i in range(0, 4000, 2)]
+    assert time.perf_counter() - start < 2
