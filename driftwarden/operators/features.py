@@ -46,13 +46,12 @@ def add_unchanged(df: DataFrame) -> DataFrame:
 
 
 def add_rolling(df: DataFrame, windows: tuple[int, ...] = WINDOWS_MIN, semantics: str = "batch", sensors: tuple[str, ...] = SENSORS) -> DataFrame:
-    aggregates = {"mean": F.avg, "std": F.stddev_samp}
-    columns = {f"{s}_roll_{a}_{w}m": (f(F.col(s)), w * MINUTE_US) for w in windows for s in sensors for a, f in aggregates.items()}
-    ordered = {f"{s}_roll_{a}_{w}m": (s, w * MINUTE_US, q) for w in windows for s in sensors for a, q in (("min", 0), ("max", 1), ("median", 0.5))}
+    statistics = {"mean": "mean", "std": "std", "min": 0, "max": 1, "median": 0.5}
+    wanted = {f"{s}_roll_{name}_{w}m": (s, w * MINUTE_US, q) for w in windows for s in sensors for name, q in statistics.items()}
     if 60 in windows:
-        columns |= {f"{s}_roll_var_60m": (F.var_samp(s), 60 * MINUTE_US) for s in sensors}
-        ordered |= {f"_{s}_q{q}": (s, 60 * MINUTE_US, q / 100) for s in sensors for q in (25, 75)}
-    out = rolling(df, max(windows) * MINUTE_US, columns, ordered=ordered)
+        wanted |= {f"{s}_roll_var_60m": (s, 60 * MINUTE_US, "var") for s in sensors}
+        wanted |= {f"_{s}_q{q}": (s, 60 * MINUTE_US, q / 100) for s in sensors for q in (25, 75)}
+    out = rolling(df, max(windows) * MINUTE_US, {}, ordered=wanted)
     names = [(s, w) for w in windows for s in sensors]
     out = out.withColumns({f"{s}_dev_{short}_{w}m": F.col(s) - F.col(f"{s}_roll_{a}_{w}m") for s, w in names for short, a in (("mean", "mean"), ("med", "median"))})
     std = lambda s, w: F.col(f"{s}_roll_std_{w}m")

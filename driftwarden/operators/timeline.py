@@ -45,10 +45,10 @@ def with_previous(df: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select(*df.columns, previous["us"].alias("prev_us"), *(previous[c].alias(f"prev_{c}") for c in columns if c != "us"))
 
 
-def rolling(df: DataFrame, look_back_us: int, columns: dict[str, tuple[Column, int]], chunk_us: int = CHUNK_US, ordered: dict[str, tuple[str, int, float]] | None = None, with_now: bool = False) -> DataFrame:
+def rolling(df: DataFrame, look_back_us: int, columns: dict[str, tuple[Column, int]], chunk_us: int = CHUNK_US, ordered: dict[str, tuple[str, int, float | str]] | None = None, with_now: bool = False) -> DataFrame:
     """Adds window results over [t - width, t): ``columns`` maps a name to (aggregate, width in microseconds).
 
-    ``ordered`` maps a name to (column, width, quantile): order statistics, by ``with_order_statistics``. With ``with_now`` the frames
+    ``ordered`` maps a name to (column, width, statistic), by ``with_frame_statistics``. With ``with_now`` the frames
     end with the row itself. ``look_back_us`` is the greatest width; it must not exceed a chunk. Needs ``with_chunk``.
     """
     late = F.col("us") % chunk_us >= chunk_us - look_back_us
@@ -59,7 +59,7 @@ def rolling(df: DataFrame, look_back_us: int, columns: dict[str, tuple[Column, i
     if ordered:
         # The frames above leave each day together and in order, so this sorts nothing again.
         out = (out if columns else out.repartition(*DAY)).sortWithinPartitions(*DAY, "us")
-        out = with_order_statistics(out, ordered, look_back_us, chunk_us, with_now)
+        out = with_frame_statistics(out, ordered, look_back_us, chunk_us, with_now)
     return out.where(~F.col("_halo")).drop("_halo")
 
 
@@ -74,12 +74,38 @@ class Frames(BaseIndexer):
         return self.start, self.end
 
 
-def quantile(frames: Rolling, q: float) -> pd.Series:
-    return frames.min() if q == 0 else frames.max() if q == 1 else frames.median() if q == 0.5 else frames.quantile(q)
+def quantile(frames: Rolling, q: float) -> np.ndarray:
+    """Quantiles with linear interpolation from the nearer of both neighbours."""
+    if q in (0, 1, 0.5):
+        return (frames.min() if q == 0 else frames.max() if q == 1 else frames.median()).to_numpy()
+    low, high = (frames.quantile(q, interpolation=side).to_numpy() for side in ("lower", "higher"))
+    place = q * np.maximum(frames.count().to_numpy() - 1, 0)
+    part = place - np.floor(place)
+    return np.where(part < 0.5, low + (high - low) * part, low * (1 - part) + high * part)
 
 
-def with_order_statistics(df: DataFrame, wanted: dict[str, tuple[str, int, float]], look_back_us: int, chunk_us: int, with_now: bool) -> DataFrame:
-    """Quantiles of the values within ``width`` before each row: ``wanted`` maps a name to (column, width, quantile).
+def moments(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """Mean, deviation and variance of the values (NaN: missing) in each of the frames ``start`` to ``end``.
+
+    Every frame is summed from its first value on, all frames a value at a time (Welford). Equal frames so give equal results, whichever day
+    or batch they lie in; sums that slide carry what earlier rows left, and z-scores that tie would be told apart by it.
+    """
+    n, total, mean, squares = (np.zeros(len(start)) for _ in range(4))
+    for j in range(int((end - start).max(initial=0))):
+        v = np.where(start + j < end, x[np.minimum(start + j, len(x) - 1)], np.nan)
+        there = ~np.isnan(v)
+        n += there
+        np.add(total, v, out=total, where=there)
+        after = mean + (v - mean) / np.maximum(n, 1)
+        np.add(squares, (v - after) * (v - mean), out=squares, where=there)
+        np.copyto(mean, after, where=there)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        variance = np.where(n > 1, squares / (n - 1), np.nan)
+        return {"mean": total / n, "std": np.sqrt(variance), "var": variance}
+
+
+def with_frame_statistics(df: DataFrame, wanted: dict[str, tuple[str, int, float | str]], look_back_us: int, chunk_us: int, with_now: bool) -> DataFrame:
+    """Statistics of the values within ``width`` before each row: ``wanted`` maps a name to (column, width, quantile or one of ``moments``).
 
     Rows must come day by day in order. A skip list slides over the values of a batch: a row costs the logarithm of its frame, where
     an aggregate over the frame would sort it anew for every row. Only the last ``look_back_us`` of a day are held between batches.
@@ -105,7 +131,9 @@ def with_order_statistics(df: DataFrame, wanted: dict[str, tuple[str, int, float
             for c, width in sorted({(c, w) for c, w, _ in wanted.values()}):
                 frames = Frames(np.searchsorted(at, at - width, "left"), np.searchsorted(at, at, "right" if with_now else "left"))
                 slid = pd.Series(x[c]).rolling(frames, min_periods=1)
-                added |= {name: quantile(slid, q).to_numpy()[before:] for name, (own_c, w, q) in wanted.items() if (own_c, w) == (c, width)}
+                own_names = {name: q for name, (own_c, w, q) in wanted.items() if (own_c, w) == (c, width)}
+                summed = moments(x[c], frames.start[before:], frames.end[before:]) if any(isinstance(q, str) for q in own_names.values()) else {}
+                added |= {name: summed[q] if isinstance(q, str) else quantile(slid, q)[before:] for name, q in own_names.items()}
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(added[name], pa.float64(), from_pandas=True) for name in wanted)], [*b.schema.names, *wanted])
             keep = at >= at[-1] - look_back_us
             held = {c: v[keep] for c, v in x.items()}
