@@ -86,9 +86,10 @@ def inject(obs: DataFrame, plan: DataFrame) -> DataFrame:
     """Observations with the plan's faults and row labels; a row lies in at most one fault.
 
     drift adds a line from 0 to the magnitude, frozen repeats the first row's value, missing clears all sensors,
-    noise adds normal draws with the magnitude as deviation (a seeded hash, the same for a row in every run).
+    noise adds normal draws with the magnitude as deviation (a seeded hash, the same for a row in every run). A plan comes from the driver
+    (``draw_plan``), so it is small enough for every task; rows stay where they are.
     """
-    marked = interval_join(obs, plan, "start_ts", "end_ts", how="left")
+    marked = interval_join(obs, F.broadcast(plan), "start_ts", "end_ts", how="left")
     w = Window.partitionBy("anomaly_id").orderBy("ts")
     every = Window.partitionBy("anomaly_id")
     inside = marked.where("anomaly_id IS NOT NULL")
