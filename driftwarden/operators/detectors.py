@@ -14,7 +14,6 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +70,8 @@ class Scaler:
 
     def vector(self, df: DataFrame) -> DataFrame:
         """Adds the scaled vector ``_x``."""
+        from pyspark.ml.feature import VectorAssembler  # not at the top: every Python worker imports this module
+
         scaled = df.select("*", *self.expressions())
         names = [f"z_{c}" for c in self.columns]
         return VectorAssembler(inputCols=names, outputCol="_x").transform(scaled).drop(*names)
@@ -86,6 +87,8 @@ class PrincipalComponents:
 
     @classmethod
     def fit(cls, dev: DataFrame, scaler: Scaler, kept: float = 0.95) -> PrincipalComponents:
+        from pyspark.ml.feature import PCA
+
         model = PCA(k=len(scaler.columns), inputCol="_x", outputCol="_y").fit(scaler.vector(dev))
         share = np.cumsum(model.explainedVariance.toArray())
         k = min(int(np.searchsorted(share, kept, side="right")) + 1, len(share))

@@ -6,7 +6,7 @@ sent nothing for so long is forgotten. A station's records are taken in ingest o
 accepted one is rejected and changes nothing.
 
 What a record alone decides (the 147 features under the stream rules, the scores of the three fitted detectors, evidence,
-fusion) is computed for all records of a station's micro-batch at once; streaks and health follow record by record. A
+fusion) is computed for all records of a station's micro-batch at once, as are streaks; only health is summed record by record. A
 record that cannot be processed fails alone: the station goes back to where it was before, the record comes out as FAILED with its error, and
 those around it are taken as if it had not been sent. A flagged record is explained by the features with the largest Shapley
 values of its path length in the forest.
@@ -15,6 +15,7 @@ values of its path length in the forest.
 from __future__ import annotations
 
 import copy
+import itertools
 import json
 import math
 from collections.abc import Iterator
@@ -185,66 +186,56 @@ class Station:
         top = self._explained(np.flatnonzero(flag & ~warm), fused["matrix"], a)
         gap = np.diff(times, prepend=times[:1])[held:] > GAP_US
         medians = corrections(times, rows, held) if flag.any() else {}
-        per = [(f[f"{s}_rate_per_hour"].tolist(), f[f"{s}_roll_z_60m"].tolist()) for s in SENSORS]
-        out = []
-        for i, (values_, hint_, flag_, confidence) in enumerate(zip(values.tolist(), hint.tolist(), flag.tolist(), fused["confidence"].tolist(), strict=True)):
-            row = {s: None if math.isnan(v) else v for s, v in zip(SENSORS, values_, strict=True)}
-            out.append(
-                self._track(row, {s: (x[i], z[i]) for s, (x, z) in zip(SENSORS, per, strict=True)}, bool(gap[i]), flag_, hint_, confidence)
-                | {
-                    "processing_state": "WARMUP" if warm[i] else "PROCESSED",
-                    "severity": "NORMAL" if warm[i] else str(fused["severity"][i]),
-                    "anomaly_score": float(fused["score"][i]),
-                    "confidence": confidence,
-                    "anomaly_flag": flag_,
-                    "top_features": json.dumps(top.get(i, [])),
-                    "suggested_corrections": json.dumps({s: x[i] for s, x in medians.items() if not math.isnan(x[i])} if size[i] >= 3 else {}) if flag_ else None,
-                }
-            )
+        evidence = np.stack([np.where(np.isnan(values[:, k]), 1.0, np.maximum(_capped(f[f"{s}_rate_per_hour"].to_numpy(), RATE_SCALE), _capped(f[f"{s}_roll_z_60m"].to_numpy(), Z_SCALE))) for k, s in enumerate(SENSORS)])
+        found = {s: [None if math.isnan(v) else v for v in values[:, k].tolist()] for k, s in enumerate(SENSORS)}
+        found |= self._track(np.isnan(values).sum(axis=1), evidence, gap, flag, hint, fused["confidence"])
+        found |= {
+            "processing_state": np.where(warm, "WARMUP", "PROCESSED").tolist(),
+            "severity": np.where(warm, "NORMAL", fused["severity"]).tolist(),
+            "anomaly_score": fused["score"].tolist(),
+            "confidence": fused["confidence"].tolist(),
+            "anomaly_flag": flag.tolist(),
+            "top_features": [f"[{', '.join(top.get(i, []))}]" for i in range(len(us))],
+            "suggested_corrections": ["{" + ", ".join(f'"{s}": {x[i]!r}' for s, x in medians.items() if k >= 3 and not math.isnan(x[i])) + "}" if flagged else None for i, (flagged, k) in enumerate(zip(flag.tolist(), size.tolist(), strict=True))],
+        }
+        out = [dict(zip(found, row, strict=True)) for row in zip(*found.values(), strict=True)]
         self.unchanged = {s: int(f[f"{s}_consec_unchanged"].iloc[-1]) for s in SENSORS}
         self.history = [[int(t), *(None if math.isnan(v) else v for v in r)] for t, r in zip(times[begin[-1] :], rows[begin[-1] :].tolist(), strict=True)]
         return out
 
     @staticmethod
-    def _explained(at: np.ndarray, matrix: np.ndarray, a: Artifacts, k: int = 3) -> dict[int, list[dict]]:
-        """For each of the rows ``at`` the ``k`` features with the largest Shapley values, either way (below 0: easier to isolate)."""
+    def _explained(at: np.ndarray, matrix: np.ndarray, a: Artifacts, k: int = 3) -> dict[int, list[str]]:
+        """For each of the rows ``at`` the ``k`` features with the largest Shapley values, either way (below 0: easier to isolate), as JSON objects."""
         if not len(at):
             return {}
-        names = a.forest.scaler.columns
+        names = [f'{{"feature": {json.dumps(c)}, "contribution": ' for c in a.forest.scaler.columns]
         values = np.round(a.forest.shapley(matrix[at]), 9)
         order = np.argsort(-np.abs(values), axis=1, kind="stable")[:, :k]
-        return {int(i): [{"feature": names[c], "contribution": round(float(row[c]), 4)} for c in best if row[c]] for i, row, best in zip(at, values, order.tolist(), strict=True)}
-
-    def _track(self, row: dict, rate_and_z: dict[str, tuple[float, float]], gap: bool, flag: bool, hint: str, confidence: float) -> dict:
-        if gap:
-            self.streaks = dict.fromkeys(self.streaks, 0)
-        missing = sum(v is None for v in row.values())
-        fault = "MISSING" if missing else hint if flag else "NORMAL"
-        evidence = {s: 1.0 if row[s] is None else max(_capped(rate, RATE_SCALE), _capped(z, Z_SCALE)) for s, (rate, z) in rate_and_z.items()}
+        return {i: [f"{names[c]}{round(row[c], 4)!r}}}" for c in best if row[c]] for i, row, best in zip(at.tolist(), values.tolist(), order.tolist(), strict=True)}
+
+    def _track(self, missing: np.ndarray, evidence: np.ndarray, gap: np.ndarray, flag: np.ndarray, hint: np.ndarray, confidence: np.ndarray) -> dict[str, list]:
+        """Columns of the rows in order; only the clamped sums of health go a row at a time."""
+        fault = np.where(missing > 0, "MISSING", np.where(flag, hint, "NORMAL"))
         affected = attribute(fault, missing, evidence)
-        hit = {s: affected in (s.upper(), "MULTIPLE", "ALL_SENSORS") for s in SENSORS}
-        if flag:
-            grown = {"anomaly": True, "missing": fault == "MISSING", "frozen": fault == "FROZEN", **hit}
-            self.streaks = {k: n + grown[k] for k, n in self.streaks.items()}
-        else:
-            self.streaks = dict.fromkeys(self.streaks, 0)
-        for s in SENSORS:
-            step = 0.0
-            if not flag and self.streaks[s] == 0:
-                step = RECOVERY
-            elif hit[s]:
-                step = -(PENALTY.get(fault, 1.0) * evidence[s] * confidence * min(MOST_GROWTH, 1.0 + GROWTH * max(0, self.streaks[s] - 1)))
-            self.health[s] = max(0.0, min(100.0, self.health[s] + step))
-        status = {f"{s}_status": next((name for low, name in STATUS if self.health[s] >= low), "CRITICAL") for s in SENSORS}
-        return {
-            **row,
-            **status,
-            **{f"sensor_health_{s}": self.health[s] for s in SENSORS},
-            "fault_type": fault,
-            "affected_sensor": affected,
-            "data_quality_status": "DATA_LOSS" if missing == 3 else "DEGRADED" if missing else "GOOD",
-            "maintenance_status": recommend(flag, fault, self.streaks),
-            "explanation": explain(fault, affected, confidence),
+        hit = {s: np.isin(affected, (s.upper(), "MULTIPLE", "ALL_SENSORS")) for s in SENSORS}
+        grown = {"anomaly": flag, "missing": flag & (fault == "MISSING"), "frozen": flag & (fault == "FROZEN"), **{s: flag & hit[s] for s in SENSORS}}
+        streaks = {k: counted(grown[k], gap | ~flag, self.streaks[k]) for k in STREAKS}
+        penalty = np.array([PENALTY.get(x, 1.0) for x in fault.tolist()])
+        out: dict[str, list] = {}
+        for k, s in enumerate(SENSORS):
+            loss = penalty * evidence[k] * confidence * np.minimum(MOST_GROWTH, 1.0 + GROWTH * np.maximum(0, streaks[s] - 1))
+            steps = np.where(~flag & (streaks[s] == 0), RECOVERY, np.where(hit[s], -loss, 0.0))
+            health = list(itertools.accumulate(steps.tolist(), lambda h, d: max(0.0, min(100.0, h + d)), initial=self.health[s]))[1:]
+            self.health[s] = health[-1]
+            out |= {f"sensor_health_{s}": health, f"{s}_status": np.select([np.array(health) >= low for low, _ in STATUS], [name for _, name in STATUS], "CRITICAL").tolist()}
+        self.streaks = {k: int(n[-1]) for k, n in streaks.items()}
+        text = cache(explain)  # few mixes of fault, sensor and rounded confidence
+        return out | {
+            "fault_type": fault.tolist(),
+            "affected_sensor": affected.tolist(),
+            "data_quality_status": np.select([missing == 3, missing > 0], ["DATA_LOSS", "DEGRADED"], "GOOD").tolist(),
+            "maintenance_status": recommend(flag, fault, streaks).tolist(),
+            "explanation": [text(*x) for x in zip(fault.tolist(), affected.tolist(), np.floor(confidence * 100 + 0.5).tolist(), strict=True)],
         }
 
 
@@ -255,41 +246,41 @@ def corrections(us: np.ndarray, values: np.ndarray, held: int) -> dict[str, list
     return {s: (np.floor(found[s].to_numpy() * 100 + 0.5) / 100).tolist() for s in SENSORS}
 
 
-def _capped(x: float, scale: float) -> float:
-    return 1.0 if math.isnan(x) else min(1.0, abs(x) / scale)
+def counted(grown: np.ndarray, reset: np.ndarray, before: int) -> np.ndarray:
+    """Rows that ``grown`` marks since the last reset, which starts at its own mark; ``before`` is the count so far."""
+    total, own = np.cumsum(grown), grown.astype(np.int64)
+    last = np.maximum.accumulate(np.where(reset, np.arange(len(grown)), -1))
+    return total - np.where(last >= 0, (total - own)[last], -before)
+
 
+def _capped(x: np.ndarray, scale: float) -> np.ndarray:
+    return np.where(np.isnan(x), 1.0, np.minimum(1.0, np.abs(x) / scale))
 
-def attribute(fault: str, missing: int, evidence: dict[str, float]) -> str:
-    if fault == "NORMAL":
-        return "NONE"
-    if fault == "MISSING" and missing == 3:
-        return "ALL_SENSORS"
-    held = sorted(((v, -k) for k, v in enumerate(evidence.values()) if v > IMPLICATED), reverse=True)
-    if not held:
-        return "UNKNOWN"
-    if len(held) > 1 and (fault == "MULTIVARIATE_INCONSISTENCY" or held[0][0] <= held[1][0] * DOMINANT):
-        return "MULTIPLE"
-    return SENSORS[-held[0][1]].upper()
 
+def attribute(fault: np.ndarray, missing: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """The affected sensor of every row, from the sensors' evidence (a row a sensor)."""
+    held = np.where(evidence > IMPLICATED, evidence, 0.0)
+    n, (_, second, first) = (held > 0).sum(axis=0), np.sort(held, axis=0)
+    several = (n > 1) & ((fault == "MULTIVARIATE_INCONSISTENCY") | (first <= second * DOMINANT))
+    one = np.array([s.upper() for s in SENSORS])[held.argmax(axis=0)]
+    return np.select([fault == "NORMAL", (fault == "MISSING") & (missing == 3), n == 0, several], ["NONE", "ALL_SENSORS", "UNKNOWN", "MULTIPLE"], one)
 
-def recommend(flag: bool, fault: str, streaks: dict[str, int]) -> str:
-    if not flag:
-        return "NO_ACTION"
-    if fault == "MISSING":
-        return CHECK_CONNECTION
-    if fault == "FROZEN" and streaks["frozen"] > 3:
-        return "MAINTENANCE_RECOMMENDED"
-    if fault == "DRIFT":
-        return "INSPECT"
-    return "MONITOR / INSPECT" if streaks["anomaly"] > 3 else "MONITOR"
+
+def recommend(flag: np.ndarray, fault: np.ndarray, streaks: dict[str, np.ndarray]) -> np.ndarray:
+    return np.select(
+        [~flag, fault == "MISSING", (fault == "FROZEN") & (streaks["frozen"] > 3), fault == "DRIFT", streaks["anomaly"] > 3],
+        ["NO_ACTION", CHECK_CONNECTION, "MAINTENANCE_RECOMMENDED", "INSPECT", "MONITOR / INSPECT"],
+        "MONITOR",
+    )
 
 
-def explain(fault: str, affected: str, confidence: float) -> str:
+def explain(fault: str, affected: str, percent: float) -> str:
+    """The text of a fault; ``percent`` is the confidence in hundredths, half up."""
     if fault in ("NORMAL", "MISSING"):
         return TEXTS[fault]
     one = affected in [s.upper() for s in SENSORS] and fault in ("SPIKE", "FROZEN", "DRIFT", "OFFSET", "NOISE")
     text = TEXTS[fault] if one or fault == "MULTIVARIATE_INCONSISTENCY" else TEXTS["other"]
-    return text.replace("%1$s", affected.lower()).replace("%2$.2f", f"{math.floor(confidence * 100 + 0.5) / 100:.2f}")
+    return text.replace("%1$s", affected.lower()).replace("%2$.2f", f"{percent / 100:.2f}")
 
 
 @cache
