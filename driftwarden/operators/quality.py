@@ -197,10 +197,12 @@ def null_accounting(df: DataFrame, columns: list[str], warm_up_minutes: int = 36
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column its deviation and whether it never varies."""
-    row = df.agg(*(F.stddev_samp(c).alias(c) for c in columns))
-    long = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("std")) for c in columns))).alias("x")).select("x.*")
-    return long.withColumn("constant", F.coalesce(F.col("std") == 0, F.lit(True)))
+    """Per column its deviation and whether it never varies.
+
+    The extremes decide that: merged partial deviations of equal values need not be 0, as a partition's mean is merged as (x / n) * n.
+    """
+    row = df.agg(*(F.struct(F.when(F.min(c) == F.max(c), F.stddev_samp(c) * 0.0).otherwise(F.stddev_samp(c)).alias("std"), F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias("constant")).alias(c) for c in columns))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}.std").alias("std"), F.col(f"{c}.constant").alias("constant")) for c in columns))).alias("x")).select("x.*")
 
 
 def integrity(df: DataFrame, columns: list[str]) -> DataFrame:
