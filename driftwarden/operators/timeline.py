@@ -132,6 +132,25 @@ def moments(x: np.ndarray, start: np.ndarray, end: np.ndarray, spread: bool = Tr
         return {"mean": total / n, "std": np.sqrt(variance), "var": variance}
 
 
+def frame_statistics(x: np.ndarray, start: np.ndarray, end: np.ndarray, before: int, wanted: dict[str, float | str]) -> dict[str, np.ndarray]:
+    """Statistics of the frames ``start`` to ``end`` of the rows from ``before`` on: ``wanted`` maps a name to a quantile or one of ``moments``.
+
+    The batch plan and the stream both take theirs from here, so that a row's do not hang on which of them it came through.
+    """
+    out, sums = {}, {q for q in wanted.values() if isinstance(q, str)}
+    if sums:
+        summed = moments(x, start[before:], end[before:], bool(sums - {"mean"}))
+        out |= {name: summed[q] for name, q in wanted.items() if isinstance(q, str)}
+    ranks = {name: q for name, q in wanted.items() if not isinstance(q, str)}
+    if ranks and (end - start)[before:].max(initial=0) <= SHORT_FRAME:
+        in_order = sorted_frames(x, start[before:], end[before:])
+        out |= {name: quantile_of(*in_order, q) for name, q in ranks.items()}
+    elif ranks:
+        slid = pd.Series(x).rolling(Frames(start, end), min_periods=1)
+        out |= {name: quantile(slid, q)[before:] for name, q in ranks.items()}
+    return out
+
+
 def with_frame_statistics(df: DataFrame, wanted: dict[str, tuple[str, int, float | str]], look_back_us: int, chunk_us: int, with_now: bool) -> DataFrame:
     """Statistics of the values within ``width`` before each row: ``wanted`` maps a name to (column, width, quantile or one of ``moments``).
 
@@ -158,17 +177,7 @@ def with_frame_statistics(df: DataFrame, wanted: dict[str, tuple[str, int, float
             added = {}
             for c, width in sorted({(c, w) for c, w, _ in wanted.values()}):
                 start, end = np.searchsorted(at, at - width, "left"), np.searchsorted(at, at, "right" if with_now else "left")
-                own_names = {name: q for name, (own_c, w, q) in wanted.items() if (own_c, w) == (c, width)}
-                sums = {q for q in own_names.values() if isinstance(q, str)}
-                summed = moments(x[c], start[before:], end[before:], bool(sums - {"mean"})) if sums else {}
-                added |= {name: summed[q] for name, q in own_names.items() if isinstance(q, str)}
-                ranks = {name: q for name, q in own_names.items() if not isinstance(q, str)}
-                if ranks and (end - start)[before:].max(initial=0) <= SHORT_FRAME:
-                    in_order = sorted_frames(x[c], start[before:], end[before:])
-                    added |= {name: quantile_of(*in_order, q) for name, q in ranks.items()}
-                elif ranks:
-                    slid = pd.Series(x[c]).rolling(Frames(start, end), min_periods=1)
-                    added |= {name: quantile(slid, q)[before:] for name, q in ranks.items()}
+                added |= frame_statistics(x[c], start, end, before, {name: q for name, (own_c, w, q) in wanted.items() if (own_c, w) == (c, width)})
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(added[name], pa.float64(), from_pandas=True) for name in wanted)], [*b.schema.names, *wanted])
             keep = at >= at[-1] - look_back_us
             held = {c: v[keep] for c, v in x.items()}
