@@ -48,3 +48,10 @@ def test_parity_compares_what_was_computed(spark, sf, monkeypatch):
     queries.stream_parity(spark, sf)
     for side in held.values():
         assert side.where(F.abs(F.col("anomaly_score") * 1e6 - F.round(F.col("anomaly_score") * 1e6)) > 1e-3).count() > 0
+
+
+def test_streams_run_side_by_side(spark, sf, monkeypatch):
+    started, own = [], stations.sink
+    monkeypatch.setattr(stations, "sink", lambda *a, **k: started.append((own(*a, **k), [q for q, _ in started if q.isActive])) or started[-1][0])
+    queries.causal_stream(spark, sf)
+    assert len(started) == 2 and len(started[1][1]) == 1
