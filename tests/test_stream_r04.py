@@ -8,7 +8,7 @@ from driftwarden.schema import FEATURES, SENSORS
 from driftwarden.session import scratch_path
 from driftwarden.sources.tables import observations
 from driftwarden.streaming import stations
-from driftwarden.streaming.records import record_stream
+from driftwarden.streaming.records import RecordLogReader, record_stream
 
 
 def series(n: int = 600):
@@ -84,8 +84,29 @@ def test_times_that_no_clock_can_hold_cost_no_second_try(monkeypatch):
     assert [r and r["processing_state"] for r in early] == ["FAILED", "WARMUP", None]
 
 
+def test_known_stations_are_spread_over_the_state(spark):
+    n = stations.spread(spark, queries.STATIONS)
+    fullest = lambda k: spark.range(4).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(k)).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert fullest(n) == min(fullest(k) for k in range(1, spark.sparkContext.defaultParallelism + 1))
+
+
 def test_streams_run_side_by_side(spark, sf, monkeypatch):
     started, own = [], stations.sink
     monkeypatch.setattr(stations, "sink", lambda *a, **k: started.append((own(*a, **k), [q for q, _ in started if q.isActive])) or started[-1][0])
     queries.causal_stream(spark, sf)
     assert len(started) == 2 and len(started[1][1]) == 1
+
+
+def test_a_row_group_is_not_decoded_to_its_end(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import types as T
+
+    from driftwarden.streaming import records
+
+    pq.write_table(pa.table({"seq": np.arange(400_000)}), tmp_path / "a.parquet", row_group_size=400_000)
+    seen, own = [], pq.ParquetFile.iter_batches
+    monkeypatch.setattr(records.pq.ParquetFile, "iter_batches", lambda self, *a, **k: (seen.append(b.num_rows) or b for b in own(self, *a, **k)))
+    reader = RecordLogReader({"path": str(tmp_path)}, T.StructType([T.StructField("seq", T.LongType())]))
+    found = [v for b in reader.read(records.Stretch(str(tmp_path / "a.parquet"), 70_000, 70_003)) for v in b["seq"].to_pylist()]
+    assert found == [70_000, 70_001, 70_002] and sum(seen) < 300_000
